@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import exact_dedup
+from lexengine.llm import chat_format, exact_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_format": chat_format.op2_chat_format,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_mixing": mixing.op4_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_format": chat_format.OP2_SQL,
         "op3_exact_dedup": exact_dedup.OP3_SQL,
+        "op4_mixing": mixing.OP4_SQL,
     }
