@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import chat_format, exact_dedup, media, mixing, quality, warc
+from lexengine.llm import chat_format, exact_dedup, media, mixing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op7_warc": warc.op7_warc,
         "op8_media_columns": media.op8_media_columns,
+        "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
     }
 
