@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import chat_format, exact_dedup, media, mixing, packing, pii, quality, warc
+from lexengine.llm import chat_format, exact_dedup, media, mixing, ngram_join, packing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_packing": packing.op5_packing,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_warc": warc.op7_warc,
         "op8_media_columns": media.op8_media_columns,
         "op9_pii": pii.op9_pii,
