@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import chat_format, exact_dedup, media, mixing, ngram_join, packing, pii, quality, warc
+from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": ctw.op1_lm_scoring,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mixing": mixing.op4_mixing,
