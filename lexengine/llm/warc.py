@@ -7,7 +7,7 @@ identifiers, ISO timestamps, record types and digests.
 
 Archives are written and read by Spark, so they may lie in any store that Spark reaches: records are
 text (their payloads are UTF-8), written by the text writer as gzip files, and whole files come back
-through the binary reader. The number of files follows the number of pages, so a file stays small.
+through the binary reader. A file holds a fixed number of pages at most, so it stays small.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import blocks, join_hot, shared_dir, stored, table
+from lexengine.llm.common import join_hot, shared_dir, stored, table
 
 #: Pages in one archive file.
 PAGES_PER_FILE = 2000
@@ -71,21 +71,28 @@ def _arc_record(version: int, fields: dict[str, str], content: bytes) -> str:
     return f"{line} {len(content)}\n{content.decode()}"
 
 
-def write_arc(pages: DataFrame, version: int, path: str) -> None:
-    """pages (page_id, url, html) as ARC files; each partition becomes a file that starts with its filedesc."""
+def write_arc(pages: DataFrame, version: int, path: str, pages_per_file: int = PAGES_PER_FILE) -> None:
+    """pages (page_id, url, html) as ARC files.
+
+    A filedesc stands in front of so many pages as the writer puts into a file, so every file starts with one.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"value": [arc_filedesc(version, 0)]})
+        number = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for row in batch.slice(at, 256).to_pylist():
+                    if number % pages_per_file == 0:
+                        out.append(arc_filedesc(version, number // pages_per_file))
+                    number += 1
                     body = (row["html"] or "").encode()
                     content = _http(row["page_id"], len(body)).encode() + body
                     out.append(_arc_record(version, {"url": row["url"] or "unknown:", "ip": ADDRESS, "date": CAPTURED, "mime": "text/html", "status": "200", "offset": "0", "filename": "part.arc"}, content))
                 yield pa.RecordBatch.from_pydict({"value": out})
 
-    pages.mapInArrow(records, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    writer = pages.mapInArrow(records, "value string").write.option("maxRecordsPerFile", pages_per_file + 1)
+    writer.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def _inflated(data: bytes) -> bytes:
@@ -124,32 +131,40 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         yield dict(zip(fields, values, strict=True)) | {"content": content}
 
 
+def _arc_rows(data: bytes) -> Iterator[dict]:
+    """What the converter needs of each record: page_id, url, captured, the body and its length and digest."""
+    for r in parse_arc(_inflated(data)):
+        head, _, body = r["content"].partition(b"\r\n\r\n")
+        key, d = _header(head, PAGE_HEADER), r["date"]
+        yield {
+            "page_id": None if key is None else int(key),
+            "url": r["url"],
+            "captured": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+            "body": body.decode(),
+            "payload_bytes": len(body),
+            "payload_digest": base32_sha1(body),
+        }
+
+
+_ARC_ROWS = pa.schema([("row", pa.struct([("file", pa.string()), ("number", pa.int64())])), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """file (its name) and content of each file in path."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, captured, body, its length and digest, and the record's place (row), of all ARC files in path."""
+    """Each record's place (row: file and number), page_id and the length and digest of its body."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                out = {n: [] for n in _ARC_ROWS.names}
-                name = batch.column(1)[i].as_py().rsplit("/", 1)[-1]
-                for number, r in enumerate(parse_arc(_inflated(batch.column(0)[i].as_py()))):
-                    head, _, body = r["content"].partition(b"\r\n\r\n")
-                    key = _header(head, PAGE_HEADER)
-                    d = r["date"]
-                    out["row"].append(f"{name}:{number:09d}")
-                    out["page_id"].append(None if key is None else int(key))
-                    out["url"].append(r["url"])
-                    out["captured"].append(f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z")
-                    out["body"].append(body.decode())
-                    out["payload_bytes"].append(len(body))
-                    out["payload_digest"].append(base32_sha1(body))
-                yield pa.RecordBatch.from_pydict(out, schema=_ARC_ROWS)
+                file = batch.column(0)[i].as_py()
+                found = [{n: r[n] for n in _ARC_ROWS.names[1:]} | {"row": {"file": file, "number": k}} for k, r in enumerate(_arc_rows(batch.column(1)[i].as_py()))]
+                yield pa.RecordBatch.from_pylist(found, schema=_ARC_ROWS)
 
-    files = spark.read.format("binaryFile").load(path).select("content", "path")
-    return files.mapInArrow(rows, "row string, page_id long, url string, captured string, body string, payload_bytes long, payload_digest string")
-
-
-_ARC_ROWS = pa.schema([("row", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("captured", pa.string()), ("body", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    return _files(spark, path).mapInArrow(rows, "row struct<file:string,number:bigint>, page_id long, payload_bytes long, payload_digest string")
 
 
 def _record_id(*parts: object) -> str:
@@ -190,13 +205,22 @@ def with_types(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return typed.unionByName(short)
 
 
-def write_warc(typed: DataFrame, path: str) -> None:
+def write_warc(arc: DataFrame, typed: DataFrame, path: str, records_per_file: int = PAGES_PER_FILE) -> None:
+    """Converts the files in arc (file, content); typed says of each record whether it answers.
+
+    What is said of the records of one file meets in one row; that is bounded, as the file is.
+    """
+    said = typed.groupBy("row.file").agg(F.array_sort(F.collect_list(F.struct("row.number", "response", "keeper"))).alias("said"))
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield pa.RecordBatch.from_pydict({"value": [warc_record(r, r["response"], r["keeper"]) for r in batch.slice(at, 256).to_pylist()]})
+            for i in range(batch.num_rows):
+                own = batch.column(1)[i].as_py()
+                out = [warc_record(r, o["response"], o["keeper"]) for r, o in zip(_arc_rows(batch.column(0)[i].as_py()), own, strict=True)]
+                yield pa.RecordBatch.from_pydict({"value": out})
 
-    typed.mapInArrow(records, "value string").write.option("compression", "gzip").option("lineSep", WARC_END).text(path)
+    writer = arc.join(said, "file").select("content", "said").mapInArrow(records, "value string").write.option("maxRecordsPerFile", records_per_file)
+    writer.option("compression", "gzip").option("lineSep", WARC_END).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -245,8 +269,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     out["payload"].append(body if kind == "response" else None)
                 yield pa.RecordBatch.from_pydict(out, schema=_WARC_ROWS)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return _files(spark, path).select("content").mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def convert(pages: DataFrame, version: int = 2, least: int = REVISIT_BYTES, pages_per_file: int = PAGES_PER_FILE) -> str:
@@ -259,11 +282,9 @@ def convert(pages: DataFrame, version: int = 2, least: int = REVISIT_BYTES, page
     spark = pages.sparkSession
     old, new = shared_dir(spark), shared_dir(spark)
     pages = pages.select("page_id", "url", "html")
-    files = blocks(pages.count(), pages_per_file)
-    write_arc(pages.repartition(files), version, old)
-    # The digests choose the responses; bodies are read again when the WARC files are written.
-    typed = with_types(stored(read_arc(spark, old).select("row", "page_id", "payload_bytes", "payload_digest")), least)
-    write_warc(read_arc(spark, old).join(typed.select("row", "response", "keeper"), "row"), new)
+    write_arc(pages, version, old, pages_per_file)
+    # The digests choose the responses; the files are read again when the WARC files are written.
+    write_warc(_files(spark, old), with_types(stored(read_arc(spark, old)), least), new, pages_per_file)
     return new
 
 
