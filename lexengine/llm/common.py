@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,30 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold inside a with block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bloom(spark: SparkSession):
+    """Lets joins that run in a with block skip, by a Bloom filter of the small side, rows of the large side without a partner."""
+    return settings(
+        spark,
+        {
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+        },
+    )
+
+
 def blocks(rows: int, per_block: int) -> int:
     """How many blocks of about per_block rows hold all rows."""
     return max(1, -(-rows // per_block))

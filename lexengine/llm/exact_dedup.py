@@ -9,13 +9,11 @@ texts, which are compared byte by byte; rows whose bytes differ from those of th
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import join_hot, shared_dir, stored, table
+from lexengine.llm.common import bloom, join_hot, settings, shared_dir, stored, table
 
 #: Copies that are compared with one replica of the text that stays.
 COPIES_PER_REPLICA = 256
@@ -25,30 +23,13 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-#: Lets the join that fetches texts skip, by a Bloom filter, documents without a hit.
-_BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-}
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _located(docs: DataFrame) -> DataFrame:
+def located(docs: DataFrame) -> DataFrame:
     """Adds the column loc (file, row in the file); rows that lie in no file are written first."""
     try:
         return docs.withColumn("loc", F.struct("_metadata.file_path", "_metadata.row_index"))
@@ -73,7 +54,7 @@ def stream_groups(spark: SparkSession, slim_path: str, schema, files_per_batch:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _settings(spark, _STATE):
+    with settings(spark, _STATE):
         stream = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         stream.awaitTermination()
     rows = spark.read.schema(
@@ -93,7 +74,7 @@ def dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = N
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = _located(docs.select("doc_id", text.alias("text")))
+    docs = located(docs.select("doc_id", text.alias("text")))
     slim_path = shared_dir(spark)
     slim = stored(docs.select("doc_id", "loc", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")), slim_path)
     rows = slim.count()
@@ -113,7 +94,7 @@ def dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = N
 def _differing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """Rows (loc, digest, text) whose bytes differ from those of the row that stays, if any."""
     hits = found.filter(F.col("group_size") > 1).select("loc", "digest", "keep_loc", "kept", F.ceil(F.col("group_size") / COPIES_PER_REPLICA).alias("replicas"))
-    with _settings(docs.sparkSession, _BLOOM):
+    with bloom(docs.sparkSession):
         texts = hits.join(docs.select("loc", "text"), "loc")
         copies = texts.filter(~F.col("kept")).withColumn("salt", F.pmod(F.xxhash64("loc"), F.col("replicas")))
         stay = texts.filter("kept").select(

@@ -9,6 +9,9 @@ budget ends, after as many whole passes (epochs) as the budget holds.
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ SHARE_NUM, SHARE_DEN, MAX_EPOCHS = 3, 2, 2
 RANGE_ROWS = 50_000
 #: Keys have 60 bits: the first 15 hexadecimal digits of an MD5 digest.
 KEY_BITS = 60
+_WORD = re.compile(WORD)
 
 
 def words(text: Column) -> Column:
@@ -28,6 +32,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its word number n."""
+    end = 0
+    for found in islice(_WORD.finditer(text), n):
+        end = found.end()
+    return text[:end]
+
+
 def random_key(doc_id: Column, seed: int) -> Column:
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long")
@@ -61,8 +73,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     return ranked.select("source", "source_size", "docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, range_rows: int = RANGE_ROWS, extra: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, and the columns in extra.
 
     docs needs doc_id, text and source; other columns are ignored. Documents without words, and
     with them null and empty texts, have size 0 and are taken 0 times. A null source is a source
@@ -70,13 +82,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rang
     taken in part. Rows with equal keys are ordered by doc_id and size, so that reruns agree. An empty table gives
     no rows.
     """
-    slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
+    slim = docs.select(*extra, "doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
     slim = stored(slim)
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sources = stored(targets(sources, weights).withColumn("ranges", F.ceil(F.col("docs") / range_rows)))
     # One row per source; sources are labels, so they are few, but the join may also shuffle.
     wide = slim.join(sources, slim.source.eqNullSafe(sources.source)).select(
-        "doc_id", slim.source, "size", "key", "source_size", "target", F.least(F.floor(F.col("key") / F.lit(2.0**KEY_BITS) * F.col("ranges")), F.col("ranges") - 1).alias("range")
+        *extra, "doc_id", slim.source, "size", "key", "source_size", "target", F.least(F.floor(F.col("key") / F.lit(2.0**KEY_BITS) * F.col("ranges")), F.col("ranges") - 1).alias("range")
     )
     sums = wide.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rang
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
     rest = budget - passes * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("range_start") - F.col("before"), F.lit(0).cast("long")), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
+    return placed.select(*extra, "doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
