@@ -1,18 +1,88 @@
-"""A corpus pipeline of the training-data operators (stages are added as they are built)."""
+"""A corpus pipeline of five training-data operators over the documents table.
+
+Quality classifier, exact deduplication, n-gram Jaccard join, mixing to target weights, best-fit
+packing. Each stage takes what its predecessor kept, as a table that was written and read again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexengine.llm import exact_dedup, mixing, ngram_join, packing, quality
 from lexengine.llm.common import stored, table
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from labels of these documents."""
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, ranker, COLUMNS).filter("predicted = 1").select(*COLUMNS)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays.
+
+    Rows are found again by their locator, so that repeated rows are told apart too.
+    """
+    found = exact_dedup.dedup(docs)
+    kept = found.filter("kept").select("loc")
+    return exact_dedup.located(docs.select(*COLUMNS)).join(kept, "loc", "left_semi").select(*COLUMNS)
+
+
+def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest doc_id stays.
+
+    A component is named by that doc_id, so the documents that stay carry their own component's name.
+    Exact copies are gone by now; documents without a doc_id have no name and stay.
+    """
+    dropped = ngram_join.similarity_join(docs).filter("component_id < doc_id").select("doc_id")
+    return docs.select(*COLUMNS).join(stored(dropped.distinct()), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts each text after its first `words` words (the last column)."""
+    for batch in batches:
+        texts = [mixing.first_words(t.as_py() or "", n.as_py()) for t, n in zip(batch.column(1), batch.column(5), strict=True)]
+        columns = [batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array([len(t) for t in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one that is cut comes with its first words only."""
+    docs = exact_dedup.located(docs.select(*COLUMNS))
+    taken = stored(mixing.mix(docs, extra=["loc"]).filter("taken > 0").select("loc", "size", "taken"))
+    taken = docs.join(taken, "loc")
+    whole = F.floor(F.col("taken") / F.col("size"))
+    copies = taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(whole, F.lit(1).cast("long")))).alias("copy"), whole.alias("whole")).filter("copy <= whole")
+    cut = taken.filter("taken % size > 0").select(*COLUMNS, (F.col("taken") % F.col("size")).alias("words"))
+    return copies.select(*COLUMNS).unionByName(cut.mapInArrow(_first_words, docs.select(*COLUMNS).schema))
+
+
+def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the training sequences."""
+    return packing.pack_documents(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", distinct_documents),
+    ("n-gram Jaccard join", dissimilar_documents),
+    ("mixing sources to target weights", mixed_documents),
+    ("best-fit packing", packed_documents),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
