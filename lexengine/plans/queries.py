@@ -84,7 +84,7 @@ def _customer_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_autocomplete(spark: SparkSession, d: str) -> DataFrame:
-    return search.autocomplete(_customer_index(spark, d), " Customer#00000 ", 15).select("id", "word", "frequency_rank")
+    return search.autocomplete(_customer_index(spark, d), " Customer#00000 ", 15).select("id", "word", F.coalesce("frequency_rank", F.lit(-1)).alias("frequency_rank"))
 
 
 @query
@@ -95,7 +95,7 @@ def word_autocomplete_ranked(spark: SparkSession, d: str) -> DataFrame:
 @query
 def category_autocomplete(spark: SparkSession, d: str) -> DataFrame:
     counts = catalog.category_list(adapters.categories(spark, d), adapters.members(spark, d)).select("id", "word_count")
-    return search.category_autocomplete(adapters.categories(spark, d).join(counts, "id"), "i", 5)
+    return search.category_autocomplete(adapters.categories(spark, d).join(counts, "id"), "nation_1", 5)
 
 
 @query
@@ -195,7 +195,7 @@ def merge_three_sources(spark: SparkSession, d: str) -> DataFrame:
     rich = table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_acctbal")
     base = adapters.words(spark, d)
     found = base.join(orders, base.id == orders.o_custkey, "left").join(rich, base.id == rich.s_suppkey, "left")
-    return found.select("id", "word", "orders", F.col("s_acctbal").alias("balance"))
+    return found.select("id", "word", F.coalesce("orders", F.lit(-1).cast("long")).alias("orders"), F.col("s_acctbal").alias("balance"))
 
 
 @query
@@ -364,7 +364,7 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 @query
 def orphan_parents(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "region").filter("r_regionkey < 3")
-    return mutate.orphan(table(spark, d, "nation"), left, "n_regionkey", "r_regionkey").select("n_nationkey", "n_regionkey")
+    return mutate.orphan(table(spark, d, "nation"), left, "n_regionkey", "r_regionkey").select("n_nationkey", F.coalesce("n_regionkey", F.lit(-1)).alias("n_regionkey"))
 
 
 @query

@@ -65,9 +65,9 @@ SQL = {
     "tree_detail": f"WITH {CATEGORIES} SELECT p.name AS parent_name, c.name AS child_name, c.word_count AS child_words, p.word_count AS parent_words FROM counts c JOIN counts p ON c.parent_id = p.id",
     "subcategory_summary": f"WITH {CATEGORIES} SELECT p.name, count(DISTINCT c.id) AS subcategories, count(DISTINCT m.word_id) AS words FROM categories p JOIN categories c ON c.parent_id = p.id LEFT JOIN members m ON m.category_id = c.id GROUP BY p.id, p.name",
     "semi_join_children": f"WITH {CATEGORIES} SELECT category_id, word_id FROM members WHERE category_id IN (SELECT id FROM categories WHERE parent_id = 1001)",
-    "word_autocomplete": f"WITH {WORDS} SELECT id, word, frequency_rank FROM words WHERE starts_with(key, 'customer#00000') ORDER BY key, id LIMIT 15",
+    "word_autocomplete": f"WITH {WORDS} SELECT id, word, coalesce(frequency_rank, -1) AS frequency_rank FROM words WHERE starts_with(key, 'customer#00000') ORDER BY key, id LIMIT 15",
     "word_autocomplete_ranked": f"WITH {WORDS} SELECT id, word, frequency_rank FROM words WHERE starts_with(key, 'customer#') ORDER BY frequency_rank NULLS LAST, key, id LIMIT 15",
-    "category_autocomplete": f"WITH {CATEGORIES}, k AS (SELECT id, name, display_name, word_count, unnest([name, display_name]) AS k FROM counts), h AS (SELECT * FROM k WHERE starts_with(lower(k), 'i') ORDER BY lower(k), id, k LIMIT 5) SELECT DISTINCT id, name, display_name, word_count FROM h",
+    "category_autocomplete": f"WITH {CATEGORIES}, k AS (SELECT id, name, display_name, word_count, unnest([name, display_name]) AS k FROM counts), h AS (SELECT * FROM k WHERE starts_with(lower(k), 'nation_1') ORDER BY lower(k), id, k LIMIT 5) SELECT DISTINCT id, name, display_name, word_count FROM h",
     "topic_autocomplete": f"WITH {CATEGORIES}, h AS (SELECT * FROM categories WHERE starts_with(lower(topic), 'a') ORDER BY lower(topic), id LIMIT 8) SELECT topic, count(*) AS category_count FROM h GROUP BY topic",
     "user_list_prefix": "SELECT o_custkey AS user_id, CAST(o_orderkey AS VARCHAR) AS word FROM orders WHERE o_custkey = 7 AND CAST(o_orderkey AS VARCHAR) LIKE '1%'",
     "exact_key": "SELECT c_custkey AS id, c_name AS word FROM customer WHERE c_name = 'customer#000000042' OR lower(c_name) = 'customer#000000042' ORDER BY 1 LIMIT 1",
@@ -83,7 +83,7 @@ SQL = {
     "synonym_top10": "WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS w FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY w) AS n FROM s) SELECT o AS synset, count(*) AS n, min(w) AS first, max(w) AS last FROM r WHERE n <= 10 GROUP BY o",
     "word_forms_last_wins": "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
     "accent_pick": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts, event_id) AS n FROM events) WHERE n = 1",
-    "merge_three_sources": "SELECT c_custkey AS id, c_name AS word, o.n AS orders, s_acctbal AS balance FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_acctbal > 0",
+    "merge_three_sources": "SELECT c_custkey AS id, c_name AS word, coalesce(o.n, -1) AS orders, s_acctbal AS balance FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_acctbal > 0",
     "backfill_missing": "SELECT c_custkey AS id, count(*) AS orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal >= 5000 GROUP BY 1 HAVING count(*) > 5",
     "level_classifier": f"WITH {WORDS} SELECT id, CASE WHEN frequency_rank > 0 THEN CASE WHEN frequency_rank <= 1000 THEN 'beginner' WHEN frequency_rank <= 5000 THEN 'intermediate' ELSE 'advanced' END WHEN length(word[10:]) <= 5 THEN 'beginner' WHEN length(word[10:]) <= 8 THEN 'intermediate' ELSE 'advanced' END AS level FROM words",
     "frequency_order": f"WITH {WORDS} SELECT id, word, frequency_rank FROM words ORDER BY CASE WHEN frequency_rank > 0 THEN frequency_rank END NULLS LAST, word LIMIT 20",
@@ -108,7 +108,7 @@ SQL = {
     "add_words_outcome": "WITH r AS (SELECT o_orderkey AS seq, o_custkey AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT CASE WHEN c.c_custkey IS NULL THEN 'not_found' WHEN c.c_nationkey = 3 OR r.n > 1 THEN 'skipped' ELSE 'added' END AS status, count(*) AS n FROM r LEFT JOIN customer c ON c.c_custkey = r.w AND c.c_custkey % 5 <> 0 GROUP BY 1",
     "user_list_import": "SELECT DISTINCT user_id, event_type AS word FROM events e WHERE event_type <> 'view' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.value > 90 AND x.user_id = e.user_id AND x.event_type = e.event_type)",
     "cascade_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
-    "orphan_parents": "SELECT n_nationkey, CASE WHEN n_regionkey < 3 THEN n_regionkey END AS n_regionkey FROM nation",
+    "orphan_parents": "SELECT n_nationkey, CASE WHEN n_regionkey < 3 THEN n_regionkey ELSE -1 END AS n_regionkey FROM nation",
     "update_notes": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name FROM nation",
     "translate_coalesce": "SELECT doc_id, coalesce('q' || quality, 'from ' || lang) AS vi FROM documents LEFT JOIN labels USING (doc_id)",
     "json_in_text": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",

@@ -1,10 +1,8 @@
-"""Schemas of the lexicon: one table per entity, and the nested record of one entry."""
+"""Schemas of the lexicon, in DDL: one table per entity, and the nested record of one entry."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+SCHEMAS = {
     "words": "id bigint, word string, language string, word_normalized string, frequency_rank int, part_of_speech array<string>",
     "definitions": "id bigint, word_id bigint, part_of_speech string, definition_en string, definition_vi string, level string, definition_order int",
     "examples": "id bigint, definition_id bigint, example_en string, example_vi string, source string",
@@ -16,10 +14,8 @@ _DDL = {
     "word_lists": "id string, user_id string, word string, notes string",
 }
 
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 #: One entry as the corpora are merged into and as JSON files hold it.
-ENTRY = StructType.fromDDL(
+ENTRY = (
     "word string, word_normalized string, language string, frequency_rank int, "
     "pronunciations array<struct<accent string, ipa string>>, "
     "definitions array<struct<pos string, definition_en string, level string, examples array<struct<en string, vi string>>>>, "

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from lexengine.schema import ENTRY
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType = ENTRY) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str = ENTRY) -> DataFrame:
     """One array per file, or one record per file; a path that is missing is an empty source."""
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
