@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 #: The size of the mix is this share of all sizes, and a source is taken at most MAX_EPOCHS times.
 SHARE_NUM, SHARE_DEN, MAX_EPOCHS = 3, 2, 2
 #: Documents in one range of keys, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 #: Keys have 60 bits: the first 15 hexadecimal digits of an MD5 digest.
 KEY_BITS = 60
 _WORD = re.compile(WORD)

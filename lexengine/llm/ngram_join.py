@@ -14,7 +14,9 @@ expected number of index rows of the band.
 
 Sets that meet under a key become candidates as a star around the smallest member, and are
 verified on their whole shingle sets. Members of a key that are not connected yet are then
-compared across components, so that no link that could join two components is lost.
+compared across components by small sketches that never overstate a difference, first with the
+nearest of other components, then with all; what a sketch cannot rule out is verified as well. So no
+link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import join_hot, stored, table
+from lexengine.llm.common import bloom, join_hot, stored, table
 from lexengine.llm.components import components
 
 WORDS = 5
@@ -36,6 +38,9 @@ WORDS = 5
 PERCENT = 80
 #: Each band of sizes ends at this multiple of where it begins.
 BAND = 1.4
+SKETCH_BITS = 1024
+#: Keys of more members are busy (see across).
+BUSY = 64
 #: Sets verified against one replica of the star's centre.
 PER_REPLICA = 64
 
@@ -107,6 +112,18 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([_mix(np.array([_mix(s, seed).sum(dtype=np.uint64)], np.uint64), seed + len(s))[0] for s in sets], np.uint64).astype(np.int64) for seed in (11, 12))
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """The parity, for each of SKETCH_BITS buckets, of the number of shingles that fall into it.
+
+    Two sketches never differ in more bits than their sets differ in shingles.
+    """
+    out = []
+    for s in sets:
+        odd = np.bincount((_mix(s, 21) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
 # --- allocation ---------------------------------------------------------------------------------
 
 
@@ -157,8 +174,24 @@ def bands_of(size: int, edges: tuple[int, ...], percent: int = PERCENT) -> list[
     return found
 
 
+def needed(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many keys linked sets of sizes x and y share at least.
+
+    Of the m = H + 1 + c segments of the smaller one's band, at most as many differ as their own sizes
+    allow, and at most c are empty in both unless both have more; so the rest is shared. Sizes are
+    negative for sets with more than c empty segments, two of which are only sure to share one key.
+    """
+    small, large = np.minimum(abs(x), abs(y)), np.maximum(abs(x), abs(y))
+    edges = band_edges(1 << max(8, int(small.max(initial=1))).bit_length(), percent)
+    most = np.array([allocation(a, b, percent)[0] for a, b in zip(edges, edges[1:], strict=False)])
+    return np.where((x < 0) & (y < 0), 1, 1 + most[np.searchsorted(edges, small, "right") - 1] - (small + large) * (100 - percent) // (100 + percent))
+
+
 def index_rows(sets: list[np.ndarray], nodes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, node, size) of every segment and deletion neighbour under which the sets are indexed."""
+    """(key, node, size) of every segment and deletion neighbour under which the sets are indexed.
+
+    size is negative where a set has more empty segments than its band has to spare.
+    """
     sizes = np.array([len(s) for s in sets], int)
     edges = band_edges(int(sizes.max(initial=1)), percent)
     by_band: dict[int, list[int]] = {}
@@ -166,7 +199,7 @@ def index_rows(sets: list[np.ndarray], nodes: np.ndarray, percent: int = PERCENT
         if size:
             for b in bands_of(size, edges, percent):
                 by_band.setdefault(b, []).append(i)
-    keys, owners = [], []
+    keys, owners, shorts = [], [], []
     with np.errstate(over="ignore"):
         for b, members in by_band.items():
             h, m, c = allocation(edges[b], edges[b + 1], percent)
@@ -186,6 +219,7 @@ def index_rows(sets: list[np.ndarray], nodes: np.ndarray, percent: int = PERCENT
             owners.append(np.array(members)[place // m])
             filled = np.bincount(place // m, minlength=len(members))
             short = m - filled > c
+            shorts.append(short[place // m])
             if short.any():
                 per = np.diff(np.r_[at, len(segment)])
                 mine = short[of[order]]
@@ -194,38 +228,35 @@ def index_rows(sets: list[np.ndarray], nodes: np.ndarray, percent: int = PERCENT
                 several = np.repeat(per, per)[mine] > 1
                 keys.append(_mix(less, 8)[several])
                 owners.append(np.array(members)[of[order][mine][several]])
+                shorts.append(np.ones(len(owners[-1]), bool))
                 rest = np.flatnonzero(short & (2 * filled < h + 1))
                 keys.append(np.full(len(rest), _mix(np.array([b], np.uint64), 9)[0], np.uint64))
                 owners.append(np.array(members)[rest])
+                shorts.append(np.ones(len(rest), bool))
     key = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
     owner = np.concatenate(owners).astype(int) if owners else np.zeros(0, int)
-    return key, nodes[owner], sizes[owner]
+    short = np.concatenate(shorts) if shorts else np.zeros(0, bool)
+    return key, nodes[owner], np.where(short, -sizes[owner], sizes[owner])
 
 
 # --- Spark --------------------------------------------------------------------------------------
 
-_BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-}
-
-
 def _batches(column: pa.Array, step: int = 200) -> Iterator[tuple[int, list[str]]]:
     for at in range(0, len(column), step):
         yield at, [t.as_py() or "" for t in column.slice(at, step)]
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n_shingles and the two keys (node, check) of each document's set."""
+    """doc_id, n_shingles, the two keys (node, check) and the sketch of each document's set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _batches(batch.column(1)):
                 sets = shingle_sets(texts, seed)
                 node, check = set_keys(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check)], names=["doc_id", "n_shingles", "node", "check"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, check long")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, check long, sketch binary")
 
 
 def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -248,7 +279,7 @@ def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "key long, node long, size int")
 
 
-_MET = pa.schema([("key", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("linkable", pa.bool_()), ("members", pa.int64())])
+_MET = pa.schema([("key", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("members", pa.int64())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -268,8 +299,12 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(abs(x), abs(y)) * 100 >= np.maximum(abs(x), abs(y)) * percent
+
+
 def meet(indexed: DataFrame, percent: int) -> DataFrame:
-    """Members of each key with two or more nodes, as a star: (key, centre, node, size, linkable, members)."""
+    """Members of each key with two or more nodes, as a star: (key, centre, node, size, need, members)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key"):
@@ -282,80 +317,110 @@ def meet(indexed: DataFrame, percent: int) -> DataFrame:
             many = np.repeat(members, members) > 1
             centre, centre_size = np.repeat(node[at], members)[many], np.repeat(size[at], members)[many]
             key, node, size, members = key[many], node[many], size[many], np.repeat(members, members)[many]
-            linkable = (np.minimum(size, centre_size) * 100 >= np.maximum(size, centre_size) * percent) & (node != centre)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(node), pa.array(size), pa.array(linkable), pa.array(members)], schema=_MET)
+            need = np.where(_fit(size, centre_size, percent) & (node != centre), needed(size, centre_size, percent), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(node), pa.array(size), pa.array(need), pa.array(members)], schema=_MET)
 
     # The same set may come from several tasks; it stands once in each key.
     dealt = indexed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(rows, "key long, centre long, node long, size int, linkable boolean, members long")
+    return dealt.mapInArrow(rows, "key long, centre long, node long, size int, need int, members long")
+
 
+def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs: DataFrame, percent: int, nearest: bool, busy: int = BUSY) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components, may be similar by their sketches and were not verified yet.
 
-def across(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and were not compared in a star."""
+    With `nearest`, of each node's pairs in a batch of keys only the one with the closest sketch.
+
+    Keys of more than `busy` members, of different components, are left out where that is safe: a pair's
+    number of keys to share, less the busy keys that both have at most, is still positive. So a busy
+    key makes pairs only of members for which no other key need exist.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for run in _runs(batches, "key"):
-            key, node, size, label, centre = (run.column(n).to_numpy() for n in ("key", "node", "size", "label", "centre"))
-            ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else []
-            at = 0
-            for end in ends:
-                if (label[at:end] != label[at]).any():
-                    for i in range(at, end):
-                        j = np.arange(i + 1, end)
-                        fits = (label[j] != label[i]) & (np.minimum(size[j], size[i]) * 100 >= np.maximum(size[j], size[i]) * percent) & (node[j] != centre[i]) & (node[i] != centre[i])
-                        found = [(int(min(node[i], x)), int(max(node[i], x))) for x in node[j[fits]]]
-                        found = [p for p in found if p not in seen]
-                        if found:
-                            if len(seen) > 1_000_000:
-                                seen.clear()
-                            seen.update(found)
-                            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-                at = end
-
-    several = met.filter("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+            n = run.num_rows
+            if not n:
+                continue
+            key, node, size, label, hot, members = (run.column(c).to_numpy() for c in ("key", "node", "size", "label", "hot", "members"))
+            bits = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+            at, step = np.arange(n), 0
+            found = []
+            while len(at):
+                # Members of a key stand side by side: compare each with the one so many places on.
+                step += 1
+                at = at[at + step < n]
+                at = at[key[at] == key[at + step]]
+                other = at + step
+                fits = (label[at] != label[other]) & _fit(size[at], size[other], percent)
+                i, j = at[fits], other[fits]
+                if len(i):
+                    safe = (members[i] <= busy) | (needed(size[i], size[j], percent) - np.minimum(hot[i], hot[j]) < 1)
+                    i, j = i[safe], j[safe]
+                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                    close = apart <= (abs(size[i]) + abs(size[j])).astype(np.int64) * (100 - percent) // (100 + percent)
+                    if close.any():
+                        found.append((i[close], j[close], apart[close]))
+            if not found:
+                continue
+            i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            if nearest:
+                order = np.argsort(apart, kind="stable")
+                ends = np.concatenate([node[i[order]], node[j[order]]])
+                best = np.unique(ends, return_index=True)[1] % len(order)
+                i, j = i[order[best]], j[order[best]]
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    labelled = met.join(labels, "node", "left").select("key", "node", "size", "members", F.coalesce("component", "node").alias("label"))
     # Only keys whose members are not all connected have anything to compare.
-    open_ = several.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    several = several.join(open_, "key").select("key", "node", "size", "label", "centre")
-    return several.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "a long, b long").distinct()
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    labelled = stored(labelled.join(open_, "key", "left_semi"))
+    hot = labelled.filter(F.col("members") > busy).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
+    known = nodes.select("node", "sketch").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    labelled = labelled.join(known, "node").repartition("key").sortWithinPartitions("key", "node")
+    pairs = labelled.mapInArrow(rows, "a long, b long").distinct()
+    return pairs.join(verified_pairs, ["a", "b"], "left_anti")
 
 
-def set_rows(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(node, shingles) of the nodes in wanted (node, doc_id)."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough.
+
+    Texts meet by pair: those of a's partners and a's own, once for every PER_REPLICA partners, so that
+    no task gets all partners of one centre. Sets are made from the texts where they meet.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centre = None, None
         for batch in batches:
-            for at, texts in _batches(batch.column(0)):
+            a, salt, role, node = (batch.column(n).to_numpy() for n in ("a", "salt", "role", "node"))
+            found: list[tuple[int, int]] = []
+            for at, texts in _batches(batch.column("text")):
                 sets = shingle_sets(texts, seed)
-                want = batch.column(1).slice(at, len(texts)).to_numpy()
-                same = np.flatnonzero(set_keys(sets)[0] == want)
-                yield pa.RecordBatch.from_arrays([pa.array(want[same]), pa.array([sets[i].astype(np.int64) for i in same], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "text").join(wanted.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "node"), "d")
-    return texts.select("text", "node").mapInArrow(rows, "node long, shingles array<bigint>").dropDuplicates(["node"])
+                # Another text may carry the same doc_id.
+                same = set_keys(sets)[0] == node[at : at + len(texts)]
+                for i in np.flatnonzero(same):
+                    k = at + i
+                    if role[k] == 0:
+                        group, centre = (a[k], salt[k]), sets[i]
+                    elif group == (a[k], salt[k]):
+                        both = np.sort(np.concatenate([centre, sets[i]]))
+                        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if 100 * shared >= percent * (len(both) - shared):
+                            found.append((int(a[k]), int(node[k])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
+    sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_REPLICA).alias("replicas"))
+    members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("replicas")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
+    centres = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("replicas") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
+    asked = members.unionByName(centres).join(nodes.select("node", _id("doc_id")), "node")
+    asked = stored(asked)
+    texts = docs.select(_id("doc_id"), "text").join(asked.filter("node is not null"), "d").drop("d")
+    with bloom(docs.sparkSession):
+        dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+        return stored(dealt.mapInArrow(rows, "a long, b long").distinct())
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                both = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # A centre of many stars is replicated, so that no task gets all pairs of one.
-    sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_REPLICA).alias("replicas"))
-    centres = sets.join(sized, sets.node == sized.a).select("a", F.col("shingles").alias("x"), "replicas")
-    copies = centres.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("replicas") - 1)))
-    with_b = pairs.join(sized, "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    with_b = with_b.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("replicas"))).drop("replicas")
-    return with_b.join(copies.drop("replicas"), ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+def _id(name: str) -> Column:
+    return F.coalesce(name, F.lit(-(2**63))).alias("d")
 
 
 def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -370,35 +435,26 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     seed = 0
     while True:
         slim = stored(keyed(docs, seed))
-        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch")))
         if nodes.filter("lo <> hi").isEmpty():
             break
         seed += 1  # two different sets share a key: other fingerprints
     met = stored(meet(index(docs, seed, percent), percent))
-    stars = stored(met.filter("linkable").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verify(docs, nodes, stars, seed, percent)
+    # First each node meets the one centre with which it shares most keys, if enough; that connects nearly all.
+    shared = met.filter("need > 0").groupBy("centre", "node").agg(F.count(F.lit(1)).alias("keys"), F.max("need").alias("need")).filter("keys >= need")
+    first = stored(shared.groupBy(F.col("node").alias("b")).agg(F.max_by("centre", F.struct("keys", "centre")).alias("a")))
+    links = verified(docs, nodes, first, seed, percent)
     labels = components(links)
-    more = stored(across(met, labels, percent))
-    if not more.isEmpty():
-        links = links.unionByName(_verify(docs, nodes, more, seed, percent))
-        labels = components(links)
+    done = first
+    for nearest in (True, False):
+        more = stored(across(met, labels, nodes, done, percent, nearest))
+        if not more.isEmpty():
+            links = links.unionByName(verified(docs, nodes, more, seed, percent))
+            labels = components(links)
+            done = done.select("a", "b").unionByName(more)
     return _labelled(slim, nodes, labels)
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
-    for k, v in _BLOOM.items():
-        spark.conf.set(k, v)
-    try:
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = stored(nodes.join(asked, "node").select("node", "doc_id"))
-        sets = stored(set_rows(docs, wanted.filter("node is not null"), seed))
-        return stored(verified(pairs, sets, percent))
-    finally:
-        for k in _BLOOM:
-            spark.conf.unset(k)
-
-
 def _labelled(slim: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ blocks can be packed apart.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,11 +26,16 @@ from lexengine.llm.common import blocks, stored, table
 LENGTH, END_ID = 1024, 2
 #: Pieces in a block, on average; bins that a local search looks at together; its passes.
 BLOCK_PIECES, NEIGHBOURS, PASSES = 16_384, 256, 4
-#: Chunks of at most so many characters are remembered, and at most so many of them.
-CACHED_CHARS, CACHED = 32, 300_000
+#: Chunks and runs of at most so many characters are remembered, and at most so many of them.
+CACHED_CHARS, CACHED = 24, 700_000
 
 #: A blank before white space or the end; elsewhere each blank begins a token of its own.
 _ODD_BLANK = re.compile(r" (?=\s|\Z)")
+#: Chunks in which every change between letters and other characters is a token's end as well.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?%*#&$|()\n-]+")
+#: Stands in front of the first chunk of a text, as no other chunk holds a blank.
+_NO_BLANK = " "
+_RUN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class ChunkEncoder:
@@ -37,7 +43,8 @@ class ChunkEncoder:
 
     The tokenizer's pre-tokenizer always starts a token at a blank that is followed by a visible
     character, so chunks can be encoded apart and remembered. Texts with blanks before white space
-    are encoded whole. ids are little-endian unsigned 32-bit integers.
+    are encoded whole. A new chunk of plain characters is put together from its runs of letters and of
+    others, most of which are known. ids are little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -45,36 +52,51 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        chunks, out, missing = [], [], {}
+        known = self.known
+        # Of a text: its chunks without their blank, the first one behind a mark as it has none; and what is known of each.
+        found: list[tuple[list[str], list[bytes | None]] | None] = []
+        missing: dict[str, bytes] = {}
         for text in texts:
             if _ODD_BLANK.search(text):
-                chunks.append(None)
+                found.append(None)
                 continue
-            first, *rest = text.split(" ")
-            own = [first, *[" " + x for x in rest]]
-            chunks.append(own)
-            for c in own:
-                if c not in self.known:
-                    missing[c] = b""
-        new = list(missing)
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            missing[c] = self._bytes(e.ids)
-        self.known.update((c, ids) for c, ids in missing.items() if len(c) <= CACHED_CHARS)
-        for text, own in zip(texts, chunks, strict=True):
+            parts = text.split(" ")
+            parts[0] = _NO_BLANK + parts[0]
+            values = list(map(known.get, parts))
+            found.append((parts, values))
+            if None in values:
+                missing.update((p, b"") for p, v in zip(parts, values, strict=True) if v is None)
+        self._learn(missing)
+        out = []
+        for text, own in zip(texts, found, strict=True):
             if own is None:
                 out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
-                out.append(b"".join([missing.get(c) or self.known.get(c, b"") for c in own]))
+                out.append(b"".join([missing[p] if v is None else v for p, v in zip(*own, strict=True)]))
         return out
 
+    def _learn(self, missing: dict[str, bytes]) -> None:
+        """Fills in the ids of chunks, from runs where that is safe."""
+        runs = {}
+        for p in missing:
+            chunk = p[1:] if p[:1] == _NO_BLANK else " " + p
+            runs[p] = _RUN.findall(chunk) if _PLAIN.fullmatch(chunk) and "\n\n" not in chunk else [chunk]
+        new = list({r for rs in runs.values() for r in rs if r not in self.runs})
+        fresh = {r: self._bytes(e.ids) for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        for p, rs in runs.items():
+            missing[p] = b"".join([fresh[r] if r in fresh else self.runs[r] for r in rs])
+        for store, more in ((self.known, missing), (self.runs, fresh)):
+            if len(store) > CACHED:
+                store.clear()
+            store.update((c, ids) for c, ids in more.items() if len(c) <= CACHED_CHARS)
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -82,6 +104,8 @@ _encoders: dict[str, ChunkEncoder] = {}
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per Python worker, so that chunks stay known from task to task."""
     if path not in _encoders:
+        # Spark runs a worker per core, so the library's own threads would only get in their way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
 
