@@ -15,8 +15,8 @@ expected number of index rows of the band.
 Sets that meet under a key become candidates as a star around the smallest member, and are
 verified on their whole shingle sets. Members of a key that are not connected yet are then
 compared across components by small sketches that never overstate a difference, first with the
-nearest of other components, then with all; what a sketch cannot rule out is verified as well. So no
-link that could join two components is lost.
+nearest of other components, then with all; large sets have longer sketches too, which rule out more.
+What no sketch can rule out is verified as well. So no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ PERCENT = 80
 #: Each band of sizes ends at this multiple of where it begins.
 BAND = 1.4
 SKETCH_BITS = 1024
+#: Sets of more shingles have a second sketch of about a bit per shingle, of so many bits at most.
+FINE_BITS = 1 << 16
 #: Keys of more members are busy (see across).
 BUSY = 64
 #: Sets verified against one replica of the star's centre.
@@ -112,16 +114,33 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([_mix(np.array([_mix(s, seed).sum(dtype=np.uint64)], np.uint64), seed + len(s))[0] for s in sets], np.uint64).astype(np.int64) for seed in (11, 12))
 
 
+def _sketch(s: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((_mix(s, 21) >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def sketches(sets: list[np.ndarray]) -> list[bytes]:
     """The parity, for each of SKETCH_BITS buckets, of the number of shingles that fall into it.
 
     Two sketches never differ in more bits than their sets differ in shingles.
     """
-    out = []
-    for s in sets:
-        odd = np.bincount((_mix(s, 21) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-    return out
+    return [_sketch(s, SKETCH_BITS) for s in sets]
+
+
+def fine_sketches(sets: list[np.ndarray]) -> list[bytes | None]:
+    """Longer sketches of sets with more than SKETCH_BITS shingles; other sets have none."""
+    return [_sketch(s, min(FINE_BITS, 1 << (len(s) - 1).bit_length())) if len(s) > SKETCH_BITS else None for s in sets]
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the other's length first."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 # --- allocation ---------------------------------------------------------------------------------
@@ -247,16 +266,16 @@ def _batches(column: pa.Array, step: int = 200) -> Iterator[tuple[int, list[str]
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n_shingles, the two keys (node, check) and the sketch of each document's set."""
+    """doc_id, n_shingles, the two keys (node, check) and the sketches of each document's set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _batches(batch.column(1)):
                 sets = shingle_sets(texts, seed)
                 node, check = set_keys(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, check long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, check long, sketch binary, fine binary")
 
 
 def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -381,6 +400,24 @@ def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs:
     return pairs.join(verified_pairs, ["a", "b"], "left_anti")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their fine sketches do not rule out; pairs without two of them stay."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                both = x is not None and y is not None
+                stay.append(not both or sketch_distance(x["fine"], y["fine"]) <= differ(x["n_shingles"], y["n_shingles"], percent))
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    known = nodes.filter("fine is not null").select("node", F.struct("n_shingles", "fine").alias("s"))
+    found = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a", "left")
+    found = found.join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b", "left")
+    return found.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough.
 
@@ -436,7 +473,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     seed = 0
     while True:
         slim = stored(keyed(docs, seed))
-        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch")))
+        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n_shingles")))
         if nodes.filter("lo <> hi").isEmpty():
             break
         seed += 1  # two different sets share a key: other fingerprints
@@ -448,11 +485,12 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(links)
     done = first
     for nearest in (True, False):
-        more = stored(across(met, labels, nodes, done, percent, nearest))
+        open_ = stored(across(met, labels, nodes, done, percent, nearest))
+        more = stored(plausible(open_, nodes, percent))
+        done = done.select("a", "b").unionByName(open_)
         if not more.isEmpty():
             links = links.unionByName(verified(docs, nodes, more, seed, percent))
             labels = components(links)
-            done = done.select("a", "b").unionByName(more)
     return _labelled(slim, nodes, labels)
 
 

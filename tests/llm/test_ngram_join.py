@@ -4,6 +4,7 @@ import numpy as np
 
 from lexengine.llm import components, ngram_join
 from lexengine.llm.common import table
+from lexengine.llm.ngram_join import differ, fine_sketches, sketch_distance
 from tests.llm.brute import link_components
 
 SCHEMA = "doc_id long, text string, node string, size int"
@@ -93,3 +94,14 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.component for r in components.components(chain).collect()} == {0}
     assert components.components(chain.limit(0)).count() == 0
+
+
+def test_fine_sketches_never_overstate_a_difference():
+    draw = np.random.default_rng(5)
+    for n, m, shared in ((1500, 1500, 1400), (5000, 2000, 1900), (90_000, 80_000, 79_000), (3000, 2900, 0)):
+        pool = draw.choice(1 << 40, n + m, replace=False).astype(np.uint64)
+        x, y = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        a, b = fine_sketches([x, y])
+        assert sketch_distance(a, b) == sketch_distance(b, a) <= n + m - 2 * shared
+    assert sketch_distance(a, b) > differ(3000, 2900)
+    assert fine_sketches([pool[:10], pool[:0]]) == [None, None]
