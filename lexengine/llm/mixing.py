@@ -74,12 +74,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, range_rows: int = RANGE_ROWS, extra: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, and the columns in extra.
+    """One row per row of docs: doc_id, source, size, key, source_size, target, taken, and the columns in extra.
 
     docs needs doc_id, text and source; other columns are ignored. Documents without words, and
     with them null and empty texts, have size 0 and are taken 0 times. A null source is a source
     of its own and comes last. The words taken from a source are its target, rounded; the document at the cut is
-    taken in part. Rows with equal keys are ordered by doc_id and size, so that reruns agree. An empty table gives
+    taken in part. Rows with equal keys are ordered by doc_id, size and extra, so that reruns agree. An empty table gives
     no rows.
     """
     slim = docs.select(*extra, "doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
@@ -93,18 +93,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rang
     sums = wide.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     placed = wide.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, placed.source.eqNullSafe(sums.s) & (placed.range == sums.r))
     budget = F.floor(F.col("target") + 0.5)
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
     rest = budget - passes * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("range_start") - F.col("before"), F.lit(0).cast("long")), F.col("size"))
-    return placed.select(*extra, "doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
+    return placed.select(*extra, "doc_id", "source", "size", "key", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
+
+
+def ends(mixed: DataFrame, place: list[str]) -> DataFrame:
+    """One row per source (source, passes, last) that says where the mix ends.
+
+    All rows of a source are taken `passes` times, and once more up to the row last.at, of which last.more words
+    are taken. place are the columns in extra, by which the rows of `mixed` are told apart.
+    """
+    passes = F.when(F.col("source_size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
+    again = mixed.withColumn("passes", passes).withColumn("more", F.col("taken") - F.col("passes") * F.col("size"))
+    at = F.struct("key", "doc_id", "size", *place)
+    return again.groupBy("source").agg(F.max("passes").alias("passes"), F.max(F.when(F.col("more") > 0, F.struct(at.alias("at"), "more"))).alias("last"))
+
+
+def taken_up_to(docs: DataFrame, until: DataFrame, place: list[str], seed: int = 0) -> DataFrame:
+    """docs with size and taken, by where the mix of their source ends; so whole texts need no shuffle."""
+    sized = docs.withColumns({"size": words(F.col("text")), "key": random_key(F.col("doc_id"), seed)})
+    found = sized.join(until.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    at = F.struct("key", "doc_id", "size", *place)
+    more = F.when(at < F.col("last.at"), F.col("size")).when(at == F.col("last.at"), F.col("last.more")).otherwise(F.lit(0).cast("long"))
+    return found.select(*docs.columns, "size", (F.col("passes") * F.col("size") + more).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "key")
 
 
 OP4_SQL = f"""

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexengine.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, key int"
@@ -25,3 +27,14 @@ def test_ranges_do_not_matter(spark):
 
 def test_first_words():
     assert mixing.first_words(" a  b\tc ", 2) == " a  b" and mixing.first_words("a", 0) == "" and mixing.first_words("a", 5) == "a"
+
+
+def test_ends_tell_what_is_taken(spark):
+    """Repeated rows, ties, nulls and a source at its cap: the same words as by the running sums."""
+    rows = [(i % 90 if i % 7 else None, "w " * (i % 5), None if i % 11 == 0 else f"s{i % 4}", str(i), i) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "source", F.col("key").alias("place"))
+    until = mixing.ends(mixing.mix(docs, extra=["place"], range_rows=20), ["place"])
+    assert until.count() == 5
+    by_sum = {r.place: r.taken for r in mixing.mix(docs, extra=["place"]).collect()}
+    assert {r.place: r.taken for r in mixing.taken_up_to(docs, until, ["place"]).collect()} == by_sum
+    assert any(by_sum.values())
