@@ -55,8 +55,8 @@ def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one that is cut comes with its first words only."""
     docs = exact_dedup.located(docs.select(*COLUMNS))
-    taken = stored(mixing.mix(docs, extra=["loc"]).filter("taken > 0").select("loc", "size", "taken"))
-    taken = docs.join(taken, "loc")
+    until = stored(mixing.ends(mixing.mix(docs, extra=["loc"]), ["loc"]))
+    taken = mixing.taken_up_to(docs, until, ["loc"]).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size"))
     copies = taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(whole, F.lit(1).cast("long")))).alias("copy"), whole.alias("whole")).filter("copy <= whole")
     cut = taken.filter("taken % size > 0").select(*COLUMNS, (F.col("taken") % F.col("size")).alias("words"))
