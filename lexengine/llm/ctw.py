@@ -6,8 +6,9 @@ node estimates its bit by Krichevsky and Trofimov; the weighted probability of a
 estimate and half the product of its children's, so all depths are mixed.
 
 The estimates depend on counts alone, so the tree is computed from the counts of byte n-grams of the whole
-training part, which Spark counts and sums. A bound on the n-grams of a depth keeps the model small
-enough to broadcast: beyond it, the rarest contexts of that depth share one leaf under their parent.
+training part, which Spark counts and sums. Nothing is cut off. All contexts that end in the same two
+bytes form a subtree, so subtrees are computed apart, in tasks; above them stand 257 contexts at most,
+which the driver computes. Tasks know the logs of the most frequent n-grams; all others meet theirs in a join.
 
 Beside it stands a unigram model of words with add-one smoothing.
 """
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from lexengine.llm.common import stored, table
 
 DEPTH = 5
-#: n-grams of one depth in the model at most.
-MODEL_GRAMS = 1 << 18
+#: Length of the contexts whose subtrees are computed apart.
+APART = 2
+#: n-grams whose logs all tasks know, at most. Others meet theirs in a join.
+COMMON_GRAMS = 1 << 19
 END = 255
 FOLDS, HELD_OUT = 7, 2
 #: Words that all tasks know: at most so many, none longer than so many bytes. Others meet their counts in a join.
@@ -100,12 +103,14 @@ def count_grams(train: DataFrame, depth: int) -> DataFrame:
     return train.select("text").mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def depth_counts(counts: DataFrame, depth: int, limit: int) -> DataFrame:
-    """(gram, n) of the (depth + 1)-grams of the most frequent contexts, at most limit grams.
+def depth_counts(counts: DataFrame, depth: int, limit: int | None) -> DataFrame:
+    """(gram, n) of the (depth + 1)-grams; with a limit, of the most frequent contexts, at most limit grams.
 
     Contexts are kept by how often they occur, in powers of two.
     """
     own = stored(counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")))
+    if limit is None:
+        return own
     contexts = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("grams"))
     contexts = contexts.withColumn("level", F.floor(F.log2("total")))
     kept, least = 0, None
@@ -139,7 +144,8 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log probability that the estimator gives any sequence of n0 zeros and n1 ones."""
     n0, n1 = n0.astype(float), n1.astype(float)
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - math.log(math.pi)
+    out = _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - math.log(math.pi)
+    return np.where(n0 + n1 > 0, out, 0.0)
 
 
 def _prefix(byte: np.ndarray, bit: int) -> np.ndarray:
@@ -147,9 +153,43 @@ def _prefix(byte: np.ndarray, bit: int) -> np.ndarray:
     return np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
 
 
+class Known:
+    """Logs of sorted grams in a table of hashed slots, so that most lookups are one step."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, n: np.ndarray | None = None):
+        self.grams, self.logs = grams, logs
+        size = 1 << max(10, int(4 * len(grams) - 1).bit_length())
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.slots, self.values = np.full(size, -1, np.int64).view(np.uint64), np.zeros(size)
+        # Of grams that share a slot the last one written stays, the most frequent; the others are found by search.
+        order = np.arange(len(grams)) if n is None else np.argsort(n, kind="stable")
+        at = self.slot(grams[order])
+        self.slots[at] = grams[order]
+        here = self.slots[at] == grams[order]
+        self.values[at[here]] = logs[order][here]
+
+    def slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each gram, 0 where it is unknown, and the places of unknown ones."""
+        at = self.slot(gram)
+        found = self.values[at]
+        miss = np.flatnonzero(self.slots[at] != gram)
+        found[miss] = 0
+        if not len(miss) or not len(self.grams):
+            return found, miss
+        place = np.minimum(np.searchsorted(self.grams, gram[miss]), len(self.grams) - 1)
+        here = self.grams[place] == gram[miss]
+        found[miss[here]] = self.logs[place[here]]
+        return found, miss[~here]
+
+
 @dataclass
 class Tree:
-    """Per depth and bit, sorted node keys (context and decision node), estimates of a one and weights.
+    """The tree of one process, with or without a bound on its grams; the query scores without it.
+
+    Per depth and bit, sorted node keys (context and decision node), estimates of a one and weights.
 
     weight is the share that a node's own estimate has against its children's mixture; rest is the
     estimate of its contexts that are in no child.
@@ -192,33 +232,11 @@ class Tree:
         return out
 
     def prepare(self) -> None:
-        """A table of two hashed halves for the grams of the training part, so that most lookups are one step."""
-        size = 1 << max(10, int(4 * len(self.grams) - 1).bit_length())
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.slots, self.values = np.full(size, -1, np.int64).view(np.uint64), np.zeros(size, np.float32)
-        at = self.slot(self.grams)
-        # Of grams that share a slot the last one written stays; the others are found by search.
-        self.slots[at] = self.grams
-        here = self.slots[at] == self.grams
-        self.values[at[here]] = self.logs[here]
-
-    def slot(self, gram: np.ndarray) -> np.ndarray:
-        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.known = Known(self.grams, self.logs)
 
     def logs_of(self, gram: np.ndarray) -> np.ndarray:
-        at = self.slot(gram)
-        found = self.values[at].astype(float)
-        miss = np.flatnonzero(self.slots[at] != gram)
-        if len(miss):
-            want, back = np.unique(gram[miss], return_inverse=True)
-            value = np.zeros(len(want))
-            known = np.zeros(len(want), bool)
-            if len(self.grams):
-                place = np.minimum(np.searchsorted(self.grams, want), len(self.grams) - 1)
-                known = self.grams[place] == want
-                value[known] = self.logs[place[known]]
-            value[~known] = self.predict(want[~known])
-            found[miss] = value[back]
+        found, unknown = self.known.find(gram)
+        found[unknown] = self.predict(gram[unknown])
         return found
 
 
@@ -261,8 +279,8 @@ def fit_tree(tables: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     return tree
 
 
-def train_tree(train: DataFrame, depth: int = DEPTH, limit: int = MODEL_GRAMS) -> Tree:
-    """Counts all n-grams of the training texts and fits the tree; the driver gets the bounded tables only."""
+def train_tree(train: DataFrame, depth: int = DEPTH, limit: int | None = None) -> Tree:
+    """Counts all n-grams of the training texts and fits the tree in the driver, from at most limit grams of each depth."""
     counts = stored(count_grams(train, depth))
     tables = []
     for d in range(depth + 1):
@@ -279,6 +297,168 @@ def train_tree(train: DataFrame, depth: int = DEPTH, limit: int = MODEL_GRAMS) -
     return fit_tree(tables)
 
 
+# --- the tree in parts --------------------------------------------------------------------------
+
+
+@dataclass
+class Top:
+    """The contexts of less than APART bytes: per depth, by node key, totals, estimates of a one and weights."""
+
+    total: list[np.ndarray]
+    ones: list[np.ndarray]
+    weight: list[np.ndarray]
+
+
+def _whole_subtrees(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[list[np.ndarray]]:
+    """Columns of about size rows, sorted by gram; rows come sorted by subtree, and none is torn."""
+    held, rows, enough = [], 0, size
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= enough:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            before = np.flatnonzero(columns[0] != columns[0][-1])
+            cut = before[-1] + 1 if len(before) else 0
+            if cut:
+                yield _by_gram([c[:cut] for c in columns])
+            held = [[c[cut:] for c in columns]]
+            rows -= cut
+            enough = max(size, 2 * rows)
+    if rows:
+        yield _by_gram([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _by_gram(columns: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(columns[1])
+    return [c[order] for c in columns]
+
+
+@dataclass
+class Subtrees:
+    """Whole subtrees of contexts that end in the same APART bytes, from sorted grams; n is 0 for grams that were not trained."""
+
+    gram: np.ndarray
+    n: np.ndarray
+    depth: int
+
+    def __post_init__(self) -> None:
+        self.grams, self.counts, self.up = {self.depth: self.gram}, {self.depth: self.n.astype(float)}, {}
+        for d in range(self.depth, APART, -1):
+            self.grams[d - 1], self.up[d] = np.unique(self.grams[d] & np.uint64((1 << 8 * d) - 1), return_inverse=True)
+            self.counts[d - 1] = np.bincount(self.up[d], self.counts[d], len(self.grams[d - 1]))
+
+    def nodes(self, bit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """From the deepest depth to APART: keys, node of each gram, totals, estimates of a one, weights, weighted logs; and ones."""
+        below = None
+        for d in range(self.depth, APART - 1, -1):
+            gram, n = self.grams[d], self.counts[d]
+            byte = gram & np.uint64(255)
+            node = (gram & ~np.uint64(255)) | _prefix(byte, bit)
+            first = np.r_[True, node[1:] != node[:-1]]
+            of, start = np.cumsum(first) - 1, np.flatnonzero(first)
+            total = np.bincount(of, n)
+            ones = np.bincount(of, n * (byte >> np.uint64(7 - bit) & np.uint64(1)))
+            own = _log_kt(total - ones, ones)
+            weight, weighted = np.ones(len(start)), own
+            if below is not None:
+                child_start, child_weighted = below
+                product = np.bincount(of[self.up[d + 1][child_start]], child_weighted, len(start))
+                weight, weighted = _mixed(own, product)
+            yield node[start], of, total, ones, weight, weighted
+            below = start, weighted
+
+    def logs(self, top: Top) -> np.ndarray:
+        """log10 probability of the last byte of each gram after its other bytes."""
+        byte = self.gram & np.uint64(255)
+        out = np.zeros(len(self.gram))
+        for bit in range(8):
+            q = np.full(len(self.gram), np.nan)
+            place = np.arange(len(self.gram))
+            for d, (_, of, total, ones, weight, _) in zip(range(self.depth, APART - 1, -1), self.nodes(bit), strict=True):
+                at = of[place]
+                q = _deeper(q, total[at], ones[at], weight[at])
+                if d > APART:
+                    place = self.up[d][place]
+            for d in range(APART - 1, -1, -1):
+                at = ((self.gram & np.uint64((1 << 8 * (d + 1)) - 1 & ~255)) | _prefix(byte, bit)).astype(np.int64)
+                q = _deeper(q, top.total[d][at], top.ones[d][at], top.weight[d][at])
+            q = np.where(np.isnan(q), 0.5, q)
+            out += np.log10(np.where(byte >> np.uint64(7 - bit) & np.uint64(1) == 1, q, 1 - q))
+        return out
+
+
+def _mixed(own: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of a node's own estimate, and log of its weighted probability."""
+    return 1 / (1 + np.exp(np.clip(product - own, -700, 700))), np.logaddexp(own, product) - math.log(2)
+
+
+def _deeper(q: np.ndarray, total: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The mixture at nodes above q; a node without a known child gives its own estimate, one without counts gives nothing."""
+    own = (ones + 0.5) / (total + 1)
+    return np.where(total > 0, np.where(np.isnan(q), own, weight * own + (1 - weight) * q), q)
+
+
+def _by_subtree(counts: DataFrame) -> DataFrame:
+    """Rows of a subtree stand together in one task."""
+    with_key = counts.withColumn("subtree", F.shiftright("gram", 8).bitwiseAND((1 << 8 * APART) - 1)).select("subtree", *counts.columns)
+    return with_key.repartition("subtree").sortWithinPartitions("subtree")
+
+
+def fit_top(counts: DataFrame, depth: int = DEPTH) -> Top:
+    """The top of the tree, from the sums over all subtrees, at most 2^16 rows; depth is APART at least."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, n in _whole_subtrees(batches):
+            trees = Subtrees(gram.astype(np.uint64), n, depth)
+            for bit in range(8):
+                *_, (key, _, total, ones, _, weighted) = trees.nodes(bit)
+                node, at = np.unique(key & np.uint64((1 << 8 * APART) - 1), return_inverse=True)
+                sums = [pa.array(np.bincount(at, x)) for x in (weighted, total, ones)]
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *sums], names=["node", "product", "total", "ones"])
+
+    found = _by_subtree(counts.select("gram", "n")).mapInArrow(rows, "node long, product double, total double, ones double")
+    found = found.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("product", "total", "ones")]).toArrow()
+    top = Top([], [], [])
+    node = found["node"].to_numpy()
+    product, total, ones = (np.bincount(node, found[c].to_numpy(), 1 << 8 * APART) for c in ("product", "total", "ones"))
+    for d in range(APART - 1, -1, -1):
+        weight, weighted = _mixed(_log_kt(total - ones, ones), product)
+        top.total.insert(0, total)
+        top.ones.insert(0, ones)
+        top.weight.insert(0, weight)
+        if d:
+            parent = np.arange(len(total)) & ((1 << 8 * d) - 1)
+            product, total, ones = (np.bincount(parent, x, 1 << 8 * d) for x in (weighted, total, ones))
+    return top
+
+
+def gram_logs(counts: DataFrame, top: Top, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, log) as a written table, for the grams that are asked for; counts has gram, n and asked, and all trained grams."""
+    shared = counts.sparkSession.sparkContext.broadcast(top)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, n, asked in _whole_subtrees(batches):
+            asked = asked > 0
+            if asked.any():
+                logs = Subtrees(gram.astype(np.uint64), n, depth).logs(shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[asked]), pa.array(n[asked]), pa.array(logs[asked])], names=["gram", "n", "log"])
+
+    found = stored(_by_subtree(counts.select("gram", "n", F.col("asked").cast("int").alias("asked"))).mapInArrow(rows, "gram long, n long, log double"))
+    shared.destroy()
+    return found
+
+
+def least_count(counts: DataFrame, limit: int) -> int:
+    """The smallest count from which on at most limit grams occur as often, in steps of an eighth of a power of two."""
+    step = F.floor(8 * F.log2("n")).alias("step")
+    kept, least = 0, 1
+    for r in sorted(counts.groupBy(step).agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("most")).collect(), reverse=True):
+        kept += r.size
+        if kept > limit:
+            return r.most + 1
+    return least
+
+
 # --- words --------------------------------------------------------------------------------------
 
 
@@ -304,26 +484,37 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
 
 
-def score_batches(docs: DataFrame, tree: Tree, common: dict[bytes, int]) -> DataFrame:
-    """Per document: tokens without the end, the sums over common words, the tree's score and the other words.
+def _unknown(gram: np.ndarray, doc: np.ndarray, docs: int) -> pa.Array:
+    """Per document a list of its different grams and how often it holds each."""
+    order = np.lexsort((gram, doc))
+    gram, doc = gram[order], doc[order]
+    at = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]) if len(gram) else np.zeros(0, int)
+    pairs = pa.StructArray.from_arrays([pa.array(gram[at].astype(np.int64)), pa.array(np.diff(np.r_[at, len(gram)]).astype(np.int64))], names=["gram", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(docs + 1)).astype(np.int32)), pairs)
 
-    The rows are a written table, so the broadcast model is given up again at once.
+
+def score_batches(docs: DataFrame, logs_of: tuple[np.ndarray, np.ndarray, np.ndarray], common: dict[bytes, int], depth: int = DEPTH) -> DataFrame:
+    """Per document: tokens without the end, the sums over common words and common grams, and the other words and grams.
+
+    logs_of holds the common grams, sorted, their logs and their counts. The rows are a written
+    table, so what is broadcast is given up again at once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((tree, {w: math.log10(n + 1) for w, n in common.items()}))
+    shared = docs.sparkSession.sparkContext.broadcast((logs_of, {w: math.log10(n + 1) for w, n in common.items()}))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = shared.value
-        model.prepare()
+        known, logs = Known(*shared.value[0]), shared.value[1]
         for batch in batches:
             for at, texts in _lowered(batch.column(1)):
-                key, sizes = grams(texts, model.depth)
-                scores = np.add.reduceat(model.logs_of(key), np.r_[0, np.cumsum(sizes)[:-1]])
+                key, sizes = grams(texts, depth)
+                found, miss = known.find(key)
+                scores = np.add.reduceat(found, np.r_[0, np.cumsum(sizes)[:-1]])
                 out = {n: [] for n in _SCORED.names}
                 out["doc_id"] = batch.column(0).slice(at, len(texts))
                 out["score"], out["bytes"] = scores, sizes - 1
+                out["grams"] = _unknown(key[miss], np.repeat(np.arange(len(texts)), sizes)[miss], len(texts))
                 for t in texts:
                     words = t.split()
                     values = [logs.get(w) for w in words]
@@ -339,13 +530,13 @@ def score_batches(docs: DataFrame, tree: Tree, common: dict[bytes, int]) -> Data
                     out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
                 yield pa.RecordBatch.from_pydict(out, schema=_SCORED)
 
-    scored = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, bytes long, known long, logs double, score double, rare array<struct<word:binary,times:bigint>>")
+    scored = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, bytes long, known long, logs double, score double, grams array<struct<gram:bigint,times:bigint>>, rare array<struct<word:binary,times:bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()
     return scored
 
 
-def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, limit: int = MODEL_GRAMS, common_words: int = COMMON_WORDS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, common_words: int = COMMON_WORDS, common_grams: int = COMMON_GRAMS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     docs and train need doc_id and text; other columns are ignored. Null texts count as empty: they
@@ -359,11 +550,20 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, limit: int = MO
     n, v = total.n + ends, total.v + (ends > 0)
     short = words.filter(F.octet_length("word") <= COMMON_BYTES)
     common = {bytes(r.word): r.n for r in short.orderBy(F.desc("n"), "word").limit(common_words).collect()}
-    scored = score_batches(docs, train_tree(train, depth, limit), common)
+    counts = stored(count_grams(train, depth))
+    top = fit_top(counts, depth)
+    often = gram_logs(counts.withColumn("asked", F.col("n") >= least_count(counts, common_grams)), top, depth).toArrow().sort_by("gram")
+    known = often["gram"].to_numpy().astype(np.uint64), often["log"].to_numpy(), often["n"].to_numpy()
+    scored = score_batches(docs, known, common, depth)
+    # Rare grams, and those that no training text holds.
+    wanted = scored.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.times")
+    asked = counts.withColumn("asked", F.lit(0)).unionByName(wanted.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+    logs_of = gram_logs(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")), top, depth)
+    tree = wanted.join(logs_of, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
     # Rare words only: each is in few documents, so none is large in this join.
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     sums = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    both = scored.drop("rare").join(sums, "row", "left")
+    both = scored.drop("rare", "grams").join(sums, "row", "left").join(tree, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 1)) - (F.col("n_tokens") + 1) * F.lit(math.log10(n + v + 1))
     return both.select(
         "doc_id",

@@ -119,3 +119,19 @@ def test_edges(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
     assert sorted(r.score for r in untrained)[-1] == pytest.approx(-8 * math.log10(2))
     assert ctw.score(rows.limit(0), rows).count() == 0
+
+
+def test_scores_are_those_of_the_whole_tree(spark):
+    """More distinct grams than 2^18, few of them common: every score is that of the unbounded tree."""
+    draw = np.random.default_rng(1)
+    texts = ["".join(map(chr, draw.integers(32, 127, 2000))) for _ in range(200)] + ["the cat sat on the mat " * k for k in range(1, 40)] + ["żółw", "", None]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)], SCHEMA)
+    train = docs.filter("doc_id % 7 <> 2")
+    raw = [(t or "").encode().lower() for t in texts]
+    tree = tree_of([t for i, t in enumerate(raw) if i % 7 != 2], ctw.DEPTH)
+    assert len(tree.grams) > 1 << 18
+    for common in (0, 1000, ctw.COMMON_GRAMS):
+        found = {r.doc_id: r.score for r in ctw.score(docs, train, common_grams=common).collect()}
+        assert len(found) == len(texts)
+        for i, t in enumerate(raw):
+            assert found[i] == pytest.approx(tree.predict(ctw.grams([t], ctw.DEPTH)[0]).sum(), rel=1e-5)
