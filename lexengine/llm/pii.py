@@ -11,18 +11,25 @@ the pattern's kind, beside the base spans, which all stay.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import stored, table
+from lexengine.llm.common import join_hot, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern must surround so many different seeds, and at least this share of all seed contexts.
-MIN_SEEDS, MIN_SHARE = 3, 1e-4
+#: A pattern must surround so many different seeds.
+MIN_SEEDS = 3
+#: Bits of the filter through which tasks know patterns; what it lets through wrongly, a join drops.
+FILTER_BITS = 1 << 25
+#: Sums and words that a task holds.
+HELD = 200_000
 #: Patterns and instances at or above are accepted; patterns are scored so many times.
 CONFIDENCE, ROUNDS = 0.8, 3
 #: Longer words are no context, so that a pattern has a bounded size.
@@ -85,8 +92,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _lexical(word: str) -> str | None:
-    """Words of contexts are lower-cased; words with digits and very long ones are no lexical context."""
-    return None if len(word) > MAX_CONTEXT or _DIGIT.search(word) or "@" in word else word.lower()
+    """Words of contexts are lower-cased; words with digits or the mark between words and very long ones are no lexical context."""
+    return None if len(word) > MAX_CONTEXT or "\x1f" in word or _DIGIT.search(word) or "@" in word else word.lower()
 
 
 def contexts(left: list[str], right: str | None) -> list[str]:
@@ -151,40 +158,57 @@ _SLOTS = pa.schema([("pattern", pa.string()), ("doc_id", pa.int64()), ("text_key
 
 
 def induce(seeds: DataFrame) -> DataFrame:
-    """Patterns (pattern, kind, seeds) that surround enough seeds; at most 1 / MIN_SHARE of each form of pattern.
+    """Patterns (pattern, kind, seeds) that surround enough seeds, whatever the number of all seeds.
 
     A pattern that surrounds seeds of several kinds stands for the most frequent of them.
     """
-    total = seeds.count()
-    by_kind = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"), F.approx_count_distinct("form", 0.01).alias("forms"))
-    enough = by_kind.filter((F.col("forms") >= MIN_SEEDS) & (F.col("seeds") >= MIN_SHARE * total))
+    by_form = seeds.groupBy("pattern", "kind", "form").agg(F.count(F.lit(1)).alias("seeds"))
+    by_kind = by_form.groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"), F.count(F.lit(1)).alias("forms"))
+    enough = by_kind.filter(F.col("forms") >= MIN_SEEDS)
     best = enough.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("kind"))).alias("b"))
     return best.select("pattern", (-F.col("b.kind")).alias("kind"), F.col("b.seeds").alias("seeds"))
 
 
-def pattern_slots(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def pattern_filter(patterns: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits in which each pattern and the word to the left of its slot set one."""
+    parts = F.split("pattern", "\x1f")
+    bit = F.explode(F.array("pattern", F.when(parts[0] == "left", parts[2]).otherwise(parts[1]))).alias("word")
+    at = patterns.select(bit).select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(FILTER_BITS)).cast("long").alias("bit"))
+    rows = at.groupBy(F.shiftright("bit", 5).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS INT))")).alias("bits")).toArrow()
+    found = np.zeros(FILTER_BITS // 32, np.uint32)
+    found[rows["place"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return found
+
+
+def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """The places of the whole corpus that patterns surround, but for those that base spans touch.
 
     A slot that holds an identifier-like token is a row with its place and form. Of slots that
     hold any other word only the number counts: those are summed by pattern, in rows without a place.
+    Tasks know patterns by a filter, so rows of a few contexts that are no pattern are among them.
     """
-    known = docs.sparkSession.sparkContext.broadcast({tuple(p.split("\x1f")): p for p in patterns})
+    known = docs.sparkSession.sparkContext.broadcast(pattern_filter(patterns).tobytes())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = known.value
-        nearest = {p[2] if p[0] == "left" else p[1] for p in wanted}
+        bits = known.value
+
+        def wanted(word: str) -> bool:
+            at = zlib.crc32(word.encode()) % FILTER_BITS
+            return bool(bits[at >> 3] >> (at & 7) & 1)
+
+        nearest = lru_cache(HELD)(wanted)
+        plain: dict[str, int] = {}
         for batch in batches:
             out = {n: [] for n in _SLOTS.names}
-            plain: dict[str, int] = {}
-            for i in range(batch.num_rows if wanted else 0):
+            for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py() or ""
                 low = [w.lower() for w in _tokens(text)]
                 slots = []
-                for j in [j for j, w in enumerate(low, 1) if w in nearest]:
+                for j in [j for j, w in enumerate(low, 1) if nearest(w)]:
                     if j < len(low):
                         for key in (("left", low[j - 2], low[j - 1]) if j > 1 else None, ("around", low[j - 1], low[j + 1]) if j + 1 < len(low) else None):
-                            if key in wanted:
-                                slots.append((j, wanted[key]))
+                            if key and wanted(pattern := "\x1f".join(key)):
+                                slots.append((j, pattern))
                 if not slots:
                     continue
                 words = base = None
@@ -202,10 +226,14 @@ def pattern_slots(docs: DataFrame, patterns: list[str]) -> DataFrame:
                             out[n].append(v)
                     else:
                         plain[p] = plain.get(p, 0) + 1
-            for p, n in plain.items():
-                for name, v in zip(_SLOTS.names, (p, None, None, None, None, None, n), strict=True):
-                    out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_SLOTS)
+            if len(plain) > HELD:
+                yield _sums(plain)
+                plain = {}
+        yield _sums(plain)
+
+    def _sums(plain: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: list(plain) if n == "pattern" else list(plain.values()) if n == "times" else [None] * len(plain) for n in _SLOTS.names}, schema=_SLOTS)
 
     return docs.mapInArrow(rows, "pattern string, doc_id long, text_key long, start int, end int, form string, times long")
 
@@ -214,20 +242,22 @@ def score(patterns: DataFrame, slots: DataFrame, rounds: int = ROUNDS) -> DataFr
     """The graph of patterns and instances: one row per edge with the scores of both ends.
 
     A pattern's confidence is the share of its places that hold seeds or, by their scores, good
-    instances; an instance's score is the mean confidence of the places that hold it. Patterns are
-    few (see induce), so their side of each join is broadcast; an instance has at most one edge to each.
+    instances; an instance's score is the mean confidence of the places that hold it. Both sides
+    can be large, and so can the number of edges of one end.
     """
-    totals = patterns.join(slots.groupBy("pattern").agg(F.sum("times").alias("others")), "pattern", "left")
-    totals = stored(totals.select("pattern", "kind", "seeds", (F.col("seeds") + F.coalesce("others", F.lit(0)) + 1).alias("places")))
     edges = stored(slots.filter(F.col("form").isNotNull()).groupBy("pattern", "form").agg(F.sum("times").alias("times")))
-    confidence = totals.select("pattern", "kind", (F.col("seeds") / F.col("places")).alias("confidence"))
+    rows = edges.count()
+    totals = patterns.join(slots.groupBy("pattern").agg(F.sum("times").alias("others")), "pattern", "left")
+    totals = totals.join(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("edges")), "pattern", "left")
+    totals = stored(totals.select("pattern", "kind", "seeds", "edges", (F.col("seeds") + F.coalesce("others", F.lit(0)) + 1).alias("places")))
+    confidence = totals.select("pattern", "kind", "edges", (F.col("seeds") / F.col("places")).alias("confidence"))
     for number in range(rounds):
-        both = edges.join(F.broadcast(confidence), "pattern")
-        forms = both.groupBy("form", "kind").agg((F.sum(F.col("times") * F.col("confidence")) / F.sum("times")).alias("score"))
-        both = stored(both.join(forms, ["form", "kind"]))
+        both = stored(join_hot(edges, confidence, "pattern", "edges", rows).drop("edges").withColumn("instance", F.struct("form", "kind")))
+        forms = both.groupBy("instance").agg((F.sum(F.col("times") * F.col("confidence")) / F.sum("times")).alias("score"), F.count(F.lit(1)).alias("edges"))
+        both = stored(join_hot(both, forms, "instance", "edges", rows).drop("instance", "edges"))
         if number < rounds - 1:
             held = both.groupBy("pattern").agg(F.sum(F.col("times") * F.col("score")).alias("held"))
-            confidence = stored(totals.join(held, "pattern", "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("held", F.lit(0.0))) / F.col("places")).alias("confidence")))
+            confidence = stored(totals.join(held, "pattern", "left").select("pattern", "kind", "edges", ((F.col("seeds") + F.coalesce("held", F.lit(0.0))) / F.col("places")).alias("confidence")))
     return both
 
 
@@ -241,10 +271,10 @@ def extract(docs: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     base = stored(find_base(docs))
     patterns = stored(induce(base.select(F.explode("seeds").alias("s")).select("s.*")))
-    # Bounded by MIN_SHARE.
-    slots = stored(pattern_slots(docs, [r.pattern for r in patterns.select("pattern").collect()]))
+    slots = stored(pattern_slots(docs, patterns))
     good = score(patterns, slots).filter((F.col("confidence") >= confidence) & (F.col("score") >= confidence))
-    found = slots.filter(F.col("form").isNotNull()).join(good.select("pattern", "form", "kind"), ["pattern", "form"])
+    places = slots.filter(F.col("form").isNotNull()).select(F.struct("pattern", "form").alias("edge"), "doc_id", "text_key", "start", "end")
+    found = join_hot(places, good.select(F.struct("pattern", "form").alias("edge"), "kind", "times"), "edge", "times", places.count())
     found = found.groupBy("doc_id", "text_key", "start", "end").agg(F.min("kind").alias("kind"))
     found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     both = base.join(found, base.doc_id.eqNullSafe(found.d) & (base.text_key == found.k), "left")

@@ -46,3 +46,12 @@ def test_common_words_are_no_patterns(spark):
 def test_long_runs_stay_linear():
     text = "1" * 200_000 + " " + "a" * 200_000 + " @ " + "+1" * 1000
     assert pii.base_spans(text) == []
+
+
+def test_rare_patterns_count_in_a_large_corpus(spark):
+    """A template that is copied very often does not raise the bar for a rare kind."""
+    rows = spark.range(8000).selectExpr("id AS doc_id", "repeat(concat('write to u', id, '@mail.example.com today '), 5) AS text")
+    rare = [(10_000 + i, f"my desk line +1 555 010 02{i:02d} rings") for i in range(6)] + [(20_000, "my desk line 7-x-7 rings")]
+    docs = rows.unionByName(spark.createDataFrame(rare, "doc_id long, text string"))
+    found = pii.extract(docs).filter("doc_id = 20000").first()
+    assert [(s.start, s.kind, s.end) for s in found.spans] == [(13, 3, 18)]
