@@ -469,6 +469,9 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents with equal sets are one node of the graph. component_id is the smallest doc_id
     reachable by links; a null doc_id is smaller than none and never a component's name unless
     all its documents have none. An empty table gives no rows.
+
+    Only components are returned. Links inside a component that is connected already are not
+    verified, so neither pairs nor a number of links comes out.
     """
     seed = 0
     while True:
