@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.llm import exact_dedup, mixing, ngram_join, packing, quality
-from lexengine.llm.common import stored, table
+from lexengine.llm.common import join_hot, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,13 +35,17 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays.
+    """Of each component of similar documents the row with the smallest doc_id stays, of those the first by locator.
 
-    A component is named by that doc_id, so the documents that stay carry their own component's name.
-    Exact copies are gone by now; documents without a doc_id have no name and stay.
+    A null doc_id is larger than any other. Rows are found again by their locator, so that rows
+    with the same or no doc_id are told apart.
     """
-    dropped = ngram_join.similarity_join(docs).filter("component_id < doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(stored(dropped.distinct()), "doc_id", "left_anti").select(*COLUMNS)
+    docs = exact_dedup.located(docs.select(*COLUMNS))
+    found = stored(ngram_join.similarity_join(docs, extra=["loc"]).filter("component IS NOT NULL").select("component", "doc_id", "loc"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")).alias("first")
+    several = stored(found.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    dropped = join_hot(found, several, "component", "n", found.count()).filter(F.col("loc") != F.col("first.loc")).select("loc")
+    return docs.join(stored(dropped), "loc", "left_anti").select(*COLUMNS)
 
 
 def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

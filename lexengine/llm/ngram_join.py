@@ -22,7 +22,7 @@ What no sketch can rule out is verified as well. So no link that could join two
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -265,17 +265,20 @@ def _batches(column: pa.Array, step: int = 200) -> Iterator[tuple[int, list[str]
         yield at, [t.as_py() or "" for t in column.slice(at, step)]
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n_shingles, the two keys (node, check) and the sketches of each document's set."""
+def keyed(docs: DataFrame, seed: int, extra: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, the two keys (node, check) and the sketches of each document's set; and extra columns."""
+    schema = "doc_id long, n_shingles long, node long, check long, sketch binary, fine binary"
+    for field in docs.select(*extra).schema:
+        schema += f", {field.name} {field.dataType.simpleString()}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _batches(batch.column(1)):
                 sets = shingle_sets(texts, seed)
                 node, check = set_keys(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary())], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary()), *[c.slice(at, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine", *extra])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, check long, sketch binary, fine binary")
+    return docs.select("doc_id", "text", *extra).mapInArrow(rows, schema)
 
 
 def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -461,8 +464,8 @@ def _id(name: str) -> Column:
     return F.coalesce(name, F.lit(-(2**63))).alias("d")
 
 
-def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
+def similarity_join(docs: DataFrame, percent: int = PERCENT, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id; with extra columns also those and component.
 
     docs needs doc_id and text; other columns are ignored. Null texts count as empty; documents
     without words have an empty set and are linked with nothing, so each is its own component.
@@ -471,11 +474,12 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     all its documents have none. An empty table gives no rows.
 
     Only components are returned. Links inside a component that is connected already are not
-    verified, so neither pairs nor a number of links comes out.
+    verified, so neither pairs nor a number of links comes out. component tells components apart
+    whatever their doc_ids; it is null for documents without words.
     """
     seed = 0
     while True:
-        slim = stored(keyed(docs, seed))
+        slim = stored(keyed(docs, seed, extra))
         nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n_shingles")))
         if nodes.filter("lo <> hi").isEmpty():
             break
@@ -494,16 +498,17 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not more.isEmpty():
             links = links.unionByName(verified(docs, nodes, more, seed, percent))
             labels = components(links)
-    return _labelled(slim, nodes, labels)
+    return _labelled(slim, nodes, labels, extra)
 
 
-def _labelled(slim: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(slim: DataFrame, nodes: DataFrame, labels: DataFrame, extra: Sequence[str]) -> DataFrame:
+    more = ["component", *extra] if extra else []
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    ids = join_hot(named, names, "component", "n", nodes.count()).select("node", "component_id", "copies")
-    full = join_hot(slim.filter("n_shingles > 0").select("doc_id", "n_shingles", "node"), stored(ids), "node", "copies", slim.count())
-    empty = slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    ids = join_hot(named, names, "component", "n", nodes.count()).select("node", "component_id", "copies", *more[:1])
+    full = join_hot(slim.filter("n_shingles > 0").select("doc_id", "n_shingles", "node", *extra), stored(ids), "node", "copies", slim.count())
+    empty = slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *[F.lit(None).cast("long").alias(c) for c in more[:1]], *extra)
+    return full.select("doc_id", "n_shingles", "component_id", *more).unionByName(empty)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,12 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, c), (0, a + " more"), (None, b), (None, b + " more"), (2, a + " other"), (2, ""), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.dissimilar_documents(spark, docs, DATA).collect()]
+    assert sum(i is None for i, _ in kept) == 1
+    assert sorted((i, t or "") for i, t in kept if i is not None) == [(0, a + " more"), (1, c), (2, ""), (2, "")]
