@@ -11,91 +11,99 @@ blocks can be packed apart.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import blocks, stored, table
+from lexengine.llm.common import blocks, in_arrow, stored, table
 
 LENGTH, END_ID = 1024, 2
 #: Pieces in a block, on average; bins that a local search looks at together; its passes.
 BLOCK_PIECES, NEIGHBOURS, PASSES = 16_384, 256, 4
-#: Chunks and runs of at most so many characters are remembered, and at most so many of them.
-CACHED_CHARS, CACHED = 24, 700_000
+#: Chunks of at most so many characters are remembered, and of each of two generations at most about so many.
+CACHED_CHARS, CACHED = 24, 200_000
 
 #: A blank before white space or the end; elsewhere each blank begins a token of its own.
-_ODD_BLANK = re.compile(r" (?=\s|\Z)")
-#: Chunks in which every change between letters and other characters is a token's end as well.
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?%*#&$|()\n-]+")
-#: Stands in front of the first chunk of a text, as no other chunk holds a blank.
-_NO_BLANK = " "
-_RUN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
+_ODD_BLANK = r" (\s|$)"
+#: Unseen chunks that are encoded together.
+_TOGETHER = 5_000
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk, a chunk being a blank and what follows up to the next one.
 
     The tokenizer's pre-tokenizer always starts a token at a blank that is followed by a visible
-    character, so chunks can be encoded apart and remembered. Texts with blanks before white space
-    are encoded whole. A new chunk of plain characters is put together from its runs of letters and of
-    others, most of which are known. ids are little-endian unsigned 32-bit integers.
+    character, so each different chunk of a batch is encoded once, and frequent ones are remembered.
+    Unseen chunks are encoded side by side; each begins where a token begins with a blank.
+    Texts with blanks before white space are encoded whole, and so are chunks in front of a text, as they have no blank.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        # Of a text: its chunks without their blank, the first one behind a mark as it has none; and what is known of each.
-        found: list[tuple[list[str], list[bytes | None]] | None] = []
-        missing: dict[str, bytes] = {}
-        for text in texts:
-            if _ODD_BLANK.search(text):
-                found.append(None)
-                continue
-            parts = text.split(" ")
-            parts[0] = _NO_BLANK + parts[0]
-            values = list(map(known.get, parts))
-            found.append((parts, values))
-            if None in values:
-                missing.update((p, b"") for p, v in zip(parts, values, strict=True) if v is None)
-        self._learn(missing)
-        out = []
-        for text, own in zip(texts, found, strict=True):
-            if own is None:
-                out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(b"".join([missing[p] if v is None else v for p, v in zip(*own, strict=True)]))
-        return out
-
-    def _learn(self, missing: dict[str, bytes]) -> None:
-        """Fills in the ids of chunks, from runs where that is safe."""
-        runs = {}
-        for p in missing:
-            chunk = p[1:] if p[:1] == _NO_BLANK else " " + p
-            runs[p] = _RUN.findall(chunk) if _PLAIN.fullmatch(chunk) and "\n\n" not in chunk else [chunk]
-        new = list({r for rs in runs.values() for r in rs if r not in self.runs})
-        fresh = {r: self._bytes(e.ids) for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        for p, rs in runs.items():
-            missing[p] = b"".join([fresh[r] if r in fresh else self.runs[r] for r in rs])
-        for store, more in ((self.known, missing), (self.runs, fresh)):
-            if len(store) > CACHED:
-                store.clear()
-            store.update((c, ids) for c, ids in more.items() if len(c) <= CACHED_CHARS)
+        # The tokenizer's alphabet writes a blank as this letter.
+        self.blank = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks, little-endian unsigned 32-bit integers."""
+        found = list(map(self.young.get, chunks))
+        unseen = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                ids = found[i] = self.old.get(chunks[i])
+                if ids is None:
+                    unseen.append(i)
+                else:
+                    self.young[chunks[i]] = ids
+        for at in range(0, len(unseen), _TOGETHER):
+            part = unseen[at : at + _TOGETHER]
+            raw = self._whole([" " + " ".join([chunks[i] for i in part])])[0]
+            ids = np.frombuffer(raw, "<u4")
+            ends = [*(4 * np.flatnonzero(self.blank[ids])).tolist(), 4 * len(ids)]
+            for i, start, end in zip(part, ends[:-1], ends[1:], strict=True):
+                found[i] = raw[start:end]
+                if len(chunks[i]) <= CACHED_CHARS:
+                    self.young[chunks[i]] = found[i]
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids end; null texts count as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        parts = pc.split_pattern(texts, " ")
+        begin = parts.offsets.to_numpy()
+        chunk = parts.flatten().dictionary_encode()
+        which = chunk.indices.to_numpy().astype(np.int64)
+        odd = pc.match_substring_regex(texts, _ODD_BLANK).to_numpy(zero_copy_only=False)
+        # Only chunks that stand behind a blank somewhere are looked up.
+        normal = np.repeat(~odd, np.diff(begin))
+        normal[begin[:-1]] = False
+        asked = np.flatnonzero(np.bincount(which[normal], minlength=len(chunk.dictionary)))
+        place = np.zeros(len(chunk.dictionary), np.int64)
+        place[asked] = np.arange(len(asked))
+        front = self._whole(pc.if_else(pa.array(odd), texts, pc.list_element(parts, 0)).to_pylist())
+        ids = [*self._chunks(chunk.dictionary.take(pa.array(asked)).to_pylist()), b"", *front]
+        which = np.where(normal, place[which], len(asked))
+        which[begin[:-1]] = len(asked) + 1 + np.arange(len(front))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes[which])
+        own = np.repeat(start[which] - ends + sizes[which], sizes[which]) + np.arange(ends[-1] if len(ends) else 0)
+        return np.frombuffer(b"".join(ids), "<u4")[own], np.r_[0, ends][begin[1:]]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -124,20 +132,23 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                out = {n: [] for n in _PIECES.names}
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t.as_py() or "" for t in part.column(1)]), strict=True):
-                    ids += end
-                    for number, (start, size) in enumerate(cuts(len(ids) // 4, length)):
-                        own = ids[4 * start : 4 * (start + size)]
-                        for n, v in zip(_PIECES.names, (doc_id, number, start, size, zlib.crc32(own), own if with_ids else None), strict=True):
-                            out[n].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
-
-    found = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+            if not batch.num_rows:
+                continue
+            ids, ends = enc.encode(batch.column(1))
+            ids = np.insert(ids, ends, END_ID).astype("<u4")
+            ends = ends + np.arange(1, len(ends) + 1)
+            out = {n: [] for n in _PIECES.names}
+            raw, begin = memoryview(ids).cast("B"), 0
+            for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                for number, (start, size) in enumerate(cuts(end - begin, length)):
+                    own = raw[4 * (begin + start) : 4 * (begin + start + size)]
+                    for n, v in zip(_PIECES.names, (doc_id, number, start, size, zlib.crc32(own), bytes(own) if with_ids else None), strict=True):
+                        out[n].append(v)
+                begin = end
+            yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
+
+    found = in_arrow(docs.select("doc_id", "text"), rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return found if with_ids else found.drop("ids")
 
 
