@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of rows that a Python worker gets at once; a row that is longer comes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Keys that hold more than one part in HOT_PARTS of all rows are hot; so there are at most HOT_PARTS.
 HOT_PARTS = 1000
 
@@ -21,16 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands rows to Python workers in small batches from now on, unless it has a bound of its own.
+
+    Plans run when the caller takes their rows, so the setting cannot end with the function that makes them.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def in_arrow(df: DataFrame, rows: Callable, schema) -> DataFrame:
+    """mapInArrow over small batches."""
+    return small_batches(df).mapInArrow(rows, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the cluster names none, as in local tests, a temporary folder is set.
+    Only a local session may name none; it gets a temporary folder. On a cluster executors would not see that.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexengine-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lexengine/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lexengine/{uuid.uuid4().hex}"
+    for names in _open_scratch:
+        names.append(path)
+    return path
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -41,6 +67,22 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_open_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders of shared_dir() that are named inside a with block are deleted at its end, in whatever store they lie."""
+    _open_scratch.append(names := [])
+    try:
+        yield
+    finally:
+        _open_scratch.pop()
+        for name in names:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings that hold inside a with block."""

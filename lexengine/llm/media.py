@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from lexengine.llm.common import table
+from lexengine.llm.common import BATCH_BYTES, in_arrow, table
 
 #: Payloads are padded with this byte to a positive multiple of FRAME bytes.
 PAD, FRAME = 255, 576
@@ -178,45 +179,78 @@ def features(samples: bytes) -> str:
     return f"wav;n={len(x)};min={used[0]};max={used[-1]};mean_milli={total * 1000 // len(x)};energy_milli={energy * 1000 // len(x)};crossings={crossings};levels={len(used)}"
 
 
-def sniff_column(df: DataFrame, blob: str, declared: str, keep: list[str]) -> DataFrame:
-    """One row per object carved from the column blob, or one with nulls where there is none.
+_FOUND = ["declared_type", "true_type", "carved_type", "start", "length", "media"]
 
-    Columns: those in keep, declared_type, true_type (of the whole blob: the type that starts at 0, else the declared one), carved_type, start,
-    length, media. A null blob counts as empty. The objects of a blob are in one row each; a blob is
-    one value and is walked whole, however long it is.
+Batches = Iterator[pa.RecordBatch]
+
+
+def carver(kept: pa.Schema) -> Callable[[Batches], Batches]:
+    """A function of batches (kept columns, declared type, blob) that gives kept columns and those in _FOUND.
+
+    Rows go on as soon as their media reach a few megabytes, so what a task holds does not depend on how many there are.
     """
-    out = df.select(*keep, F.col(declared).alias("declared_type")).schema.fields
-    more = [StructField("true_type", StringType()), StructField("carved_type", StringType()), StructField("start", LongType()), StructField("length", LongType()), StructField("media", BinaryType())]
-    schema = StructType([*out, *more])
-    arrow = to_arrow_schema(schema)
-    names = list(keep)
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema([*kept, *zip(_FOUND, types, strict=True)])
+    n = len(kept)
 
-    def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def carve(batches: Batches) -> Batches:
         machine = automaton()
         for batch in batches:
-            rows = {name: [] for name in [*names, "declared_type", *(f.name for f in more)]}
-            kept = [batch.column(i).to_pylist() for i in range(len(names))]
+            rows, held = [], 0
             for i in range(batch.num_rows):
-                data = batch.column(len(names) + 1)[i].as_py() or b""
-                said = batch.column(len(names))[i].as_py()
+                said, data = batch.column(n)[i].as_py(), batch.column(n + 1)[i].as_py() or b""
                 found = sniff(data, machine)
                 true = next((k for k, start, _ in found if start == 0), said)
-                for kind, start, length in found or [(None, None, None)]:
-                    for name, column in zip(names, kept, strict=True):
-                        rows[name].append(column[i])
-                    rows["declared_type"].append(said)
-                    rows["true_type"].append(true)
-                    rows["carved_type"].append(kind)
-                    rows["start"].append(start)
-                    rows["length"].append(length)
-                    rows["media"].append(None if kind is None else data[start : start + length])
-            yield pa.RecordBatch.from_pydict(rows, schema=arrow)
+                own = [c[i].as_py() for c in batch.columns[:n]]
+                for kind, start, length in found or [(None, None, 0)]:
+                    media = None if kind is None else data[start : start + length]
+                    rows.append((*own, said, true, kind, start, None if kind is None else length, media))
+                    held += length
+                if held > BATCH_BYTES:
+                    yield _batch(rows, schema)
+                    rows, held = [], 0
+            yield _batch(rows, schema)
+
+    return carve
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def sniff_column(df: DataFrame, blob: str, declared: str, keep: list[str]) -> DataFrame:
+    """One row per object carved from the column blob, or one with nulls where there is none.
 
-    return df.select(*keep, F.col(declared).alias("declared_type"), F.col(blob).cast("binary").alias("blob")).mapInArrow(carve, schema)
+    Columns: those in keep, declared_type, true_type (of the whole blob: the type that starts at 0, else the declared one), carved_type, start,
+    length, media; a column in keep of one of these names gives way to it. A null blob counts as empty. The objects of a blob are in one row each; a blob is
+    one value and is walked whole, however long it is. Rows that repeat are sniffed each, an empty table gives no rows.
+    """
+    keep = [c for c in keep if c not in _FOUND]
+    chosen = df.select(*keep, F.col(declared).alias("declared_type"), F.col(blob).cast("binary").alias("blob"))
+    kept = chosen.select(*keep)
+    more = "declared_type string, true_type string, carved_type string, start long, length long, media binary"
+    schema = StructType([*kept.schema, *StructType.fromDDL(more)])
+    return in_arrow(chosen, carver(to_arrow_schema(kept.schema)), schema)
 
 
 #: What the stored blobs are wrapped in, so that the media has to be found and carved.
 WRAP_HEAD, WRAP_TAIL = b"\0\0wrapped\0", b"\0end"
+_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("declared_type", pa.string()), ("blob", pa.binary())])
+
+
+def _wrap(batches: Batches) -> Batches:
+    for batch in batches:
+        rows, held = [], 0
+        for i in range(batch.num_rows):
+            t = (batch.column(1)[i].as_py() or "").encode()
+            blob = WRAP_HEAD + to_wav(t + bytes([PAD]) * (-len(t) % FRAME or FRAME * (not t))) + WRAP_TAIL
+            rows.append((batch.column(0)[i].as_py(), len(t), "application/octet-stream", blob))
+            held += len(blob)
+            if held > BATCH_BYTES:
+                yield _batch(rows, _STORED)
+                rows, held = [], 0
+        yield _batch(rows, _STORED)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -225,46 +259,41 @@ def store_texts(docs: DataFrame) -> DataFrame:
     Null texts count as empty; an empty text gives one frame of padding. Other columns are ignored;
     repeated rows are stored once each, null ids are kept.
     """
+    return in_arrow(docs.select("doc_id", "text"), _wrap, "doc_id long, n_bytes long, declared_type string, blob binary")
 
-    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [(t.as_py() or "").encode() for t in part.column(1)]
-                blobs = [WRAP_HEAD + to_wav(t + bytes([PAD]) * (-len(t) % FRAME or FRAME * (not t))) + WRAP_TAIL for t in texts]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column(0), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "declared_type": ["application/octet-stream"] * len(texts), "blob": pa.array(blobs, pa.binary())}
-                )
 
-    return docs.select("doc_id", "text").mapInArrow(wrap, "doc_id long, n_bytes long, declared_type string, blob binary")
+_DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DESCRIBED_ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in _DESCRIBED.split(", "))])
+
+
+def _describe(batches: Batches) -> Batches:
+    """doc_id, n_bytes and what the samples of the WAV file (the last column) say."""
+    for batch in batches:
+        rows = []
+        for doc_id, n_bytes, m in zip(batch.column(0), batch.column(1), batch.column(batch.num_columns - 1), strict=True):
+            m = m.as_py()
+            p = wav_samples(m)
+            rows.append((doc_id.as_py(), n_bytes.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), features(p)))
+        yield _batch(rows, _DESCRIBED_ARROW)
 
 
 def describe_media(carved: DataFrame) -> DataFrame:
     """Reads the samples of each carved WAV file back and describes them."""
+    return in_arrow(carved.select("doc_id", "n_bytes", "media"), _describe, _DESCRIBED)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = [m.as_py() for m in batch.column(2)]
-            payloads = [wav_samples(m) for m in media]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_bytes": batch.column(1),
-                    "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-                    "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-                    "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-                    "media_bytes": pa.array([len(m) for m in media], pa.int64()),
-                    "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-                    "feature": [features(p) for p in payloads],
-                }
-            )
-
-    return carved.select("doc_id", "n_bytes", "media").mapInArrow(
-        describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+
+def stored_and_described(docs: DataFrame) -> DataFrame:
+    """store_texts, sniff_column and describe_media one after the other in one Python worker; blobs never leave it."""
+    kept = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64())])
+    carve = carver(kept)
+
+    def sounds(batches: Batches) -> Batches:
+        for batch in carve(_wrap(batches)):
+            mine = pc.and_(pc.equal(batch.column("carved_type"), "audio/wav"), pc.equal(batch.column("start"), len(WRAP_HEAD)))
+            yield batch.filter(mine)
+
+    return in_arrow(docs.select("doc_id", "text"), lambda batches: _describe(sounds(batches)), _DESCRIBED)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blobs = store_texts(table(spark, sf_dir, "documents"))
-    carved = sniff_column(blobs, "blob", "declared_type", ["doc_id", "n_bytes"])
-    return describe_media(carved.filter((F.col("carved_type") == "audio/wav") & (F.col("start") == len(WRAP_HEAD))))
+    return stored_and_described(table(spark, sf_dir, "documents"))

@@ -64,3 +64,25 @@ def test_edges(spark):
     found = media.describe_media(carved).collect()
     assert [(r.doc_id, r.n_bytes, r.payload_bytes) for r in found] == [(1, 0, 576), (1, 0, 576), (None, 200_000, 200_448)]
     assert found[0].feature == found[1].feature
+
+
+def test_columns_that_clash_give_way(spark):
+    rows = [(7, 8, bytearray(SOUND["image/gif"]), "x")]
+    found = media.sniff_column(spark.createDataFrame(rows, "start int, id int, data binary, media string"), "data", "media", ["start", "id", "media"])
+    assert found.columns == ["id", "declared_type", "true_type", "carved_type", "start", "length", "media"]
+    assert [tuple(r)[:6] for r in found.collect()] == [(8, "x", "image/gif", "image/gif", 0, len(SOUND["image/gif"]))]
+
+
+def test_media_columns_by_hand(spark):
+    """media_bytes, media_sha256 and feature, worked out from the format's definition."""
+    texts = {1: "", 2: "Gr\u00fc\u00dfe " * 300, 3: "RIFF\x00WAVE"}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, media string")
+    for r in media.stored_and_described(docs).collect():
+        raw = texts[r.doc_id].encode()
+        p = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
+        wav = b"RIFF" + (36 + len(p)).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("1000000001000100401f0000401f000001000800") + b"data" + len(p).to_bytes(4, "little") + p
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
+        said = dict(x.split("=") for x in r.feature.split(";")[1:])
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:], strict=False))
+        want = {"n": len(p), "min": min(p), "max": max(p), "mean_milli": sum(p) * 1000 // len(p), "energy_milli": sum((x - 128) ** 2 for x in p) * 1000 // len(p), "crossings": crossings, "levels": len(set(p))}
+        assert {k: int(v) for k, v in said.items()} == want
