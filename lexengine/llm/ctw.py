@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import stored, table
+from lexengine.llm.common import in_arrow, stored, table
 
 DEPTH = 5
 #: Length of the contexts whose subtrees are computed apart.
@@ -100,7 +100,7 @@ def count_grams(train: DataFrame, depth: int) -> DataFrame:
     def _rows(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part[0].astype(np.int64)), pa.array(part[1].astype(np.int64))], names=["gram", "n"])
 
-    return train.select("text").mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return in_arrow(train.select("text"), rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def depth_counts(counts: DataFrame, depth: int, limit: int | None) -> DataFrame:
@@ -416,7 +416,7 @@ def fit_top(counts: DataFrame, depth: int = DEPTH) -> Top:
                 sums = [pa.array(np.bincount(at, x)) for x in (weighted, total, ones)]
                 yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *sums], names=["node", "product", "total", "ones"])
 
-    found = _by_subtree(counts.select("gram", "n")).mapInArrow(rows, "node long, product double, total double, ones double")
+    found = in_arrow(_by_subtree(counts.select("gram", "n")), rows, "node long, product double, total double, ones double")
     found = found.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("product", "total", "ones")]).toArrow()
     top = Top([], [], [])
     node = found["node"].to_numpy()
@@ -443,7 +443,7 @@ def gram_logs(counts: DataFrame, top: Top, depth: int = DEPTH) -> DataFrame:
                 logs = Subtrees(gram.astype(np.uint64), n, depth).logs(shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(gram[asked]), pa.array(n[asked]), pa.array(logs[asked])], names=["gram", "n", "log"])
 
-    found = stored(_by_subtree(counts.select("gram", "n", F.col("asked").cast("int").alias("asked"))).mapInArrow(rows, "gram long, n long, log double"))
+    found = stored(in_arrow(_by_subtree(counts.select("gram", "n", F.col("asked").cast("int").alias("asked"))), rows, "gram long, n long, log double"))
     shared.destroy()
     return found
 
@@ -481,7 +481,7 @@ def count_words(train: DataFrame) -> DataFrame:
     def _rows(held: dict[bytes, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-    return train.select("text").mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(train.select("text"), rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
@@ -530,7 +530,7 @@ def score_batches(docs: DataFrame, logs_of: tuple[np.ndarray, np.ndarray, np.nda
                     out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
                 yield pa.RecordBatch.from_pydict(out, schema=_SCORED)
 
-    scored = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, bytes long, known long, logs double, score double, grams array<struct<gram:bigint,times:bigint>>, rare array<struct<word:binary,times:bigint>>")
+    scored = in_arrow(docs.select("doc_id", "text"), rows, "doc_id long, n_tokens long, bytes long, known long, logs double, score double, grams array<struct<gram:bigint,times:bigint>>, rare array<struct<word:binary,times:bigint>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()
     return scored

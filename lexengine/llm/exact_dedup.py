@@ -31,12 +31,18 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Adds the column loc (file, row in the file); rows that lie in no file are written first."""
+def filed(docs: DataFrame) -> DataFrame:
+    """docs itself, or its rows written and read again if they lie in no file."""
     try:
-        return docs.withColumn("loc", F.struct("_metadata.file_path", "_metadata.row_index"))
+        docs.select("_metadata.row_index")
+        return docs
     except AnalysisException:
-        return stored(docs).withColumn("loc", F.struct("_metadata.file_path", "_metadata.row_index"))
+        return stored(docs)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """Adds the column loc (file, row in the file), the same for the same rows of the same files; others are written first."""
+    return filed(docs).withColumn("loc", F.struct("_metadata.file_path", "_metadata.row_index"))
 
 
 def stream_groups(spark: SparkSession, slim_path: str, schema, files_per_batch: int | None = None) -> DataFrame:

@@ -116,12 +116,17 @@ def ends(mixed: DataFrame, place: list[str]) -> DataFrame:
 
 
 def taken_up_to(docs: DataFrame, until: DataFrame, place: list[str], seed: int = 0) -> DataFrame:
-    """docs with size and taken, by where the mix of their source ends; so whole texts need no shuffle."""
-    sized = docs.withColumns({"size": words(F.col("text")), "key": random_key(F.col("doc_id"), seed)})
-    found = sized.join(until.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    at = F.struct("key", "doc_id", "size", *place)
+    """docs with size and taken, by where the mix of their source ends; so whole texts need no shuffle.
+
+    Columns of docs that are named size or taken give way.
+    """
+    named = docs.select(*[F.col(c).alias(f"place_{i}") for i, c in enumerate(place)], F.struct("*").alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
+    end = until.select(F.col("source").alias("of"), "passes", "last")
+    found = named.join(end, F.col("source").eqNullSafe(F.col("of")))
+    at = F.struct("key", "doc_id", "size", *[F.col(f"place_{i}").alias(c) for i, c in enumerate(place)])
     more = F.when(at < F.col("last.at"), F.col("size")).when(at == F.col("last.at"), F.col("last.more")).otherwise(F.lit(0).cast("long"))
-    return found.select(*docs.columns, "size", (F.col("passes") * F.col("size") + more).alias("taken"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "taken")]
+    return found.select(*own, "size", (F.col("passes") * F.col("size") + more).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

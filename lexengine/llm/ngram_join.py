@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import bloom, join_hot, stored, table
+from lexengine.llm.common import bloom, in_arrow, join_hot, stored, table
 from lexengine.llm.components import components
 
 WORDS = 5
@@ -278,7 +278,7 @@ def keyed(docs: DataFrame, seed: int, extra: Sequence[str] = ()) -> DataFrame:
                 node, check = set_keys(sets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary()), *[c.slice(at, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine", *extra])
 
-    return docs.select("doc_id", "text", *extra).mapInArrow(rows, schema)
+    return in_arrow(docs.select("doc_id", "text", *extra), rows, schema)
 
 
 def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -298,7 +298,7 @@ def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
                 key, node, size = index_rows([sets[i] for i in new], nodes[new], percent)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size.astype(np.int32))], names=["key", "node", "size"])
 
-    return docs.select("text").mapInArrow(rows, "key long, node long, size int")
+    return in_arrow(docs.select("text"), rows, "key long, node long, size int")
 
 
 _MET = pa.schema([("key", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("members", pa.int64())])
@@ -344,7 +344,7 @@ def meet(indexed: DataFrame, percent: int) -> DataFrame:
 
     # The same set may come from several tasks; it stands once in each key.
     dealt = indexed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(rows, "key long, centre long, node long, size int, need int, members long")
+    return in_arrow(dealt, rows, "key long, centre long, node long, size int, need int, members long")
 
 
 def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs: DataFrame, percent: int, nearest: bool, busy: int = BUSY) -> DataFrame:
@@ -399,7 +399,7 @@ def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs:
     hot = labelled.filter(F.col("members") > busy).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
     known = nodes.select("node", "sketch").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     labelled = labelled.join(known, "node").repartition("key").sortWithinPartitions("key", "node")
-    pairs = labelled.mapInArrow(rows, "a long, b long").distinct()
+    pairs = in_arrow(labelled, rows, "a long, b long").distinct()
     return pairs.join(verified_pairs, ["a", "b"], "left_anti")
 
 
@@ -418,7 +418,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     known = nodes.filter("fine is not null").select("node", F.struct("n_shingles", "fine").alias("s"))
     found = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a", "left")
     found = found.join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b", "left")
-    return found.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+    return in_arrow(found.select("a", "b", "x", "y"), rows, "a long, b long")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -457,7 +457,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, per
     texts = docs.select(_id("doc_id"), "text").join(asked.filter("role >= 0"), "d").drop("d")
     with bloom(docs.sparkSession):
         dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-        return stored(dealt.mapInArrow(rows, "a long, b long").distinct())
+        return stored(in_arrow(dealt, rows, "a long, b long").distinct())
 
 
 def _id(name: str) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import join_hot, stored, table
+from lexengine.llm.common import in_arrow, join_hot, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern must surround so many different seeds.
@@ -147,8 +147,8 @@ def find_base(docs: DataFrame) -> DataFrame:
                 seeds.append(near)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(seeds, _SEEDS)], names=["doc_id", "text_key", "spans", "seeds"])
 
-    return docs.mapInArrow(
-        rows, "doc_id long, text_key long, spans array<struct<start:int,kind:int,end:int>>, seeds array<struct<pattern:string,kind:int,form:string>>"
+    return in_arrow(
+        docs, rows, "doc_id long, text_key long, spans array<struct<start:int,kind:int,end:int>>, seeds array<struct<pattern:string,kind:int,form:string>>"
     )
 
 
@@ -235,7 +235,7 @@ def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     def _sums(plain: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({n: list(plain) if n == "pattern" else list(plain.values()) if n == "times" else [None] * len(plain) for n in _SLOTS.names}, schema=_SLOTS)
 
-    return docs.mapInArrow(rows, "pattern string, doc_id long, text_key long, start int, end int, form string, times long")
+    return in_arrow(docs, rows, "pattern string, doc_id long, text_key long, start int, end int, form string, times long")
 
 
 def score(patterns: DataFrame, slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:

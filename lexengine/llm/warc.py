@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import join_hot, shared_dir, stored, table
+from lexengine.llm.common import in_arrow, join_hot, shared_dir, stored, table
 
 #: Pages in one archive file.
 PAGES_PER_FILE = 2000
@@ -91,7 +91,7 @@ def write_arc(pages: DataFrame, version: int, path: str, pages_per_file: int = P
                     out.append(_arc_record(version, {"url": row["url"] or "unknown:", "ip": ADDRESS, "date": CAPTURED, "mime": "text/html", "status": "200", "offset": "0", "filename": "part.arc"}, content))
                 yield pa.RecordBatch.from_pydict({"value": out})
 
-    writer = pages.mapInArrow(records, "value string").write.option("maxRecordsPerFile", pages_per_file + 1)
+    writer = in_arrow(pages, records, "value string").write.option("maxRecordsPerFile", pages_per_file + 1)
     writer.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
@@ -164,7 +164,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 found = [{n: r[n] for n in _ARC_ROWS.names[1:]} | {"row": {"file": file, "number": k}} for k, r in enumerate(_arc_rows(batch.column(1)[i].as_py()))]
                 yield pa.RecordBatch.from_pylist(found, schema=_ARC_ROWS)
 
-    return _files(spark, path).mapInArrow(rows, "row struct<file:string,number:bigint>, page_id long, payload_bytes long, payload_digest string")
+    return in_arrow(_files(spark, path), rows, "row struct<file:string,number:bigint>, page_id long, payload_bytes long, payload_digest string")
 
 
 def _record_id(*parts: object) -> str:
@@ -219,7 +219,7 @@ def write_warc(arc: DataFrame, typed: DataFrame, path: str, records_per_file: in
                 out = [warc_record(r, o["response"], o["keeper"]) for r, o in zip(_arc_rows(batch.column(0)[i].as_py()), own, strict=True)]
                 yield pa.RecordBatch.from_pydict({"value": out})
 
-    writer = arc.join(said, "file").select("content", "said").mapInArrow(records, "value string").write.option("maxRecordsPerFile", records_per_file)
+    writer = in_arrow(arc.join(said, "file").select("content", "said"), records, "value string").write.option("maxRecordsPerFile", records_per_file)
     writer.option("compression", "gzip").option("lineSep", WARC_END).text(path)
 
 
@@ -269,7 +269,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     out["payload"].append(body if kind == "response" else None)
                 yield pa.RecordBatch.from_pydict(out, schema=_WARC_ROWS)
 
-    return _files(spark, path).select("content").mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return in_arrow(_files(spark, path).select("content"), rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def convert(pages: DataFrame, version: int = 2, least: int = REVISIT_BYTES, pages_per_file: int = PAGES_PER_FILE) -> str:
