@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexengine.functions import checks
+from lexengine.functions.checks import NotFoundError
+from lexengine.operators.lookup import nested
+
 
 def topic_list(categories: DataFrame) -> DataFrame:
     """Categories per topic."""
@@ -38,6 +42,44 @@ def subcategories(categories: DataFrame, members: DataFrame, parent_id: int) ->
     return own.join(words, own.id == words.category_id, "left").select("id", "name", F.coalesce("word_count", F.lit(0).cast("long")).alias("word_count"))
 
 
+def in_display_order(categories: DataFrame, *more: str) -> DataFrame:
+    """T4: by display order, then display name; null orders come last."""
+    return categories.orderBy(F.col("display_order").asc_nulls_last(), "display_name", *more)
+
+
+def resolve(categories: DataFrame, reference: object) -> DataFrame:
+    """the category whose id the reference is, if it is all digits, else the one of that name."""
+    text = str(reference)
+    return categories.filter(F.col("id") == int(text)) if text.isascii() and text.isdigit() else categories.filter(F.col("name") == text)
+
+
+def required(categories: DataFrame, reference: object) -> DataFrame:
+    """like resolve, but no such category is an error; looks at once."""
+    found = resolve(categories, reference)
+    if found.limit(1).count() == 0:
+        raise NotFoundError(f"no category {reference}")
+    return found
+
+
+def category_page(categories: DataFrame, members: DataFrame, words: DataFrame, definitions: DataFrame, reference: object, number: object = None, size: object = None, search_text: str | None = None) -> DataFrame:
+    """A page of a category's words with their definitions nested, and on each row the page's total, total_pages and has_more.
+
+    Words stand by the display order of their membership, then by word (T5). Definitions are looked up for the words of
+    the page alone. A page beyond the end has no rows.
+    """
+    number, size = checks.page(number, size)
+    own = F.broadcast(resolve(categories, reference).select(F.col("id").alias("category_id"), F.col("name").alias("category")))
+    rows = members.join(own, "category_id").join(words.select(F.col("id").alias("word_id"), "word", "frequency_rank"), "word_id")
+    if search_text is not None:
+        rows = search(rows, "word", search_text)
+    cut = page(rows, [F.col("display_order").asc_nulls_last(), "word", "word_id"], number, size)
+    meta = page_meta(rows, number, size)
+    wanted = definitions.join(F.broadcast(cut.select("word_id")), "word_id", "left_semi")
+    nested_rows = nested(wanted, "word_id", ["definition_order", "id"], ["part_of_speech", "definition_en"], "definitions")
+    # One row of meta data, and a page of rows at most.
+    return cut.join(nested_rows, "word_id", "left").crossJoin(F.broadcast(meta)).select("category", "word_id", "word", "frequency_rank", "display_order", "definitions", "total", "total_pages", "has_more")
+
+
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """A page by offset; order must end in a unique key. Only offset + size rows reach one task."""
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)

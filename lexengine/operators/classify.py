@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from lexengine.functions.text import any_contains
+from pyspark.sql.types import ArrayType, LongType
 
 OTHERS = "others"
+#: Rules per number in a set of hits.
+BITS = 62
 
 
 @dataclass(frozen=True)
@@ -21,55 +25,160 @@ class Rule:
     keywords: tuple[str, ...]
 
 
-#: An own, short set of rules; callers bring theirs.
-RULES = (
-    Rule("animals", "nature", ("animal", "bird", "fish", "genus ", "mammal")),
-    Rule("plants", "nature", ("plant", "tree", "flower", "leaf")),
-    Rule("water", "nature", ("water", "river", "sea", "ocean", "then")),
-    Rule("body", "people", ("body", "hand", "head", "thand")),
-    Rule("work", "people", ("work", "job", "office", "ation")),
-    Rule("speech", "people", ("say", "word", "speech", "ment")),
-    Rule("time", "ideas", ("time", "hour", "day", "year", "heit")),
-    Rule("quantity", "ideas", ("many", "few", "number", "ción")),
-)
+def parse_rules(text: str) -> tuple[Rule, ...]:
+    """Rules from lines of topic, name and keywords, separated by bars; keywords are not trimmed."""
+    rows = [line.split("|") for line in text.strip().splitlines()]
+    return tuple(Rule(name, topic, tuple(keywords)) for topic, name, *keywords in rows)
+
+
+#: Own rules; callers bring theirs.
+RULES = parse_rules("""
+nature|animals|animal|bird|fish|genus |mammal
+nature|plants|plant|tree|flower|leaf
+nature|water|water|river|sea|ocean|then
+nature|weather|rain|storm|cloud|wind
+nature|earth|rock|stone|hill|mountain
+nature|sky|sun|moon|star|planet
+nature|matter|metal|iron|gold|salt
+nature|insects|insect|bee|ant |moth
+people|body|body|hand|head|thand
+people|work|work|job|office|ation
+people|speech|say|word|speech|ment
+people|family|mother|father|child|sister
+people|health|health|ill |heal|pain
+people|food|food|bread|meat|eat
+people|clothes|cloth|coat|shoe|dress
+people|homes|house|home|door|room
+people|law|law|court|judge|crime
+people|war|war|army|soldier|battle
+people|trade|trade|money|price|sell
+people|play|play|game|sport|ball
+people|music|music|song|sing|drum
+people|faith|god|church|pray|saint
+people|travel|road|ship|travel|train
+people|learning|school|learn|teach|book
+ideas|time|time|hour|day|year|heit
+ideas|quantity|many|few|number|ción
+ideas|space|space|place|near|far
+ideas|shape|round|line|angle|square
+ideas|colour|colour|red|blue|green
+ideas|motion|move|run|turn|fall
+ideas|thought|think|mind|idea|reason
+ideas|feeling|love|fear|joy|anger
+""")
+
+#: Below a rule there is a sub-category for each of its keywords.
+SUBRULES = {r.name: tuple(Rule(k.strip(), r.topic, (k,)) for k in r.keywords) for r in RULES}
+
+
+def rule_automaton(rules: tuple[Rule, ...]) -> ahocorasick.Automaton | None:
+    """Finds in one pass which rules' keywords a text holds; None without keywords. Values are sets of hits."""
+    holders: dict[str, int] = {}
+    for i, r in enumerate(rules):
+        for k in r.keywords:
+            if k:
+                holders[k.lower()] = holders.get(k.lower(), 0) | 1 << i
+    if not holders:
+        return None
+    found = ahocorasick.Automaton()
+    for k, hits in holders.items():
+        found.add_word(k, hits)
+    found.make_automaton()
+    return found
+
+
+def rule_hits(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """the rules with a keyword in the text, as a set of bits over BITS rules a number; case does not count.
+
+    All keywords are found in one pass, so time does not depend on how many there are. There are no word
+    boundaries, and keywords are not trimmed. A null text has no hits.
+    """
+    numbers = -(-len(rules) // BITS) or 1
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def hits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine, mask = rule_automaton(rules), (1 << BITS) - 1
+        for part in texts:
+            out = []
+            for t in part:
+                found = 0
+                if machine is not None and t.is_valid:
+                    for _, hit in machine.iter(t.as_py()):
+                        found |= hit
+                out.append([found >> BITS * i & mask for i in range(numbers)])
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return hits(F.lower(text))
+
 
-#: Rules below a rule.
-SUBRULES = {
-    "water": (Rule("rivers", "nature", ("river", "there")), Rule("seas", "nature", ("sea", "ocean"))),
-    "work": (Rule("labour", "people", ("tionation",)), Rule("office", "people", ("office",)), Rule("making", "people", ("ationing", "creation"))),
-}
+def word_hits(definitions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(word, hits): the rules that any definition of the word fulfils, in one scan; sets are united before the shuffle."""
+    numbers = -(-len(rules) // BITS) or 1
+    found = definitions.select("word", rule_hits(F.col("definition_en"), rules).alias("h"))
+    united = [F.bit_or(F.col("h")[i]).alias(f"h{i}") for i in range(numbers)]
+    return found.groupBy("word").agg(*united).select("word", F.array(*[f"h{i}" for i in range(numbers)]).alias("hits"))
+
+
+def _names(hits: Column, rules: tuple[Rule, ...], chosen: range) -> Column:
+    """The names of the chosen rules that are in a set of hits."""
+    kept = [F.when(F.getbit(hits[i // BITS], F.lit(i % BITS)) == 1, F.lit(rules[i].name)) for i in chosen]
+    return F.array_compact(F.array(*kept)) if kept else F.array().cast("array<string>")
 
 
 def matches(definitions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Distinct (word, category) of words with a definition that holds a keyword of the rule.
+    """Distinct (word, category) of words with a definition that holds a keyword of the rule."""
+    found = word_hits(definitions, rules)
+    return found.select("word", F.explode(_names(F.col("hits"), rules, range(len(rules)))).alias("category")).distinct()
 
-    One scan tests all rules and makes a row for each that holds; nothing is joined.
-    """
-    text = definitions.select("word", F.lower("definition_en").alias("t"))
-    hits = F.array_compact(F.array(*[F.when(any_contains(F.col("t"), r.keywords), F.lit(r.name)) for r in rules]))
-    return text.select("word", F.explode(hits).alias("category")).distinct()
 
+def _or_others(names: Column) -> Column:
+    return F.explode(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(OTHERS)))).alias("category")
 
-def categorize(words: DataFrame, definitions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(word, category); words without any category are in `others`."""
-    found = matches(definitions, rules)
-    rest = words.select("word").distinct().join(found.select("word"), "word", "left_anti")
-    return found.unionByName(rest.select("word", F.lit(OTHERS).alias("category")))
+
+def categorize(words: DataFrame | None, definitions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(word, category); words without any category are in `others`.
+
+    Without words, those of the definitions count, and one scan is enough; a null definition is no hit.
+    """
+    if words is not None:
+        definitions = definitions.select("word", "definition_en").unionByName(words.select("word", F.lit(None).cast("string").alias("definition_en")))
+    return word_hits(definitions, rules).select("word", _or_others(_names(F.col("hits"), rules, range(len(rules)))))
 
 
 def subcategorize(members: DataFrame, definitions: DataFrame, subrules: dict[str, tuple[Rule, ...]] = SUBRULES) -> DataFrame:
-    """(parent, subcategory, word) for the parents with rules.
+    """(parent, subcategory, word) for the parents with rules.
 
     A sub-category is the part of the parent's words that its rule matches, and is named after
     both; words of the parent that none matches are in <parent>-general.
     """
     flat = tuple(Rule(f"{p}-{r.name}", p, r.keywords) for p, rules in subrules.items() for r in rules)
-    parent_of = F.create_map(*[F.lit(x) for r in flat for x in (r.name, r.topic)])
-    own = members.filter(F.col("category").isin(list(subrules))).select("word", F.col("category").alias("parent"))
-    found = matches(definitions, flat).select("word", F.col("category").alias("subcategory"), parent_of[F.col("category")].alias("parent"))
-    found = found.join(own, ["word", "parent"], "left_semi")
-    rest = own.join(found, ["word", "parent"], "left_anti").withColumn("subcategory", F.concat("parent", F.lit("-general")))
-    return found.unionByName(rest).select("parent", "subcategory", "word")
+    own = members.filter(F.col("category").isin(list(subrules))).groupBy("word").agg(F.collect_set("category").alias("parents"))
+    return _placed(own.join(word_hits(definitions, flat), "word", "left"), flat, 0, subrules)
+
+
+def classify(definitions: DataFrame, rules: tuple[Rule, ...] = RULES, subrules: dict[str, tuple[Rule, ...]] = SUBRULES) -> DataFrame:
+    """C1 and C2 in one scan: (parent, subcategory, word) of all words of the definitions that are in a category with sub-rules."""
+    flat = tuple(Rule(f"{p}-{r.name}", p, r.keywords) for p, own in subrules.items() for r in own)
+    found = word_hits(definitions, rules + flat)
+    return _placed(found.withColumn("parents", _names(F.col("hits"), rules, range(len(rules)))), flat, len(rules), subrules)
+
+
+def _placed(found: DataFrame, flat: tuple[Rule, ...], before: int, subrules: dict[str, tuple[Rule, ...]]) -> DataFrame:
+    """The sub-categories of words (word, parents, hits); the rules in flat begin at the place `before` among the hits."""
+    at, places = before, []
+    padded = (Rule("", "", ()),) * before + flat
+    for parent, rules in subrules.items():
+        names = _names(F.col("hits"), padded, range(at, at + len(rules)))
+        some = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(f"{parent}-general")))
+        places.append(F.when(F.array_contains("parents", parent), _under(parent, some)))
+        at += len(rules)
+    if not places:
+        return found.select(F.lit("").alias("parent"), F.lit("").alias("subcategory"), "word").limit(0)
+    return found.select("word", F.inline(F.flatten(F.array_compact(F.array(*places))))).select("parent", "subcategory", "word")
+
+
+def _under(parent: str, names: Column) -> Column:
+    return F.transform(names, lambda name: F.struct(F.lit(parent).alias("parent"), name.alias("subcategory")))
 
 
 def rule_orders(parent: str, rules: tuple[Rule, ...], kept: set[str]) -> dict[str, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.functions.text import level
@@ -32,6 +32,19 @@ def combine(wiktionary: DataFrame, cmu: DataFrame, wordnet: DataFrame, ranks: Da
     return rows.withColumn("definitions", tagged)
 
 
+def rank_list(spark: SparkSession, words: list[str]) -> DataFrame:
+    """(word, frequency_rank) of a list of words, the most frequent first; of a word that repeats the first place counts."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(words, 1):
+        places.setdefault(w, i)
+    return spark.createDataFrame(list(places.items()), "word string, frequency_rank int")
+
+
+def ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Rows with their word's rank, 0 where the list has none."""
+    return rows.join(ranks, "word", "left").withColumn("frequency_rank", F.coalesce("frequency_rank", F.lit(0)))
+
+
 def in_order(rows: DataFrame) -> DataFrame:
     """Ranked words by rank, then the others by word; rank 0 counts as none."""
     return rows.orderBy(F.when(F.col("frequency_rank") > 0, F.col("frequency_rank")).asc_nulls_last(), "word")
@@ -59,8 +72,3 @@ def normalize(records: DataFrame) -> dict[str, DataFrame]:
 def definition_order(rows: DataFrame, key: str, texts: str) -> DataFrame:
     """The members of an array with their places, from 1."""
     return rows.select(key, F.posexplode(texts).alias("i", "definition")).select(key, (F.col("i") + 1).alias("definition_order"), "definition")
-
-
-def row_ids(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Dense identifiers by a total order. One task numbers all rows: for reports, not for tables."""
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)))

@@ -1,4 +1,4 @@
-"""Calls to the outside behind plain functions: translation, replies, recordings.
+"""Calls to the outside behind plain functions: translation, replies, recordings.
 
 The callers pass the client in; nothing here opens a connection.
 """
@@ -6,9 +6,7 @@ The callers pass the client in; nothing here opens a connection.
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Callable, Iterator
-from fnmatch import fnmatchcase
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,6 +79,28 @@ def fetched_entry(reply: list[dict]) -> dict:
     }
 
 
+FETCHED = "word string, definitions array<struct<pos string, definition_en string>>, synonyms array<string>, problem string"
+
+
+def fetch_entries(words: DataFrame, fetch: Callable[[str], list[dict]]) -> DataFrame:
+    """What the client knows of each word of words (word), fetched by tasks, as rows of FETCHED.
+
+    A word that the client fails on has a row that tells the problem, so one failure stops nothing. Null words are left out.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for word in batch["word"]:
+                try:
+                    out.append(fetched_entry(fetch(word)) | {"word": word, "problem": None})
+                except Exception as e:  # noqa: BLE001  a client may raise anything
+                    out.append({"word": word, "definitions": None, "synonyms": None, "problem": str(e) or type(e).__name__})
+            yield pd.DataFrame(out, columns=["word", "definitions", "synonyms", "problem"])
+
+    return words.select("word").filter(F.col("word").isNotNull()).mapInPandas(rows, FETCHED)
+
+
 def recordings(audio: DataFrame) -> DataFrame:
     """Per word the first US and UK recording of (word, seq, url), and the one to play for each wish.
 
@@ -91,34 +111,3 @@ def recordings(audio: DataFrame) -> DataFrame:
     found = rows.groupBy("word").agg(pick(F.col("accent") == "us").alias("us"), pick(F.col("accent") == "uk").alias("uk"), pick(F.col("accent").isNull()).alias("other"))
     found = found.withColumn("us", F.coalesce("us", F.when(F.col("uk").isNull(), F.col("other"))))
     return found.select("word", "us", "uk", preferred_audio(F.col("us"), F.col("uk"), "US").alias("for_us"), preferred_audio(F.col("us"), F.col("uk"), "UK").alias("for_uk"))
-
-
-class Cache:
-    """Results by key for a while; only None is a miss. Keys should name the snapshot they come from."""
-
-    def __init__(self, clock: Callable[[], float] = time.monotonic):
-        self._clock, self._held = clock, {}
-        self.hits = self.misses = 0
-
-    def get_or_set(self, key: str, make: Callable[[], object], seconds: float) -> object:
-        value, until = self._held.get(key, (None, 0.0))
-        if value is not None and until > self._clock():
-            self.hits += 1
-            return value
-        self.misses += 1
-        value = make()
-        if value is not None:
-            self._held[key] = value, self._clock() + seconds
-        return value
-
-    def drop(self, pattern: str) -> int:
-        """Forgets the keys that match a pattern with * and ?; their number."""
-        gone = [k for k in self._held if fnmatchcase(k, pattern)]
-        for k in gone:
-            del self._held[k]
-        return len(gone)
-
-    def ratio(self) -> float:
-        """Hits in percent."""
-        total = self.hits + self.misses
-        return 100.0 * self.hits / total if total else 0.0

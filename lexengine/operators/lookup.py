@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,8 @@ def last_wins(rows: DataFrame, key: list[str], name: str, value: str, order: lis
 
 def first_match(rows: DataFrame, key: str, wanted: Column, order: list[str]) -> DataFrame:
     """Per key the first row that is wanted, else the first one."""
-    by = Window.partitionBy(key).orderBy(F.when(wanted, 0).otherwise(1), *order)
-    return rows.withColumn("_place", F.row_number().over(by)).filter("_place = 1").drop("_place")
+    best = F.min_by(F.struct("*"), F.struct(F.when(wanted, 0).otherwise(1).alias("unwanted"), *order))
+    return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
 
 
 def lookup(words: DataFrame, definitions: DataFrame, examples: DataFrame, pronunciations: DataFrame, forms: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -34,6 +34,13 @@ def residue(rows: DataFrame, column: str, markers: tuple[str, ...] = TEMPLATE_MA
     return rows.filter(contains_any(F.col(column), markers))
 
 
+def example_worklist(examples: DataFrame, definitions: DataFrame, words: DataFrame, limit: int | None = None) -> DataFrame:
+    """Examples without a translation, those of the most frequent words first; words without a rank come last."""
+    parents = definitions.select(F.col("id").alias("definition_id"), "word_id").join(words.select(F.col("id").alias("word_id"), "word", "frequency_rank"), "word_id", "left")
+    missing = examples.filter(F.col("example_vi").isNull() & F.col("example_en").isNotNull()).join(parents, "definition_id", "left")
+    return worklist(missing, F.lit(True), [F.col("frequency_rank").asc_nulls_last(), "definition_id", "id"], limit)
+
+
 def worklist(rows: DataFrame, missing: Column, order: list, limit: int | None = None) -> DataFrame:
     """Rows that lack something, the most important first."""
     found = rows.filter(missing).orderBy(*order)

@@ -41,13 +41,30 @@ def autocomplete(indexed: DataFrame, prefix: str, limit: int = 15, rank_first: b
 
 
 def suggestions(indexed: DataFrame, prefix: str, limit: int = 15) -> DataFrame:
-    """Autocomplete, or words of the fixed list if there is no hit; (word)."""
+    """Autocomplete, or words of the fixed list if there is no hit; (word).
+
+    Nothing runs before the rows are taken: the fixed words are joined against the hits, which are `limit` at most.
+    """
     found = autocomplete(indexed, prefix, limit).select("word")
     wanted = prefix.strip().lower()
     fixed = [(w,) for w in COMMON_WORDS if wanted and w.startswith(wanted)][:limit]
-    if not found.isEmpty() or not fixed:
+    if not fixed:
         return found
-    return indexed.sparkSession.createDataFrame(fixed, "word string")
+    any_hit = F.broadcast(found.limit(1).select(F.lit(1).alias("hit")))
+    rest = indexed.sparkSession.createDataFrame(fixed, "word string").withColumn("hit", F.lit(1))
+    return found.unionByName(rest.join(any_hit, "hit", "left_anti").select("word"))
+
+
+def hydrate(hits: DataFrame, pronunciations: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Each hit with its sounds (the first US ones, else the first) and its first definition's part of speech.
+
+    Hits are few, so they are broadcast to the child tables, which are aggregated for those words only.
+    """
+    wanted = F.broadcast(hits.select(F.col("id").alias("word_id")).distinct())
+    sound = pronunciations.join(wanted, "word_id", "left_semi").groupBy("word_id").agg(F.min_by("ipa", F.struct((F.col("accent") != "US").alias("other"), "id")).alias("ipa"))
+    sense = definitions.join(wanted, "word_id", "left_semi").groupBy("word_id").agg(F.min_by("part_of_speech", F.struct("definition_order", "id")).alias("pos"))
+    found = hits.join(sound, hits.id == sound.word_id, "left").drop("word_id")
+    return found.join(sense, found.id == sense.word_id, "left").drop("word_id")
 
 
 def category_autocomplete(categories: DataFrame, prefix: str, limit: int = 15) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexengine.functions import text
-from lexengine.operators import catalog, classify, combine, lookup, mutate, quality, search
+from lexengine.functions import checks, text
+from lexengine.operators import catalog, classify, combine, extern, lookup, mutate, quality, search
 from lexengine.plans import adapters
 from lexengine.plans.adapters import table
-from lexengine.sources import wordnet
+from lexengine.session import scratch_dir
+from lexengine.sources import cmudict, records, wiktionary, wordnet
 
 QUERIES = {}
 
@@ -123,7 +124,7 @@ def index_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return classify.categorize(adapters.document_words(spark, d), adapters.definitions(spark, d))
+    return classify.categorize(None, adapters.definitions(spark, d))
 
 
 @query
@@ -133,7 +134,7 @@ def categorize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def categorize_others(spark: SparkSession, d: str) -> DataFrame:
-    return classify.uncategorized(adapters.document_words(spark, d), classify.matches(adapters.definitions(spark, d), classify.RULES))
+    return _members(spark, d).filter(F.col("category") == classify.OTHERS).select("word")
 
 
 @query
@@ -158,7 +159,14 @@ def categorized_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def subcategorize(spark: SparkSession, d: str) -> DataFrame:
-    return classify.subcategorize(_members(spark, d), adapters.definitions(spark, d))
+    return classify.classify(adapters.definitions(spark, d))
+
+
+@query
+def subcategorize_members(spark: SparkSession, d: str) -> DataFrame:
+    """C2 over memberships that are there already."""
+    chosen = {p: classify.SUBRULES[p] for p in ("water", "time")}
+    return classify.subcategorize(_members(spark, d), adapters.definitions(spark, d), chosen)
 
 
 # --- sources ------------------------------------------------------------------------------------
@@ -166,10 +174,10 @@ def subcategorize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def synonyms_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct partners of each word over its synsets, by a self-join on the synset (a synset is small)."""
-    own = adapters.synsets(spark, d)
-    other = own.select("synset", F.col("word").alias("synonym"))
-    return own.join(other, "synset").filter("word <> synonym").groupBy("word").agg(F.countDistinct("synonym").alias("synonyms"))
+    """Distinct partners of each word over its synsets."""
+    sets = adapters.synsets(spark, d).groupBy("synset").agg(F.collect_list(F.col("word").cast("string")).alias("words"))
+    found = wordnet.synonyms(sets.select(F.lit("noun").alias("pos"), F.col("synset").alias("line"), "words"))
+    return found.select(F.col("word").cast("long").alias("word"), F.size("synonyms").cast("long").alias("synonyms")).filter("synonyms > 0")
 
 
 @query
@@ -212,14 +220,15 @@ def level_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def frequency_order(spark: SparkSession, d: str) -> DataFrame:
-    return combine.in_order(adapters.words(spark, d)).limit(20).select("id", "word", "frequency_rank")
+    return combine.in_order(adapters.words(spark, d)).select("id", "word", F.coalesce("frequency_rank", F.lit(-1)).alias("frequency_rank"))
 
 
 @query
 def inflection_classifier(spark: SparkSession, d: str) -> DataFrame:
     tokens = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("form"))
-    kinds = tokens.select(F.coalesce(text.inflection(F.col("form"), F.lit("verb")), F.lit("none")).alias("kind"))
-    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    forms = tokens.groupBy("form").agg(F.count(F.lit(1)).alias("n")).select("form", "n", F.explode(F.array(*map(F.lit, wordnet.PARTS_OF_SPEECH))).alias("pos"))
+    kinds = forms.select("pos", F.coalesce(text.inflection(F.col("form"), F.col("pos")), F.lit("none")).alias("kind"), "n")
+    return kinds.groupBy("pos", "kind").agg(F.sum("n").alias("n"))
 
 
 @query
@@ -333,14 +342,15 @@ def lookup_flat(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def import_skip_existing(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with orders are there already; all customers come in."""
     rows = table(spark, d, "customer").select("c_custkey", "c_name")
-    new = rows.select((F.col("c_custkey") + 100).alias("c_custkey"), "c_name")
-    return mutate.insert_missing(rows.filter("c_custkey % 3 <> 0"), new, ["c_name"])
+    there = rows.join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return mutate.insert_missing(there, rows.select((F.col("c_custkey") + 100).alias("c_custkey"), "c_name"), ["c_name"])
 
 
 @query
 def add_words_outcome(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("string").alias("word"), F.col("c_custkey").alias("word_id"))
+    words = table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("word"), F.col("c_custkey").alias("word_id"))
     own = table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("word_id"))
     requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("word"))
     return mutate.outcome_counts(mutate.add_outcomes(requests, words, own))
@@ -401,3 +411,278 @@ def cache_ratio(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select(first.alias("miss"))
     hits = F.sum(F.when(F.col("miss"), 0).otherwise(1))
     return log.agg(hits.alias("hits"), F.sum(F.col("miss").cast("int")).alias("misses"), F.round(hits * 100.0 / F.count(F.lit(1)), 1).alias("ratio"))
+
+
+# --- more of the lexicon --------------------------------------------------------------------------
+
+
+@query
+def category_list_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """T4: the first page of the list by display order and display name."""
+    return catalog.in_display_order(adapters.categories(spark, d), "id").limit(checks.limit("10")).select("id", "name", F.coalesce("display_order", F.lit(-1)).alias("display_order"))
+
+
+@query
+def category_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """by id, by name, and none."""
+    rows = adapters.categories(spark, d)
+    found = [catalog.resolve(rows, x).select(F.lit(x).alias("reference"), "id", "name") for x in ("1003", "ASIA", "NOWHERE")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _placed_members(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("category_id"), F.col("c_custkey").alias("word_id"), F.length("c_mktsegment").alias("display_order"))
+
+
+@query
+def category_page_full(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a category with nested words and the page's numbers."""
+    name = "NATION_3"
+    found = catalog.category_page(adapters.categories(spark, d), _placed_members(spark, d), adapters.words(spark, d), adapters.word_definitions(spark, d), name, "2", "10")
+    digest = F.md5(F.array_join(F.transform("definitions", lambda x: F.concat(x.part_of_speech, x.definition_en)), ","))
+    return found.select("category", "word_id", "word", "display_order", F.coalesce(F.size("definitions"), F.lit(0)).cast("long").alias("definitions"), F.coalesce(digest, F.lit("")).alias("digest"), "total", "total_pages", "has_more")
+
+
+@query
+def category_members_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """T5: words of a category by the display order of the membership, across the join, then by word."""
+    rows = _placed_members(spark, d).filter("category_id = 5").join(adapters.words(spark, d).select(F.col("id").alias("word_id"), "word"), "word_id")
+    return catalog.page(rows, ["display_order", "word", "word_id"], 1, 20).select("word_id", "word", "display_order")
+
+
+@query
+def word_autocomplete_hydrated(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions with their sound and part of speech."""
+    hits = search.autocomplete(_customer_index(spark, d), "customer#0000001", checks.limit(None))
+    found = search.hydrate(hits, adapters.word_pronunciations(spark, d), adapters.word_definitions(spark, d))
+    return found.select("id", "word", F.coalesce("ipa", F.lit("")).alias("ipa"), F.coalesce("pos", F.lit("")).alias("pos"))
+
+
+@query
+def autocomplete_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """No hit gives the fixed words, a hit gives none of them."""
+    index = _customer_index(spark, d)
+    found = [search.suggestions(index, p, 2).select(F.lit(p).alias("prefix"), "word") for p in ("hel", "customer#00000000", "zzz")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def collation_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty of mixed-case names in the order of a collation."""
+    name = F.when(F.col("c_nationkey") < 12, F.lower("c_mktsegment")).otherwise(F.initcap("c_mktsegment"))
+    rows = table(spark, d, "customer").select(F.concat(name, F.col("c_custkey").cast("string")).alias("name"), "c_custkey")
+    return rows.orderBy(text.collated(F.col("name")), "c_custkey").limit(20)
+
+
+@query
+def try_cast_ids(spark: SparkSession, d: str) -> DataFrame:
+    """M2: what is a number and what is none."""
+    raw = F.when(F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", F.coalesce(text.to_int(raw), F.lit(-1)).alias("number"))
+
+
+@query
+def map_merge(spark: SparkSession, d: str) -> DataFrame:
+    """M7: the entries of two maps, the right one's first."""
+    left = F.create_map(F.lit("a"), "o_orderstatus", F.lit("b"), F.lit("left"))
+    right = F.create_map(F.lit("b"), "o_orderpriority", F.lit("c"), F.lit("right"))
+    both = text.merge_maps(left, right)
+    return table(spark, d, "orders").select("o_orderkey", F.size(both).cast("long").alias("n"), *[both[k].alias(k) for k in "abc"])
+
+
+@query
+def rank_list(spark: SparkSession, d: str) -> DataFrame:
+    """Places in a list of words, 0 for others."""
+    ranks = combine.rank_list(spark, ["nation_7", "nation_3", "nation_7", "nation_11"])
+    return combine.ranked(table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("word")), ranks).select("n_nationkey", "frequency_rank")
+
+
+@query
+def request_record(spark: SparkSession, d: str) -> DataFrame:
+    """One record from a request, normalised, appended to the definitions that are there."""
+    record = {"word": "NATION_3", "language": "en", "definitions": [("noun", "a land", None, [("It is a land.", None)]), ("noun", "a place", None, [])], "synonyms": ["country"]}
+    entry = combine.normalize(records.from_request(spark, record).withColumn("word", F.lower("word")))
+    there = adapters.word_definitions(spark, d).select("part_of_speech", "definition_en")
+    new = entry["definitions"].select("part_of_speech", "definition_en")
+    after = mutate.import_entry({"definitions": there}, {"definitions": new})["definitions"]
+    return after.groupBy("part_of_speech", "definition_en").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def import_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """A row per outcome of an import: there already, new, rejected."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    there = rows.join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    problem = F.when(F.col("c_acctbal") < 0, "negative balance")
+    after, rejects = mutate.import_valid(there, rows, ["c_name"], problem)
+    return after.select("c_custkey", F.lit("kept").alias("outcome")).unionByName(rejects.select("c_custkey", F.col("problem").alias("outcome")))
+
+
+@query
+def create_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Segments and regions as new categories; known names and repeats are conflicts."""
+    asked = table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("seq"))
+    more = table(spark, d, "region").select(F.col("r_name").alias("name"), (F.col("r_regionkey") + 1_000_000_000).cast("long").alias("seq"))
+    outcomes = mutate.create_outcomes(adapters.categories(spark, d), asked.unionByName(more), ["name"], "conflict")
+    return outcomes.groupBy("name", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def seed_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Nations and segments are seeded with customers as words."""
+    customer = table(spark, d, "customer")
+    known = adapters.categories(spark, d).select(F.col("id").cast("long").alias("id"), "name").filter("id < 12")
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    seeds = customer.join(nation, "c_nationkey").select(F.col("c_custkey").alias("seq"), (F.col("c_nationkey") + 5000).cast("long").alias("id"), F.col("n_name").alias("name"), F.col("c_name").alias("word"))
+    members = customer.filter("c_acctbal < 0").select(F.col("c_nationkey").cast("long").alias("category_id"), F.col("c_custkey").alias("word_id"))
+    words = customer.select(F.col("c_name").alias("word"), F.col("c_custkey").alias("word_id"))
+    grown, after, outcomes = mutate.seed_categories(known, members, seeds, words)
+    per = after.groupBy("category_id").agg(F.count(F.lit(1)).alias("words"))
+    found = grown.join(outcomes.select("name", "status"), "name", "left").join(per, F.col("id") == F.col("category_id"), "left")
+    return found.select("id", "name", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("words", F.lit(0).cast("long")).alias("words"))
+
+
+@query
+def remove_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the wish to remove a customer from those with a debt."""
+    own = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("word_id"))
+    asked = table(spark, d, "orders").select(F.col("o_custkey").alias("word_id"))
+    left = mutate.delete_rows(own, asked, ["word_id"]).select(F.lit("left").alias("status"))
+    return mutate.outcome_counts(mutate.remove_outcomes(own, asked, ["word_id"]).select("status").unionByName(left))
+
+
+@query
+def upsert_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules overwrite what is known of their categories, and obsolete categories without a rule go."""
+    known = adapters.categories(spark, d).select("name", "topic")
+    rules = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("name"), F.lit("overwritten").alias("topic"))
+    more = rules.unionByName(table(spark, d, "part").select(F.col("p_brand").alias("name"), F.lit("brand").alias("topic")).distinct())
+    return mutate.delete_obsolete(mutate.upsert(known, more, ["name"]), ["AFRICA", "NATION_1", "NATION_2"], more)
+
+
+@query
+def stamped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """M4: times of creation are kept, times of change are set; the time is given here."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("created_at"))
+    return mutate.stamped(rows, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query
+def recordings(spark: SparkSession, d: str) -> DataFrame:
+    """The recordings to play for each word."""
+    found = extern.recordings(adapters.recordings(spark, d))
+    return found.select("word", *[F.coalesce(c, F.lit("")).alias(c) for c in ("us", "uk", "for_us", "for_uk")])
+
+
+@query
+def audio_write_back(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings that were found fill pronunciations that have none."""
+    found = extern.recordings(adapters.recordings(spark, d)).select(F.col("word").alias("word_id"), F.col("for_us").alias("audio_url"))
+    filled = mutate.write_back(adapters.word_pronunciations(spark, d), found, "word_id", "audio_url")
+    return filled.select("id", F.coalesce("audio_url", F.lit("")).alias("audio_url"))
+
+
+def _stub(word: str) -> list[dict]:
+    """Stands for a dictionary service: it knows the words that do not end in a zero."""
+    if word.endswith("0"):
+        raise LookupError("No Definitions Found")
+    senses = [{"definition": f"{word} {i}"} for i in range(3)]
+    return [{"word": word, "meanings": [{"partOfSpeech": p, "definitions": senses, "synonyms": ["a", p]} for p in ("noun", "verb", "adj", "adv")]}]
+
+
+@query
+def fetched_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries from a client, cut to a few meanings, and failures as rows."""
+    found = extern.fetch_entries(adapters.words(spark, d), _stub)
+    zero = F.lit(0).cast("long")
+    said = F.md5(F.array_join(F.transform("definitions", lambda x: F.concat(x.pos, F.lit(":"), x.definition_en)), ","))
+    return found.select("word", F.coalesce(F.size("definitions").cast("long"), zero).alias("definitions"), F.coalesce(said, F.lit("")).alias("digest"), F.coalesce(F.array_join("synonyms", ","), F.lit("")).alias("synonyms"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
+def _refuses(text: str) -> str:
+    if text.startswith("1"):
+        raise ConnectionError("primary is down")
+    return f"first {text}"
+
+
+@query
+def translate_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without a translation go to a service, and to another one where that fails."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderstatus") == "F", F.lit("there")).alias("vi"))
+    return extern.translate_missing(rows, "o_orderpriority", "vi", extern.with_fallback(_refuses, lambda t: f"second {t}")).select("o_orderkey", "vi")
+
+
+@query
+def example_worklist(spark: SparkSession, d: str) -> DataFrame:
+    """The first examples without a translation by the rank of their word."""
+    found = quality.example_worklist(adapters.word_examples(spark, d).distinct(), adapters.word_definitions(spark, d), adapters.words(spark, d), 50)
+    return found.select("definition_id", "id", "word", F.coalesce("frequency_rank", F.lit(-1)).alias("frequency_rank"))
+
+
+@query
+def lookup_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Every word with all its children."""
+    found = lookup.lookup(
+        adapters.words(spark, d), adapters.word_definitions(spark, d), adapters.word_examples(spark, d), adapters.word_pronunciations(spark, d), adapters.word_forms(spark, d), adapters.word_synonyms(spark, d)
+    )
+    return found.select("id", "word", *_said_of(found))
+
+
+def _said_of(found: DataFrame) -> list:
+    n = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(0).cast("long"))
+    examples = F.aggregate(F.transform("definitions", lambda x: n(x.examples)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return [
+        n("definitions").alias("definitions"), F.coalesce(examples, F.lit(0).cast("long")).alias("examples"), n("pronunciations").alias("pronunciations"), n("synonyms").alias("synonyms"), n("word_forms").alias("forms"),
+        F.md5(F.coalesce(F.array_join(F.transform("definitions", lambda x: x.definition_en), ","), F.lit(""))).alias("digest"), F.coalesce(F.col("word_forms")["click"], F.lit("")).alias("click"),
+    ]
+
+
+@query
+def word_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One word, by its normalised form."""
+    word = lookup.find_word(adapters.words(spark, d), "customer#000000007")
+    found = lookup.lookup(word, adapters.word_definitions(spark, d), adapters.word_examples(spark, d), adapters.word_pronunciations(spark, d), adapters.word_forms(spark, d), adapters.word_synonyms(spark, d))
+    return found.select("id", "word", *_said_of(found))
+
+
+@query
+def cmudict_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that were written as text files, read in file order and parsed."""
+    return cmudict.parse(adapters.cmudict_lines(spark, d))
+
+
+@query
+def wordnet_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Synset and exception files, read and parsed."""
+    folder = adapters.wordnet_files(spark, d)
+    found = wordnet.parse(wordnet.read_synsets(spark, folder), wordnet.read_exceptions(spark, folder))
+    return found.select("word", F.coalesce(F.size("synonyms").cast("long"), F.lit(-1).cast("long")).alias("synonyms"), F.coalesce(F.array_min("synonyms"), F.lit("")).alias("first"), F.coalesce(F.col("word_forms")["plural"], F.lit("")).alias("plural"))
+
+
+@query
+def wiktionary_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of an XML dump, read and parsed."""
+    found = wiktionary.parse(adapters.wiktionary_pages(spark, d))
+    said = F.array_join(F.transform("definitions", lambda x: F.concat(x.pos, F.lit(":"), x.definition_en, F.lit(":"), F.array_join(F.transform(x.examples, lambda e: e.en), "/"))), ";")
+    return found.select("word", said.alias("definitions"), F.array_join(F.transform("pronunciations", lambda p: F.concat(p.accent, p.ipa)), ",").alias("pronunciations"))
+
+
+@query
+def combine_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The three corpora merged by word."""
+    found = adapters.merged_entries(spark, d)
+    n = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(-1).cast("long"))
+    return found.select("word", n("pronunciations").alias("pronunciations"), n("definitions").alias("definitions"), n("synonyms").alias("synonyms"), F.coalesce(F.get("definitions", F.lit(0))["level"], F.lit("")).alias("level"), "frequency_rank")
+
+
+@query
+def normalize_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The merged entries written and read as JSON, and the rows of each table that they make."""
+    path = scratch_dir(spark)
+    records.write_json(adapters.merged_entries(spark, d), path)
+    tables = combine.normalize(records.read_json(spark, path))
+    found = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        found = one if found is None else found.unionByName(one)
+    return found.unionByName(records.truncated(found))

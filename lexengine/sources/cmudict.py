@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.functions.text import arpabet_to_ipa, strip
 
 
+def file_order() -> Column:
+    """The place of a line: its file, the part of the file that a task reads, and its number there."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("number"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): text lines in file order."""
-    return spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), "value")
+    """(line, value): text lines in the order of file names and of the lines in a file; line is any value that sorts so."""
+    return spark.read.text(path).select(file_order().alias("line"), "value")
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -26,6 +31,7 @@ def parse(lines: DataFrame) -> DataFrame:
     variant = F.col("raw").rlike(r"^[A-Z'-]+\(\d+\)\z")
     rows = rows.withColumns({"variant": variant, "word": F.lower(F.when(variant, F.regexp_extract("raw", r"^([A-Z'-]+)\(", 1)).otherwise(F.col("raw")))})
     rows = rows.filter(F.col("word").rlike(r"^[a-z'-]+\z"))
-    best = Window.partitionBy("word").orderBy("variant", F.when(F.col("variant"), F.col("line")).otherwise(-F.col("line")))
-    first = rows.withColumn("place", F.row_number().over(best)).filter("place = 1")
+    plain = F.max_by(F.when(~F.col("variant"), F.col("pronunciation")), F.when(~F.col("variant"), F.col("line")))
+    other = F.min_by(F.when(F.col("variant"), F.col("pronunciation")), F.when(F.col("variant"), F.col("line")))
+    first = rows.groupBy("word").agg(F.coalesce(plain, other).alias("pronunciation"))
     return first.select("word", "pronunciation", arpabet_to_ipa(F.col("pronunciation")).alias("ipa"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.functions.text import inflection, strip
+from lexengine.sources.cmudict import file_order
 
 PARTS_OF_SPEECH = ("noun", "verb", "adj", "adv")
 
@@ -23,8 +24,9 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        found.append(rows.select(F.lit(pos).alias("pos"), F.monotonically_increasing_id().alias("line"), "value"))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "pos string, line bigint, value string")
+        found.append(rows.select(F.lit(pos).alias("pos"), file_order().alias("line"), "value"))
+    line = "struct<file_path:string,file_block_start:bigint,number:bigint>"
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"pos string, line {line}, value string")
 
 
 def read_synsets(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,16 +36,6 @@ def test_recordings(spark):
     assert got == {"a": (None, "x-uk.mp3", "x-uk.mp3", "x-uk.mp3"), "b": ("y.mp3", None, "y.mp3", "y.mp3"), "c": ("1-us.mp3", None, "1-us.mp3", "1-us.mp3")}
 
 
-def test_cache():
-    now = [0.0]
-    cache = extern.Cache(lambda: now[0])
-    assert [cache.get_or_set("dict:a", lambda: 0, 10) for _ in range(2)] == [0, 0] and (cache.hits, cache.misses) == (1, 1)
-    now[0] = 11
-    cache.get_or_set("dict:a", lambda: 1, 10)
-    assert cache.misses == 2 and cache.drop("dict:*") == 1 and cache.drop("x*") == 0
-    assert round(cache.ratio(), 1) == 33.3 and extern.Cache().ratio() == 0
-
-
 def test_windowed_counts_in_a_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     batch = windowed_counts(events)
@@ -54,3 +44,13 @@ def test_windowed_counts_in_a_stream(spark, tmp_path):
     running = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     running.awaitTermination()
     assert spark.table("counts").selectExpr("sum(n)").first()[0] == batch.selectExpr("sum(n)").first()[0] == events.count()
+
+
+def test_fetching_tells_failures(spark):
+    def fetch(word):
+        if word == "bad":
+            raise KeyError("gone")
+        return [{"word": word, "meanings": []}]
+
+    rows = extern.fetch_entries(spark.createDataFrame([("a",), ("bad",), (None,)], "word string"), fetch).collect()
+    assert sorted((r.word, r.definitions, r.problem) for r in rows) == [("a", [], None), ("bad", None, "'gone'")]

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from lexengine.operators import catalog, classify, lookup, mutate, quality, search
+from lexengine.functions import checks
+from lexengine.operators import catalog, classify, combine, lookup, mutate, quality, search
 
 
 def words(spark, rows):
@@ -93,3 +95,61 @@ def test_parent_set_null(spark):
     children = spark.createDataFrame([(1, 7), (2, 8)], "id int, parent_id int")
     parents = spark.createDataFrame([(7,)], "id int")
     assert sorted(map(tuple, mutate.orphan(children, parents, "parent_id").collect())) == [(1, 7), (2, None)]
+
+
+def test_requests_are_checked():
+    assert [checks.limit(x) for x in (None, "", "7", 50)] == [15, 15, 7, 50] and checks.page("2", None) == (2, 20)
+    for bad in (0, 51, "x", True, 1.5):
+        with pytest.raises(ValueError, match="limit"):
+            checks.limit(bad)
+
+
+def test_references(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "1b")], "id int, name string")
+    assert catalog.required(rows, "1").first().name == "a" and catalog.required(rows, "1b").first().id == 2
+    with pytest.raises(checks.NotFoundError):
+        catalog.required(rows, "zzz")
+
+
+def test_creating_and_removing(spark):
+    rows = spark.createDataFrame([(1, "a")], "id int, name string")
+    assert mutate.create_unique(rows, spark.createDataFrame([(2, "b")], "id int, name string"), ["name"]).count() == 2
+    for bad in ([(2, "a")], [(2, "b"), (3, "b")]):
+        with pytest.raises(checks.ConflictError):
+            mutate.create_unique(rows, spark.createDataFrame(bad, "id int, name string"), ["name"])
+    assert mutate.remove_one(rows, F.col("name") == "a").count() == 0
+    with pytest.raises(checks.NotFoundError):
+        mutate.remove_one(rows, F.col("name") == "b")
+    seen = {r.name: r.status for r in mutate.remove_outcomes(rows, spark.createDataFrame([("a",), ("b",)], "name string"), ["name"]).collect()}
+    assert seen == {"a": "removed", "b": "not_found"}
+
+
+def test_stamps(spark):
+    row = mutate.stamped(spark.createDataFrame([(1,)], "id int")).first()
+    assert row.created_at == row.updated_at and row.created_at is not None
+
+
+def test_many_keywords_and_edges(spark):
+    rules = tuple(classify.Rule(f"r{i}", "t", (f"key{i:04}x", "")) for i in range(130))
+    rows = [("w", "KEY0000X and key0129x"), ("w", "key0129x"), ("v", None), (None, "key0007x"), ("u", "")]
+    found = classify.categorize(None, spark.createDataFrame(rows, "word string, definition_en string"), rules).collect()
+    assert sorted((r.word or "", r.category) for r in found) == [("", "r7"), ("u", "others"), ("v", "others"), ("w", "r0"), ("w", "r129")]
+    empty = spark.createDataFrame([], "word string, definition_en string")
+    assert classify.categorize(None, empty, rules).count() == 0 and classify.classify(empty).count() == 0
+    assert classify.categorize(None, spark.createDataFrame(rows[:1], "word string, definition_en string"), ()).first().category == "others"
+
+
+def test_one_scan_classifies(spark):
+    plan = classify.classify(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS word", "text AS definition_en"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_first_match_keeps_the_row(spark):
+    rows = spark.createDataFrame([(1, 3, "b"), (1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "k int, seq int, kind string")
+    assert sorted(map(tuple, lookup.first_match(rows, "k", F.col("kind") == "b", ["seq"]).collect())) == [(1, 2, "b"), (2, 1, "a")]
+
+
+def test_ranks(spark):
+    ranks = combine.rank_list(spark, ["b", "a", "b"])
+    found = combine.ranked(spark.createDataFrame([("a",), ("b",), ("c",)], "word string"), ranks)
+    assert {r.word: r.frequency_rank for r in found.collect()} == {"a": 2, "b": 1, "c": 0}

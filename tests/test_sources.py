@@ -81,3 +81,19 @@ def test_combine_and_normalize(spark, tmp_path):
     records.write_json(rows, str(tmp_path / "j"))
     assert records.read_json(spark, str(tmp_path / "j")).count() == 2
     assert records.read_json(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_files_are_read_in_order(spark, tmp_path):
+    folder = tmp_path / "dict"
+    folder.mkdir()
+    (folder / "part-1.txt").write_text("DOG  D AO1 G\nDOG  D AA1 G\n")
+    (folder / "part-0.txt").write_text("DOG  K AE1 T\n" * 2000)
+    assert cmudict.parse(cmudict.read_lines(spark, str(folder))).first().pronunciation == "D AA1 G"
+
+
+def test_json_forms(spark, tmp_path):
+    (tmp_path / "array.json").write_text('[\n {"word": "a"},\n {"word": "b"}\n]\n')
+    (tmp_path / "lines.json").write_text('{"word": "a"}\n{"word": "b"}\n{"word": "c"}\n')
+    (tmp_path / "empty.json").write_text("")
+    assert [records.read_json(spark, str(tmp_path / f"{n}.json")).count() for n in ("array", "lines", "empty")] == [2, 3, 0]
+    assert records.from_request(spark, {"word": "x", "synonyms": ["y"]}).first().synonyms == ["y"]

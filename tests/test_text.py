@@ -42,3 +42,11 @@ def test_audio(spark):
     rows = [("a-us.mp3", "US"), ("x/uk/y.mp3", "UK"), ("z.mp3", None)]
     assert [r[0] for r in values(spark, rows, text.audio_accent(F.col("a")))] == ["us", "uk", None]
     assert values(spark, [(None, "k"), ("s", "k")], text.preferred_audio(F.col("a"), F.col("b"), "US")) == [("k",), ("s",)]
+
+
+def test_maps_numbers_and_collation(spark):
+    pairs = spark.createDataFrame([({"a": "1", "b": "1"}, {"b": "2"}), (None, {"x": "y"}), ({"x": "y"}, None)], "l map<string,string>, r map<string,string>")
+    assert [r[0] for r in pairs.select(text.merge_maps(F.col("l"), F.col("r"))).collect()] == [{"a": "1", "b": "2"}, {"x": "y"}, {"x": "y"}]
+    assert values(spark, [("12", ""), ("1x", ""), (None, "")], text.to_int(F.col("a"))) == [(12,), (None,), (None,)]
+    names = spark.createDataFrame([(c,) for c in "BaAfébcd"], "a string").orderBy(text.collated(F.col("a"))).collect()
+    assert "".join(r.a for r in names) == "aABbcdéf".replace("Bb", "bB")
