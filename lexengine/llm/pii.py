@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are entities of four kinds that fixed patterns find. The words around a seed induce lexical
-patterns: its two words to the left, and its left and right word. Spark counts how often each pattern occurs in the
+patterns: its left word, its two left words, and its left and right word; in these words digits count as one digit and
+words with an @ as one word. Spark counts how often each pattern occurs in the
 whole corpus and which identifier-like tokens it holds, and scores the graph of patterns and
 instances iteratively: a pattern is as good as the instances in its slot, an instance as good as the
-patterns that hold it. Instances that patterns of high confidence hold are found anew; they become spans of
+patterns that hold it. Instances that patterns of high confidence hold are found anew; they become seeds in their turn:
+the contexts of all their places induce further patterns, until no instance is new. What was found becomes spans of
 the pattern's kind, beside the base spans, which all stay.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -92,19 +95,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _lexical(word: str) -> str | None:
-    """Words of contexts are lower-cased; words with digits or the mark between words and very long ones are no lexical context."""
-    return None if len(word) > MAX_CONTEXT or "\x1f" in word or _DIGIT.search(word) or "@" in word else word.lower()
+    """A word of a context, in lower case, with digits alike; words with the mark between words and very long ones are no context."""
+    if "@" in word:
+        return "@"
+    return None if len(word) > MAX_CONTEXT or "\x1f" in word else _DIGIT.sub("0", word.lower())
 
 
 def contexts(left: list[str], right: str | None) -> list[str]:
-    """The patterns of a slot: its two left words, and its left and right word."""
+    """The patterns of a slot: its left word, its two left words, and its left and right word."""
     near = [_lexical(w) for w in left]
     after = None if right is None else _lexical(right)
     found = []
-    if len(near) == 2 and None not in near:
-        found.append("\x1f".join(("left", *near)))
-    if near and near[-1] is not None and after is not None:
-        found.append("\x1f".join(("around", near[-1], after)))
+    if near and near[-1] is not None:
+        found.append("\x1f".join(("before", near[-1])))
+        if len(near) == 2 and near[0] is not None:
+            found.append("\x1f".join(("left", *near)))
+        if after is not None:
+            found.append("\x1f".join(("around", near[-1], after)))
     return found
 
 
@@ -158,28 +165,53 @@ _SLOTS = pa.schema([("pattern", pa.string()), ("doc_id", pa.int64()), ("text_key
 
 
 def induce(seeds: DataFrame) -> DataFrame:
-    """Patterns (pattern, kind, seeds) that surround enough seeds, whatever the number of all seeds.
+    """Patterns (pattern, kind, seeds) that surround enough different seeds, whatever the number of all seeds.
 
-    A pattern that surrounds seeds of several kinds stands for the most frequent of them.
+    A pattern that surrounds seeds of several kinds stands for the most frequent of them. The column seeds counts
+    base entities alone; instances that were found are counted where their places are scored.
     """
-    by_form = seeds.groupBy("pattern", "kind", "form").agg(F.count(F.lit(1)).alias("seeds"))
-    by_kind = by_form.groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"), F.count(F.lit(1)).alias("forms"))
+    by_form = seeds.groupBy("pattern", "kind", "form").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("base").cast("int")).alias("seeds"))
+    by_kind = by_form.groupBy("pattern", "kind").agg(F.sum("all").alias("all"), F.sum("seeds").alias("seeds"), F.count(F.lit(1)).alias("forms"))
     enough = by_kind.filter(F.col("forms") >= MIN_SEEDS)
-    best = enough.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("kind"))).alias("b"))
+    best = enough.groupBy("pattern").agg(F.max(F.struct("all", (-F.col("kind")).alias("kind"), "seeds")).alias("b"))
     return best.select("pattern", (-F.col("b.kind")).alias("kind"), F.col("b.seeds").alias("seeds"))
 
 
-def pattern_filter(patterns: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits in which each pattern and the word to the left of its slot set one."""
-    parts = F.split("pattern", "\x1f")
-    bit = F.explode(F.array("pattern", F.when(parts[0] == "left", parts[2]).otherwise(parts[1]))).alias("word")
-    at = patterns.select(bit).select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(FILTER_BITS)).cast("long").alias("bit"))
+def text_filter(words: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits in which each text in the column word sets one."""
+    at = words.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(FILTER_BITS)).cast("long").alias("bit"))
     rows = at.groupBy(F.shiftright("bit", 5).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS INT))")).alias("bits")).toArrow()
     found = np.zeros(FILTER_BITS // 32, np.uint32)
     found[rows["place"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return found
 
 
+def _holds(bits: bytes, word: str) -> bool:
+    at = zlib.crc32(word.encode()) % FILTER_BITS
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def pattern_filter(patterns: DataFrame) -> np.ndarray:
+    """Bits for each pattern and, of patterns of two words, for the word to the left of their slot."""
+    parts = F.split("pattern", "\x1f")
+    word = F.when(parts[0] == "left", parts[2]).when(parts[0] == "around", parts[1])
+    return text_filter(patterns.select(F.explode(F.array_compact(F.array("pattern", word))).alias("word")))
+
+
+def _identifier(text: str, span: tuple[int, int], base: list[tuple[int, int, int]]) -> tuple[bool, re.Match | None]:
+    """Whether a base span touches a word, and, if none does, the identifier-like token in it."""
+    if any(x < span[1] and span[0] < y for x, _, y in base):
+        return True, None
+    return False, _IDENTIFIER.search(text, *span)
+
+
+def _like_identifiers(text: str, low: list[str]) -> list[int]:
+    """Numbers of the words with a digit or an at sign."""
+    if "@" not in text and not _DIGIT.search(text):
+        return []
+    return [j for j, w in enumerate(low) if "@" in w or _DIGIT.search(w)]
+
+
 def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """The places of the whole corpus that patterns surround, but for those that base spans touch.
 
@@ -192,40 +224,45 @@ def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
 
-        def wanted(word: str) -> bool:
-            at = zlib.crc32(word.encode()) % FILTER_BITS
-            return bool(bits[at >> 3] >> (at & 7) & 1)
+        @lru_cache(HELD)
+        def near(word: str) -> tuple[str | None, bool]:
+            """The pattern of a slot behind this word, if there is one, and whether there may be one of two words."""
+            before = "\x1f".join(("before", word))
+            return before if _holds(bits, before) else None, _holds(bits, word)
 
-        nearest = lru_cache(HELD)(wanted)
         plain: dict[str, int] = {}
         for batch in batches:
             out = {n: [] for n in _SLOTS.names}
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py() or ""
                 low = [w.lower() for w in _tokens(text)]
-                slots = []
-                for j in [j for j, w in enumerate(low, 1) if nearest(w)]:
-                    if j < len(low):
-                        for key in (("left", low[j - 2], low[j - 1]) if j > 1 else None, ("around", low[j - 1], low[j + 1]) if j + 1 < len(low) else None):
-                            if key and wanted(pattern := "\x1f".join(key)):
-                                slots.append((j, pattern))
-                if not slots:
-                    continue
-                words = base = None
-                for j, p in slots:
-                    form = None
-                    if "@" in low[j] or _DIGIT.search(low[j]):
-                        if words is None:
-                            words, base = _words(text), base_spans(text)
-                        a, b = words[j]
-                        if any(x < b and a < y for x, _, y in base):
-                            continue
-                        form = _IDENTIFIER.search(text, a, b)
-                    if form:
-                        for n, v in zip(_SLOTS.names, (p, batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), form.start(), form.end(), form[0], 1), strict=True):
-                            out[n].append(v)
-                    else:
-                        plain[p] = plain.get(p, 0) + 1
+                like = _like_identifiers(text, low)
+                for j in like:
+                    low[j] = _lexical(low[j]) or "\x1f"
+                some: dict[str, int] = {}
+                for word, n in Counter(low[:-1]).items():
+                    before, two = near(word)
+                    if before:
+                        some[before] = n
+                    if two:
+                        for j in [j for j, w in enumerate(low[:-1], 1) if w == word]:
+                            for key in (("left", low[j - 2], word) if j > 1 else None, ("around", word, low[j + 1]) if j + 1 < len(low) else None):
+                                if key and _holds(bits, pattern := "\x1f".join(key)):
+                                    some[pattern] = some.get(pattern, 0) + 1
+                if some and like:
+                    words, base = _words(text), base_spans(text)
+                    for j in like:
+                        touched, form = _identifier(text, words[j], base)
+                        if touched or form:
+                            for p in _slot(text, words, j, j):
+                                if p in some:
+                                    some[p] -= 1
+                                    if form:
+                                        for n, v in zip(_SLOTS.names, (p, batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), form.start(), form.end(), form[0], 1), strict=True):
+                                            out[n].append(v)
+                for p, n in some.items():
+                    if n:
+                        plain[p] = plain.get(p, 0) + n
             yield pa.RecordBatch.from_pydict(out, schema=_SLOTS)
             if len(plain) > HELD:
                 yield _sums(plain)
@@ -238,29 +275,90 @@ def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return in_arrow(docs, rows, "pattern string, doc_id long, text_key long, start int, end int, form string, times long")
 
 
-def score(patterns: DataFrame, slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The graph of patterns and instances: one row per edge with the scores of both ends.
+def occurrences(docs: DataFrame, instances: DataFrame) -> DataFrame:
+    """(pattern, kind, form, base): the contexts of all places of the corpus that hold an instance (form, kind)."""
+    known = docs.sparkSession.sparkContext.broadcast(text_filter(instances.select(F.col("form").alias("word"))).tobytes())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            for t in batch.column(0):
+                text = t.as_py() or ""
+                like = _like_identifiers(text, _tokens(text))
+                if like:
+                    words, base = _words(text), base_spans(text)
+                    for j in like:
+                        form = _identifier(text, words[j], base)[1]
+                        if form and _holds(known.value, form[0]):
+                            found += [(p, form[0]) for p in _slot(text, words, j, j)]
+            yield pa.RecordBatch.from_pydict({"pattern": pa.array([p for p, _ in found], pa.string()), "form": pa.array([f for _, f in found], pa.string())})
+
+    held = stored(in_arrow(docs.select("text"), rows, "pattern string, form string"))
+    sized = instances.join(held.groupBy("form").agg(F.count(F.lit(1)).alias("n")), "form")
+    return join_hot(held, sized, "form", "n", held.count()).select("pattern", "kind", "form", F.lit(False).alias("base"))
+
+
+def score(patterns: DataFrame, slots: DataFrame, accepted: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """The graph of patterns and instances: one row per edge with the confidence of the pattern and the score of the instance.
 
     A pattern's confidence is the share of its places that hold seeds or, by their scores, good
-    instances; an instance's score is the mean confidence of the places that hold it. Both sides
-    can be large, and so can the number of edges of one end.
+    instances; an instance's score is the mean confidence of the places that hold it, and 1 if it was accepted
+    before. Both sides can be large, and so can the number of edges of one end.
     """
-    edges = stored(slots.filter(F.col("form").isNotNull()).groupBy("pattern", "form").agg(F.sum("times").alias("times")))
+    edges = stored(slots.filter(F.col("form").isNotNull()).groupBy("pattern", "form").agg(F.sum("times").alias("times")).join(patterns.select("pattern", "kind"), "pattern"))
+    edges = edges.withColumn("instance", F.struct("form", "kind"))
+    if accepted is None:
+        edges = edges.withColumn("sure", F.lit(False))
+    else:
+        sizes = edges.groupBy("instance").agg(F.count(F.lit(1)).alias("edges"))
+        sure = sizes.join(accepted.select(F.struct("form", "kind").alias("instance"), F.lit(True).alias("sure")), "instance", "left")
+        edges = join_hot(edges, sure, "instance", "edges", edges.count()).drop("edges").withColumn("sure", F.coalesce("sure", F.lit(False)))
+    edges = stored(edges)
     rows = edges.count()
     totals = patterns.join(slots.groupBy("pattern").agg(F.sum("times").alias("others")), "pattern", "left")
-    totals = totals.join(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("edges")), "pattern", "left")
-    totals = stored(totals.select("pattern", "kind", "seeds", "edges", (F.col("seeds") + F.coalesce("others", F.lit(0)) + 1).alias("places")))
-    confidence = totals.select("pattern", "kind", "edges", (F.col("seeds") / F.col("places")).alias("confidence"))
+    counted = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("edges"), F.sum(F.when(F.col("sure"), F.col("times")).otherwise(0)).alias("surely"))
+    totals = totals.join(counted, "pattern", "left").withColumn("held", F.col("seeds") + F.coalesce("surely", F.lit(0)))
+    totals = stored(totals.select("pattern", "held", "edges", (F.col("seeds") + F.coalesce("others", F.lit(0)) + 1).alias("places")))
+    confidence = totals.select("pattern", "edges", (F.col("held") / F.col("places")).alias("confidence"))
     for number in range(rounds):
-        both = stored(join_hot(edges, confidence, "pattern", "edges", rows).drop("edges").withColumn("instance", F.struct("form", "kind")))
-        forms = both.groupBy("instance").agg((F.sum(F.col("times") * F.col("confidence")) / F.sum("times")).alias("score"), F.count(F.lit(1)).alias("edges"))
-        both = stored(join_hot(both, forms, "instance", "edges", rows).drop("instance", "edges"))
+        both = stored(join_hot(edges, confidence, "pattern", "edges", rows).drop("edges"))
+        forms = both.groupBy("instance").agg((F.sum(F.col("times") * F.col("confidence")) / F.sum("times")).alias("mean"), F.count(F.lit(1)).alias("edges"))
+        both = join_hot(both, forms, "instance", "edges", rows).withColumn("score", F.when(F.col("sure"), 1.0).otherwise(F.col("mean")))
+        both = stored(both.select("pattern", "form", "kind", "times", "sure", "confidence", "score"))
         if number < rounds - 1:
-            held = both.groupBy("pattern").agg(F.sum(F.col("times") * F.col("score")).alias("held"))
-            confidence = stored(totals.join(held, "pattern", "left").select("pattern", "kind", "edges", ((F.col("seeds") + F.coalesce("held", F.lit(0.0))) / F.col("places")).alias("confidence")))
+            more = both.filter(~F.col("sure")).groupBy("pattern").agg(F.sum(F.col("times") * F.col("score")).alias("more"))
+            confidence = stored(totals.join(more, "pattern", "left").select("pattern", "edges", ((F.col("held") + F.coalesce("more", F.lit(0.0))) / F.col("places")).alias("confidence")))
     return both
 
 
+def discover(docs: DataFrame, seeds: DataFrame, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame] | None:
+    """The edges (pattern, form, kind, times) that are accepted in the end, and all slots; None if no pattern comes up.
+
+    docs has doc_id, text_key and text, seeds has pattern, kind, form and base. Each round looks for the slots of
+    new patterns only, so the corpus is read twice more for every round in which an instance is new.
+    """
+    known = slots = accepted = good = None
+    while True:
+        patterns = stored(induce(seeds))
+        new = patterns if known is None else patterns.join(known, "pattern", "left_anti")
+        if new.isEmpty():
+            break
+        more = stored(pattern_slots(docs, new))
+        slots = more if slots is None else slots.unionByName(more)
+        known = patterns.select("pattern") if known is None else known.unionByName(new.select("pattern"))
+        edges = score(patterns, slots, accepted)
+        good = stored(edges.filter((F.col("confidence") >= confidence) & (F.col("score") >= confidence)))
+        fresh = good.filter(~F.col("sure")).select("form", "kind").distinct()
+        if accepted is not None:
+            fresh = fresh.join(accepted, ["form", "kind"], "left_anti")
+        fresh = stored(fresh)
+        if fresh.isEmpty():
+            break
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        seeds = seeds.unionByName(stored(occurrences(docs, fresh)))
+    return None if good is None else (good.select("pattern", "form", "kind", "times"), slots)
+
+
 def extract(docs: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """One row per row of docs: doc_id, base and spans, both arrays of (start, kind, end).
 
@@ -270,9 +368,10 @@ def extract(docs: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     base = stored(find_base(docs))
-    patterns = stored(induce(base.select(F.explode("seeds").alias("s")).select("s.*")))
-    slots = stored(pattern_slots(docs, patterns))
-    good = score(patterns, slots).filter((F.col("confidence") >= confidence) & (F.col("score") >= confidence))
+    found = discover(docs, base.select(F.explode("seeds").alias("s")).select("s.*", F.lit(True).alias("base")), confidence)
+    if found is None:
+        return base.select("doc_id", F.col("spans").alias("base"), "spans")
+    good, slots = found
     places = slots.filter(F.col("form").isNotNull()).select(F.struct("pattern", "form").alias("edge"), "doc_id", "text_key", "start", "end")
     found = join_hot(places, good.select(F.struct("pattern", "form").alias("edge"), "kind", "times"), "edge", "times", places.count())
     found = found.groupBy("doc_id", "text_key", "start", "end").agg(F.min("kind").alias("kind"))

@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import re
 
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -55,3 +57,95 @@ def test_rare_patterns_count_in_a_large_corpus(spark):
     docs = rows.unionByName(spark.createDataFrame(rare, "doc_id long, text string"))
     found = pii.extract(docs).filter("doc_id = 20000").first()
     assert [(s.start, s.kind, s.end) for s in found.spans] == [(13, 3, 18)]
+
+
+def brute_edges(texts, spans_of, rounds=pii.ROUNDS, least=pii.MIN_SEEDS, limit=pii.CONFIDENCE):
+    """The accepted (form, kind) by the definition: plain dictionaries over a small corpus, round by round."""
+    digit = lambda w: "@" if "@" in w else "".join("0" if c in "0123456789" else c for c in w.lower())
+    words = {i: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+
+    def around(i, j, last):
+        w = [digit(texts[i][a:b]) for a, b in words[i]]
+        found = []
+        if j > 0:
+            found.append(("before", w[j - 1]))
+            if j > 1:
+                found.append(("left", w[j - 2], w[j - 1]))
+            if last + 1 < len(w):
+                found.append(("around", w[j - 1], w[last + 1]))
+        return found
+
+    seeds, slots = [], []
+    for i, t in texts.items():
+        base = spans_of(t)
+        for a, k, b in base:
+            inside = [j for j, (x, y) in enumerate(words[i]) if x < b and a < y]
+            seeds += [(p, k, t[a:b], True) for p in around(i, inside[0], inside[-1])]
+        for j, (x, y) in enumerate(words[i]):
+            if not any(a < y and x < b for a, _, b in base):
+                form = re.search(r"[^\W_][\w.@+:/-]{2,}[^\W_]", t[x:y]) if re.search("[0-9@]", t[x:y]) else None
+                slots += [(p, form[0] if form else None) for p in around(i, j, j)]
+    accepted, known = set(), {}
+    while True:
+        forms, sums = collections.defaultdict(set), collections.Counter()
+        for p, k, f, _ in seeds:
+            forms[p, k].add(f)
+            sums[p, k] += 1
+        best = {}
+        for (p, k), fs in forms.items():
+            if len(fs) >= least:
+                best[p] = max(best.get(p, (0, 0)), (sums[p, k], -k))
+        kinds = {p: -k for p, (_, k) in best.items()}
+        if set(kinds) <= set(known):
+            return accepted
+        known = kinds
+        edges = collections.Counter((p, f) for p, f in slots if f and p in kinds)
+        total = collections.Counter(p for p, _ in slots)
+        own = {p: sum(b and q == p and k == kinds[p] for q, k, _, b in seeds) for p in kinds}
+        sure = {e: (e[1], kinds[e[0]]) in accepted for e in edges}
+        held = {p: own[p] + sum(n for e, n in edges.items() if e[0] == p and sure[e]) for p in kinds}
+        trust = {p: held[p] / (own[p] + total[p] + 1) for p in kinds}
+        for number in range(rounds):
+            up, down = collections.Counter(), collections.Counter()
+            for (p, f), n in edges.items():
+                up[f, kinds[p]] += n * trust[p]
+                down[f, kinds[p]] += n
+            value = {e: 1.0 if sure[e] else up[e[1], kinds[e[0]]] / down[e[1], kinds[e[0]]] for e in edges}
+            final = {e: (trust[e[0]], value[e]) for e in edges}
+            trust = {p: (held[p] + sum(n * value[e] for e, n in edges.items() if e[0] == p and not sure[e])) / (own[p] + total[p] + 1) for p in kinds}
+        fresh = {(e[1], kinds[e[0]]) for e, (c, v) in final.items() if c >= limit and v >= limit} - accepted
+        if not fresh:
+            return accepted
+        accepted |= fresh
+        seeds += [(p, k, f, False) for p, f in slots if f for g, k in fresh if g == f]
+
+
+def planted():
+    """Labels that only seeds teach, labels that only found identifiers teach, and words that teach nothing."""
+    texts = {}
+    for i in range(30):
+        texts[i] = f"some words and mail: u{i}@mail{i % 3}.example.com and more {i} words"
+        texts[100 + i] = f"call desk +1 555 010 {1000 + i} today or ring the other number"
+    for i in range(30):
+        texts[200 + i] = f"nothing but mail: handle-{i}x and more words"
+        texts[300 + i] = f"profile handle-{i}x seen here"
+    for i in range(4):
+        texts[400 + i] = f"profile secret-{i}y seen there"
+    for i in range(20):
+        texts[500 + i] = f"the words and the room {i}b2 of the house"
+    texts[600] = "profile of the house and mail: room 7c7"
+    return texts
+
+
+def test_found_identifiers_teach_further_patterns(spark):
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], SCHEMA)
+    want = brute_edges(texts, base_spans)
+    assert {f for f, _ in want} == {f"handle-{i}x" for i in range(30)} | {f"secret-{i}y" for i in range(4)}
+    keyed = docs.selectExpr("doc_id", "xxhash64(text) AS text_key", "text")
+    seeds = pii.find_base(keyed).selectExpr("explode(seeds) AS s").selectExpr("s.*", "true AS base")
+    good, _ = pii.discover(keyed, seeds)
+    assert {(r.form, r.kind) for r in good.collect()} == want
+    # Precision and recall of the added spans on the planted identifiers.
+    added = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s not in r.base] for r in pii.extract(docs).collect()}
+    assert {i: x for i, x in added.items() if x} == {200 + i: [f"handle-{i}x"] for i in range(30)} | {300 + i: [f"handle-{i}x"] for i in range(30)} | {400 + i: [f"secret-{i}y"] for i in range(4)}
