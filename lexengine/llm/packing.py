@@ -4,8 +4,8 @@ Documents are tokenised inside tasks; documents longer than a sequence are cut i
 one shorter first piece. Pieces are dealt by hash into blocks of bounded size; inside each block
 best-fit decreasing packs them, and a local search exchanges pieces between underfull sequences
 (moves, one for one, two for one, one for two), each time raising the sum of squared fills, until sequences run
-empty or nothing improves. A block holds thousands of sequences and wastes a part of one or two, so
-blocks can be packed apart.
+empty or nothing improves. Sequences that are still underfull are opened again: the pieces of those of all blocks are dealt
+to fewer blocks and packed anew, until one block holds them all or there are no fewer.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lexengine.llm.common import blocks, in_arrow, stored, table
 
 LENGTH, END_ID = 1024, 2
-#: Pieces in a block, on average; bins that a local search looks at together; its passes.
-BLOCK_PIECES, NEIGHBOURS, PASSES = 16_384, 256, 4
+#: Pieces in a block, on average; bins that a local search looks at together.
+BLOCK_PIECES, NEIGHBOURS = 16_384, 256
 #: Chunks of at most so many characters are remembered, and of each of two generations at most about so many.
 CACHED_CHARS, CACHED = 24, 200_000
 
@@ -205,68 +205,94 @@ def _exchange(donor: list[int], others: list[list[int]], sizes: np.ndarray, room
     return found
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, length: int, passes: int = PASSES, neighbours: int = NEIGHBOURS, seed: int = 0) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: int = NEIGHBOURS, seed: int = 0) -> list[list[int]]:
     """Empties underfull bins by exchanges with fuller ones, neighbourhood by neighbourhood.
 
-    Bins are dealt anew to neighbourhoods in each pass; it ends early when a pass changes nothing, or when
-    the pieces could not fit into fewer bins anyway. Full bins are left alone.
+    Bins are dealt anew to neighbourhoods in each pass. First the emptiest bins give their pieces away; when a pass of that
+    changes nothing, all bins exchange with fuller ones in smaller neighbourhoods, which makes new room. It ends when that
+    changes nothing either, or when the pieces could not fit into fewer bins anyway. Every exchange raises the sum of squared fills, so it does end. Full bins are left alone.
     """
     draw = np.random.default_rng(seed)
     fill = lambda b: int(sizes[b].sum())
     done = [b for b in bins if fill(b) == length]
     open_ = [b for b in bins if fill(b) < length]
-    for _ in range(passes):
-        if len(open_) <= -(-sum(map(fill, open_)) // length):
-            break
-        changed = False
+    wide = False
+    while len(open_) > -(-sum(map(fill, open_)) // length):
+        changed, step = False, neighbours // 8 if wide else neighbours
         open_ = [open_[i] for i in draw.permutation(len(open_))]
-        for at in range(0, len(open_), neighbours):
-            near = sorted(open_[at : at + neighbours], key=fill)
-            # The emptiest bins give, as many as could go if the rest were filled.
-            spare = len(near) - -(-sum(map(fill, near)) // length)
+        for at in range(0, len(open_), step):
+            near = sorted(open_[at : at + step], key=fill)
+            # The emptiest bins give, as many as could go if the rest were filled; where that ends, all do.
+            spare = len(near) - 1 if wide else len(near) - -(-sum(map(fill, near)) // length)
             for d in range(spare):
-                while near[d]:
-                    others = near[d + 1 :]
-                    rooms = np.array([length - fill(o) for o in others], int)
-                    rooms[rooms > length - fill(near[d])] = 0
-                    step = _exchange(near[d], others, sizes, rooms)
-                    if step is None:
-                        break
-                    give, b, back = step
-                    near[d] = [i for i in near[d] if i not in give] + back
-                    near[d + 1 + b] = [i for i in others[b] if i not in back] + give
-                    changed = True
-            open_[at : at + neighbours] = near
+                changed |= _give_away(near, d, sizes, length)
+            open_[at : at + step] = near
         done += [b for b in open_ if b and fill(b) == length]
         open_ = [b for b in open_ if b and fill(b) < length]
-        if not changed:
+        if not changed and wide:
             break
+        wide = not changed
     return done + open_
 
 
-def pack(cut: DataFrame, length: int = LENGTH, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and others; each at most length).
+def _give_away(near: list[list[int]], d: int, sizes: np.ndarray, length: int) -> bool:
+    """Exchanges of bin d with those after it that are as full at least, until none is left; whether there was one."""
+    changed = False
+    while near[d]:
+        others = near[d + 1 :]
+        rooms = np.array([length - sizes[o].sum() for o in others], int)
+        rooms[rooms > length - sizes[near[d]].sum()] = 0
+        found = _exchange(near[d], others, sizes, rooms)
+        if found is None:
+            break
+        give, b, back = found
+        near[d] = [i for i in near[d] if i not in give] + back
+        near[d + 1 + b] = [i for i in others[b] if i not in back] + give
+        changed = True
+    return changed
 
-    Sequence ids are unique over all blocks. Pieces are dealt to blocks by a hash of their place in
-    the table, so rows that repeat spread too. Columns besides doc_id, piece, start, length and ids_crc32 are dropped; join on doc_id and piece to get them back.
-    """
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    cut = cut.select(*names)
-    n = blocks(cut.count(), block_pieces)
+
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+
+
+def _packed(cut: DataFrame, length: int, n: int, first: int) -> DataFrame:
+    """cut with sequence_id, from first on, offset and the fill of the sequence, packed in n blocks."""
     dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         sizes = group["length"].to_numpy()
-        sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        sequence, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
         for number, b in enumerate(improve(best_fit(sizes, length), sizes, length)):
             ends = np.cumsum(sizes[b])
-            sequence[b], offset[b] = number, ends - sizes[b]
-        group["sequence_id"] = sequence * n + group["block"].to_numpy()
-        group["offset"] = offset
+            sequence[b], offset[b], fill[b] = number, ends - sizes[b], ends[-1]
+        group["sequence_id"] = first + sequence * n + group["block"].to_numpy()
+        group["offset"], group["fill"] = offset, fill
         return group.drop(columns="block")
 
-    return dealt.groupBy("block").applyInPandas(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return stored(dealt.groupBy("block").applyInPandas(one, _PACKED))
+
+
+def pack(cut: DataFrame, length: int = LENGTH, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length and others; each at most length).
+
+    Sequence ids are unique over all blocks. Pieces are dealt to blocks by a hash of their place in
+    the table, so rows that repeat spread too. Columns besides doc_id, piece, start, length and ids_crc32 are dropped; join on doc_id and piece to get them back.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cut, full, first = cut.select(*names), [], 0
+    n = blocks(cut.count(), block_pieces)
+    while True:
+        found = _packed(cut, length, n, first)
+        state = found.agg(F.max("sequence_id").alias("last"), F.sum((F.col("fill") < length).cast("long")).alias("open")).first()
+        fewer = blocks(state.open or 0, block_pieces)
+        if n == 1 or fewer >= n:
+            break
+        full.append(found.filter(F.col("fill") == length))
+        cut, first, n = found.filter(F.col("fill") < length).select(*names), state.last + 1, fewer
+    for rows in full:
+        found = found.unionByName(rows)
+    return found.drop("fill")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, block_pieces: int = BLOCK_PIECES) -> DataFrame:

@@ -58,3 +58,43 @@ def test_edges(spark):
     found = packing.pack_documents(spark.createDataFrame(rows, schema), packing.default_tokenizer()).collect()
     assert sum(r.doc_id == 1 and r.length == 1 for r in found) == 2 and sum(r.doc_id == 2 for r in found) == 3
     assert packing.pack_documents(spark.createDataFrame([], schema), packing.default_tokenizer()).count() == 0
+
+
+def fewest(sizes, length):
+    """The least number of bins, by trying all subsets as the last one."""
+    n = len(sizes)
+    total = [sum(sizes[i] for i in range(n) if m >> i & 1) for m in range(1 << n)]
+    best = [0] + [n] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        low, rest = m & -m, m & (m - 1)
+        sub = rest
+        while True:
+            if total[sub | low] <= length:
+                best[m] = min(best[m], best[m ^ sub ^ low] + 1)
+            if not sub:
+                break
+            sub = (sub - 1) & rest
+    return best[-1]
+
+
+def test_search_against_the_optimum():
+    draw = np.random.default_rng(3)
+    optimum = found = first = 0
+    for _ in range(150):
+        sizes = draw.integers(15, 60, 9)
+        bins = packing.best_fit(sizes, 100)
+        first += len(bins)
+        found += len(packing.improve([list(b) for b in bins], sizes, 100))
+        optimum += fewest(sizes.tolist(), 100)
+    assert optimum <= found < first and found - optimum <= (first - optimum) // 2
+
+
+def test_underfull_sequences_of_all_blocks_are_packed_anew(spark):
+    draw = np.random.default_rng(0)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(draw.integers(1, 600, 3000))]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    found = packing.pack(cut, block_pieces=100).toPandas()
+    assert len(found) == len(rows) and found.groupby("sequence_id").length.sum().max() <= 1024
+    assert found.sequence_id.nunique() <= -(-sum(r[3] for r in rows) // 1024) + 1
+    ordered = found.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
