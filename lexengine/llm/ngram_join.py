@@ -27,10 +27,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import bloom, in_arrow, join_hot, stored, table
+from lexengine.llm.common import HOT_PARTS, bloom, in_arrow, join_hot, stored, table
 from lexengine.llm.components import components
 
 WORDS = 5
@@ -41,8 +42,10 @@ BAND = 1.4
 SKETCH_BITS = 1024
 #: Sets of more shingles have a second sketch of about a bit per shingle, of so many bits at most.
 FINE_BITS = 1 << 16
-#: Keys of more members are busy (see across).
-BUSY = 64
+#: Keys of more members are busy (see across); their members are compared in blocks of so many.
+BUSY, BLOCK = 64, 2048
+#: Index rows that a task hands on at once.
+ROWS = 100_000
 #: Sets verified against one replica of the star's centre.
 PER_REPLICA = 64
 
@@ -206,6 +209,20 @@ def needed(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where((x < 0) & (y < 0), 1, 1 + most[np.searchsorted(edges, small, "right") - 1] - (small + large) * (100 - percent) // (100 + percent))
 
 
+def least_needed(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many keys a set of each size shares at least with any linked set; sizes are signed as in needed()."""
+    own = abs(size)
+    edges = np.array(band_edges(1 << max(8, int(own.max(initial=1))).bit_length(), percent))
+    found = needed(own, own * 100 // percent, percent)
+    band = np.searchsorted(edges, own, "right") - 1
+    # Among smaller partners the largest of each band needs the fewest.
+    for below in range(int(np.log(100 / percent) / np.log(BAND)) + 3):
+        top = np.minimum(edges[np.maximum(band - below + 1, 1)] - 1, own)
+        fits = (band >= below) & (top * 100 >= own * percent) & (top > 0)
+        found = np.where(fits, np.minimum(found, needed(np.maximum(top, 1), own, percent)), found)
+    return np.where(size < 0, np.minimum(found, 1), found)
+
+
 def index_rows(sets: list[np.ndarray], nodes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, node, size) of every segment and deletion neighbour under which the sets are indexed.
 
@@ -265,9 +282,9 @@ def _batches(column: pa.Array, step: int = 200) -> Iterator[tuple[int, list[str]
         yield at, [t.as_py() or "" for t in column.slice(at, step)]
 
 
-def keyed(docs: DataFrame, seed: int, extra: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_shingles, the two keys (node, check) and the sketches of each document's set; and extra columns."""
-    schema = "doc_id long, n_shingles long, node long, check long, sketch binary, fine binary"
+def keyed(docs: DataFrame, seed: int, percent: int, extra: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, the two keys (node, check), the sketches and least_needed() of each document's set; and extra columns."""
+    schema = "doc_id long, n_shingles long, node long, check long, sketch binary, fine binary, least int"
     for field in docs.select(*extra).schema:
         schema += f", {field.name} {field.dataType.simpleString()}"
 
@@ -276,17 +293,25 @@ def keyed(docs: DataFrame, seed: int, extra: Sequence[str] = ()) -> DataFrame:
             for at, texts in _batches(batch.column(1)):
                 sets = shingle_sets(texts, seed)
                 node, check = set_keys(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary()), *[c.slice(at, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine", *extra])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary()), pa.array(least_needed(np.array([len(s) for s in sets], np.int64), percent).astype(np.int32)), *[c.slice(at, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine", "least", *extra])
 
     return in_arrow(docs.select("doc_id", "text", *extra), rows, schema)
 
 
+_INDEX = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("centre", pa.int64()), ("centre_size", pa.int32())])
+
+
 def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
-    """The index rows (key, node, size) of all sets. A set that a task has already seen is not indexed again."""
+    """The index rows (key, node, size, centre, centre_size) of all sets. A set that a task has already seen is not indexed again.
+
+    Of the members of a key in one batch only the smallest goes on to meet those of other batches, with a null centre;
+    the others have met it as their centre already. So however many sets share a key, it has a row per batch to meet.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            parts = []
             for _, texts in _batches(batch.column(0)):
                 sets = shingle_sets(texts, seed)
                 nodes = set_keys(sets)[0]
@@ -295,13 +320,26 @@ def index(docs: DataFrame, seed: int, percent: int) -> DataFrame:
                     if n not in seen:
                         seen.add(n)
                         new.append(i)
-                key, node, size = index_rows([sets[i] for i in new], nodes[new], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size.astype(np.int32))], names=["key", "node", "size"])
+                parts.append(index_rows([sets[i] for i in new], nodes[new], percent))
+            if not parts:
+                continue
+            key, node, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((node, key))
+            key, node, size = key[order], node[order], size[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            members = np.diff(np.r_[at, len(key)])
+            # All members of a key with several, with their centre; and each key's centre alone.
+            met = np.flatnonzero(np.repeat(members, members) > 1)
+            which, centre = np.r_[met, at], np.r_[np.repeat(at, members)[met], at]
+            alone = np.arange(len(which)) >= len(met)
+            for i in range(0, len(which), ROWS):
+                one, two, no = which[i : i + ROWS], centre[i : i + ROWS], alone[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(node[one]), pa.array(size[one].astype(np.int32)), pa.array(node[two], mask=no), pa.array(size[two].astype(np.int32), mask=no)], schema=_INDEX)
 
-    return in_arrow(docs.select("text"), rows, "key long, node long, size int")
+    return in_arrow(docs.select("text"), rows, "key long, node long, size int, centre long, centre_size int")
 
 
-_MET = pa.schema([("key", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("members", pa.int64())])
+_MET = pa.schema([("key", pa.int64()), ("centre", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("need", pa.int32())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -326,25 +364,43 @@ def _fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 
 def meet(indexed: DataFrame, percent: int) -> DataFrame:
-    """Members of each key with two or more nodes, as a star: (key, centre, node, size, need, members)."""
+    """Members of each key with two or more nodes, as stars: (key, centre, node, size, need).
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, "key"):
-            key, node, size = (run.column(n).to_numpy() for n in ("key", "node", "size"))
-            if len(key):
-                first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-                key, node, size = key[first], node[first], size[first]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            members = np.diff(np.r_[at, len(key)])
-            many = np.repeat(members, members) > 1
-            centre, centre_size = np.repeat(node[at], members)[many], np.repeat(size[at], members)[many]
-            key, node, size, members = key[many], node[many], size[many], np.repeat(members, members)[many]
-            need = np.where(_fit(size, centre_size, percent) & (node != centre), needed(size, centre_size, percent), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(node), pa.array(size), pa.array(need), pa.array(members)], schema=_MET)
+    A task holds a batch of rows and the centre of the last key, whatever the number of members.
+    """
+
+    def star(key: np.ndarray, centre: np.ndarray, centre_size: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        need = np.where(_fit(size, centre_size, percent) & (node != centre), needed(size, centre_size, percent), 0).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(centre), pa.array(node), pa.array(size), pa.array(need)], schema=_MET)
 
-    # The same set may come from several tasks; it stands once in each key.
-    dealt = indexed.repartition("key").sortWithinPartitions("key", "node")
-    return in_arrow(dealt, rows, "key long, centre long, node long, size int, need int, members long")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            met = batch.filter(pc.is_valid(batch.column("centre")))
+            yield star(*(met.column(n).to_numpy() for n in ("key", "centre", "centre_size", "node", "size")))
+            fresh = batch.filter(pc.is_null(batch.column("centre")))
+            if not fresh.num_rows:
+                continue
+            # The centre of the last key stands in front of the batch again.
+            key, node, size = (np.concatenate([x, fresh.column(n).to_numpy()]) for x, n in zip(last, ("key", "node", "size"), strict=True))
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            centre = np.repeat(at, np.diff(np.r_[at, len(key)]))
+            # The same set may come from several tasks.
+            other = node != node[centre]
+            shared = np.zeros(len(key), bool)
+            shared[centre[other]] = True
+            if len(last[0]) and told:
+                shared[0] = False
+            tell = other | (shared & (centre == np.arange(len(key))))
+            yield star(key[tell], node[centre[tell]], size[centre[tell]], node[tell], size[tell])
+            told = bool(other[at[-1] :].any()) or (told and at[-1] == 0 and len(last[0]) > 0)
+            last = [x[at[-1] : at[-1] + 1] for x in (key, node, size)]
+
+    where = F.when(F.col("centre").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node"))
+    dealt = indexed.repartition(where).sortWithinPartitions("key", "node")
+    return in_arrow(dealt, rows, "key long, centre long, node long, size int, need int")
 
 
 def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs: DataFrame, percent: int, nearest: bool, busy: int = BUSY) -> DataFrame:
@@ -354,25 +410,26 @@ def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs:
 
     Keys of more than `busy` members, of different components, are left out where that is safe: a pair's
     number of keys to share, less the busy keys that both have at most, is still positive. So a busy
-    key makes pairs only of members for which no other key need exist.
+    key makes pairs only of members for which no other key need exist; members for which there is another one with any
+    partner are left out of it. The others are dealt to blocks of about BLOCK members, and every two blocks meet in a task.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, "key"):
+        for run in _runs(batches, "group"):
             n = run.num_rows
             if not n:
                 continue
-            key, node, size, label, hot, members = (run.column(c).to_numpy() for c in ("key", "node", "size", "label", "hot", "members"))
+            group, node, size, label, hot, members, own, twin = (run.column(c).to_numpy() for c in ("group", "node", "size", "label", "hot", "members", "block", "twin"))
             bits = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
             at, step = np.arange(n), 0
             found = []
             while len(at):
-                # Members of a key stand side by side: compare each with the one so many places on.
+                # Members of a group stand side by side: compare each with the one so many places on.
                 step += 1
                 at = at[at + step < n]
-                at = at[key[at] == key[at + step]]
+                at = at[group[at] == group[at + step]]
                 other = at + step
-                fits = (label[at] != label[other]) & _fit(size[at], size[other], percent)
+                fits = (label[at] != label[other]) & (~twin[at] | (own[at] != own[other])) & _fit(size[at], size[other], percent)
                 i, j = at[fits], other[fits]
                 if len(i):
                     safe = (members[i] <= busy) | (needed(size[i], size[j], percent) - np.minimum(hot[i], hot[j]) < 1)
@@ -392,14 +449,26 @@ def across(met: DataFrame, labels: DataFrame, nodes: DataFrame, verified_pairs:
             pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    labelled = met.join(labels, "node", "left").select("key", "node", "size", "members", F.coalesce("component", "node").alias("label"))
+    labelled = met.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("label"))
     # Only keys whose members are not all connected have anything to compare.
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    labelled = stored(labelled.join(open_, "key", "left_semi"))
-    hot = labelled.filter(F.col("members") > busy).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
-    known = nodes.select("node", "sketch").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    labelled = labelled.join(known, "node").repartition("key").sortWithinPartitions("key", "node")
-    pairs = in_arrow(labelled, rows, "a long, b long").distinct()
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
+    open_ = stored(open_.select("key", "members"))
+    total = open_.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first().n
+    labelled = stored(join_hot(labelled, open_, "key", "members", max(total, HOT_PARTS * busy)))
+    hot = stored(labelled.filter(F.col("members") > busy).groupBy("node").agg(F.count(F.lit(1)).alias("hot"), F.min("size").alias("smallest")))
+    zero = F.lit(0).cast("long")
+    # Sets that may have no key but busy ones in common with a linked set; a negative size shares a key with its like only.
+    exposed = hot.join(nodes.select("node", "least"), "node").filter("smallest < 0 OR least <= hot").drop("smallest")
+    several = labelled.filter(F.col("members") > busy).join(exposed, "node").filter("size < 0 OR least <= hot").drop("least")
+    several = stored(several)
+    blocks = several.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    several = stored(join_hot(several, blocks, "key", "n", max(total, HOT_PARTS * busy)))
+    several = several.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    several = several.withColumn("group", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).withColumn("twin", F.col("block") != F.col("with"))
+    few = labelled.filter(F.col("members") <= busy).join(hot.drop("smallest"), "node", "left").withColumns({"hot": F.coalesce("hot", zero), "block": zero, "twin": F.lit(False), "group": F.xxhash64("key", zero, zero)})
+    columns = ["group", "node", "size", "label", "hot", "members", "block", "twin"]
+    dealt = few.select(*columns).unionByName(several.select(*columns)).join(nodes.select("node", "sketch"), "node").repartition("group").sortWithinPartitions("group", "node")
+    pairs = in_arrow(dealt, rows, "a long, b long").distinct()
     return pairs.join(verified_pairs, ["a", "b"], "left_anti")
 
 
@@ -479,8 +548,8 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, extra: Sequence[str
     """
     seed = 0
     while True:
-        slim = stored(keyed(docs, seed, extra))
-        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n_shingles")))
+        slim = stored(keyed(docs, seed, percent, extra))
+        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n_shingles"), F.first("least").alias("least")))
         if nodes.filter("lo <> hi").isEmpty():
             break
         seed += 1  # two different sets share a key: other fingerprints

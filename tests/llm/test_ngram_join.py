@@ -105,3 +105,35 @@ def test_fine_sketches_never_overstate_a_difference():
         assert sketch_distance(a, b) == sketch_distance(b, a) <= n + m - 2 * shared
     assert sketch_distance(a, b) > differ(3000, 2900)
     assert fine_sketches([pool[:10], pool[:0]]) == [None, None]
+
+
+def test_busy_keys_meet_block_by_block(spark, monkeypatch):
+    """Documents that consist of common passages only: all their keys are busy, and their members fill several blocks."""
+    draw = random.Random(7)
+    passages = [[f"p{j}x{i}" for i in range(12)] for j in range(14)]
+    rows = []
+    for i in range(260):
+        words = [w for j in sorted(draw.sample(range(14), 6)) for w in passages[j]]
+        rows.append((i, " ".join(words)))
+        if draw.random() < 0.3:
+            rows.append((1000 + i, " ".join(words[:-1] + ["end"])))
+    monkeypatch.setattr(ngram_join.across, "__defaults__", (2,))
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    check(spark, rows)
+
+
+def test_least_needed_is_a_lower_bound():
+    sizes = np.arange(1, 700)
+    least = ngram_join.least_needed(sizes)
+    for size, low in zip(sizes, least, strict=True):
+        partners = np.arange(-(-size * 80 // 100), size * 100 // 80 + 1)
+        assert low == ngram_join.needed(np.full(len(partners), size), partners).min()
+    assert (ngram_join.least_needed(-sizes) <= 1).all()
+
+
+def test_a_key_of_very_many_members_meets_in_bounded_memory(spark):
+    """100,000 sets under one key make one star, whose tasks hold a batch each; every member is there once or more."""
+    one = spark.range(100_000).selectExpr("7L AS key", "id + 5 AS node", "100 AS size", "CAST(IF(id % 4 > 0, id - id % 4 + 5, NULL) AS LONG) AS centre", "IF(id % 4 > 0, 100, NULL) AS centre_size")
+    met = ngram_join.meet(one, 80)
+    assert met.select("node").distinct().count() == 100_000
+    assert met.filter("centre = 5").count() == 25_003 and met.filter("need > 0").count() == 99_999
