@@ -27,7 +27,7 @@ LENGTH, END_ID = 1024, 2
 #: Pieces in a block, on average; bins that a local search looks at together.
 BLOCK_PIECES, NEIGHBOURS = 16_384, 256
 #: Chunks of at most so many characters are remembered, and of each of two generations at most about so many.
-CACHED_CHARS, CACHED = 24, 200_000
+CACHED_CHARS, CACHED = 24, 300_000
 
 #: A blank before white space or the end; elsewhere each blank begins a token of its own.
 _ODD_BLANK = r" (\s|$)"
@@ -209,8 +209,8 @@ def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: i
     """Empties underfull bins by exchanges with fuller ones, neighbourhood by neighbourhood.
 
     Bins are dealt anew to neighbourhoods in each pass. First the emptiest bins give their pieces away; when a pass of that
-    changes nothing, all bins exchange with fuller ones in smaller neighbourhoods, which makes new room. It ends when that
-    changes nothing either, or when the pieces could not fit into fewer bins anyway. Every exchange raises the sum of squared fills, so it does end. Full bins are left alone.
+    changes nothing, all bins exchange with fuller ones in smaller neighbourhoods, which makes new room.
+    It ends when that changes nothing either, or when the pieces could not fit into fewer bins anyway. Every exchange raises the sum of squared fills, so it does end. Full bins are left alone.
     """
     draw = np.random.default_rng(seed)
     fill = lambda b: int(sizes[b].sum())
@@ -224,8 +224,9 @@ def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: i
             near = sorted(open_[at : at + step], key=fill)
             # The emptiest bins give, as many as could go if the rest were filled; where that ends, all do.
             spare = len(near) - 1 if wide else len(near) - -(-sum(map(fill, near)) // length)
+            rooms = np.array([length - fill(b) for b in near], int)
             for d in range(spare):
-                changed |= _give_away(near, d, sizes, length)
+                changed |= _give_away(near, d, sizes, rooms)
             open_[at : at + step] = near
         done += [b for b in open_ if b and fill(b) == length]
         open_ = [b for b in open_ if b and fill(b) < length]
@@ -235,19 +236,19 @@ def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: i
     return done + open_
 
 
-def _give_away(near: list[list[int]], d: int, sizes: np.ndarray, length: int) -> bool:
+def _give_away(near: list[list[int]], d: int, sizes: np.ndarray, rooms: np.ndarray) -> bool:
     """Exchanges of bin d with those after it that are as full at least, until none is left; whether there was one."""
     changed = False
     while near[d]:
-        others = near[d + 1 :]
-        rooms = np.array([length - sizes[o].sum() for o in others], int)
-        rooms[rooms > length - sizes[near[d]].sum()] = 0
-        found = _exchange(near[d], others, sizes, rooms)
+        found = _exchange(near[d], near[d + 1 :], sizes, np.where(rooms[d + 1 :] > rooms[d], 0, rooms[d + 1 :]))
         if found is None:
             break
         give, b, back = found
-        near[d] = [i for i in near[d] if i not in give] + back
-        near[d + 1 + b] = [i for i in others[b] if i not in back] + give
+        b += d + 1
+        gain = int(sizes[give].sum() - sizes[back].sum()) if back else int(sizes[give].sum())
+        near[d], near[b] = [i for i in near[d] if i not in give] + back, [i for i in near[b] if i not in back] + give
+        rooms[d] += gain
+        rooms[b] -= gain
         changed = True
     return changed
 
