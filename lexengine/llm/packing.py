@@ -175,34 +175,71 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(donor: list[int], others: list[list[int]], sizes: np.ndarray, room: np.ndarray) -> tuple[list[int], int, list[int]] | None:
-    """The exchange that fills another bin most: (pieces given, number of the other bin, pieces taken back).
+def least_bins(sizes: np.ndarray, length: int) -> int:
+    """A number of bins that no packing goes below.
 
-    What is given is larger than what comes back, by no more than the other bin's room. The other
-    bin is at least as full as the donor, so every exchange raises the sum of squared fills.
+    For any a up to half a bin: pieces above length - a share a bin with no piece of at least a, pieces above half a bin
+    stand in one each, and what the pieces from a to a half exceed the room of the latter by needs further bins.
     """
-    owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
-    flat = np.array([i for x in others for i in x], int)
-    single = sizes[flat]
-    # What can come back: nothing, one piece, or two pieces of the same bin.
-    backs = [(np.zeros(len(others), int), np.arange(len(others)), None), (single, owner, (flat,))]
-    for gap in range(1, max(map(len, others), default=0)):
-        same = owner[gap:] == owner[:-gap]
-        backs.append(((single[gap:] + single[:-gap])[same], owner[gap:][same], (flat[gap:][same], flat[:-gap][same])))
-    own = sorted(donor, key=lambda i: -sizes[i])
-    gives = [[i] for i in own]
-    pairs = [[i, j] for n, i in enumerate(own) for j in own[n + 1 :]]
-    best, found = 0, None
-    for give in gives + pairs:
-        total = int(sizes[give].sum())
-        for back, at, which in backs:
-            if len(give) == 2 and (which is None or len(which) == 2):
+    s = np.sort(sizes)
+    total = np.r_[0, np.cumsum(s)]
+    half = np.searchsorted(s, length / 2, side="right")
+    a = np.arange(length // 2 + 1)
+    small, large = np.searchsorted(s, a), np.searchsorted(s, length - a, side="right")
+    rest = total[half] - total[small] - ((large - half) * length - (total[large] - total[half]))
+    return int((len(s) - half + np.maximum(0, -(-rest // length))).max())
+
+
+class _Near:
+    """Bins among which pieces are exchanged: what each could give back, side by side in arrays."""
+
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, rooms: np.ndarray):
+        self.bins, self.sizes, self.rooms = bins, sizes, rooms
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """What can come back, bin by bin within each kind: nothing, one piece, or two pieces of the same bin."""
+        n, held = len(self.bins), [len(b) for b in self.bins]
+        owner = np.repeat(np.arange(n), held)
+        flat = np.array([i for b in self.bins for i in b], int)
+        single, none = self.sizes[flat], np.full(n, -1)
+        parts = [(np.zeros(n, int), np.arange(n), none, none), (single, owner, flat, np.full(len(flat), -1))]
+        for gap in range(1, max(held, default=0)):
+            same = owner[gap:] == owner[:-gap]
+            parts.append(((single[gap:] + single[:-gap])[same], owner[gap:][same], flat[gap:][same], flat[:-gap][same]))
+        self.back, self.owner, self.one, self.two = map(np.concatenate, zip(*parts, strict=True))
+        self.singles = slice(n, n + len(flat))
+
+    def exchange(self, d: int) -> bool:
+        """The exchange between bin d and a later one, as full at least, that fills the latter most; whether there is one.
+
+        What is given is larger than what comes back, by no more than the other bin's room, so every exchange raises
+        the sum of squared fills.
+        """
+        rooms = np.where(self.rooms > self.rooms[d], 0, self.rooms)
+        rooms[: d + 1] = 0
+        limit = rooms[self.owner]
+        own = sorted(self.bins[d], key=lambda i: -self.sizes[i])
+        pairs = [[i, j] for n, i in enumerate(own) for j in own[n + 1 :]]
+        best, found = 0, None
+        for gives, backs in (([[i] for i in own], slice(None)), (pairs, self.singles)):
+            if not gives or not len(self.back[backs]):
                 continue
-            gain = total - back
-            gain = np.where((gain > 0) & (gain <= room[at]), gain, 0)
-            if len(gain) and (k := int(gain.argmax())) is not None and gain[k] > best:
-                best, found = int(gain[k]), (give, int(at[k]), [] if which is None else [int(w[k]) for w in which])
-    return found
+            gain = np.array([sum(self.sizes[i] for i in give) for give in gives])[:, None] - self.back[backs]
+            gain[(gain < 0) | (gain > limit[backs])] = 0
+            at = int(gain.argmax())
+            row, column = divmod(at, gain.shape[1])
+            if gain[row, column] > best:
+                best, found = int(gain[row, column]), (gives[row], column + (backs.start or 0))
+        if found is None:
+            return False
+        give, k = found
+        b, back = int(self.owner[k]), [int(i) for i in (self.one[k], self.two[k]) if i >= 0]
+        self.bins[d], self.bins[b] = [i for i in self.bins[d] if i not in give] + back, [i for i in self.bins[b] if i not in back] + give
+        self.rooms[d] += best
+        self.rooms[b] -= best
+        self._lay_out()
+        return True
 
 
 def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: int = NEIGHBOURS, seed: int = 0) -> list[list[int]]:
@@ -210,24 +247,27 @@ def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: i
 
     Bins are dealt anew to neighbourhoods in each pass. First the emptiest bins give their pieces away; when a pass of that
     changes nothing, all bins exchange with fuller ones in smaller neighbourhoods, which makes new room.
-    It ends when that changes nothing either, or when the pieces could not fit into fewer bins anyway. Every exchange raises the sum of squared fills, so it does end. Full bins are left alone.
+    It ends when that changes nothing either, or when no packing of the pieces has fewer bins (least_bins). Every exchange raises the sum of squared fills, so it does end. Full bins are left alone.
     """
     draw = np.random.default_rng(seed)
-    fill = lambda b: int(sizes[b].sum())
+    size = sizes.tolist().__getitem__
+    fill = lambda b: sum(map(size, b))
     done = [b for b in bins if fill(b) == length]
     open_ = [b for b in bins if fill(b) < length]
     wide = False
-    while len(open_) > -(-sum(map(fill, open_)) // length):
+    while len(open_) > least_bins(sizes[[i for b in open_ for i in b]], length):
         changed, step = False, neighbours // 8 if wide else neighbours
         open_ = [open_[i] for i in draw.permutation(len(open_))]
         for at in range(0, len(open_), step):
-            near = sorted(open_[at : at + step], key=fill)
+            bins_near = sorted(open_[at : at + step], key=fill)
+            fills = list(map(fill, bins_near))
             # The emptiest bins give, as many as could go if the rest were filled; where that ends, all do.
-            spare = len(near) - 1 if wide else len(near) - -(-sum(map(fill, near)) // length)
-            rooms = np.array([length - fill(b) for b in near], int)
+            spare = len(fills) - 1 if wide else len(fills) - -(-sum(fills) // length)
+            near = _Near(bins_near, sizes, length - np.array(fills, int))
             for d in range(spare):
-                changed |= _give_away(near, d, sizes, rooms)
-            open_[at : at + step] = near
+                while near.bins[d] and near.exchange(d):
+                    changed = True
+            open_[at : at + step] = near.bins
         done += [b for b in open_ if b and fill(b) == length]
         open_ = [b for b in open_ if b and fill(b) < length]
         if not changed and wide:
@@ -236,23 +276,6 @@ def improve(bins: list[list[int]], sizes: np.ndarray, length: int, neighbours: i
     return done + open_
 
 
-def _give_away(near: list[list[int]], d: int, sizes: np.ndarray, rooms: np.ndarray) -> bool:
-    """Exchanges of bin d with those after it that are as full at least, until none is left; whether there was one."""
-    changed = False
-    while near[d]:
-        found = _exchange(near[d], near[d + 1 :], sizes, np.where(rooms[d + 1 :] > rooms[d], 0, rooms[d + 1 :]))
-        if found is None:
-            break
-        give, b, back = found
-        b += d + 1
-        gain = int(sizes[give].sum() - sizes[back].sum()) if back else int(sizes[give].sum())
-        near[d], near[b] = [i for i in near[d] if i not in give] + back, [i for i in near[b] if i not in back] + give
-        rooms[d] += gain
-        rooms[b] -= gain
-        changed = True
-    return changed
-
-
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
 
