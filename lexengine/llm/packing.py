@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from lexengine.llm.common import blocks, in_arrow, stored, table
 LENGTH, END_ID = 1024, 2
 #: Pieces in a block, on average; bins that a local search looks at together.
 BLOCK_PIECES, NEIGHBOURS = 16_384, 256
-#: Chunks of at most so many characters are remembered, and of each of two generations at most about so many.
-CACHED_CHARS, CACHED = 24, 300_000
+#: Chunks of at most so many characters are remembered; all are forgotten when there are more, or more ids of chunks, than so many.
+CACHED_CHARS, CACHED, CACHED_IDS = 24, 600_000, 8_000_000
 
 #: A blank before white space or the end; elsewhere each blank begins a token of its own.
 _ODD_BLANK = r" (\s|$)"
@@ -39,7 +40,7 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk, a chunk being a blank and what follows up to the next one.
 
     The tokenizer's pre-tokenizer always starts a token at a blank that is followed by a visible
-    character, so each different chunk of a batch is encoded once, and frequent ones are remembered.
+    character, so each different chunk of a batch is encoded once, and short ones are remembered by number.
     Unseen chunks are encoded side by side; each begins where a token begins with a blank.
     Texts with blanks before white space are encoded whole, and so are chunks in front of a text, as they have no blank.
     """
@@ -51,34 +52,35 @@ class ChunkEncoder:
         # The tokenizer's alphabet writes a blank as this letter.
         self.blank = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of different chunks, little-endian unsigned 32-bit integers."""
-        found = list(map(self.young.get, chunks))
-        unseen = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                ids = found[i] = self.old.get(chunks[i])
-                if ids is None:
-                    unseen.append(i)
-                else:
-                    self.young[chunks[i]] = ids
+        self._forget()
+
+    def _forget(self) -> None:
+        """Chunks have numbers; the ids of all lie one after the other, and number 0 has none."""
+        self.numbers: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _numbered(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of different chunks; they hold until the next call."""
+        if len(self.numbers) > CACHED or len(self.ids) > CACHED_IDS:
+            self._forget()
+        found = np.fromiter(map(self.numbers.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unseen = np.flatnonzero(found < 0)
+        found[unseen] = len(self.sizes) + np.arange(len(unseen))
+        ids, sizes = [self.ids], [self.sizes]
         for at in range(0, len(unseen), _TOGETHER):
-            part = unseen[at : at + _TOGETHER]
-            raw = self._whole([" " + " ".join([chunks[i] for i in part])])[0]
-            ids = np.frombuffer(raw, "<u4")
-            ends = [*(4 * np.flatnonzero(self.blank[ids])).tolist(), 4 * len(ids)]
-            for i, start, end in zip(part, ends[:-1], ends[1:], strict=True):
-                found[i] = raw[start:end]
-                if len(chunks[i]) <= CACHED_CHARS:
-                    self.young[chunks[i]] = found[i]
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
+            part = [chunks[i] for i in unseen[at : at + _TOGETHER].tolist()]
+            own = self._whole([" " + " ".join(part)])[0]
+            begin = np.flatnonzero(self.blank[own])
+            if len(begin) != len(part):
+                raise ValueError(f"{len(part)} chunks begin at {len(begin)} tokens")
+            ids.append(own)
+            sizes.append(np.diff(begin, append=len(own)))
+            first = int(found[unseen[at]])
+            self.numbers.update((chunk, first + i) for i, chunk in enumerate(part) if len(chunk) <= CACHED_CHARS)
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +95,16 @@ class ChunkEncoder:
         normal = np.repeat(~odd, np.diff(begin))
         normal[begin[:-1]] = False
         asked = np.flatnonzero(np.bincount(which[normal], minlength=len(chunk.dictionary)))
-        place = np.zeros(len(chunk.dictionary), np.int64)
-        place[asked] = np.arange(len(asked))
+        number = np.zeros(len(chunk.dictionary), np.int64)
+        number[asked] = self._numbered(chunk.dictionary.take(pa.array(asked)).to_numpy(zero_copy_only=False).tolist())
         front = self._whole(pc.if_else(pa.array(odd), texts, pc.list_element(parts, 0)).to_pylist())
-        ids = [*self._chunks(chunk.dictionary.take(pa.array(asked)).to_pylist()), b"", *front]
-        which = np.where(normal, place[which], len(asked))
-        which[begin[:-1]] = len(asked) + 1 + np.arange(len(front))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = np.where(normal, number[which], 0)
+        which[begin[:-1]] = len(self.sizes) + np.arange(len(front))
+        sizes = np.r_[self.sizes, np.fromiter(map(len, front), np.int64, len(front))]
         start = np.cumsum(sizes) - sizes
         ends = np.cumsum(sizes[which])
         own = np.repeat(start[which] - ends + sizes[which], sizes[which]) + np.arange(ends[-1] if len(ends) else 0)
-        return np.frombuffer(b"".join(ids), "<u4")[own], np.r_[0, ends][begin[1:]]
+        return np.concatenate([self.ids, *front])[own], np.r_[0, ends][begin[1:]]
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -21,6 +21,22 @@ def test_chunks_encode_as_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
 
 
+def test_chunks_are_forgotten_and_long_ones_not_kept(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 2)
+    own = packing.ChunkEncoder(packing.default_tokenizer())
+    for texts in (["a b c d", None, "x " + "y" * 50], ["", "b c", "d yy b"], ["c  d", "b " + "y" * 50, " b"]):
+        want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        ids, ends = own.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
+        assert all(len(chunk) <= packing.CACHED_CHARS for chunk in own.numbers)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=9))
+def test_no_packing_goes_below_the_bound(sizes):
+    assert packing.least_bins(np.array(sizes, int), 100) <= fewest(sizes, 100)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=300), st.integers(0, 5))
 def test_packing_is_sound_and_search_never_hurts(sizes, seed):
