@@ -7,7 +7,8 @@ identifiers, ISO timestamps, record types and digests.
 
 Archives are written and read by Spark, so they may lie in any store that Spark reaches: records are
 text (their payloads are UTF-8), written by the text writer as gzip files, and whole files come back
-through the binary reader. A file holds a fixed number of pages at most, so it stays small.
+through the binary reader. A file holds a bounded number of records and of characters (but for one record that
+is longer alone), so what a task holds at once does not grow with the length of pages.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import in_arrow, join_hot, shared_dir, stored, table
+from lexengine.llm.common import BATCH_BYTES, in_arrow, join_hot, shared_dir, stored, table
 
-#: Pages in one archive file.
-PAGES_PER_FILE = 2000
+#: Records in one archive file, and characters unless one record has more.
+PAGES_PER_FILE, FILE_CHARS = 2000, 16 << 20
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 0
 
@@ -71,28 +72,39 @@ def _arc_record(version: int, fields: dict[str, str], content: bytes) -> str:
     return f"{line} {len(content)}\n{content.decode()}"
 
 
-def write_arc(pages: DataFrame, version: int, path: str, pages_per_file: int = PAGES_PER_FILE) -> None:
-    """pages (page_id, url, html) as ARC files.
+def _filled(records: Iterable[str], end: str, most: int, chars: int) -> Iterator[str]:
+    """The records file by file, with end between them: at most so many, and so many characters unless one has more."""
+    held, size = [], 0
+    for record in records:
+        if held and (len(held) == most or size + len(record) > chars):
+            yield end.join(held)
+            held, size = [], 0
+        held.append(record)
+        size += len(record)
+    if held:
+        yield end.join(held)
 
-    A filedesc stands in front of so many pages as the writer puts into a file, so every file starts with one.
-    """
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = []
-                for row in batch.slice(at, 256).to_pylist():
-                    if number % pages_per_file == 0:
-                        out.append(arc_filedesc(version, number // pages_per_file))
-                    number += 1
-                    body = (row["html"] or "").encode()
-                    content = _http(row["page_id"], len(body)).encode() + body
-                    out.append(_arc_record(version, {"url": row["url"] or "unknown:", "ip": ADDRESS, "date": CAPTURED, "mime": "text/html", "status": "200", "offset": "0", "filename": "part.arc"}, content))
-                yield pa.RecordBatch.from_pydict({"value": out})
+def _write_files(df: DataFrame, files, path: str, end: str) -> None:
+    """Each row that files (a function over Arrow batches) makes becomes a gzip file, with end behind it."""
+    writer = in_arrow(df, files, "value string").write.option("maxRecordsPerFile", 1)
+    writer.option("compression", "gzip").option("lineSep", end).text(path)
+
+
+def write_arc(pages: DataFrame, version: int, path: str, pages_per_file: int = PAGES_PER_FILE, file_chars: int = FILE_CHARS) -> None:
+    """pages (page_id, url, html) as ARC files, each with a filedesc in front."""
+
+    def record(page_id: int | None, url: str | None, html: str | None) -> str:
+        body = (html or "").encode()
+        content = _http(page_id, len(body)).encode() + body
+        return _arc_record(version, {"url": url or "unknown:", "ip": ADDRESS, "date": CAPTURED, "mime": "text/html", "status": "200", "offset": "0", "filename": "part.arc"}, content)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (record(*(column[i].as_py() for column in batch.columns)) for batch in batches for i in range(batch.num_rows))
+        for number, content in enumerate(_filled(records, "\n", pages_per_file, file_chars)):
+            yield pa.RecordBatch.from_pydict({"value": [f"{arc_filedesc(version, number)}\n{content}"]})
 
-    writer = in_arrow(pages, records, "value string").write.option("maxRecordsPerFile", pages_per_file + 1)
-    writer.option("compression", "gzip").option("lineSep", "\n").text(path)
+    _write_files(pages.select("page_id", "url", "html"), files, path, "\n")
 
 
 def _inflated(data: bytes) -> bytes:
@@ -205,22 +217,22 @@ def with_types(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return typed.unionByName(short)
 
 
-def write_warc(arc: DataFrame, typed: DataFrame, path: str, records_per_file: int = PAGES_PER_FILE) -> None:
+def write_warc(arc: DataFrame, typed: DataFrame, path: str, records_per_file: int = PAGES_PER_FILE, file_chars: int = FILE_CHARS) -> None:
     """Converts the files in arc (file, content); typed says of each record whether it answers.
 
     What is said of the records of one file meets in one row; that is bounded, as the file is.
     """
     said = typed.groupBy("row.file").agg(F.array_sort(F.collect_list(F.struct("row.number", "response", "keeper"))).alias("said"))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.column(1)[i].as_py()
-                out = [warc_record(r, o["response"], o["keeper"]) for r, o in zip(_arc_rows(batch.column(0)[i].as_py()), own, strict=True)]
-                yield pa.RecordBatch.from_pydict({"value": out})
+                records = (warc_record(r, o["response"], o["keeper"]) for r, o in zip(_arc_rows(batch.column(0)[i].as_py()), own, strict=True))
+                for content in _filled(records, WARC_END, records_per_file, file_chars):
+                    yield pa.RecordBatch.from_pydict({"value": [content]})
 
-    writer = in_arrow(arc.join(said, "file").select("content", "said"), records, "value string").write.option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", "gzip").option("lineSep", WARC_END).text(path)
+    _write_files(arc.join(said, "file").select("content", "said"), files, path, WARC_END)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -252,7 +264,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                out = {n: [] for n in _WARC_ROWS.names}
+                out, held = {n: [] for n in _WARC_ROWS.names}, 0
                 for head, block in parse_warc(_inflated(batch.column(0)[i].as_py())):
                     http, _, body = block.partition(b"\r\n\r\n")
                     kind = _header(head, "WARC-Type")
@@ -267,12 +279,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     out["refers_to"].append(None if keeper is None else int(keeper))
                     out["url"].append(_header(head, "WARC-Target-URI"))
                     out["payload"].append(body if kind == "response" else None)
+                    held += len(block)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pydict(out, schema=_WARC_ROWS)
+                        out, held = {n: [] for n in _WARC_ROWS.names}, 0
                 yield pa.RecordBatch.from_pydict(out, schema=_WARC_ROWS)
 
     return in_arrow(_files(spark, path).select("content"), rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
-def convert(pages: DataFrame, version: int = 2, least: int = REVISIT_BYTES, pages_per_file: int = PAGES_PER_FILE) -> str:
+def convert(pages: DataFrame, version: int = 2, least: int = REVISIT_BYTES, pages_per_file: int = PAGES_PER_FILE, file_chars: int = FILE_CHARS) -> str:
     """Writes pages (page_id, url, html) as ARC, converts the archive to WARC and returns its folder.
 
     Null html counts as empty, a null url becomes "unknown:", white space inside urls is
@@ -282,9 +298,9 @@ def convert(pages: DataFrame, version: int = 2, least: int = REVISIT_BYTES, page
     spark = pages.sparkSession
     old, new = shared_dir(spark), shared_dir(spark)
     pages = pages.select("page_id", "url", "html")
-    write_arc(pages, version, old, pages_per_file)
+    write_arc(pages, version, old, pages_per_file, file_chars)
     # The digests choose the responses; the files are read again when the WARC files are written.
-    write_warc(_files(spark, old), with_types(stored(read_arc(spark, old)), least), new, pages_per_file)
+    write_warc(_files(spark, old), with_types(stored(read_arc(spark, old)), least), new, pages_per_file, file_chars)
     return new
 
 

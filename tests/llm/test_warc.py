@@ -38,6 +38,16 @@ def test_edges(spark):
     assert warc.read_warc(spark, warc.convert(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_files_are_cut_by_their_characters(spark):
+    rows = [(i, f"u{i}", "é" * 1000 if i % 2 else f"x{i % 3}", "", 1) for i in range(30)] + [(99, "u", "long " * 5000, "", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    folder = warc.convert(docs, file_chars=5000)
+    sizes = [len(warc._inflated(bytes(r.content)).decode()) for r in warc._files(spark, folder).collect()]
+    # Each file but that of the long page stays below the bound, with room for the last end of a record.
+    assert len(sizes) > 5 and sorted(sizes)[-2] <= 5200 < 25000 < max(sizes)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, folder).collect()} == brute([(r[0], r[2]) for r in rows])
+
+
 def test_versions_and_broken_records():
     one = warc.arc_filedesc(1, 0) + "\nhttp://a 1.2.3.4 20200102030405 text/html 3\nabc\n"
     two = warc.arc_filedesc(2, 0) + "\nhttp://a 1.2.3.4 20200102030405 text/html 200 - - 0 f.arc 3\nabc\n"
