@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, pii, quality, warc
+from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, pii, quality, repetition, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "op11_quality_rules": repetition.op11_quality_rules,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat_format.OP2_SQL,
         "op3_exact_dedup": exact_dedup.OP3_SQL,
         "op4_mixing": mixing.OP4_SQL,
+        "op11_quality_rules": repetition.OP11_SQL,
     }
