@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, pii, quality, repetition, warc
+from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, phrases, pii, quality, repetition, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
         "op11_quality_rules": repetition.op11_quality_rules,
+        "op12_phrase_mining": phrases.op12_phrase_mining,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.OP3_SQL,
         "op4_mixing": mixing.OP4_SQL,
         "op11_quality_rules": repetition.OP11_SQL,
+        "op12_phrase_mining": phrases.OP12_SQL,
     }
