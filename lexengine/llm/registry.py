@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, phrases, pii, quality, repetition, warc
+from lexengine.llm import chat_format, ctw, exact_dedup, media, mixing, ngram_join, packing, phrases, pii, quality, repetition, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": quality.op10_quality,
         "op11_quality_rules": repetition.op11_quality_rules,
         "op12_phrase_mining": phrases.op12_phrase_mining,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.OP4_SQL,
         "op11_quality_rules": repetition.OP11_SQL,
         "op12_phrase_mining": phrases.OP12_SQL,
+        "op13_vector_codes": vector_codes.OP13_SQL,
     }

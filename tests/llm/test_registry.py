@@ -23,4 +23,4 @@ def test_sql(spark, name):
 
 
 def test_operators():
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 13)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)}
