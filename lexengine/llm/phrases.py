@@ -7,9 +7,9 @@ and what is left are the bitmaps of the longer phrases, whose popcounts are thei
 over all shards.
 
 A phrase can be frequent only if its parts are. Shards are read once for words, once for pairs, once for
-triples and once for the rest, which grows depth-first from the frequent triples, branch by branch. Pairs and triples are first counted by 64-bit
-keys alone; tasks know frequent keys by a filter of bounded size. What it lets through wrongly is counted by its words
-in the next step and dropped there, so results are exact.
+triples and once for the rest, which grows depth-first, branch by branch. Words, pairs and triples are first counted by
+KEY_BITS of a hash alone; tasks know frequent keys by a filter of bounded size. What it lets through wrongly is counted by its words
+in the last step and dropped there, so results are exact.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from lexengine.llm.common import in_arrow, join_hot, shared_dir, stored, table
 #: Words of a phrase; a phrase occurs so often at least; phrases of a language in the report.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Characters of the texts in a shard; a text with more is cut between pieces.
-SHARD_CHARS = 6 << 20
+SHARD_CHARS = 4 << 20
+#: Bits of a key that is counted. Phrases that share a key only make the filter let more through.
+KEY_BITS = 40
 #: Bits of a filter for each key in it, and of all of it at most. More keys only make it let more through.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 #: Blocks of a branch that grow together.
-BRANCH = 1 << 17
+BRANCH = 1 << 16
 #: Parts of a language that are ranked apart before its best are ranked together.
 RANKED_APART = 64
 UNKNOWN = "und"
@@ -118,7 +120,7 @@ def shards(docs: DataFrame) -> DataFrame:
     types = "words array<struct<lang:string,word:string,key:bigint,n:bigint>>, owner binary, block binary, mask binary"
     path = shared_dir(docs.sparkSession)
     # Rows are megabytes long, so the writer looks at its size after each one.
-    writer = in_arrow(filled, rows, types).write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
+    writer = in_arrow(filled, rows, types).write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
     for kind in ("block", "page"):
         writer = writer.option(f"parquet.{kind}.size.row.check.min", 1).option(f"parquet.{kind}.size.row.check.max", 1)
     writer.parquet(path)
@@ -251,7 +253,8 @@ _KEYS, _SPELT = "key long, n long", "lang string, phrase string, words int, n lo
 
 
 def _keyed(shard: Shard, p: Phrases) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard.keys(p.words).view(np.int64)), pa.array(p.times())], names=["key", "n"])
+    short = shard.keys(p.words) & np.uint64((1 << KEY_BITS) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(p.times())], names=["key", "n"])
 
 
 def _named(shard: Shard, p: Phrases) -> pa.RecordBatch:
@@ -283,8 +286,9 @@ def _triples(shard: Shard, two: KeyFilter) -> Iterator[pa.RecordBatch]:
 
 def _deep(longest: int) -> Callable[..., Iterator[pa.RecordBatch]]:
     def grow(shard: Shard, two: KeyFilter, three: KeyFilter) -> Iterator[pa.RecordBatch]:
-        """From each branch down; a phrase grows if the three words at its end may be frequent."""
+        """From each branch of words down; a phrase grows if the three words at its end may be frequent."""
         for branch in shard.branches():
+            yield _named(shard, branch)
             p = _frequent_pairs(shard, branch, two)
             yield _named(shard, p)
             while len(p.words) and p.words.shape[1] < longest:
@@ -303,16 +307,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     Phrases stay inside pieces and are joined by single blanks. An empty table gives no rows.
     """
     found = shards(docs)
-    # Counts of words are popcounts of their bitmaps; each shard has stored its own.
-    words = stored(found.select(F.explode("words").alias("w")).select("w.*").groupBy("lang", "word").agg(F.sum("n").alias("f"), F.first("key").alias("key")))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "f")
-    single = words.filter(F.col("f") >= least)
-    everything = totals.unionByName(single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f"))
-    frequent = key_filter(single)
+    words = found.select(F.explode("words").alias("w")).select("w.*")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("f")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "f")
+    # The counts of words are popcounts of their bitmaps, which their shard has stored.
+    frequent = _frequent_keys(words.select(F.col("key").bitwiseAND((1 << KEY_BITS) - 1).alias("key"), "n"), least)
     two = _frequent_keys(_in_shards(found, _pairs, (frequent,), _KEYS), least)
     three = _frequent_keys(_in_shards(found, _triples, (frequent, two), _KEYS), least)
     named = _in_shards(found, _deep(longest), (frequent, two, three), _SPELT).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return stored(everything.unionByName(named))
+    return stored(totals.unionByName(named))
 
 
 # --- collocations -------------------------------------------------------------------------------
