@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ SHARD_CHARS = 4 << 20
 KEY_BITS = 40
 #: Bits of a filter for each key in it, and of all of it at most. More keys only make it let more through.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
-#: Blocks of a branch that grow together.
-BRANCH = 1 << 16
+#: Blocks of a branch that grow together; keys that a task sums up before it hands them on.
+BRANCH, HELD = 1 << 16, 1 << 21
 #: Parts of a language that are ranked apart before its best are ranked together.
 RANKED_APART = 64
 UNKNOWN = "und"
@@ -182,11 +183,13 @@ class Phrases:
 
 
 class Shard:
-    """The frequent words of a shard, with their bitmaps by word and by block."""
+    """The words of a shard and, if it is known which are frequent, the bitmaps of those by word and by block."""
 
-    def __init__(self, row: pa.RecordBatch, frequent: KeyFilter):
+    def __init__(self, row: pa.RecordBatch, frequent: KeyFilter | None):
         self.listed = row.column(0).flatten()
         self.key = self.listed.field("key").to_numpy().view(np.uint64)
+        if frequent is None:
+            return
         owner, block, mask = (np.frombuffer(row.column(i)[0].as_buffer(), kind) for i, kind in ((1, np.int32), (2, np.int32), (3, np.uint16)))
         known = frequent.passes(self.key)[owner]
         owner, block, mask = owner[known], block[known], mask[known]
@@ -238,23 +241,21 @@ class Shard:
 
 
 def _in_shards(found: DataFrame, grow: Callable[..., Iterator[pa.RecordBatch]], filters: tuple[KeyFilter, ...], types: str) -> DataFrame:
-    """What grow makes of each shard and the filters of frequent words, pairs and triples, as far as there are some."""
+    """What grow makes of a task's shards and the filters of frequent words, pairs and triples, as far as there are some."""
     shared = found.sparkSession.sparkContext.broadcast(filters)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from grow(Shard(batch.slice(i, 1), shared.value[0]), *shared.value[1:])
+        frequent, *more = shared.value or (None,)
+        return grow((Shard(batch.slice(i, 1), frequent) for batch in batches for i in range(batch.num_rows)), *more)
 
     return in_arrow(found, rows, types)
 
 
-_KEYS, _SPELT = "key long, n long", "lang string, phrase string, words int, n long"
+_SPELT = "lang string, phrase string, words int, n long"
 
 
-def _keyed(shard: Shard, p: Phrases) -> pa.RecordBatch:
-    short = shard.keys(p.words) & np.uint64((1 << KEY_BITS) - 1)
-    return pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(p.times())], names=["key", "n"])
+def _keyed(shard: Shard, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    return shard.keys(p.words), p.times()
 
 
 def _named(shard: Shard, p: Phrases) -> pa.RecordBatch:
@@ -263,11 +264,67 @@ def _named(shard: Shard, p: Phrases) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, text, size, pa.array(p.times())], names=["lang", "phrase", "words", "n"])
 
 
-def _frequent_keys(rows: DataFrame, least: int) -> KeyFilter:
-    return key_filter(stored(rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")))
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and their sums."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, first byte by first byte and so on, so that bytes that are alike lie together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _pairs(shard: Shard) -> Iterator[pa.RecordBatch]:
+def _frequent_keys(found: DataFrame, count_in: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], filters: tuple[KeyFilter, ...], least: int) -> KeyFilter:
+    """The filter of keys that occur `least` times or more over all shards; count_in gives keys and how often they occur in a shard.
+
+    Tasks sum up what they hold and hand it on by the first bits of keys, as compressed differences of sorted keys. There are so many such
+    parts that one has no more keys than two shards have words, on average.
+    """
+    part_bits = max(8, (found.count() // 2).bit_length())
+    shift = KEY_BITS - part_bits
+
+    def grow(shards: Iterator[Shard], *known: KeyFilter) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for shard in shards:
+            for key, n in count_in(shard, *known):
+                held.append(((key & np.uint64((1 << KEY_BITS) - 1)).view(np.int64), n))
+                size += len(key)
+                if size > HELD:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield _parts(*held.pop())
+                        size = 0
+        if size:
+            yield _parts(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    def _parts(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(np.diff(key >> shift, prepend=-1))
+        cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True))
+        columns = [pa.array(key[at] >> shift), pa.array([_packed(np.diff(key[a:b], prepend=0)) for a, b in cuts], pa.binary()), pa.array([_packed(n[a:b]) for a, b in cuts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "times"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        key, n = _summed(*(np.concatenate([x for x in map(unpack, group.column(c).to_pylist())]) for c, unpack in (("keys", lambda b: np.cumsum(_unpacked(b))), ("times", _unpacked))))
+        return pa.table({"key": key[n >= least]})
+
+    dealt = _in_shards(found, grow, filters, "part long, keys binary, times binary")
+    return key_filter(stored(dealt.groupBy("part").applyInArrow(merged, "key long")))
+
+
+def _singles(shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The counts of words are popcounts of their bitmaps, which their shard has stored."""
+    yield shard.key, shard.listed.field("n").to_numpy()
+
+
+def _pairs(shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for branch in shard.branches():
         yield _keyed(shard, shard.extended(branch))
 
@@ -277,7 +334,7 @@ def _frequent_pairs(shard: Shard, branch: Phrases, two: KeyFilter) -> Phrases:
     return p.some(two.passes(shard.keys(p.words)))
 
 
-def _triples(shard: Shard, two: KeyFilter) -> Iterator[pa.RecordBatch]:
+def _triples(shard: Shard, two: KeyFilter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Triples of which both pairs may be frequent."""
     for branch in shard.branches():
         q = shard.extended(_frequent_pairs(shard, branch, two))
@@ -285,16 +342,17 @@ def _triples(shard: Shard, two: KeyFilter) -> Iterator[pa.RecordBatch]:
 
 
 def _deep(longest: int) -> Callable[..., Iterator[pa.RecordBatch]]:
-    def grow(shard: Shard, two: KeyFilter, three: KeyFilter) -> Iterator[pa.RecordBatch]:
+    def grow(shards: Iterator[Shard], two: KeyFilter, three: KeyFilter) -> Iterator[pa.RecordBatch]:
         """From each branch of words down; a phrase grows if the three words at its end may be frequent."""
-        for branch in shard.branches():
-            yield _named(shard, branch)
-            p = _frequent_pairs(shard, branch, two)
-            yield _named(shard, p)
-            while len(p.words) and p.words.shape[1] < longest:
-                p = shard.extended(p)
-                p = p.some(three.passes(shard.keys(p.words[:, -3:])))
+        for shard in shards:
+            for branch in shard.branches():
+                yield _named(shard, branch)
+                p = _frequent_pairs(shard, branch, two)
                 yield _named(shard, p)
+                while len(p.words) and p.words.shape[1] < longest:
+                    p = shard.extended(p)
+                    p = p.some(three.passes(shard.keys(p.words[:, -3:])))
+                    yield _named(shard, p)
 
     return grow
 
@@ -307,12 +365,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     Phrases stay inside pieces and are joined by single blanks. An empty table gives no rows.
     """
     found = shards(docs)
-    words = found.select(F.explode("words").alias("w")).select("w.*")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("f")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "f")
-    # The counts of words are popcounts of their bitmaps, which their shard has stored.
-    frequent = _frequent_keys(words.select(F.col("key").bitwiseAND((1 << KEY_BITS) - 1).alias("key"), "n"), least)
-    two = _frequent_keys(_in_shards(found, _pairs, (frequent,), _KEYS), least)
-    three = _frequent_keys(_in_shards(found, _triples, (frequent, two), _KEYS), least)
+    totals = found.select(F.explode("words").alias("w")).groupBy("w.lang").agg(F.sum("w.n").alias("f")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "f")
+    frequent = _frequent_keys(found.select("words"), _singles, (), least)
+    two = _frequent_keys(found, _pairs, (frequent,), least)
+    three = _frequent_keys(found, _triples, (frequent, two), least)
     named = _in_shards(found, _deep(longest), (frequent, two, three), _SPELT).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return stored(totals.unionByName(named))
 

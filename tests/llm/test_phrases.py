@@ -46,7 +46,7 @@ def corpus(seed, size):
 @pytest.mark.parametrize("least", [1, 4])
 def test_against_plain_counts(spark, least, monkeypatch):
     rows = corpus(least, 60)
-    for values in ({}, {"SHARD_CHARS": 200, "BRANCH": 7}):
+    for values in ({}, {"SHARD_CHARS": 200, "BRANCH": 7, "HELD": 50}):
         for name, value in values.items():
             monkeypatch.setattr(phrases, name, value)
         assert mined(spark, rows, least=least, longest=5, top=40) == plain(rows, least, 5, 40)
