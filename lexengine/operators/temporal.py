@@ -19,7 +19,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, keep: list[str
     which there are few. Of right rows at one time the one with the greatest values in keep counts. Left rows without a key or time, and
     those with nothing before them, get nulls; right rows without are left out. Columns in keep that left has too give way to right's.
     """
-    number = (lambda c: c.cast("double")) if dict(right.dtypes)[time].startswith("timestamp") else lambda c: c
+    number = (lambda c: c.cast("timestamp").cast("double")) if dict(right.dtypes)[time].startswith(("timestamp", "date")) else lambda c: c
     if ranges is None:
         ranges = max(1, min(RANGES, -(-right.count() // RANGE_ROWS)))
     # One row with fewer numbers than RANGES.

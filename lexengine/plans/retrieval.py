@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexengine.operators import closure, fulltext, fuzzy, orderstats, temporal
+from lexengine.operators import closure, fulltext, fuzzy, increment, orderstats, temporal
 from lexengine.plans import adapters
 from lexengine.plans.adapters import table
+from lexengine.session import scratch_dir
 from lexengine.sources import cmudict
 
 QUERIES, SQL = {}, {}
@@ -167,3 +168,19 @@ def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """The quarter, the median and the 99th hundredth of each customer's orders in cents; customers with more than eight are counted bit by bit."""
     cents = table(spark, d, "orders").select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return orderstats.quantiles(cents, "o_custkey", "cents", list(_SHARES), small=8)
+
+
+# --- the key table (C28) ------------------------------------------------------------------------
+
+
+@query("SELECT lower(c_name) AS key, c_custkey AS id, c_mktsegment AS segment FROM customer")
+def key_table_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """All customers by key, from a table of one market segment into which the others were inserted one by one, with a compaction in between."""
+    rows = table(spark, d, "customer").select(F.lower("c_name").alias("key"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    # Market segments are a handful of labels.
+    first, *others = [r.segment for r in rows.select("segment").distinct().orderBy("segment").collect()] or [""]
+    keys = increment.create(rows.filter(F.col("segment") == first), scratch_dir(spark), 8)
+    for number, segment in enumerate(others):
+        keys = increment.insert(keys, rows.filter(F.col("segment") == segment))
+        keys = increment.compact(spark, keys) if number == 1 else keys
+    return increment.lookup(spark, keys)
