@@ -12,12 +12,14 @@ the pattern's kind, beside the base spans, which all stay.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,13 @@ from lexengine.llm.common import in_arrow, join_hot, stored, table
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern must surround so many different seeds.
 MIN_SEEDS = 3
-#: Bits of the filter through which tasks know patterns; what it lets through wrongly, a join drops.
-FILTER_BITS = 1 << 25
+#: Bits, for each word and at most, of the filters through which tasks know patterns and forms; what they let through wrongly, a join drops.
+BITS_PER_WORD, MOST_BITS = 16, 1 << 28
 #: Sums and words that a task holds.
 HELD = 200_000
 #: Patterns and instances at or above are accepted; patterns are scored so many times.
 CONFIDENCE, ROUNDS = 0.8, 3
-#: Longer words are no context, so that a pattern has a bounded size.
+#: Longer words stand in contexts by their digest, so that a pattern has a bounded size.
 MAX_CONTEXT = 64
 
 # Fixed forms of the base kinds. Lookbehinds and possessive runs only keep long runs linear.
@@ -81,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = re.sub(r"[^0-9]", "", m[0])
@@ -94,24 +96,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _lexical(word: str) -> str | None:
-    """A word of a context, in lower case, with digits alike; words with the mark between words and very long ones are no context."""
+def _lexical(word: str) -> str:
+    """A word of a context, in lower case, with digits alike; very long words, and those with the mark between words, by their digest."""
     if "@" in word:
         return "@"
-    return None if len(word) > MAX_CONTEXT or "\x1f" in word else _DIGIT.sub("0", word.lower())
+    word = _DIGIT.sub("0", word.lower())
+    return "\x1e" + hashlib.sha256(word.encode()).hexdigest() if len(word) > MAX_CONTEXT or "\x1f" in word else word
 
 
 def contexts(left: list[str], right: str | None) -> list[str]:
     """The patterns of a slot: its left word, its two left words, and its left and right word."""
     near = [_lexical(w) for w in left]
-    after = None if right is None else _lexical(right)
     found = []
-    if near and near[-1] is not None:
+    if near:
         found.append("\x1f".join(("before", near[-1])))
-        if len(near) == 2 and near[0] is not None:
+        if len(near) == 2:
             found.append("\x1f".join(("left", *near)))
-        if after is not None:
-            found.append("\x1f".join(("around", near[-1], after)))
+        if right is not None:
+            found.append("\x1f".join(("around", near[-1], _lexical(right))))
     return found
 
 
@@ -126,9 +128,8 @@ def _slot(text: str, words: list[tuple[int, int]], first: int, last: int) -> lis
     return contexts(left, right)
 
 
-def _inside(words: list[tuple[int, int]], start: int, end: int) -> tuple[int, int]:
-    """Numbers of the first and last word that a span touches."""
-    starts = [a for a, _ in words]
+def _inside(starts: list[int], start: int, end: int) -> tuple[int, int]:
+    """Numbers of the first and last word that a span touches; starts are those of the words."""
     return bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
 
 
@@ -149,8 +150,9 @@ def find_base(docs: DataFrame) -> DataFrame:
                 near = []
                 if found:
                     words = _words(text)
+                    starts = [a for a, _ in words]
                     for a, k, b in found:
-                        near += [{"pattern": p, "kind": k, "form": text[a:b]} for p in _slot(text, words, *_inside(words, a, b))]
+                        near += [{"pattern": p, "kind": k, "form": text[a:b]} for p in _slot(text, words, *_inside(starts, a, b))]
                 seeds.append(near)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(seeds, _SEEDS)], names=["doc_id", "text_key", "spans", "seeds"])
 
@@ -178,16 +180,17 @@ def induce(seeds: DataFrame) -> DataFrame:
 
 
 def text_filter(words: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits in which each text in the column word sets one."""
-    at = words.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(FILTER_BITS)).cast("long").alias("bit"))
+    """Bits of which each text in the column word sets one; there are BITS_PER_WORD for each row, and MOST_BITS at most."""
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_PER_WORD * words.count() - 1).bit_length()))
+    at = words.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(size)).cast("long").alias("bit"))
     rows = at.groupBy(F.shiftright("bit", 5).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS INT))")).alias("bits")).toArrow()
-    found = np.zeros(FILTER_BITS // 32, np.uint32)
+    found = np.zeros(size // 32, np.uint32)
     found[rows["place"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return found
 
 
 def _holds(bits: bytes, word: str) -> bool:
-    at = zlib.crc32(word.encode()) % FILTER_BITS
+    at = zlib.crc32(word.encode()) % (8 * len(bits))
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
@@ -198,11 +201,21 @@ def pattern_filter(patterns: DataFrame) -> np.ndarray:
     return text_filter(patterns.select(F.explode(F.array_compact(F.array("pattern", word))).alias("word")))
 
 
-def _identifier(text: str, span: tuple[int, int], base: list[tuple[int, int, int]]) -> tuple[bool, re.Match | None]:
-    """Whether a base span touches a word, and, if none does, the identifier-like token in it."""
-    if any(x < span[1] and span[0] < y for x, _, y in base):
-        return True, None
-    return False, _IDENTIFIER.search(text, *span)
+class _Base:
+    """The base spans of a text, which may overlap each other."""
+
+    def __init__(self, text: str):
+        self.text, spans = text, base_spans(text)
+        self.starts = [a for a, _, _ in spans]
+        #: The last end of all spans so far.
+        self.ends = list(accumulate((b for _, _, b in spans), max))
+
+    def identifier(self, start: int, end: int) -> tuple[bool, re.Match | None]:
+        """Whether a base span touches a word, and, if none does, the identifier-like token in it."""
+        before = bisect_left(self.starts, end)
+        if before and self.ends[before - 1] > start:
+            return True, None
+        return False, _IDENTIFIER.search(self.text, start, end)
 
 
 def _like_identifiers(text: str, low: list[str]) -> list[int]:
@@ -212,6 +225,14 @@ def _like_identifiers(text: str, low: list[str]) -> list[int]:
     return [j for j, w in enumerate(low) if "@" in w or _DIGIT.search(w)]
 
 
+def _as_context(text: str, low: list[str], like: list[int]) -> None:
+    """Puts what _lexical makes of them in place of lower-cased words: of those with digits or an at sign, and of odd ones."""
+    if "\x1f" in text or max(map(len, low), default=0) > MAX_CONTEXT:
+        like = {*like, *(j for j, w in enumerate(low) if "\x1f" in w or len(w) > MAX_CONTEXT)}
+    for j in like:
+        low[j] = _lexical(low[j])
+
+
 def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """The places of the whole corpus that patterns surround, but for those that base spans touch.
 
@@ -237,22 +258,24 @@ def pattern_slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 text = batch.column(2)[i].as_py() or ""
                 low = [w.lower() for w in _tokens(text)]
                 like = _like_identifiers(text, low)
-                for j in like:
-                    low[j] = _lexical(low[j]) or "\x1f"
+                _as_context(text, low, like)
                 some: dict[str, int] = {}
+                double = set()
                 for word, n in Counter(low[:-1]).items():
                     before, two = near(word)
                     if before:
                         some[before] = n
                     if two:
-                        for j in [j for j, w in enumerate(low[:-1], 1) if w == word]:
-                            for key in (("left", low[j - 2], word) if j > 1 else None, ("around", word, low[j + 1]) if j + 1 < len(low) else None):
-                                if key and _holds(bits, pattern := "\x1f".join(key)):
-                                    some[pattern] = some.get(pattern, 0) + 1
+                        double.add(word)
+                for j, word in enumerate(low[:-1], 1) if double else ():
+                    if word in double:
+                        for key in (("left", low[j - 2], word) if j > 1 else None, ("around", word, low[j + 1]) if j + 1 < len(low) else None):
+                            if key and _holds(bits, pattern := "\x1f".join(key)):
+                                some[pattern] = some.get(pattern, 0) + 1
                 if some and like:
-                    words, base = _words(text), base_spans(text)
+                    words, base = _words(text), _Base(text)
                     for j in like:
-                        touched, form = _identifier(text, words[j], base)
+                        touched, form = base.identifier(*words[j])
                         if touched or form:
                             for p in _slot(text, words, j, j):
                                 if p in some:
@@ -286,9 +309,9 @@ def occurrences(docs: DataFrame, instances: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 like = _like_identifiers(text, _tokens(text))
                 if like:
-                    words, base = _words(text), base_spans(text)
+                    words, base = _words(text), _Base(text)
                     for j in like:
-                        form = _identifier(text, words[j], base)[1]
+                        form = base.identifier(*words[j])[1]
                         if form and _holds(known.value, form[0]):
                             found += [(p, form[0]) for p in _slot(text, words, j, j)]
             yield pa.RecordBatch.from_pydict({"pattern": pa.array([p for p, _ in found], pa.string()), "form": pa.array([f for _, f in found], pa.string())})

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,35 @@ def test_long_runs_stay_linear():
     assert pii.base_spans(text) == []
 
 
+def test_runs_of_zeros_are_numbers():
+    for text in ("0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "7", "0" * 5000 + ".1.1.256", "0.00.000.0000"):
+        assert pii.base_spans(text) == ([] if "256" in text else [(0, 1, len(text))])
+
+
+def test_many_spans_in_one_text_take_seconds(spark):
+    long = " ".join(f"mail u{i}@a.example.com or 7-{i}-x and" for i in range(50_000))
+    docs = spark.createDataFrame([(1, long, "", 0)], SCHEMA)
+    began = time.time()
+    found = pii.extract(docs).first()
+    assert len(found.base) == 50_000 and time.time() - began < 60
+
+
+def test_overlapping_base_spans_hide_the_words_they_touch():
+    text = "a +1 555 010 1234 4111 1111 1111 1111 x1y +49 30 123456 5500 0000 0000 0004"
+    base = pii._Base(text)
+    for m in re.finditer(r"\S+", text):
+        assert base.identifier(*m.span())[0] == any(a < m.end() and m.start() < b for a, _, b in pii.base_spans(text))
+
+
+def test_long_words_are_context(spark):
+    """Words beyond MAX_CONTEXT, or with the mark between words, teach like any other."""
+    for label in ("L" * 500, "la\x1fbel", "\x1e" + "m" * 80):
+        rows = [(i, f"some words {label} u{i}@mail.example.com end", "", 0) for i in range(20)] + [(99, f"some words {label} handle-7x end", "", 0), (98, f"some words {label}x handle-7y end", "", 0)]
+        found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+        start = len(f"some words {label} ")
+        assert found[99] == [(start, 0, start + 9)]
+
+
 def test_rare_patterns_count_in_a_large_corpus(spark):
     """A template that is copied very often does not raise the bar for a rare kind."""
     rows = spark.range(8000).selectExpr("id AS doc_id", "repeat(concat('write to u', id, '@mail.example.com today '), 5) AS text")
