@@ -120,8 +120,11 @@ def _inflated(data: bytes) -> bytes:
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file but for its filedesc: the header's fields and content."""
-    at, fields = 0, ARC_FIELDS[1]
+    """The records of an ARC file but for its filedesc: the header's fields and content.
+
+    Only the first record can be the filedesc, and only if its content begins with a version; any other record may have any url.
+    """
+    at, fields, first = 0, ARC_FIELDS[1], True
     while at < len(data):
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)]
@@ -135,8 +138,11 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if len(content) != int(values[-1]):
             raise ValueError(f"the record at {at} is cut off")
         at = end + 1 + len(content)
-        if line.startswith(b"filedesc://"):
-            fields = ARC_FIELDS[int(content.split(b" ", 1)[0])]
+        head, first = first and line.startswith(b"filedesc://") and re.match(rb"([0-9]+) [0-9]+ ", content), False
+        if head:
+            if int(head[1]) not in ARC_FIELDS:
+                raise ValueError(f"version {int(head[1])} is not known")
+            fields = ARC_FIELDS[int(head[1])]
             continue
         if len(values) != len(fields):
             raise ValueError(f"{len(values)} fields where the version has {len(fields)}")

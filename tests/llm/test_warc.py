@@ -38,6 +38,15 @@ def test_edges(spark):
     assert warc.read_warc(spark, warc.convert(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_any_url(spark):
+    urls = ["filedesc://part-0.arc", "filedesc://x 1", "filedesc://", " ", "", "a\r\nContent-Length: 5", "\x85\u2028é", "WARC/1.1", "1 0 x", "http://a b?c#d"]
+    rows = [(i, u, f"1 0 lexengine {i % 4}\n", "", 1) for i, u in enumerate(urls * 2)]
+    for version in (1, 2):
+        found = warc.read_warc(spark, warc.convert(spark.createDataFrame(rows, SCHEMA), version)).collect()
+        assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found} == brute([(r[0], r[2]) for r in rows])
+        assert {r.url for r in found if "filedesc" in r.url} == {"filedesc://part-0.arc", "filedesc://x%201", "filedesc://"}
+
+
 def test_files_are_cut_by_their_characters(spark):
     rows = [(i, f"u{i}", "é" * 1000 if i % 2 else f"x{i % 3}", "", 1) for i in range(30)] + [(99, "u", "long " * 5000, "", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
