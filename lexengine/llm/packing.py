@@ -30,8 +30,8 @@ BLOCK_PIECES, NEIGHBOURS = 16_384, 256
 #: Chunks of at most so many characters are remembered; all are forgotten when there are more, or more ids of chunks, than so many.
 CACHED_CHARS, CACHED, CACHED_IDS = 24, 600_000, 8_000_000
 
-#: A blank before white space or the end; elsewhere each blank begins a token of its own.
-_ODD_BLANK = r" (\s|$)"
+#: A blank before white space (Unicode's, as the pre-tokenizer has it) or the end; elsewhere each blank begins a token of its own.
+_ODD_BLANK = " ([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|$)"
 #: Unseen chunks that are encoded together.
 _TOGETHER = 5_000
 

@@ -21,6 +21,29 @@ def test_chunks_encode_as_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
 
 
+#: All that Unicode, Python or the pre-tokenizer may take for white space, and their neighbours.
+ODD = "".join(chr(c) for c in [*range(9, 14), *range(0x1C, 0x22), 0x7F, 0x84, 0x85, 0x86, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x1FFF, 0x2010), *range(0x2027, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(" \xa0\u3000\u2009a"), st.sampled_from(ODD), st.sampled_from(["mot", "1", "!", "'s", "é"])), max_size=10).map("".join), min_size=50, max_size=50))
+def test_chunks_beside_all_white_space(texts):
+    own = packing.encoder(packing.default_tokenizer())
+    texts += ["a \xa0 \xa0", "\xa0 \xa0", "a\xa0 b", "a \x0b b", "a \x85"]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, ends = own.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
+
+
+def test_every_character_beside_blanks():
+    own = packing.encoder(packing.default_tokenizer())
+    marks = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + list(ODD)
+    texts = [t for c in marks for t in (f"a {c} {c}b {c}{c} ", f"{c} {c}")]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, ends = own.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
+
+
 def test_chunks_are_forgotten_and_long_ones_not_kept(monkeypatch):
     monkeypatch.setattr(packing, "CACHED", 2)
     own = packing.ChunkEncoder(packing.default_tokenizer())
