@@ -79,28 +79,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rang
     docs needs doc_id, text and source; other columns are ignored. Documents without words, and
     with them null and empty texts, have size 0 and are taken 0 times. A null source is a source
     of its own and comes last. The words taken from a source are its target, rounded; the document at the cut is
-    taken in part. Rows with equal keys are ordered by doc_id, size and extra, so that reruns agree. An empty table gives
+    taken in part. Columns in extra that are named like one of the mix give way. Rows with equal keys are ordered by doc_id, size and extra, so that reruns agree. An empty table gives
     no rows.
     """
-    slim = docs.select(*extra, "doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
+    extra = [c for c in extra if c not in ("doc_id", "source", "size", "key", "source_size", "target", "taken")]
+    # Extra columns travel as one, so that no name of theirs meets one of the mix.
+    own = F.struct(*extra) if extra else F.lit(None).cast("int")
+    slim = docs.select(own.alias("extra"), "doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
     slim = stored(slim)
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sources = stored(targets(sources, weights).withColumn("ranges", F.ceil(F.col("docs") / range_rows)))
     # One row per source; sources are labels, so they are few, but the join may also shuffle.
     wide = slim.join(sources, slim.source.eqNullSafe(sources.source)).select(
-        *extra, "doc_id", slim.source, "size", "key", "source_size", "target", F.least(F.floor(F.col("key") / F.lit(2.0**KEY_BITS) * F.col("ranges")), F.col("ranges") - 1).alias("range")
+        "extra", "doc_id", slim.source, "size", "key", "source_size", "target", F.least(F.floor(F.col("key") / F.lit(2.0**KEY_BITS) * F.col("ranges")), F.col("ranges") - 1).alias("range")
     )
     sums = wide.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "extra").rowsBetween(Window.unboundedPreceding, -1)
     placed = wide.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, placed.source.eqNullSafe(sums.s) & (placed.range == sums.r))
     budget = F.floor(F.col("target") + 0.5)
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
     rest = budget - passes * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("range_start") - F.col("before"), F.lit(0).cast("long")), F.col("size"))
-    return placed.select(*extra, "doc_id", "source", "size", "key", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
+    return placed.select(*[F.col("extra")[c].alias(c) for c in extra], "doc_id", "source", "size", "key", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
 
 
 def ends(mixed: DataFrame, place: list[str]) -> DataFrame:

@@ -38,3 +38,9 @@ def test_ends_tell_what_is_taken(spark):
     by_sum = {r.place: r.taken for r in mixing.mix(docs, extra=["place"]).collect()}
     assert {r.place: r.taken for r in mixing.taken_up_to(docs, until, ["place"]).collect()} == by_sum
     assert any(by_sum.values())
+
+
+def test_carried_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "x", 1), (2, "d", None, "y", 2)], "doc_id long, text string, source string, size string, extra int")
+    found = mixing.mix(docs, extra=["size", "extra", "source"])
+    assert sorted((r.doc_id, r.size, r.extra) for r in found.collect()) == [(1, 3, 1), (2, 1, 2)]
