@@ -251,17 +251,15 @@ def _in_shards(found: DataFrame, grow: Callable[..., Iterator[pa.RecordBatch]],
     return in_arrow(found, rows, types)
 
 
-_SPELT = "lang string, phrase string, words int, n long"
-
-
 def _keyed(shard: Shard, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return shard.keys(p.words), p.times()
 
 
-def _named(shard: Shard, p: Phrases) -> pa.RecordBatch:
+def _named(shard: Shard, p: Phrases, part_bits: int) -> pa.Table:
     lang, text = shard.spelt(p.words)
     size = pa.array(np.full(len(p.words), p.words.shape[1], np.int32))
-    return pa.RecordBatch.from_arrays([lang, text, size, pa.array(p.times())], names=["lang", "phrase", "words", "n"])
+    part = pa.array((shard.keys(p.words) >> np.uint64(64 - part_bits)).astype(np.int64))
+    return pa.table({"part": part, "lang": lang, "phrase": text, "words": size, "n": pa.array(p.times())})
 
 
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,13 +279,11 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _frequent_keys(found: DataFrame, count_in: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], filters: tuple[KeyFilter, ...], least: int) -> KeyFilter:
+def _frequent_keys(found: DataFrame, count_in: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], filters: tuple[KeyFilter, ...], least: int, part_bits: int) -> KeyFilter:
     """The filter of keys that occur `least` times or more over all shards; count_in gives keys and how often they occur in a shard.
 
-    Tasks sum up what they hold and hand it on by the first bits of keys, as compressed differences of sorted keys. There are so many such
-    parts that one has no more keys than two shards have words, on average.
+    Tasks sum up what they hold and hand it on by the first part_bits of keys, as compressed differences of sorted keys.
     """
-    part_bits = max(8, (found.count() // 2).bit_length())
     shift = KEY_BITS - part_bits
 
     def grow(shards: Iterator[Shard], *known: KeyFilter) -> Iterator[pa.RecordBatch]:
@@ -341,20 +337,61 @@ def _triples(shard: Shard, two: KeyFilter) -> Iterator[tuple[np.ndarray, np.ndar
         yield _keyed(shard, q.some(two.passes(shard.keys(q.words[:, 1:]))))
 
 
-def _deep(longest: int) -> Callable[..., Iterator[pa.RecordBatch]]:
+def _deep(shard: Shard, two: KeyFilter, three: KeyFilter, longest: int) -> Iterator[Phrases]:
+    """From each branch of words down; a phrase grows if the three words at its end may be frequent."""
+    for branch in shard.branches():
+        yield branch
+        p = _frequent_pairs(shard, branch, two)
+        yield p
+        while len(p.words) and p.words.shape[1] < longest:
+            p = shard.extended(p)
+            p = p.some(three.passes(shard.keys(p.words[:, -3:])))
+            yield p
+
+
+def _added(tables: list[pa.Table], by: list[str]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+
+
+def _spelt_counts(found: DataFrame, filters: tuple[KeyFilter, ...], least: int, longest: int, part_bits: int) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases that occur `least` times or more, counted by their words.
+
+    Tasks sum up what they hold and hand it on by the first bits of keys, as compressed tables in order of phrases.
+    """
+    by = ["part", "lang", "phrase", "words"]
+
     def grow(shards: Iterator[Shard], two: KeyFilter, three: KeyFilter) -> Iterator[pa.RecordBatch]:
-        """From each branch of words down; a phrase grows if the three words at its end may be frequent."""
+        held, size = [], 0
         for shard in shards:
-            for branch in shard.branches():
-                yield _named(shard, branch)
-                p = _frequent_pairs(shard, branch, two)
-                yield _named(shard, p)
-                while len(p.words) and p.words.shape[1] < longest:
-                    p = shard.extended(p)
-                    p = p.some(three.passes(shard.keys(p.words[:, -3:])))
-                    yield _named(shard, p)
+            for p in _deep(shard, two, three, longest):
+                held.append(_named(shard, p, part_bits))
+                size += len(p.words)
+                if size > HELD // 4:
+                    held = [_added(held, by)]
+                    size = len(held[0])
+                    if size > HELD // 8:
+                        yield _tables(held.pop())
+                        size = 0
+        if size:
+            yield _tables(_added(held, by))
+
+    def _tables(counted: pa.Table) -> pa.RecordBatch:
+        counted = counted.sort_by([(c, "ascending") for c in by]).combine_chunks()
+        part = counted.column("part").to_numpy()
+        at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        blobs = []
+        for a, b in zip(at, [*at[1:], len(part)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, counted.drop("part").schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(counted.drop("part").slice(a, b - a))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "counted"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        counted = _added([pa.ipc.open_stream(blob).read_all() for blob in group.column("counted").to_pylist()], by[1:])
+        return counted.filter(pc.greater_equal(counted.column("n"), least)).rename_columns([*by[1:], "f"])
 
-    return grow
+    return _in_shards(found, grow, filters, "part long, counted binary").groupBy("part").applyInArrow(merged, "lang string, phrase string, words int, f long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -366,11 +403,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     found = shards(docs)
     totals = found.select(F.explode("words").alias("w")).groupBy("w.lang").agg(F.sum("w.n").alias("f")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "f")
-    frequent = _frequent_keys(found.select("words"), _singles, (), least)
-    two = _frequent_keys(found, _pairs, (frequent,), least)
-    three = _frequent_keys(found, _triples, (frequent, two), least)
-    named = _in_shards(found, _deep(longest), (frequent, two, three), _SPELT).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return stored(totals.unionByName(named))
+    # So many parts of keys that one has no more than two shards have words, on average.
+    part_bits = max(8, (found.count() // 2).bit_length())
+    frequent = _frequent_keys(found.select("words"), _singles, (), least, part_bits)
+    two = _frequent_keys(found, _pairs, (frequent,), least, part_bits)
+    three = _frequent_keys(found, _triples, (frequent, two), least, part_bits)
+    return stored(totals.unionByName(_spelt_counts(found, (frequent, two, three), least, longest, part_bits)))
 
 
 # --- collocations -------------------------------------------------------------------------------
