@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.plans import retrieval
+from lexengine.plans import corpora, retrieval  # corpora registers its queries beside those of retrieval
 from lexengine.plans.queries import QUERIES
 from lexengine.plans.sql import SQL
 

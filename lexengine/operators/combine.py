@@ -19,13 +19,13 @@ def combine(wiktionary: DataFrame, cmu: DataFrame, wordnet: DataFrame, ranks: Da
     """
     spoken = F.array(F.struct(F.lit("US").alias("accent"), F.col("ipa").alias("ipa")))
     net = wordnet.select("word", F.slice("synonyms", 1, MAX_SYNONYMS).alias("synonyms"), "word_forms")
-    wiktionary = wiktionary.filter(F.size("definitions") > 0)
-    base = wiktionary.join(cmu.select("word", "ipa"), "word", "left").join(net, "word", "left")
-    own = F.when(F.exists("pronunciations", lambda p: p.accent == "US") | F.col("ipa").isNull(), F.col("pronunciations")).otherwise(F.concat("pronunciations", spoken))
-    base = base.select("word", own.alias("pronunciations"), "definitions", "synonyms", "word_forms")
-    more = cmu.join(wiktionary.select("word"), "word", "left_anti").join(net, "word").filter(F.size("synonyms") > 0)
-    more = more.select("word", spoken.alias("pronunciations"), F.array().cast(base.schema["definitions"].dataType).alias("definitions"), "synonyms", "word_forms")
-    rows = base.unionByName(more)
+    # One join for both kinds of words, so each source is read and parsed once.
+    both = wiktionary.filter(F.size("definitions") > 0).join(cmu.select("word", "ipa"), "word", "full_outer").join(net, "word", "left")
+    known = F.col("definitions").isNotNull()
+    enough = F.exists("pronunciations", lambda p: p.accent == "US") | F.col("ipa").isNull()
+    said = F.when(~known, spoken).when(enough, F.col("pronunciations")).otherwise(F.concat("pronunciations", spoken))
+    none = F.array().cast(both.schema["definitions"].dataType)
+    rows = both.filter(known | (F.size("synonyms") > 0)).select("word", said.alias("pronunciations"), F.coalesce("definitions", none).alias("definitions"), "synonyms", "word_forms")
     rows = rows.withColumn("frequency_rank", F.lit(None).cast("int")) if ranks is None else rows.join(ranks, "word", "left")
     rows = rows.withColumns({"word_normalized": F.lower("word"), "language": F.lit("en")})
     tagged = F.transform("definitions", lambda d: d.withField("level", level(F.col("frequency_rank"), F.col("word"))))

@@ -114,6 +114,36 @@ def wiktionary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiktionary.read_pages(spark, path)
 
 
+def messy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages with what real ones have: other name spaces, titles of several words or that differ in case, templates over several lines, quotations."""
+    part, word, size = table(spark, sf_dir, "part"), letters(F.col("p_partkey")), F.col("p_size")
+    title = F.when(size < 5, F.concat(F.lit("Category:"), word)).when(size < 8, F.concat(word, F.lit(" two"))).when(size < 10, F.concat(word, F.lit("-x two"))).otherwise(word)
+    text = F.concat(
+        F.lit("{{also|x}}\n==English==\n===Etymology===\n# no sense\n===Noun===\n# {{lb|en|rare}} A [[x|"), "p_name", F.lit("]] {{gloss|of\n"), "p_type",
+        F.lit("}}.\n#: no example\n#* {{quote-book|en|title=T\n|passage=Said {{w|page|"), "p_brand", F.lit("}} once.\n|page=3}}\n## It\n===Proper noun===\n# no header\n====Verb====\n# To {{w|"), "p_name",
+        F.lit("}} &amp; {{x|{{y}}}}go.\n# Cut {{quote-web|text=never closed\n==French==\n===Noun===\n# Autre"),
+    )
+    again = part.filter("p_size > 40").select(F.upper(word).alias("title"), F.concat(F.lit("==English==\n===Adjective===\n# Second "), "p_name", F.lit(".")).alias("text"))
+    return part.select(title.alias("title"), text.alias("text")).unionByName(again)
+
+
+def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of a pronouncing dictionary, some of them comments, blank, without phones or misspelt."""
+    word, size = F.upper(letters(F.col("p_partkey"))), F.col("p_size")
+    line = F.when(size < 5, F.concat(F.lit(";;; "), word)).when(size < 8, "  ").when(size < 10, word).when(size < 15, F.concat(word, F.lit(".2  K AE1 T"))).when(size < 20, F.concat(F.lower(word), F.lit("(2)  K AE1 T")))
+    line = line.when(size < 25, F.concat(word, F.lit("'-X  D AO1 G XX"))).otherwise(F.concat(word, F.lit("  K  AE1 T ")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), line.alias("value"))
+
+
+def messy_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of synsets of their parts; small parts have names of several words, parted by underscores."""
+    parts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_partkey", "p_size").distinct()
+    name = F.when(F.col("p_size") < 20, F.concat(F.lit("true_"), letters(F.col("p_partkey")))).otherwise(F.initcap(letters(F.col("p_partkey"))))
+    sets = parts.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(name)).alias("w"))
+    line = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit(" 02 n "), F.lpad(F.lower(F.hex(F.size("w"))), 2, "0"), F.lit(" "), F.array_join("w", " 0 "), F.lit(" 0 000 | a_gloss"))
+    return sets.select(F.lit("noun").alias("pos"), F.col("l_orderkey").alias("line"), line.alias("value"))
+
+
 def cmudict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as lines of a pronouncing dictionary: some twice, some as a variant alone."""
     part = table(spark, sf_dir, "part")

@@ -233,8 +233,13 @@ def inflection_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def arpabet_ipa(spark: SparkSession, d: str) -> DataFrame:
-    phones = spark.sql("SELECT * FROM VALUES ('hello', 'HH AH0 L OW1'), ('cat', 'K AE1 T XX'), ('about', 'AH0 B AW1 T'), ('photograph', 'F OW1 T AH0 G R AE2 F') AS t(word, phones)")
-    return phones.select("word", text.arpabet_to_ipa(F.col("phones")).alias("ipa"))
+    """The letters of a part's name, read as numbers of phones; vowels are stressed by the part's size."""
+    known = list(text.ARPABET)
+    phones = F.array(*[F.lit(p) for p in known])
+    vowels = F.array(*[F.lit(p) for p in known if p[0] in "AEIOU"])
+    one = lambda c: F.element_at(phones, F.ascii(c) % len(known) + 1)
+    said = F.transform(F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), one), lambda p: F.when(F.array_contains(vowels, p), F.concat(p, (F.col("p_size") % 3).cast("string"))).otherwise(p))
+    return table(spark, d, "part").select("p_partkey", text.arpabet_to_ipa(F.array_join(said, " ")).alias("ipa"))
 
 
 @query

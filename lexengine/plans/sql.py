@@ -97,7 +97,13 @@ SQL = {
     "level_classifier": f"WITH {WORDS} SELECT id, CASE WHEN frequency_rank > 0 THEN CASE WHEN frequency_rank <= 1000 THEN 'beginner' WHEN frequency_rank <= 5000 THEN 'intermediate' ELSE 'advanced' END WHEN length(word[10:]) <= 5 THEN 'beginner' WHEN length(word[10:]) <= 8 THEN 'intermediate' ELSE 'advanced' END AS level FROM words",
     "frequency_order": f"WITH {WORDS} SELECT id, word, coalesce(frequency_rank, -1) AS frequency_rank FROM words ORDER BY CASE WHEN frequency_rank > 0 THEN frequency_rank END NULLS LAST, word",
     "inflection_classifier": "WITH t AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS f FROM documents), p AS (SELECT f, unnest(['noun', 'verb', 'adj', 'adv']) AS pos FROM t) SELECT pos, CASE WHEN pos = 'noun' THEN 'plural' WHEN pos = 'verb' AND f LIKE '%ed' THEN 'past' WHEN pos = 'verb' AND f LIKE '%ing' THEN 'present_participle' WHEN pos = 'verb' AND f LIKE '%s' THEN 'third_person' WHEN pos = 'adj' AND f LIKE '%er' THEN 'comparative' WHEN pos = 'adj' AND f LIKE '%est' THEN 'superlative' ELSE 'none' END AS kind, count(*) AS n FROM p GROUP BY 1, 2",
-    "arpabet_ipa": "WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ARPABET.items()) + ") m(p, s)), w AS (SELECT * FROM (VALUES ('hello', 'HH AH0 L OW1'), ('cat', 'K AE1 T XX'), ('about', 'AH0 B AW1 T'), ('photograph', 'F OW1 T AH0 G R AE2 F')) w(word, phones)), u AS (SELECT word, unnest(string_split(phones, ' ')) AS ph, generate_subscripts(string_split(phones, ' '), 1) AS i FROM w) SELECT word, '/' || string_agg(CASE right(ph, 1) WHEN '1' THEN 'ˈ' WHEN '2' THEN 'ˌ' ELSE '' END || s, '' ORDER BY i) || '/' AS ipa FROM u JOIN m ON m.p = regexp_replace(ph, '[0-2]$', '') GROUP BY word",
+    "arpabet_ipa": "WITH m AS (SELECT ["
+    + ", ".join(f"'{i}'" for i in ARPABET.values())
+    + "] AS ipa, ["
+    + ", ".join("true" if p[0] in "AEIOU" else "false" for p in ARPABET)
+    + "] AS vowel), c AS (SELECT p_partkey, p_size, list_transform(string_split(p_name, ''), lambda x: ascii(x) % "
+    + str(len(ARPABET))
+    + " + 1) AS at FROM part) SELECT p_partkey, '/' || array_to_string(list_transform(at, lambda i: CASE WHEN vowel[i] THEN ['', 'ˈ', 'ˌ'][p_size % 3 + 1] ELSE '' END || ipa[i]), '') || '/' AS ipa FROM c, m",
     "hex_word_count": "SELECT p_partkey, p_size AS words FROM part",
     "title_extract": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
     "html_clean": f"WITH c AS (SELECT page_id, {_clean('html')} AS c FROM pages) SELECT page_id, length(c) AS chars, md5(c) AS digest FROM c",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.functions.text import clean_wikitext, ipa_accent
+from lexengine.functions.text import decode_entities, ipa_accent, strip_markup
+from lexengine.functions.wikitext import header, joined_lines, read
 
 PAGE_SCHEMA = "title string, revision struct<text struct<_VALUE: string, _bytes: long>>"
 
@@ -20,117 +20,92 @@ OTHER_HEADERS = frozenset(
 )
 MIN_DEFINITION, MIN_EXAMPLE, MAX_EXAMPLES = 3, 6, 3
 
-# The forms of sections, headers, definitions, examples and templates in a page.
-_ENGLISH = r"(?s)==English==(.*?)(?=\n==[^=]|\z)"
-_HEADER = re.compile(r"====([A-Z][a-z]+)====|===([A-Z][a-z]+)===")
-_ANY_HEADER = re.compile(r"===")
-_DEFINITION = re.compile(r"#{1,2}\s+([^:#*].+)")
-_EXAMPLE = re.compile(r"#+[:*]+\s*(.+)")
-_NAMED = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*=")
-_USAGE = re.compile(r"\{\{ux\|[^|]+\|([^}]+)\}\}")
-_IPA, _SOUNDS = r"\{\{IPA\|en\|([^}]+)\}\}", "/[^/]+/"
-
-_BRACES = re.compile(r"\{\{|\}\}")
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(title, text) of an XML dump, compressed or not; pages are split by tag, so large files are read in parallel."""
     pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA).load(path)
     return pages.select("title", F.col("revision.text._VALUE").alias("text"))
 
 
-def _depths(text: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, depth after it) of every pair of braces."""
-    depth = 0
-    for m in _BRACES.finditer(text):
-        depth += 1 if m[0] == "{{" else -1
-        yield m.start(), m.end(), depth
-
-
-def _parameter(body: str, name: str) -> str:
-    """The value of a named parameter of a template; templates inside it may hold bars."""
-    at = body.find(f"|{name}=")
-    if at < 0:
-        return ""
-    value = body[at + len(name) + 2 :]
-    nested = [(0, 0)]  # (place, depth from there on)
-    for _, end, depth in _depths(value):
-        if depth < 0:
-            value = value[: end - 2]
-            break
-        nested.append((end, depth))
-    for m in re.finditer(r"\|", value):
-        inside = next(d for p, d in reversed(nested) if p <= m.start())
-        if inside == 0 and _NAMED.match(value, m.end()):
-            value = value[: m.start()]
-            break
-    return value.strip()
-
-
-def resolve_quotes(text: str) -> str:
-    """Each quotation template becomes its passage, else its text, else nothing.
-
-    Text after a template that never closes is lost with it.
-    """
-    out, at = [], 0
-    while (start := text.find("{{quote-", at)) >= 0:
-        out.append(text[at:start])
-        end = next((start + e for _, e, depth in _depths(text[start:]) if depth == 0), None)
-        if end is None:
-            return "".join(out).strip()
-        body = text[start:end]
-        # What comes in its place is not looked at again.
-        out.append(_parameter(body, "passage") or _parameter(body, "text"))
-        at = end
-    return "".join([*out, text[at:]])
-
-
-def join_templates(lines: list[str]) -> list[str]:
-    """A line that opens more templates than it closes goes on over the next ones."""
-    out: list[str] = []
-    depth = 0
+def english(text: str) -> list[str]:
+    """The lines of the English section of a page."""
+    lines = text.split("\n")
+    inside: list[str] | None = None
     for line in lines:
-        change = line.count("{{") - line.count("}}")
-        if depth > 0:
-            out[-1] += " " + line.strip()
-            depth += change
-        else:
-            out.append(line)
-            depth = change
-    return out
-
-
-def sections(english: str) -> Iterator[tuple[str, str]]:
-    """(part of speech, content) of each header of one capitalised word that holds definitions."""
-    at = 0
-    while m := _HEADER.search(english, at):
-        end = _ANY_HEADER.search(english, m.end())
-        stop = end.start() if end else len(english)
-        pos = (m[1] or m[2]).lower()
-        if pos not in OTHER_HEADERS:
-            yield pos, english[m.end() : stop].lstrip()
-        at = max(stop, m.end())
-
-
-def raw_senses(english: str) -> list[dict]:
-    """Definitions with their examples in wikitext, quotations resolved.
-
+        found = header(line)
+        if found and found[0] == 2:
+            if inside is not None:
+                break
+            if found[1] == "English":
+                inside = []
+        elif inside is not None:
+            inside.append(line)
+    return inside or []
+
+
+def sections(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """(part of speech, lines) of each header of one capitalised word that holds definitions."""
+    pos, held = None, []
+    for line in [*lines, "===end==="]:
+        found = header(line)
+        if not found:
+            held.append(line)
+            continue
+        if pos:
+            yield pos, held
+        title = found[1]
+        pos, held = title.lower() if title.isascii() and title.isalpha() and title.istitle() and title.lower() not in OTHER_HEADERS else None, []
+
+
+def _item(line: str) -> tuple[str, str]:
+    """The marks at the beginning of a list line, and the rest of it."""
+    rest = line.lstrip("#:*")
+    return line[: len(line) - len(rest)], rest
+
+
+def senses(lines: list[str]) -> list[dict]:
+    """Definitions with their examples, templates resolved.
+
+    A definition stands behind one or two number signs and a blank; below it, examples are list lines that hold a usage or a quotation.
     Whether a definition is long enough is known after cleaning only; so every definition line starts a sense, and
     examples of one that is dropped later go with it.
     """
     found: list[dict] = []
-    for pos, content in sections(english):
+    for pos, content in sections(lines):
         sense = None
-        for line in join_templates(content.split("\n")):
-            if m := _DEFINITION.fullmatch(line):
-                sense = {"pos": pos, "raw": resolve_quotes(_USAGE.sub(r"\1", m[1])), "examples": []}
+        for line in joined_lines(content):
+            marks, rest = _item(line)
+            if marks in ("#", "##") and rest[:1].isspace() and len(_item(rest.lstrip())[1]) > 1 and not _item(rest.lstrip())[0]:
+                sense = {"pos": pos, "text": read(rest.strip()).text, "examples": []}
                 found.append(sense)
-            elif sense is not None and (m := _EXAMPLE.fullmatch(line)) and ("{{ux|" in m[1] or "{{quote-" in m[1]):
-                sense["examples"].append(resolve_quotes(_USAGE.sub(r"\1", m[1])))
+            elif sense is not None and marks[:1] == "#" and marks.strip("#") and any(name == "ux" or name.startswith("quote-") for name in _names(rest)):
+                sense["examples"].append(read(rest.strip()).text)
+    return found
+
+
+def _names(text: str) -> Iterator[str]:
+    """What follows each pair of opening braces, up to a bar or the end of the template; the template may be cut off."""
+    for part in text.split("{{")[1:]:
+        yield part.split("|")[0].split("}}")[0].strip()
+
+
+def sounds(lines: list[str]) -> list[dict]:
+    """Accent and transcription, between slashes, of each English pronunciation template."""
+    found = []
+    for name, *rest in read("\n".join(lines)).templates:
+        if name.strip() == "IPA" and rest and rest[0].strip() == "en":
+            said = "|".join(rest[1:])
+            parts = said.split("/")
+            if len(parts) > 2 and any(parts[1:-1]):
+                ipa = next(p for p in parts[1:-1] if p)
+                found.append({"said": said, "ipa": f"/{ipa}/"})
     return found
 
 
-_SENSES = pa.list_(pa.struct([("pos", pa.string()), ("raw", pa.string()), ("examples", pa.list_(pa.string()))]))
+_FOUND = pa.schema([
+    ("title", pa.string()),
+    ("senses", pa.list_(pa.struct([("pos", pa.string()), ("text", pa.string()), ("examples", pa.list_(pa.string()))]))),
+    ("sounds", pa.list_(pa.struct([("said", pa.string()), ("ipa", pa.string())]))),
+])
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -142,23 +117,22 @@ def parse(pages: DataFrame) -> DataFrame:
     cleaning leaves none repeats its predecessor (Q7).
     """
     rows = pages.filter(~F.col("title").contains(":") & (~F.col("title").contains(" ") | F.col("title").contains("-")))
-    rows = rows.select("title", F.regexp_extract("text", _ENGLISH, 1).alias("english")).filter("english <> ''")
 
-    def senses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [raw_senses(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SENSES)], names=["title", "english", "senses"])
-
-    rows = rows.mapInArrow(senses, "title string, english string, senses array<struct<pos:string,raw:string,examples:array<string>>>")
-    examples = lambda s: F.slice(F.filter(F.transform(s.examples, clean_wikitext), lambda e: (F.length(e) >= MIN_EXAMPLE) & ~e.contains("{{")), 1, MAX_EXAMPLES)
+            lines = [english(t or "") for t in batch.column(1).to_pylist()]
+            own = {"title": batch.column(0), "senses": [senses(x) for x in lines], "sounds": [sounds(x) for x in lines]}
+            yield pa.RecordBatch.from_pydict(own, schema=_FOUND)
+
+    types = "title string, senses array<struct<pos:string,text:string,examples:array<string>>>, sounds array<struct<said:string,ipa:string>>"
+    rows = rows.select("title", "text").mapInArrow(found, types)
+    clean = lambda c: strip_markup(decode_entities(c))
+    examples = lambda s: F.slice(F.filter(F.transform(s.examples, clean), lambda e: (F.length(e) >= MIN_EXAMPLE) & ~e.contains("{{")), 1, MAX_EXAMPLES)
     definitions = F.filter(
-        F.transform("senses", lambda s: F.struct(s.pos.alias("pos"), clean_wikitext(s.raw).alias("definition_en"), F.transform(examples(s), lambda e: F.struct(e.alias("en"))).alias("examples"))),
+        F.transform("senses", lambda s: F.struct(s.pos.alias("pos"), clean(s.text).alias("definition_en"), F.transform(examples(s), lambda e: F.struct(e.alias("en"))).alias("examples"))),
         lambda d: F.length(d.definition_en) >= MIN_DEFINITION,
     )
-    ipa = F.transform(
-        F.filter(F.regexp_extract_all("english", F.lit(_IPA), F.lit(1)), lambda c: c.rlike(_SOUNDS)),
-        lambda c: F.struct(ipa_accent(c).alias("accent"), F.regexp_extract(c, _SOUNDS, 0).alias("ipa")),
-    )
+    ipa = F.transform("sounds", lambda p: F.struct(ipa_accent(p.said).alias("accent"), p.ipa.alias("ipa")))
     rows = rows.select(F.lower("title").alias("word"), "title", definitions.alias("definitions"), ipa.alias("pronunciations")).filter("size(definitions) > 0")
     merged = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("title", "definitions", "pronunciations"))).alias("pages"))
     return merged.select("word", F.array_distinct(F.flatten("pages.pronunciations")).alias("pronunciations"), F.flatten("pages.definitions").alias("definitions"))

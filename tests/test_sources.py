@@ -1,3 +1,4 @@
+from lexengine.functions import wikitext
 from lexengine.operators import combine
 from lexengine.sources import cmudict, records, wiktionary, wordnet
 
@@ -53,9 +54,21 @@ def test_wiktionary(spark):
 
 
 def test_quotes():
-    assert wiktionary.resolve_quotes("a {{quote-book|en|title=T|passage=He {{w|x|ran}} home.|page=3}} b") == "a He {{w|x|ran}} home. b"
-    assert wiktionary.resolve_quotes("a {{quote-book|text=t|u}} {{quote-web|x}}") == "a t|u "
-    assert wiktionary.resolve_quotes("kept {{quote-book|lost") == "kept"
+    plain = lambda t: wikitext.read(t).text
+    assert plain("a {{quote-book|en|title=T|passage=He {{w|x|ran}} home.|page=3}} b") == "a He ran home. b"
+    assert plain("a {{quote-book|text=t|u}} {{quote-web|x}}") == "a t|u "
+    assert plain("kept {{quote-book|lost") == "kept"
+
+
+def test_templates_and_links():
+    plain = lambda t: wikitext.read(t).text
+    assert plain("[[a|b]] [[c]] [[d|e|f]] {{w|g}} {{w|h|i}} {{gloss|j}} {{context|k|l}} {{lb|en|m|n}}") == "b c e|f g i j (k|l) (m|n)"
+    assert plain("{{x|{{y|[[z]]}}}}end {{defn|of {{gloss|a [[b|c]]}} d}}") == "end of a c d"
+    assert plain("a | b }} c ]] d {{open|e [[f") == "a | b }} c ]] d {{open|e [[f"
+    assert plain("[[a {{b]] {{w|c [[d}} e") == "a {{b c [[d e"
+    assert plain("{{" * 50_000 + "w|deep" + "}}" * 50_000) == "" and plain("[[" * 50_000) == "[[" * 50_000
+    assert wikitext.read("{{a|{{b|c}}|d}}").templates == [["b", "c"], ["a", "", "d"]]
+    assert [wikitext.header(x) for x in ("==A==", "=== B c ===", "=D=", "====", "==E=", "x")] == [(2, "A"), (3, "B c"), None, None, None, None]
 
 
 def test_xml(spark, tmp_path):
