@@ -103,7 +103,7 @@ SQL = {
     + ", ".join("true" if p[0] in "AEIOU" else "false" for p in ARPABET)
     + "] AS vowel), c AS (SELECT p_partkey, p_size, list_transform(string_split(p_name, ''), lambda x: ascii(x) % "
     + str(len(ARPABET))
-    + " + 1) AS at FROM part) SELECT p_partkey, '/' || array_to_string(list_transform(at, lambda i: CASE WHEN vowel[i] THEN ['', 'ˈ', 'ˌ'][p_size % 3 + 1] ELSE '' END || ipa[i]), '') || '/' AS ipa FROM c, m",
+    + " + 1) AS places FROM part) SELECT p_partkey, '/' || array_to_string(list_transform(places, lambda i: CASE WHEN vowel[i] THEN ['', 'ˈ', 'ˌ'][p_size % 3 + 1] ELSE '' END || ipa[i]), '') || '/' AS ipa FROM c, m",
     "hex_word_count": "SELECT p_partkey, p_size AS words FROM part",
     "title_extract": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
     "html_clean": f"WITH c AS (SELECT page_id, {_clean('html')} AS c FROM pages) SELECT page_id, length(c) AS chars, md5(c) AS digest FROM c",
