@@ -8,7 +8,8 @@ estimate and half the product of its children's, so all depths are mixed.
 The estimates depend on counts alone, so the tree is computed from the counts of byte n-grams of the whole
 training part, which Spark counts and sums. Nothing is cut off. All contexts that end in the same two
 bytes form a subtree, so subtrees are computed apart, in tasks; above them stand 257 contexts at most,
-which the driver computes. Tasks know the logs of the most frequent n-grams; all others meet theirs in a join.
+which the driver computes. A subtree of very many n-grams is computed in parts by a third byte, and its top from theirs.
+Tasks know the logs of the most frequent n-grams; all others meet theirs in a join.
 
 Beside it stands a unigram model of words with add-one smoothing.
 """
@@ -17,18 +18,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import in_arrow, stored, table
+from lexengine.llm.common import in_arrow, join_hot, stored, table
 
 DEPTH = 5
-#: Length of the contexts whose subtrees are computed apart.
-APART = 2
+#: Length of the contexts whose subtrees are computed apart, and n-grams of a subtree above which its parts by one byte more are.
+APART, SPLIT = 2, 1 << 20
 #: n-grams whose logs all tasks know, at most. Others meet theirs in a join.
 COMMON_GRAMS = 1 << 19
 END = 255
@@ -103,27 +104,6 @@ def count_grams(train: DataFrame, depth: int) -> DataFrame:
     return in_arrow(train.select("text"), rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def depth_counts(counts: DataFrame, depth: int, limit: int | None) -> DataFrame:
-    """(gram, n) of the (depth + 1)-grams; with a limit, of the most frequent contexts, at most limit grams.
-
-    Contexts are kept by how often they occur, in powers of two.
-    """
-    own = stored(counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")))
-    if limit is None:
-        return own
-    contexts = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("grams"))
-    contexts = contexts.withColumn("level", F.floor(F.log2("total")))
-    kept, least = 0, None
-    for level, size in sorted(((r.level, r.size) for r in contexts.groupBy("level").agg(F.sum("grams").alias("size")).collect()), reverse=True):
-        if kept + size > limit:
-            least = level + 1
-            break
-        kept += size
-    if least is None:
-        return own
-    return own.withColumn("context", F.shiftright("gram", 8)).join(contexts.filter(F.col("level") >= least).select("context"), "context", "left_semi").drop("context")
-
-
 # --- the tree -----------------------------------------------------------------------------------
 
 
@@ -185,128 +165,33 @@ class Known:
         return found, miss[~here]
 
 
-@dataclass
-class Tree:
-    """The tree of one process, with or without a bound on its grams; the query scores without it.
-
-    Per depth and bit, sorted node keys (context and decision node), estimates of a one and weights.
-
-    weight is the share that a node's own estimate has against its children's mixture; rest is the
-    estimate of its contexts that are in no child.
-    """
-
-    depth: int
-    keys: list[list[np.ndarray]] = field(default_factory=list)
-    ones: list[list[np.ndarray]] = field(default_factory=list)
-    weight: list[list[np.ndarray]] = field(default_factory=list)
-    rest: list[list[np.ndarray]] = field(default_factory=list)
-    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def predict(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after its other bytes.
-
-        Down a path, the mixture goes as deep as the tree knows both the context and the decision;
-        where it ends, the estimate of the rest counts. A decision that no depth has seen is even.
-        """
-        byte = gram & np.uint64(255)
-        out = np.zeros(len(gram))
-        for bit in range(8):
-            decision = _prefix(byte, bit)
-            one = (byte >> np.uint64(7 - bit)) & np.uint64(1) == 1
-            q = np.full(len(gram), np.nan)
-            for d in range(self.depth, -1, -1):
-                keys = self.keys[d][bit]
-                if not len(keys):
-                    continue
-                want = (gram & np.uint64(((1 << 8 * (d + 1)) - 1) & ~255)) | decision
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                hit = keys[at] == want
-                at = at[hit]
-                deeper = q[hit]
-                deeper = np.where(np.isnan(deeper), self.rest[d][bit][at], deeper)
-                w = self.weight[d][bit][at]
-                q[hit] = w * self.ones[d][bit][at] + (1 - w) * deeper
-            q = np.where(np.isnan(q), 0.5, q)
-            out += np.log10(np.where(one, q, 1 - q))
-        return out
-
-    def prepare(self) -> None:
-        self.known = Known(self.grams, self.logs)
-
-    def logs_of(self, gram: np.ndarray) -> np.ndarray:
-        found, unknown = self.known.find(gram)
-        found[unknown] = self.predict(gram[unknown])
-        return found
-
-
-def fit_tree(tables: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """The weighted tree from (grams, counts) of each depth, from 0 up; grams are sorted."""
-    depth = len(tables) - 1
-    tree = Tree(depth)
-    tree.keys, tree.ones, tree.weight, tree.rest = ([[None] * 8 for _ in tables] for _ in range(4))
-    for bit in range(8):
-        below = None
-        for d in range(depth, -1, -1):
-            gram, n = tables[d]
-            byte = gram & np.uint64(255)
-            node = (gram & ~np.uint64(255)) | _prefix(byte, bit)
-            one = (byte >> np.uint64(7 - bit)) & np.uint64(1) == 1
-            at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, int)
-            key = node[at]
-            total = np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
-            ones = np.add.reduceat(n * one, at) if len(at) else np.zeros(0, np.int64)
-            own = _log_kt(total - ones, ones)
-            estimate = (ones + 0.5) / (total + 1)
-            weight, rest, weighted = np.ones(len(key)), estimate.copy(), own
-            if below is not None:
-                child, child_weighted, child_total, child_ones = below
-                parent = child & np.uint64((1 << 8 * (d + 1)) - 1)
-                place = np.searchsorted(key, parent)
-                # The bound on grams can drop a parent's sibling contexts, never a parent of a kept one.
-                product, left, left_ones = np.zeros(len(key)), total.astype(float), ones.astype(float)
-                np.add.at(product, place, child_weighted)
-                np.subtract.at(left, place, child_total)
-                np.subtract.at(left_ones, place, child_ones)
-                product += _log_kt(left - left_ones, left_ones)
-                weight = 1 / (1 + np.exp(np.clip(product - own, -700, 700)))
-                rest = np.where(left > 0, (left_ones + 0.5) / (left + 1), estimate)
-                weighted = np.logaddexp(own, product) - math.log(2)
-            tree.keys[d][bit], tree.ones[d][bit], tree.weight[d][bit], tree.rest[d][bit] = key, estimate.astype(np.float32), weight.astype(np.float32), rest.astype(np.float32)
-            below = key, weighted, total, ones
-    tree.grams = tables[depth][0]
-    tree.logs = tree.predict(tree.grams)
-    return tree
-
-
-def train_tree(train: DataFrame, depth: int = DEPTH, limit: int | None = None) -> Tree:
-    """Counts all n-grams of the training texts and fits the tree in the driver, from at most limit grams of each depth."""
-    counts = stored(count_grams(train, depth))
-    tables = []
-    for d in range(depth + 1):
-        got = depth_counts(counts, d, limit).toPandas()
-        gram = got["gram"].to_numpy().astype(np.uint64)
-        order = np.argsort(gram)
-        tables.append((gram[order], got["n"].to_numpy().astype(np.int64)[order]))
-    # A context is kept only with its parents: parents occur at least as often, but levels may have been cut higher up.
-    for d in range(1, depth + 1):
-        known = np.unique(tables[d - 1][0])
-        gram, n = tables[d]
-        inside = np.isin(gram & np.uint64((1 << 8 * d) - 1), known)
-        tables[d] = gram[inside], n[inside]
-    return fit_tree(tables)
-
-
 # --- the tree in parts --------------------------------------------------------------------------
 
 
 @dataclass
 class Top:
-    """The contexts of less than APART bytes: per depth, by node key, totals, estimates of a one and weights."""
+    """The contexts of less than APART bytes: per depth, by node key, totals, ones and weights.
+
+    split names the subtrees that are computed in parts; node, sorted, and what follows it stand for their contexts of APART bytes. There are
+    no more than 2^16 subtrees, of 255 nodes each.
+    """
 
     total: list[np.ndarray]
     ones: list[np.ndarray]
     weight: list[np.ndarray]
+    split: list[int]
+    node: np.ndarray
+    node_total: np.ndarray
+    node_ones: np.ndarray
+    node_weight: np.ndarray
+
+    def split_values(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals, ones and weights of nodes of subtrees in parts; totals are 0 for contexts without counts."""
+        if not len(self.node):
+            return np.zeros(len(node)), np.zeros(len(node)), np.ones(len(node))
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        here = self.node[at] == node
+        return np.where(here, self.node_total[at], 0), np.where(here, self.node_ones[at], 0), self.node_weight[at]
 
 
 def _whole_subtrees(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[list[np.ndarray]]:
@@ -335,22 +220,23 @@ def _by_gram(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 @dataclass
 class Subtrees:
-    """Whole subtrees of contexts that end in the same APART bytes, from sorted grams; n is 0 for grams that were not trained."""
+    """Whole subtrees of contexts that end in the same `apart` bytes, from sorted grams; n is 0 for grams that were not trained."""
 
     gram: np.ndarray
     n: np.ndarray
     depth: int
+    apart: int = APART
 
     def __post_init__(self) -> None:
         self.grams, self.counts, self.up = {self.depth: self.gram}, {self.depth: self.n.astype(float)}, {}
-        for d in range(self.depth, APART, -1):
+        for d in range(self.depth, self.apart, -1):
             self.grams[d - 1], self.up[d] = np.unique(self.grams[d] & np.uint64((1 << 8 * d) - 1), return_inverse=True)
             self.counts[d - 1] = np.bincount(self.up[d], self.counts[d], len(self.grams[d - 1]))
 
     def nodes(self, bit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """From the deepest depth to APART: keys, node of each gram, totals, estimates of a one, weights, weighted logs; and ones."""
+        """From the deepest depth to `apart`: keys, node of each gram, totals, estimates of a one, weights, weighted logs; and ones."""
         below = None
-        for d in range(self.depth, APART - 1, -1):
+        for d in range(self.depth, self.apart - 1, -1):
             gram, n = self.grams[d], self.counts[d]
             byte = gram & np.uint64(255)
             node = (gram & ~np.uint64(255)) | _prefix(byte, bit)
@@ -374,11 +260,13 @@ class Subtrees:
         for bit in range(8):
             q = np.full(len(self.gram), np.nan)
             place = np.arange(len(self.gram))
-            for d, (_, of, total, ones, weight, _) in zip(range(self.depth, APART - 1, -1), self.nodes(bit), strict=True):
+            for d, (_, of, total, ones, weight, _) in zip(range(self.depth, self.apart - 1, -1), self.nodes(bit), strict=True):
                 at = of[place]
                 q = _deeper(q, total[at], ones[at], weight[at])
-                if d > APART:
+                if d > self.apart:
                     place = self.up[d][place]
+            if self.apart > APART:
+                q = _deeper(q, *top.split_values(((self.gram & np.uint64((1 << 8 * (APART + 1)) - 1 & ~255)) | _prefix(byte, bit)).astype(np.int64)))
             for d in range(APART - 1, -1, -1):
                 at = ((self.gram & np.uint64((1 << 8 * (d + 1)) - 1 & ~255)) | _prefix(byte, bit)).astype(np.int64)
                 q = _deeper(q, top.total[d][at], top.ones[d][at], top.weight[d][at])
@@ -398,29 +286,56 @@ def _deeper(q: np.ndarray, total: np.ndarray, ones: np.ndarray, weight: np.ndarr
     return np.where(total > 0, np.where(np.isnan(q), own, weight * own + (1 - weight) * q), q)
 
 
-def _by_subtree(counts: DataFrame) -> DataFrame:
-    """Rows of a subtree stand together in one task."""
-    with_key = counts.withColumn("subtree", F.shiftright("gram", 8).bitwiseAND((1 << 8 * APART) - 1)).select("subtree", *counts.columns)
-    return with_key.repartition("subtree").sortWithinPartitions("subtree")
+def _last_bytes(n: int) -> Column:
+    """The last n bytes of a gram's context."""
+    return F.shiftright("gram", 8).bitwiseAND((1 << 8 * n) - 1)
+
+
+def large_subtrees(counts: DataFrame, split: int) -> list[int]:
+    """The subtrees of more than `split` grams; 2^16 at most."""
+    sizes = counts.groupBy(_last_bytes(APART).alias("subtree")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.subtree for r in sizes.filter(F.col("n") > split).select("subtree").collect())
+
 
+def _by_subtree(counts: DataFrame, split: list[int]) -> DataFrame:
+    """Rows of a subtree stand together in one task; those of a split one by its parts, whose numbers are negative."""
+    large = counts.sparkSession.createDataFrame([(x,) for x in split], "large long")
+    keyed = counts.withColumn("large", _last_bytes(APART)).join(F.broadcast(large.withColumn("parts", F.lit(True))), "large", "left")
+    subtree = F.when(F.col("parts"), -1 - _last_bytes(APART + 1)).otherwise(F.col("large"))
+    return keyed.select(subtree.alias("subtree"), *counts.columns).repartition("subtree").sortWithinPartitions("subtree")
 
-def fit_top(counts: DataFrame, depth: int = DEPTH) -> Top:
-    """The top of the tree, from the sums over all subtrees, at most 2^16 rows; depth is APART at least."""
+
+def _of_both_kinds(columns: list[np.ndarray], depth: int) -> Iterator[tuple[Subtrees, np.ndarray]]:
+    """Subtrees as a whole and those in parts, from columns (subtree, gram, n, ...); and where their rows are."""
+    for in_parts in (False, True):
+        at = np.flatnonzero((columns[0] < 0) == in_parts)
+        if len(at):
+            yield Subtrees(columns[1][at].astype(np.uint64), columns[2][at], depth, min(depth, APART + in_parts)), at
+
+
+def fit_top(counts: DataFrame, depth: int = DEPTH, split: list[int] | None = None) -> Top:
+    """The top of the tree, from the sums over all subtrees, at most 2^16 rows besides those of split subtrees; depth is more than APART."""
+    split = split or []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, gram, n in _whole_subtrees(batches):
-            trees = Subtrees(gram.astype(np.uint64), n, depth)
-            for bit in range(8):
-                *_, (key, _, total, ones, _, weighted) = trees.nodes(bit)
-                node, at = np.unique(key & np.uint64((1 << 8 * APART) - 1), return_inverse=True)
-                sums = [pa.array(np.bincount(at, x)) for x in (weighted, total, ones)]
-                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *sums], names=["node", "product", "total", "ones"])
-
-    found = in_arrow(_by_subtree(counts.select("gram", "n")), rows, "node long, product double, total double, ones double")
-    found = found.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("product", "total", "ones")]).toArrow()
-    top = Top([], [], [])
-    node = found["node"].to_numpy()
-    product, total, ones = (np.bincount(node, found[c].to_numpy(), 1 << 8 * APART) for c in ("product", "total", "ones"))
+        for columns in _whole_subtrees(batches):
+            for trees, _ in _of_both_kinds(columns, depth):
+                for bit in range(8):
+                    *_, (key, _, total, ones, _, weighted) = trees.nodes(bit)
+                    node, at = np.unique(key & np.uint64((1 << 8 * trees.apart) - 1), return_inverse=True)
+                    sums = [pa.array(np.bincount(at, x)) for x in (weighted, total, ones)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), trees.apart)), pa.array(node.astype(np.int64)), *sums], names=["level", "node", "product", "total", "ones"])
+
+    found = in_arrow(_by_subtree(counts.select("gram", "n"), split), rows, "level long, node long, product double, total double, ones double")
+    found = found.groupBy("level", "node").agg(*[F.sum(c).alias(c) for c in ("product", "total", "ones")]).toArrow()
+    level, node, *sums = (found[c].to_numpy() for c in ("level", "node", "product", "total", "ones"))
+    mid = np.flatnonzero(level > APART)
+    mid = mid[np.argsort(node[mid])]
+    mid_node, (mid_product, mid_total, mid_ones) = node[mid], (x[mid] for x in sums)
+    mid_weight, mid_weighted = _mixed(_log_kt(mid_total - mid_ones, mid_ones), mid_product)
+    top = Top([], [], [], split, mid_node, mid_total, mid_ones, mid_weight)
+    low, parent = level == APART, mid_node & ((1 << 8 * APART) - 1)
+    product, total, ones = (np.bincount(node[low], x[low], 1 << 8 * APART) + np.bincount(parent, y, 1 << 8 * APART) for x, y in zip(sums, (mid_weighted, mid_total, mid_ones), strict=True))
     for d in range(APART - 1, -1, -1):
         weight, weighted = _mixed(_log_kt(total - ones, ones), product)
         top.total.insert(0, total)
@@ -437,13 +352,14 @@ def gram_logs(counts: DataFrame, top: Top, depth: int = DEPTH) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(top)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, gram, n, asked in _whole_subtrees(batches):
-            asked = asked > 0
-            if asked.any():
-                logs = Subtrees(gram.astype(np.uint64), n, depth).logs(shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[asked]), pa.array(n[asked]), pa.array(logs[asked])], names=["gram", "n", "log"])
-
-    found = stored(in_arrow(_by_subtree(counts.select("gram", "n", F.col("asked").cast("int").alias("asked"))), rows, "gram long, n long, log double"))
+        for columns in _whole_subtrees(batches):
+            for trees, at in _of_both_kinds(columns, depth):
+                asked = columns[3][at] > 0
+                if asked.any():
+                    logs = trees.logs(shared.value)
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[1][at][asked]), pa.array(columns[2][at][asked]), pa.array(logs[asked])], names=["gram", "n", "log"])
+
+    found = stored(in_arrow(_by_subtree(counts.select("gram", "n", F.col("asked").cast("int").alias("asked")), top.split), rows, "gram long, n long, log double"))
     shared.destroy()
     return found
 
@@ -536,7 +452,7 @@ def score_batches(docs: DataFrame, logs_of: tuple[np.ndarray, np.ndarray, np.nda
     return scored
 
 
-def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, common_words: int = COMMON_WORDS, common_grams: int = COMMON_GRAMS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, common_words: int = COMMON_WORDS, common_grams: int = COMMON_GRAMS, split_above: int = SPLIT) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     docs and train need doc_id and text; other columns are ignored. Null texts count as empty: they
@@ -551,18 +467,23 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, common_words: i
     short = words.filter(F.octet_length("word") <= COMMON_BYTES)
     common = {bytes(r.word): r.n for r in short.orderBy(F.desc("n"), "word").limit(common_words).collect()}
     counts = stored(count_grams(train, depth))
-    top = fit_top(counts, depth)
+    split = large_subtrees(counts, split_above)
+    top = fit_top(counts, depth, split)
     often = gram_logs(counts.withColumn("asked", F.col("n") >= least_count(counts, common_grams)), top, depth).toArrow().sort_by("gram")
     known = often["gram"].to_numpy().astype(np.uint64), often["log"].to_numpy(), often["n"].to_numpy()
     scored = score_batches(docs, known, common, depth)
     # Rare grams, and those that no training text holds.
     wanted = scored.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.times")
     asked = counts.withColumn("asked", F.lit(0)).unionByName(wanted.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
-    logs_of = gram_logs(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")), top, depth)
+    asked = stored(asked.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")))
+    # Grams that no training text holds can make a subtree large too.
+    larger = large_subtrees(asked, split_above)
+    logs_of = gram_logs(asked, top if larger == split else fit_top(counts, depth, larger), depth)
     tree = wanted.join(logs_of, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
-    # Rare words only: each is in few documents, so none is large in this join.
+    # Rare words are in few documents each, but a long one may be in very many.
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    sums = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    sized = rare.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).join(words, "word")
+    sums = join_hot(rare, sized, "word", "rows", rare.count()).groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     both = scored.drop("rare", "grams").join(sums, "row", "left").join(tree, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 1)) - (F.col("n_tokens") + 1) * F.lit(math.log10(n + v + 1))
     return both.select(

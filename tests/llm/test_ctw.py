@@ -1,5 +1,4 @@
 import collections
-import itertools
 import math
 
 import numpy as np
@@ -7,6 +6,7 @@ import pytest
 
 from lexengine.llm import ctw
 from lexengine.llm.common import table
+from tests.llm import context_tree
 from tests.llm.brute import WORD, crc, lowered
 
 SCHEMA = "doc_id long, text string, n_tokens int, row long"
@@ -63,7 +63,7 @@ def plain(texts, depth):
 
 def tree_of(texts, depth):
     key = ctw.grams(texts, depth)[0]
-    return ctw.fit_tree([ctw._counted(key & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(depth + 1)])
+    return context_tree.fit_tree([ctw._counted(key & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(depth + 1)])
 
 
 def test_tree_is_the_weighted_mixture():
@@ -90,14 +90,6 @@ def test_log_gamma():
     assert ctw._log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-10)
 
 
-def test_a_bound_on_the_model_keeps_it_sound(spark):
-    docs = spark.createDataFrame([(i, w * 3, 0, 0) for i, w in enumerate(map("".join, itertools.product("abcd", repeat=3)))], SCHEMA)
-    tree = ctw.train_tree(docs, depth=3, limit=40)
-    assert all(len(set(k)) == len(k) for level in tree.keys for k in level)
-    grams = np.array([int.from_bytes(b"abc" + bytes([b])) for b in range(256)], np.uint64)
-    assert (10 ** tree.predict(grams)).sum() == pytest.approx(1, abs=1e-6)
-
-
 def test_scores(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     found = ctw.score(docs, docs.filter(~ctw.held_out(docs.doc_id)), common_words=50).collect()
@@ -130,8 +122,33 @@ def test_scores_are_those_of_the_whole_tree(spark):
     raw = [(t or "").encode().lower() for t in texts]
     tree = tree_of([t for i, t in enumerate(raw) if i % 7 != 2], ctw.DEPTH)
     assert len(tree.grams) > 1 << 18
-    for common in (0, 1000, ctw.COMMON_GRAMS):
-        found = {r.doc_id: r.score for r in ctw.score(docs, train, common_grams=common).collect()}
+    for common, split in ((0, ctw.SPLIT), (1000, 20), (ctw.COMMON_GRAMS, 0)):
+        found = {r.doc_id: r.score for r in ctw.score(docs, train, common_grams=common, split_above=split).collect()}
         assert len(found) == len(texts)
         for i, t in enumerate(raw):
             assert found[i] == pytest.approx(tree.predict(ctw.grams([t], ctw.DEPTH)[0]).sum(), rel=1e-5)
+
+
+def test_a_hot_subtree_is_split(spark, monkeypatch):
+    """A million grams behind the same two bytes come in parts, and scores stay those of the whole."""
+    draw = np.random.default_rng(2)
+    texts = [bytes(draw.integers(97, 123, 3).tolist()).decode() + "qq" + chr(97 + int(draw.integers(26))) for _ in range(200_000)]
+    docs = spark.createDataFrame([(i, " ".join(texts[i * 200 : i * 200 + 200]), 0, 0) for i in range(1000)], SCHEMA)
+    counts = ctw.count_grams(docs, ctw.DEPTH).cache()
+    assert ctw.large_subtrees(counts, 50_000) == [ord("q") << 8 | ord("q")]
+    sizes = ctw._by_subtree(counts, ctw.large_subtrees(counts, 50_000)).groupBy("subtree").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 50_000
+    some = docs.limit(20)
+    want = {r.doc_id: r.score for r in ctw.score(some, docs).collect()}
+    found = {r.doc_id: r.score for r in ctw.score(some, docs, split_above=50_000).collect()}
+    assert found == pytest.approx(want, rel=1e-9)
+
+
+def test_a_long_word_in_many_documents(spark):
+    """Words beyond COMMON_BYTES meet their counts in a join, also those that all documents hold."""
+    long = "w" * 200
+    docs = spark.createDataFrame([(i, f"{long} x{i} {long}", 0, 0) for i in range(3000)], SCHEMA)
+    found = ctw.score(docs, docs).collect()
+    n, v = 3000 * 4, 3002
+    want = 2 * math.log10(6001) + math.log10(2) + math.log10(3001) - 4 * math.log10(n + v + 1)
+    assert all(r.n_known == 4 and r.base_score == pytest.approx(want, rel=1e-9) for r in found)
