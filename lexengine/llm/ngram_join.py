@@ -28,11 +28,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.llm.common import HOT_PARTS, bloom, in_arrow, join_hot, stored, table
 from lexengine.llm.components import components
+from lexengine.llm.exact_dedup import located
 
 WORDS = 5
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -282,10 +283,10 @@ def _batches(column: pa.Array, step: int = 200) -> Iterator[tuple[int, list[str]
         yield at, [t.as_py() or "" for t in column.slice(at, step)]
 
 
-def keyed(docs: DataFrame, seed: int, percent: int, extra: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_shingles, the two keys (node, check), the sketches and least_needed() of each document's set; and extra columns."""
+def keyed(docs: DataFrame, seed: int, percent: int) -> DataFrame:
+    """doc_id, place, extra, n_shingles, the two keys (node, check), the sketches and least_needed() of each document's set."""
     schema = "doc_id long, n_shingles long, node long, check long, sketch binary, fine binary, least int"
-    for field in docs.select(*extra).schema:
+    for field in docs.select("place", "extra").schema:
         schema += f", {field.name} {field.dataType.simpleString()}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +294,9 @@ def keyed(docs: DataFrame, seed: int, percent: int, extra: Sequence[str] = ()) -
             for at, texts in _batches(batch.column(1)):
                 sets = shingle_sets(texts, seed)
                 node, check = set_keys(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary()), pa.array(least_needed(np.array([len(s) for s in sets], np.int64), percent).astype(np.int32)), *[c.slice(at, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine", "least", *extra])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array(sketches(sets), pa.binary()), pa.array(fine_sketches(sets), pa.binary()), pa.array(least_needed(np.array([len(s) for s in sets], np.int64), percent).astype(np.int32)), *[c.slice(at, len(texts)) for c in batch.columns[2:]]], names=["doc_id", "n_shingles", "node", "check", "sketch", "fine", "least", "place", "extra"])
 
-    return in_arrow(docs.select("doc_id", "text", *extra), rows, schema)
+    return in_arrow(docs.select("doc_id", "text", "place", "extra"), rows, schema)
 
 
 _INDEX = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("centre", pa.int64()), ("centre_size", pa.int32())])
@@ -504,7 +505,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, per
             found: list[tuple[int, int]] = []
             for at, texts in _batches(batch.column("text")):
                 sets = shingle_sets(texts, seed)
-                # Another text may carry the same doc_id.
+                # Places are hashed, so another text may have the same.
                 same = set_keys(sets)[0] == node[at : at + len(texts)]
                 for i in np.flatnonzero(same):
                     k = at + i
@@ -520,23 +521,19 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, per
     sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_REPLICA).alias("replicas"))
     members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("replicas")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
     centres = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("replicas") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    asked = members.unionByName(centres).join(nodes.select("node", _id("doc_id")), "node")
+    asked = members.unionByName(centres).join(nodes.select("node", "place"), "node")
     asked = stored(asked)
     # A comparison, though it always holds, is what lets the planner build a Bloom filter of what is asked.
-    texts = docs.select(_id("doc_id"), "text").join(asked.filter("role >= 0"), "d").drop("d")
+    texts = docs.select("place", "text").join(asked.filter("role >= 0"), "place").drop("place")
     with bloom(docs.sparkSession):
         dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
         return stored(in_arrow(dealt, rows, "a long, b long").distinct())
 
 
-def _id(name: str) -> Column:
-    return F.coalesce(name, F.lit(-(2**63))).alias("d")
-
-
 def similarity_join(docs: DataFrame, percent: int = PERCENT, extra: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; with extra columns also those and component.
 
-    docs needs doc_id and text; other columns are ignored. Null texts count as empty; documents
+    docs needs doc_id and text; other columns are ignored. Columns in extra that are named like one of the result give way. Null texts count as empty; documents
     without words have an empty set and are linked with nothing, so each is its own component.
     Documents with equal sets are one node of the graph. component_id is the smallest doc_id
     reachable by links; a null doc_id is smaller than none and never a component's name unless
@@ -547,9 +544,13 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, extra: Sequence[str
     whatever their doc_ids; it is null for documents without words.
     """
     seed = 0
+    extra = [c for c in extra if c not in ("doc_id", "n_shingles", "component_id", "component")]
+    # Rows are found again by their place in the files, as doc_ids may repeat or be missing; extra columns travel as one.
+    own = F.struct(*extra) if extra else F.lit(None).cast("int")
+    docs = located(docs.select("doc_id", "text", own.alias("extra"))).withColumn("place", F.xxhash64("loc")).drop("loc")
     while True:
-        slim = stored(keyed(docs, seed, percent, extra))
-        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n_shingles"), F.first("least").alias("least")))
+        slim = stored(keyed(docs, seed, percent))
+        nodes = stored(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n_shingles"), F.first("least").alias("least")))
         if nodes.filter("lo <> hi").isEmpty():
             break
         seed += 1  # two different sets share a key: other fingerprints
@@ -571,13 +572,13 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, extra: Sequence[str
 
 
 def _labelled(slim: DataFrame, nodes: DataFrame, labels: DataFrame, extra: Sequence[str]) -> DataFrame:
-    more = ["component", *extra] if extra else []
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    ids = join_hot(named, names, "component", "n", nodes.count()).select("node", "component_id", "copies", *more[:1])
-    full = join_hot(slim.filter("n_shingles > 0").select("doc_id", "n_shingles", "node", *extra), stored(ids), "node", "copies", slim.count())
-    empty = slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *[F.lit(None).cast("long").alias(c) for c in more[:1]], *extra)
-    return full.select("doc_id", "n_shingles", "component_id", *more).unionByName(empty)
+    ids = join_hot(named, names, "component", "n", nodes.count()).select("node", "component", "component_id", "copies")
+    full = join_hot(slim.filter("n_shingles > 0").select("doc_id", "n_shingles", "node", "extra"), stored(ids), "node", "copies", slim.count())
+    empty = slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "extra")
+    more = ["component", *[F.col("extra")[c].alias(c) for c in extra]] if extra else []
+    return full.select(empty.columns).unionByName(empty).select("doc_id", "n_shingles", "component_id", *more)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexengine.llm import components, ngram_join
 from lexengine.llm.common import table
@@ -57,6 +58,33 @@ def test_edges(spark):
     assert ngram_join.similarity_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_rows_without_an_id(spark):
+    """Rows are found by their place, so a thousand of them without an id, or with one id, meet nobody in vain."""
+    draw = random.Random(9)
+    texts = []
+    for _ in range(500):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(30)]
+        texts += [" ".join(words), " ".join([*words[:-1], "z"])]
+    for same in (None, 7):
+        docs = spark.createDataFrame([(same, t, str(i), i) for i, t in enumerate(texts)] + [(10**6 + i, t, "", -1) for i, t in enumerate(texts[:4])], SCHEMA)
+        found = ngram_join.similarity_join(docs, extra=["size"]).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.component, set()).add(r.size)
+        want = link_components(list(enumerate(texts)))
+        parts = {}
+        for i, (_, c) in want.items():
+            parts.setdefault(c, set()).add(i)
+        assert sorted(sorted(g - {-1}) for g in groups.values()) == sorted(sorted(p) for p in parts.values())
+
+
+def test_carried_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "n", 5), (2, "A b", "m", 6), (3, "", "k", 7)], "doc_id long, text string, node string, `least` int").withColumnsRenamed({"least": "place"})
+    found = ngram_join.similarity_join(docs.withColumn("component", F.lit("mine")).withColumn("extra", F.lit("x")), extra=["node", "place", "component", "doc_id", "extra"])
+    assert sorted(found.columns) == ["component", "component_id", "doc_id", "extra", "n_shingles", "node", "place"]
+    assert sorted((r.doc_id, r.node, r.place, r.component_id, r.extra) for r in found.collect()) == [(1, "n", 5, 1, "x"), (2, "m", 6, 1, "x"), (3, "k", 7, 3, "x")]
+
+
 def test_linked_sets_share_enough_keys():
     """The bound that candidates must reach, on random sets around the border."""
     draw = np.random.default_rng(1)
