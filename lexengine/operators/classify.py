@@ -71,6 +71,24 @@ ideas|feeling|love|fear|joy|anger
 SUBRULES = {r.name: tuple(Rule(k.strip(), r.topic, (k,)) for k in r.keywords) for r in RULES}
 
 
+def rules_from(rows: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (topic, name, keyword), in order of name and keyword; null names and null or empty keywords are left out.
+
+    Rules are a configuration: all of them come to the driver, so that tasks get one automaton.
+    """
+    kept = rows.filter("name IS NOT NULL AND keyword <> ''").groupBy("name").agg(F.min("topic").alias("topic"), F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    return tuple(Rule(r.name, r.topic, tuple(r.keywords)) for r in kept.orderBy("name").collect())
+
+
+def subrules_from(rows: DataFrame) -> dict[str, tuple[Rule, ...]]:
+    """Rules below rules from a table (parent, topic, name, keyword); names of sub-rules are their own below each parent."""
+    kept = rows.filter("parent IS NOT NULL AND name IS NOT NULL AND keyword <> ''").groupBy("parent", "name").agg(F.min("topic").alias("topic"), F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    found: dict[str, tuple[Rule, ...]] = {}
+    for r in kept.orderBy("parent", "name").collect():
+        found[r.parent] = (*found.get(r.parent, ()), Rule(r.name, r.topic, tuple(r.keywords)))
+    return found
+
+
 def rule_automaton(rules: tuple[Rule, ...]) -> ahocorasick.Automaton | None:
     """Finds in one pass which rules' keywords a text holds; None without keywords. Values are sets of hits."""
     holders: dict[str, int] = {}
@@ -120,9 +138,16 @@ def word_hits(definitions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _names(hits: Column, rules: tuple[Rule, ...], chosen: range) -> Column:
-    """The names of the chosen rules that are in a set of hits."""
-    kept = [F.when(F.getbit(hits[i // BITS], F.lit(i % BITS)) == 1, F.lit(rules[i].name)) for i in chosen]
-    return F.array_compact(F.array(*kept)) if kept else F.array().cast("array<string>")
+    """The names of the chosen rules that are in a set of hits; one expression, however many rules there are."""
+    if not chosen:
+        return F.array().cast("array<string>")
+    names = F.array(*[F.lit(rules[i].name) for i in chosen])
+
+    def hit(name: Column, i: Column) -> Column:
+        at = i + chosen.start
+        return F.getbit(F.get(hits, ((at - at % BITS) / BITS).cast("int")), at % BITS) == 1
+
+    return F.filter(names, hit)
 
 
 def matches(definitions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

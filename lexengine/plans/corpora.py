@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.operators import combine, mutate
+from lexengine.operators import classify, combine, mutate
 from lexengine.plans import adapters
+from lexengine.plans.adapters import table
 from lexengine.plans.retrieval import query
 from lexengine.plans.sql import _ENTRIES, _letters
 from lexengine.session import scratch_dir
@@ -105,3 +106,33 @@ def import_whole_entry(spark: SparkSession, d: str) -> DataFrame:
     ):
         found = found.unionByName(part)
     return found
+
+
+# --- rules of real size (C1, C2) ----------------------------------------------------------------
+
+
+_PASSAGES = """kw AS (SELECT DISTINCT 'passage-' || item_id AS category, w AS k FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark)),
+lines AS (SELECT doc_id AS word, lower(unnest(string_split(text, chr(10)))) AS t FROM documents), hits AS (SELECT DISTINCT word, category, k FROM lines JOIN kw ON contains(t, k)),
+mem AS (SELECT DISTINCT word, category FROM hits UNION ALL SELECT doc_id, 'others' FROM documents WHERE doc_id NOT IN (SELECT word FROM hits))"""
+
+
+def _passage_words(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for each benchmark passage, with its words of six plain letters or more."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))
+    return table(spark, d, "benchmark").select(F.lit("passages").alias("topic"), F.concat(F.lit("passage-"), F.col("item_id").cast("string")).alias("name"), words.alias("keyword"))
+
+
+@query(f"WITH {_PASSAGES} SELECT word, category FROM mem")
+def categorize_passages(spark: SparkSession, d: str) -> DataFrame:
+    """C1 with rules from a table: hundreds of keywords, more with more passages."""
+    return classify.categorize(None, adapters.definitions(spark, d), classify.rules_from(_passage_words(spark, d)))
+
+
+@query(f"""WITH {_PASSAGES}, found AS (SELECT DISTINCT category AS parent, category || '-' || k[1] AS subcategory, word FROM hits)
+SELECT * FROM found UNION ALL SELECT category, category || '-general', word FROM mem WHERE category <> 'others' AND NOT EXISTS (SELECT 1 FROM found WHERE parent = category AND found.word = mem.word)""")
+def subcategorize_passages(spark: SparkSession, d: str) -> DataFrame:
+    """C2 with sub-rules of their own: below each passage one for each first letter of its words."""
+    rows = _passage_words(spark, d)
+    members = classify.categorize(None, adapters.definitions(spark, d), classify.rules_from(rows))
+    subrules = classify.subrules_from(rows.select(F.col("name").alias("parent"), "topic", F.substring("keyword", 1, 1).alias("name"), "keyword"))
+    return classify.subcategorize(members, adapters.definitions(spark, d), subrules)

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from lexengine.operators import extern
+from lexengine.operators import extern, mutate
+from lexengine.streaming import imports
 from lexengine.streaming.counts import windowed_counts
 
 
@@ -54,3 +56,38 @@ def test_fetching_tells_failures(spark):
 
     rows = extern.fetch_entries(spark.createDataFrame([("a",), ("bad",), (None,)], "word string"), fetch).collect()
     assert sorted((r.word, r.definitions, r.problem) for r in rows) == [("a", [], None), ("bad", None, "'gone'")]
+
+
+def test_import_as_a_stream_is_the_bulk_import(spark, tmp_path):
+    """Batches that are run again after a lost commit, and rows that come again after a restart, change nothing."""
+    source, folder, schema = tmp_path / "in", str(tmp_path / "out"), "word string, lang string, n int"
+    known = spark.createDataFrame([("there", "en")], "word string, lang string")
+    problem = F.when(F.col("n") < 0, "negative")
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(source))
+        imports.start_import(stream, known, ["word", "lang"], problem, folder).awaitTermination()
+        good, bad = imports.imported(spark, folder, schema)
+        return sorted(map(tuple, good.collect())), sorted(map(tuple, bad.collect()), key=repr)
+
+    assert [df.count() for df in imports.imported(spark, folder, schema)] == [0, 0]
+    first = [("a", "en", 1), ("a", "en", 1), ("there", "en", 5), ("b", "en", -1), (None, "en", 3), ("a", "fr", 2)]
+    put("one", first)
+    put("two", [("c", "en", 4), ("a", "en", 9), ("b", "en", 7)])
+    want = [("a", "en", 1), ("a", "fr", 2), ("b", "en", 7), ("c", "en", 4)], [("b", "en", -1, "negative"), (None, "en", 3, "no key")]
+    assert run() == want and run() == want
+    # The last batch was written, but its commit is lost: it runs again.
+    commits = tmp_path / "out" / "checkpoint" / "commits"
+    last = max((p for p in commits.iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (commits / f".{last.name}.crc").unlink(missing_ok=True)
+    put("three", [*first, ("d", "en", 6)])
+    assert run() == (sorted([*want[0], ("d", "en", 6)]), want[1])
+    # The same keys as those of a bulk import of all rows at once.
+    rows = spark.createDataFrame([*first, ("c", "en", 4), ("a", "en", 9), ("b", "en", 7), ("d", "en", 6)], schema)
+    table, rejected = mutate.import_valid(known.withColumn("n", F.lit(0)), rows, ["word", "lang"], F.when(F.col("word").isNull(), "no key").otherwise(problem))
+    assert sorted((r.word, r.lang) for r in table.collect()) == sorted([("there", "en"), *(r[:2] for r in run()[0])])
+    assert {r.word for r in rejected.collect()} == {r[0] for r in run()[1]}
