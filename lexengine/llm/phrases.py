@@ -22,7 +22,6 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +75,7 @@ def _bitmaps(owner: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 _SHARD = pa.schema([
-    ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64())]))),
+    ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))),
     ("owner", pa.binary()), ("block", pa.binary()), ("mask", pa.binary()),
 ])
 
@@ -94,9 +93,8 @@ def _shard(texts: list[tuple[str, bytes]]) -> pa.RecordBatch:
     position = np.flatnonzero(stream)
     words = sorted((i, lang, w) for lang, known in by_lang.items() for w, i in known.items() if i)
     langs, spelt = pa.array([lang for _, lang, _ in words], pa.string()), pa.array([w for _, _, w in words], pa.binary()).cast(pa.string())
-    keys = np.fromiter((xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang)) for _, lang, w in words), np.uint64, len(words))
     times = np.bincount(stream, minlength=len(words) + 1)[1:]
-    listed = pa.StructArray.from_arrays([langs, spelt, pa.array(keys.view(np.int64)), pa.array(times)], names=["lang", "word", "key", "n"])
+    listed = pa.StructArray.from_arrays([langs, spelt, pa.array(times)], names=["lang", "word", "n"])
     owner, block, mask = _bitmaps(stream[position] - 1, position)
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), listed), *(pa.array([x.tobytes()], pa.binary()) for x in (owner, block, mask))], schema=_SHARD)
 
@@ -118,7 +116,7 @@ def shards(docs: DataFrame) -> DataFrame:
             yield _shard(held)
 
     filled = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    types = "words array<struct<lang:string,word:string,key:bigint,n:bigint>>, owner binary, block binary, mask binary"
+    types = "words array<struct<lang:string,word:string,n:bigint>>, owner binary, block binary, mask binary"
     path = shared_dir(docs.sparkSession)
     # Rows are megabytes long, so the writer looks at its size after each one.
     writer = in_arrow(filled, rows, types).write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
@@ -153,6 +151,9 @@ def key_filter(keys: DataFrame) -> KeyFilter:
     return KeyFilter(bits, size)
 
 
+_BASE = 0x5851F42D4C957F2D
+
+
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Keys of phrases from those of a phrase and of the word behind it."""
     with np.errstate(over="ignore"):
@@ -161,6 +162,18 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def _text_keys(texts: pa.Array) -> np.ndarray:
+    """A key of each text: its bytes as digits of a number in some odd base, modulo 2^64."""
+    if not len(texts):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    start, end = ends[:-1] - ends[0], ends[1:] - ends[0]
+    powers = [np.cumprod(np.r_[np.ones(1, np.uint64), np.full(len(data), base, np.uint64)], dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    upto = np.r_[np.zeros(1, np.uint64), np.cumsum(data * powers[0][:-1], dtype=np.uint64)]
+    return _joined((upto[end] - upto[start]) * powers[1][start], (end - start).astype(np.uint64))
+
+
 # --- phrases of a shard -------------------------------------------------------------------------
 
 
@@ -187,7 +200,7 @@ class Shard:
 
     def __init__(self, row: pa.RecordBatch, frequent: KeyFilter | None):
         self.listed = row.column(0).flatten()
-        self.key = self.listed.field("key").to_numpy().view(np.uint64)
+        self.key = _joined(_text_keys(self.listed.field("lang")), _text_keys(self.listed.field("word")))
         if frequent is None:
             return
         owner, block, mask = (np.frombuffer(row.column(i)[0].as_buffer(), kind) for i, kind in ((1, np.int32), (2, np.int32), (3, np.uint16)))

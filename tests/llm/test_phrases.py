@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +82,12 @@ def test_bitmaps_hold_their_positions(positions, owners):
     owner = np.array([p % owners for p in position], np.int32)
     o, b, m = phrases._bitmaps(owner, position)
     assert [(x, 16 * y + i) for x, y, z in zip(o, b, m, strict=True) for i in range(16) if z >> i & 1] == sorted((int(x), int(p)) for x, p in zip(owner, position, strict=True))
+
+
+def test_keys_of_texts():
+    draw = np.random.default_rng(4)
+    texts = ["", "a", "b", "ab", "ba", "é", "a" * 1000, *("".join(chr(97 + int(c)) for c in draw.integers(0, 26, int(draw.integers(1, 12)))) for _ in range(5000))]
+    whole = phrases._text_keys(pa.array(texts))
+    assert len(set(whole.tolist())) == len(set(texts))
+    again = phrases._text_keys(pa.array(["x", *texts[7:], "yy"])[1:-1])
+    assert again.tolist() == whole[7:].tolist() and len(phrases._text_keys(pa.array([], pa.string()))) == 0
