@@ -160,3 +160,42 @@ def rhymes(sounds: DataFrame) -> DataFrame:
     keyed = sounds.filter(F.length(F.trim("phones")) > 0).select("word", rhyme_part(F.col("phones")).alias("rhyme")).distinct()
     sizes = keyed.groupBy("rhyme").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
     return keyed.join(sizes, "rhyme").select("word", "rhyme", "others")
+
+
+# Phones that are easily taken for each other; a phone in none of these is a class of its own.
+ALIKE = (
+    ("P", "B"), ("T", "D"), ("K", "G"), ("F", "V"), ("TH", "DH"), ("S", "Z"), ("SH", "ZH"), ("CH", "JH"), ("M", "N", "NG"), ("L", "R"), ("W", "Y"), ("HH",),
+    ("IY", "IH", "EH", "AE"), ("AA", "AO", "OW"), ("AH", "ER", "UH", "UW"), ("EY", "AY", "OY", "AW"),
+)
+_CLASSES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PHONES = "abcdefghijklmnopqrstuvwxyz0123456789!#$"
+
+
+def phone_codes() -> dict[str, str]:
+    """Two characters for each phone: its class and itself. So edits of codes are edits of phones: to take a phone for one that is alike costs 1, for any other 2, and one more or less costs 2."""
+    listed = [(c, p) for c, phones in zip(_CLASSES, ALIKE, strict=False) for p in phones]
+    return {p: c + own for (c, p), own in zip(listed, _PHONES, strict=True)}
+
+
+def _coded(phones: Column) -> Column:
+    """The codes of phones that are parted by blanks, whatever their stress; unknown phones are skipped."""
+    codes = F.create_map(*[F.lit(x) for pair in phone_codes().items() for x in pair])
+    listed = F.transform(F.split(F.trim(phones), " +"), lambda p: F.try_element_at(codes, F.regexp_replace(p, "[0-9]$", "")))
+    return F.array_join(F.array_compact(listed), "")
+
+
+def sound_alikes(queries: DataFrame, sounds: DataFrame, cost: int = 2) -> DataFrame:
+    """(query, word, cost): words (word, phones) that sound like a query (query, phones): their phones can be made alike at this cost at most, see phone_codes.
+
+    Words meet by the classes of their phones, as for typing errors, since phones of one class cost nothing there and all other edits two;
+    then codes are compared exactly. Different pronunciations of a word count with the least cost. Words without known phones match nothing. Words of the
+    same sound are compared once, and only the pairs that are found are spelt out.
+    """
+    asked = queries.select("query", _coded(F.col("phones")).alias("a")).filter("a <> ''").distinct()
+    known = sounds.select("word", _coded(F.col("phones")).alias("b")).filter("b <> ''").distinct()
+    classes = lambda c: F.regexp_replace(c, "[^A-Z]", "")
+    left, right = asked.select("a", classes(F.col("a")).alias("query")).distinct(), known.select("b", classes(F.col("b")).alias("key")).distinct()
+    near = typo_matches(left, typo_index(right, "key", cost // 2), distance=cost // 2)
+    pairs = near.join(left, "query").select("a", "word").join(right.withColumnRenamed("key", "word"), "word").select("a", "b")
+    close = pairs.withColumn("cost", F.levenshtein("a", "b", cost)).filter(F.col("cost") >= 0)
+    return close.join(asked, "a").join(known, "b").groupBy("query", "word").agg(F.min("cost").alias("cost"))

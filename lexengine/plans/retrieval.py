@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexengine.operators import closure, fulltext, fuzzy, increment, orderstats, temporal
@@ -70,6 +70,28 @@ def rhyme_classes(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.rhymes(cmudict.parse(adapters.cmudict_lines(spark, d)).select("word", F.col("pronunciation").alias("phones")))
 
 
+# Letters as phones, each by its most usual sound.
+_SOUNDS = dict(zip("abcdefghijklmnopqrstuvwxyz", "AE B K D EH F G HH IH JH K L M N AA P K R S T AH V W Z Y Z".split(), strict=True))
+
+
+def _spoken(word: Column) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in _SOUNDS.items() for x in pair]), c)), " ")
+
+
+_CODE = "array_to_string(list_transform(string_split({0}, ''), lambda c: map_extract(m, c)[1]), '')"
+
+
+@query(f"""WITH k AS (SELECT MAP {{{", ".join(f"'{c}': '{fuzzy.phone_codes()[p]}'" for c, p in _SOUNDS.items())}}} AS m),
+q AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS query FROM part), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+a AS (SELECT query, {_CODE.format("query")} AS x FROM q, k), b AS (SELECT word, {_CODE.format("word")} AS y FROM w, k)
+SELECT query, word, CAST(levenshtein(x, y) AS INTEGER) AS cost FROM a JOIN b ON abs(length(x) - length(y)) <= 2 AND levenshtein(x, y) <= 2""")
+def sound_alikes(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents that sound like a word of a part's name, with letters read as phones."""
+    queries = _part_words(spark, d).select(F.col("key").alias("query")).distinct()
+    words = _document_words(spark, d).select(F.col("query").alias("word")).distinct()
+    return fuzzy.sound_alikes(queries.withColumn("phones", _spoken(F.col("query"))), words.withColumn("phones", _spoken(F.col("word"))))
+
+
 # --- full text (X24) ----------------------------------------------------------------------------
 
 

@@ -89,6 +89,31 @@ def test_rhymes(spark):
     assert found == {("cat", "AE T", 2), ("bat", "AE T", 2), ("combat", "AE T", 2), ("the", "AH", 1), ("a", "AH", 1)}
 
 
+def sound_cost(a, b):
+    """The least cost of an alignment of phones, by the definition."""
+    alike = {p: i for i, phones in enumerate(fuzzy.ALIKE) for p in phones}
+    row = [2 * j for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], 2 * i
+        for j, y in enumerate(b, 1):
+            swap = 0 if x == y else 1 if alike[x] == alike[y] else 2
+            before, row[j] = row[j], min(row[j] + 2, row[j - 1] + 2, before + swap)
+    return row[-1]
+
+
+def test_sounds_against_aligning_all(spark):
+    draw = random.Random(11)
+    phones = [p for group in fuzzy.ALIKE for p in group]
+    some = [[draw.choice(phones[:12] if draw.random() < 0.7 else phones) for _ in range(draw.randrange(1, 6))] for _ in range(160)]
+    words = [(f"w{i}", " ".join(p + draw.choice(["", "0", "1"]) for p in x)) for i, x in enumerate(some)]
+    queries = [(f"q{i}", t) for i, (_, t) in enumerate(words[:60])] + [("none", None), ("empty", " "), ("odd", "XX")]
+    bare = {w: re.sub("[0-9]", "", t).split() for w, t in [*words, *queries[:60]]}
+    for cost in (1, 2, 4):
+        found = fuzzy.sound_alikes(spark.createDataFrame(queries, "query string, phones string"), spark.createDataFrame([*words, ("no", None)], "word string, phones string"), cost)
+        want = {(q, w, c) for q, _ in queries[:60] for w, _ in words if (c := sound_cost(bare[q], bare[w])) <= cost}
+        assert {tuple(r) for r in found.collect()} == want
+
+
 # --- full text ----------------------------------------------------------------------------------
 
 
