@@ -9,9 +9,12 @@ type that does not match what the blob is gets corrected.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -85,6 +88,19 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
+@lru_cache(4)
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """All places of a mark that cannot overlap itself, so a blob is searched once, however many magics ask for it."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+def _next(b: bytes, mark: bytes, at: int) -> int:
+    """The first place of a mark from `at` on, -1 if there is none."""
+    found = _places(b, mark)
+    i = bisect_left(found, at)
+    return found[i] if i < len(found) else -1
+
+
 def _jpeg(b: bytes, at: int) -> int:
     """Marker segments with lengths up to the scan, then entropy-coded data up to the end marker."""
     pos = at + 2
@@ -94,7 +110,7 @@ def _jpeg(b: bytes, at: int) -> int:
         kind, size = b[pos + 1], struct.unpack_from(">H", b, pos + 2)[0]
         pos += 2 + size
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
+            end = _next(b, b"\xff\xd9", pos)
             return end + 2 - at if end >= 0 else 0
     return 0
 
@@ -103,14 +119,14 @@ def _pdf(b: bytes, at: int) -> int:
     """Version, then the first end-of-file mark after a startxref."""
     if not b[at + 5 : at + 6].isdigit():
         return 0
-    xref = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", xref) if xref >= 0 else -1
+    xref = _next(b, b"startxref", at)
+    end = _next(b, b"%%EOF", xref) if xref >= 0 else -1
     return end + 5 - at if end >= 0 else 0
 
 
 def _zip(b: bytes, at: int) -> int:
     """A local header whose archive ends in a central directory that points back to it."""
-    end = b.find(b"PK\x05\x06", at)
+    end = _next(b, b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
@@ -278,7 +294,7 @@ def _describe(batches: Batches) -> Batches:
 
 
 def describe_media(carved: DataFrame) -> DataFrame:
-    """Reads the samples of each carved WAV file back and describes them."""
+    """Reads the samples of each carved WAV file back and describes them; null ids and rows that repeat stay, an empty table gives no rows."""
     return in_arrow(carved.select("doc_id", "n_bytes", "media"), _describe, _DESCRIBED)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import time
 import zlib
 
 from lexengine.llm import media
@@ -38,6 +39,13 @@ def test_magic_alone_is_not_enough():
     assert media.sniff(bytes(broken), MACHINE) == []
 
 
+def test_many_magics_without_an_end_stay_linear():
+    began = time.time()
+    for magic in (b"%PDF-1", b"PK\x03\x04", b"\xff\xd8\xff\xda\x00\x02", b"%PDF-1startxref"):
+        assert media.sniff(magic * 200_000, MACHINE) == []
+    assert time.time() - began < 20
+
+
 def test_declared_types_are_corrected(spark):
     rows = [(1, "text/plain", bytearray(SOUND["image/gif"])), (2, "image/png", bytearray(b"nothing")), (3, None, None), (4, "a", bytearray(b"x" + SOUND["audio/wav"] + png()))]
     df = spark.createDataFrame([(*r, 0) for r in rows], "id int, kind string, data binary, media int")
