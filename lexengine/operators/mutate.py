@@ -71,7 +71,7 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 def delete_obsolete(categories: DataFrame, names: list[str], rules: DataFrame) -> DataFrame:
     """The categories without those of the given legacy names that no rule has."""
-    current = F.broadcast(rules.select("name").distinct().withColumn("current", F.lit(True)))
+    current = rules.select("name").distinct().withColumn("current", F.lit(True))
     found = categories.join(current, "name", "left")
     return found.filter(~F.col("name").isin(names) | F.col("current").isNotNull()).select(*categories.columns)
 
