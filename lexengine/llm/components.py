@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b); component is the smallest node that is reachable.
 
     In each round every node hooks to its smallest neighbour if that is smaller, and links are carried over to the
-    parents; nodes that hooked are gone from the graph, so rounds grow with its logarithm. Loops and repeated links do
+    parents; nodes that hooked are gone from the graph. Rounds grow with the logarithm of the graph if names are
+    in no order along its paths, as hashes are; on a chain whose names rise they grow with its length. Loops and repeated links do
     no harm. Nodes with very many links are joined apart (see join_hot). No links give no rows.
     """
     edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())

@@ -110,7 +110,8 @@ def ends(mixed: DataFrame, place: list[str]) -> DataFrame:
     """One row per source (source, passes, last) that says where the mix ends.
 
     All rows of a source are taken `passes` times, and once more up to the row last.at, of which last.more words
-    are taken. place are the columns in extra, by which the rows of `mixed` are told apart.
+    are taken. place are the columns in extra, by which the rows of `mixed` are told apart. A null source has a row of its own; a source
+    without words has passes 0 and no last; an empty table gives no rows.
     """
     passes = F.when(F.col("source_size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
     again = mixed.withColumn("passes", passes).withColumn("more", F.col("taken") - F.col("passes") * F.col("size"))
@@ -121,7 +122,8 @@ def ends(mixed: DataFrame, place: list[str]) -> DataFrame:
 def taken_up_to(docs: DataFrame, until: DataFrame, place: list[str], seed: int = 0) -> DataFrame:
     """docs with size and taken, by where the mix of their source ends; so whole texts need no shuffle.
 
-    Columns of docs that are named size or taken give way.
+    Columns of docs that are named size or taken give way. Null and empty texts have size 0 and are taken 0 times, null sources meet
+    theirs, rows that repeat are told apart by place, and an empty table gives no rows.
     """
     named = docs.select(*[F.col(c).alias(f"place_{i}") for i, c in enumerate(place)], F.struct("*").alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
     end = until.select(F.col("source").alias("of"), "passes", "last")

@@ -264,7 +264,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files in path.
 
     A response's length and digest are taken from the payload itself, which must match the declared
-    digest; a revisit, which has no payload, tells both in its headers.
+    digest; a revisit, which has no payload, tells both in its headers. A record without a page_id has null there, records
+    that repeat come each, and archives without records give no rows.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
