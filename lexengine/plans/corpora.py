@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexengine.functions import text
 from lexengine.operators import classify, combine, mutate
 from lexengine.plans import adapters
 from lexengine.plans.adapters import table
@@ -136,3 +137,15 @@ def subcategorize_passages(spark: SparkSession, d: str) -> DataFrame:
     members = classify.categorize(None, adapters.definitions(spark, d), classify.rules_from(rows))
     subrules = classify.subrules_from(rows.select(F.col("name").alias("parent"), "topic", F.substring("keyword", 1, 1).alias("name"), "keyword"))
     return classify.subcategorize(members, adapters.definitions(spark, d), subrules)
+
+
+# --- collation (X22) ----------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents)
+SELECT min(w) AS spelling, count(DISTINCT w) AS spellings, count(*) AS n FROM w GROUP BY strip_accents(lower(replace(replace(w, 'ß', 'ss'), 'ẞ', 'ss')))""")
+def collation_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The words of all documents that a collation takes for one, whatever their case and accents, and in how many spellings they occur."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(text.collated(F.col("w"), "UNICODE_CI_AI").alias("k")).agg(F.min("w").alias("spelling"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")).drop("k")
