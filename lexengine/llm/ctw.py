@@ -365,7 +365,7 @@ def gram_logs(counts: DataFrame, top: Top, depth: int = DEPTH) -> DataFrame:
 
 
 def least_count(counts: DataFrame, limit: int) -> int:
-    """The smallest count from which on at most limit grams occur as often, in steps of an eighth of a power of two."""
+    """The smallest count from which on at most limit rows have it or more, in steps of an eighth of a power of two."""
     step = F.floor(8 * F.log2("n")).alias("step")
     kept, least = 0, 1
     for r in sorted(counts.groupBy(step).agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("most")).collect(), reverse=True):
@@ -465,7 +465,8 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, common_words: i
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total.n + ends, total.v + (ends > 0)
     short = words.filter(F.octet_length("word") <= COMMON_BYTES)
-    common = {bytes(r.word): r.n for r in short.orderBy(F.desc("n"), "word").limit(common_words).collect()}
+    # A bound on counts, since a limit would send as many words from every task to the driver.
+    common = {bytes(r.word): r.n for r in short.filter(F.col("n") >= least_count(short, common_words)).collect()}
     counts = stored(count_grams(train, depth))
     split = large_subtrees(counts, split_above)
     top = fit_top(counts, depth, split)
