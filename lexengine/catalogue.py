@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexengine.plans import corpora, retrieval  # corpora registers its queries beside those of retrieval
+from lexengine.plans import corpora, registered, retrieval
 from lexengine.plans.queries import QUERIES
 from lexengine.plans.sql import SQL
 
+#: Modules whose queries stand beside their SQL; they register when they are imported.
+BESIDE_SQL = (corpora, retrieval)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | retrieval.QUERIES
+    return QUERIES | registered.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | retrieval.SQL
+    return SQL | registered.SQL

@@ -9,7 +9,7 @@ from lexengine.functions import text
 from lexengine.operators import classify, combine, mutate
 from lexengine.plans import adapters
 from lexengine.plans.adapters import table
-from lexengine.plans.retrieval import query
+from lexengine.plans.registered import query
 from lexengine.plans.sql import _ENTRIES, _letters
 from lexengine.session import scratch_dir
 from lexengine.sources import cmudict, records, wiktionary, wordnet

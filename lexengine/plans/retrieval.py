@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from lexengine.operators import closure, fulltext, fuzzy, increment, orderstats, temporal
 from lexengine.plans import adapters
 from lexengine.plans.adapters import table
+from lexengine.plans.registered import query
 from lexengine.session import scratch_dir
 from lexengine.sources import cmudict
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
 # --- forgiving search (X24) ---------------------------------------------------------------------
 
 
