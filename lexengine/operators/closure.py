@@ -20,7 +20,7 @@ def chains(nodes: DataFrame, node: str = "id", parent: str = "parent_id", paths:
     """(node, root, depth, cyclic and, with paths, path from the root down to the node) of every row of nodes.
 
     Each round lets every node look twice as far as before, so rounds grow with the logarithm of the longest chain; nodes that have
-    reached their root leave. After more rounds than there are digits in the number of nodes only chains that end in a cycle are left: those nodes are
+    reached their root leave. When a round passes in which none does, only chains that end in a cycle are left: those nodes are
     cyclic and have no root, depth or path. A parent that is null or no node ends a chain. Nodes are different; null ones are left out, and of
     repeated ones the smallest parent counts. Each round is a written table.
     """
@@ -43,7 +43,10 @@ def chains(nodes: DataFrame, node: str = "id", parent: str = "parent_id", paths:
         moved = _stored(open_.join(target, "at").select("id", F.col("to").alias("at"), (F.col("steps") + F.col("far")).alias("steps"), "end"))
         done.append(moved.filter("end").select("id", F.col("at").alias("root"), F.col("steps").alias("depth")))
         open_ = moved.filter("NOT end").drop("end")
-        left = open_.count()
+        before, left = left, open_.count()
+        # Below a long chain there is one of every length, so a round in which none ends leaves cycles alone.
+        if left == before:
+            break
     found = reduce(DataFrame.unionByName, done)
     found = found.withColumn("cyclic", F.lit(False)).unionByName(open_.select("id", F.lit(None).cast(roots.schema["root"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("cyclic")))
     found = _stored(found)
