@@ -30,6 +30,15 @@ def test_query(spark):
         assert set(filter(None, said.split(","))) <= set(found[r.doc_id].spans.split(","))
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    texts = ["1.2.3.4 and 5.6.7.8 and a@b.c", "+12345678901 1.2.3.4", "x@y.z x@y.z 1.1.1.1 4111 1111 1111 1111 +1 555 8718819", "", None]
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)] + [(None, "a@b.c", "", 0), (0, "a@b.c", "", 0), (0, "a@b.c", "", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = collections.Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.op9_pii(spark, str(tmp_path)).collect())
+    assert found == collections.Counter((i, *(sum(k == n for _, k, _ in base_spans(t or "")) for n in range(4))) for i, t, _, _ in rows)
+    assert (0, 1, 2, 0, 0) in found
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"please contact me at user{i}@mail.example.com now thanks ip is 10.0.0.{i} ok", "", 0) for i in range(40)]
     rows += [(100, "please contact me at user-x7 now thanks", "", 0), (101, "ip is 10.0.0 ok", "", 0), (102, None, "", 0), (None, "", "", 0), (100, "please contact me at user-x7 now thanks", "", 0), (103, "nobody is 77x here", "", 0)]
