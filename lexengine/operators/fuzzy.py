@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexengine.session import scratch_dir
+
 #: Letters by which a word is indexed for typing errors; of longer words the first ones.
 INDEXED = 24
 #: Marks of the beginning and the end of a key in grams, and stand-ins for escaped wildcards; no key should hold them.
 START, END = "\u0002", "\u0003"
 _ESCAPED = {"*": "\ufdd0", "?": "\ufdd1", "\\": "\ufdd2"}
 GRAM = 3
+#: What queries ask for is sent to all tasks up to so many rows; more meet the index by a shuffle.
+SENT = 100_000
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _asking(asked: DataFrame) -> DataFrame:
+    """A written table, to be joined with an index: sent to all tasks if it is small. The index never is, though it looks small to the planner, which does not see that exploded rows are many."""
+    return F.broadcast(asked) if asked.count() <= SENT else asked.hint("merge")
 
 
 # --- typing errors ------------------------------------------------------------------------------
@@ -124,10 +139,12 @@ def wildcard_matches(patterns: DataFrame, index: DataFrame) -> DataFrame:
     if that is long enough. Null patterns match nothing; an empty one matches the empty key.
     """
     asked = patterns.select("pattern").filter("pattern IS NOT NULL").distinct()
-    grams = asked.select("pattern", F.explode(needed_grams(F.col("pattern"))).alias("gram"))
-    sized = grams.join(gram_sizes(index.join(grams.select("gram").distinct(), "gram", "left_semi")), "gram", "left")
+    grams = _stored(asked.select("pattern", F.explode(needed_grams(F.col("pattern"))).alias("gram")))
+    sizes = _stored(gram_sizes(index.join(_asking(_stored(grams.select("gram").distinct())), "gram", "left_semi")))
+    sized = grams.join(sizes, "gram", "left")
     rarest = sized.groupBy("pattern").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram")).alias("r")).filter("r.holders > 0")
-    met = rarest.select("pattern", "r.gram", like_pattern(F.col("pattern")).alias("wanted")).join(index, "gram")
+    rarest = _stored(rarest.select("pattern", "r.gram", like_pattern(F.col("pattern")).alias("wanted")))
+    met = index.join(_asking(rarest), "gram")
     return met.filter(F.expr("key LIKE wanted")).select("pattern", "key")
 
 

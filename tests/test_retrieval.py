@@ -63,6 +63,22 @@ def by_wildcards(pattern, key):
     return re.fullmatch(regex, key, re.S) is not None
 
 
+def test_wildcards_do_not_send_the_index(spark, tmp_path, monkeypatch):
+    """The keys of an index look small to the planner, which would broadcast all their grams."""
+    keys = [f"Name#{i:05}" for i in range(300)]
+    spark.createDataFrame([(k,) for k in keys], "key string").write.parquet(f"{tmp_path}/keys")
+    index = fuzzy.gram_index(spark.read.parquet(f"{tmp_path}/keys"))
+    patterns = spark.createDataFrame([("*12",), ("N?me*9?",), ("*#0*",)], "pattern string")
+    found = fuzzy.wildcard_matches(patterns, index)
+    assert all("Generate" not in part for part in plan_of(found).split("BroadcastExchange")[1:])
+    want = {(p.pattern, k) for p in patterns.collect() for k in keys if by_wildcards(p.pattern, k)}
+    assert {tuple(r) for r in found.collect()} == want
+    monkeypatch.setattr(fuzzy, "SENT", 0)
+    found = fuzzy.wildcard_matches(patterns, index)
+    assert "BroadcastExchange" not in plan_of(found)
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_wildcards_against_regular_expressions(spark):
     draw = random.Random(1)
     keys = ["".join(draw.choice("aabé%_*?\\ ") for _ in range(draw.randrange(0, 9))) for _ in range(120)] + ["", None, "a\nb"]
