@@ -73,3 +73,24 @@ def test_features_against_a_plain_version(spark):
     texts = ["", " \n", "The cat. THE CAT!\nThe cat. 12 é,", "a" * 100, *(r.text for r in table(spark, "/root/testdata/sf0.001", "documents").limit(30).collect())]
     for t in texts:
         assert np.allclose(quality.text_features(t), plain_features(t))
+
+
+def test_training_takes_all_pairs_of_all_labelled_documents(spark, monkeypatch):
+    """Newton's method on all pairs in memory, and the quantile of all scores."""
+    draw = np.random.default_rng(5)
+    texts = {i: " ".join(draw.choice(["the", "cat", "sat,", "ON", "12", "mat."], int(draw.integers(1, 40)))) for i in range(300)}
+    marks = {i: int(t.count("the") + draw.normal() > len(t.split()) / 6) for i, t in texts.items()}
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], SCHEMA)
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "SORTED", 5)
+    ranker = quality.train(docs, labels)
+    ids = [i for i in texts if crc(i) % 3 != 1]
+    x, good = np.array([plain_features(texts[i]) for i in ids]), np.array([marks[i] == 1 for i in ids])
+    z = ((x - x.mean(0)) / (x.std(0) + 1e-6)).clip(-8, 8)
+    d = (z[good][:, None] - z[~good][None, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(w)), p @ d / len(d) - quality.RIDGE * w)
+    assert np.allclose(ranker.strength(x), z @ w, atol=0.02)
+    assert abs(ranker.threshold - np.quantile(ranker.strength(x), 1 - good.mean())) < 1e-9
