@@ -33,11 +33,12 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: list[float], smal
     # Groups that are null are equal to each other.
     slim = slim.withColumn("key", F.struct(F.col("g").isNull().alias("none"), "g"))
     sizes = _stored(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
-    asked = sizes.select("key", "n", wanted.alias("q")).withColumn("place", rank_of(F.col("n"), F.col("q")))
-    few = slim.join(sizes.filter(F.col("n") <= small).select("key"), "key").select("key", "v")
+    # Groups can be many, so no list of them is sent to all tasks.
+    few = slim.join(sizes.filter(F.col("n") <= small).hint("merge"), "key").select("key", "n", "v")
     placed = few.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("v")).cast("long"))
-    found = placed.join(asked.filter(F.col("n") <= small), ["key", "place"]).select("key", "q", "n", F.col("v").alias("x"))
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    found = placed.select("key", F.explode(F.filter(wanted, lambda q: rank_of(F.col("n"), q) == F.col("place"))).alias("q"), "n", F.col("v").alias("x"))
+    asked = sizes.select("key", "n", F.explode(wanted).alias("q")).withColumn("place", rank_of(F.col("n"), F.col("q")))
     large = asked.filter(F.col("n") > small)
     if not large.isEmpty():
         found = found.unionByName(_by_bits(slim.select("key", "v"), large))
@@ -46,16 +47,20 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: list[float], smal
 
 def _by_bits(slim: DataFrame, asked: DataFrame) -> DataFrame:
     """(key, q, n, x) of large groups; the sign bit is turned, so that order by bits is order by value."""
-    known = _stored(asked.select("key", "q", "n", "place", F.lit(0).cast("long").alias("high")))
+    low, high = slim.agg(F.min("v"), F.max("v")).first()
+    # All values agree in the bits above those in which the least and the greatest differ.
+    open_bits = -(-((low ^ high) % 2**64).bit_length() // BITS) * BITS
+    agreed = (low + 2**63) >> open_bits
+    known = _stored(asked.select("key", "q", "n", "place", F.lit(agreed - 2**64 if agreed >= 2**63 else agreed).cast("long").alias("high")))
     bits = F.col("v").bitwiseXOR(F.lit(-(2**63)))
-    for shift in range(64 - BITS, -1, -BITS):
+    for shift in range(open_bits - BITS, -1, -BITS):
         # Of a value the bits above shift + BITS have to be those that are known.
         above = F.lit(0).cast("long") if shift + BITS == 64 else F.shiftrightunsigned(bits, shift + BITS)
         digit = F.shiftrightunsigned(bits, shift).bitwiseAND((1 << BITS) - 1)
-        agreeing = slim.select("key", above.alias("high"), digit.alias("digit")).join(known.select("key", "high").distinct(), ["key", "high"], "left_semi")
+        agreeing = slim.select("key", above.alias("high"), digit.alias("digit")).join(known.select("key", "high").distinct().hint("merge"), ["key", "high"], "left_semi")
         counts = agreeing.groupBy("key", "high", "digit").agg(F.count(F.lit(1)).alias("m"))
         order = Window.partitionBy("key", "q").orderBy("digit")
-        upto = known.join(counts, ["key", "high"]).withColumn("upto", F.sum("m").over(order))
+        upto = known.hint("merge").join(counts, ["key", "high"]).withColumn("upto", F.sum("m").over(order))
         here = upto.filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("m") < F.col("place")))
         known = _stored(here.select("key", "q", "n", (F.col("place") - F.col("upto") + F.col("m")).alias("place"), (F.shiftleft("high", BITS).bitwiseOR(F.col("digit"))).alias("high")))
     return known.select("key", "q", "n", F.col("high").bitwiseXOR(F.lit(-(2**63))).alias("x"))

@@ -294,6 +294,20 @@ def test_sketches_are_near(spark):
         assert abs(below / r.n - 0.5) < 0.02
 
 
+def test_quantiles_send_no_groups(spark):
+    """Nothing that has a row for each group is broadcast; values of which all bits, some or none agree."""
+    for values in ([5], [7, 300, -(2**63), 2**63 - 1, 0, -1], [1000, 1001, 1255]):
+        rows = [(g, values[(g * i) % len(values)]) for g in range(1, 20) for i in range(1, g + 1)]
+        found = orderstats.quantiles(spark.createDataFrame(rows, "g long, v long"), "g", "v", [0.0, 0.25, 0.5, 1.0], small=8)
+        assert "BroadcastExchange" not in plan_of(found)
+        want = set()
+        for g in range(1, 20):
+            own = sorted(v for h, v in rows if h == g)
+            want |= {(g, q, len(own), own[max(1, math.ceil(len(own) * q - 1e-9)) - 1]) for q in (0.0, 0.25, 0.5, 1.0)}
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 # --- the key table ------------------------------------------------------------------------------
 
 
