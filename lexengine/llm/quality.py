@@ -26,7 +26,7 @@ from lexengine.llm.common import in_arrow, small_batches, stored, table
 
 #: Pairs that fit() draws; train() takes all.
 PAIRS = 100_000
-#: Scores are summed up at multiples of STEP, between the two next to them, and at PLACES different ones at most; sums over pairs are off by STEP^2 / 80 at most.
+#: Scores are summed up at multiples of STEP, between the two next to them, and at PLACES different ones at most; a pair's loss is off by a sixteenth of that distance squared at most.
 STEP, PLACES = 1 / 64, 8192
 #: Newton steps at most, and what keeps the weights of separable documents finite.
 STEPS, RIDGE = 40, 1e-4
