@@ -160,7 +160,7 @@ def cmudict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wordnet_files(spark: SparkSession, sf_dir: str) -> str:
     """Orders as noun synsets of their parts, and plurals of the parts of one size; the folder."""
     path = scratch_dir(spark)
-    sets = synsets(spark, sf_dir).groupBy("synset").agg(F.array_sort(F.collect_list(letters(F.col("word")))).alias("w"))
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("synset")).agg(F.sort_array(F.collect_set(letters(F.col("l_partkey")))).alias("w"))
     count = F.lpad(F.lower(F.hex(F.size("w"))), 2, "0")
     line = F.concat(F.lpad(F.col("synset").cast("string"), 8, "0"), F.lit(" 02 n "), count, F.lit(" "), F.array_join("w", " 0 "), F.lit(" 0 000 | gloss"))
     sets.select(line.alias("value")).write.text(f"{path}/data.noun")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.functions.text import arpabet_to_ipa, strip
 
 
-def file_order() -> Column:
-    """The place of a line: its file, the part of the file that a task reads, and its number there."""
-    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("number"))
+def file_order(lines: DataFrame) -> Column:
+    """The place of a line read from files: its file, the part of the file that a task reads, and its number there.
+
+    Files of one folder are told apart by their names alone, since places travel with the rows.
+    """
+    path = F.col("_metadata.file_path")
+    file = F.substring_index(path, "/", -1) if len({os.path.dirname(f) for f in lines.inputFiles()}) < 2 else path
+    return F.struct(file.alias("file"), "_metadata.file_block_start", F.monotonically_increasing_id().alias("number"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): text lines in the order of file names and of the lines in a file; line is any value that sorts so."""
-    return spark.read.text(path).select(file_order().alias("line"), "value")
+    lines = spark.read.text(path)
+    return lines.select(file_order(lines).alias("line"), "value")
 
 
 def parse(lines: DataFrame) -> DataFrame:

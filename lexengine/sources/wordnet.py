@@ -24,8 +24,8 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        found.append(rows.select(F.lit(pos).alias("pos"), file_order().alias("line"), "value"))
-    line = "struct<file_path:string,file_block_start:bigint,number:bigint>"
+        found.append(rows.select(F.lit(pos).alias("pos"), file_order(rows).alias("line"), "value"))
+    line = "struct<file:string,file_block_start:bigint,number:bigint>"
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"pos string, line {line}, value string")
 
 
@@ -46,10 +46,12 @@ def synset_words(lines: DataFrame) -> DataFrame:
     """(pos, line, words): the lower-cased members of each synset, by the count that the line declares."""
     rows = lines.filter((F.col("value") != "") & ~F.col("value").startswith("  "))
     tokens = F.split(strip(F.get(F.split("value", r"\|"), F.lit(0))), r"\s+")
-    rows = rows.select("pos", "line", tokens.alias("t"), hex_count(F.get(tokens, F.lit(3))).alias("n")).filter("n > 0")
+    # Split once for each line: what is exploded is not computed anew wherever it is used, as any other column would be, in functions of each member too.
+    rows = rows.select("pos", "line", F.explode(F.array(tokens)).alias("t"))
+    rows = rows.withColumn("n", hex_count(F.get("t", F.lit(3)))).filter("n > 0")
     # Members stand at every second place from the fifth on; a line may end early.
-    members = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lower(F.replace(F.get(F.col("t"), i * 2 + 4), F.lit("_"), F.lit(" "))))
-    return rows.select("pos", "line", F.array_compact(members).alias("words"))
+    members = F.filter(F.slice("t", F.lit(5), F.col("n") * 2), lambda _, i: i % 2 == 0)
+    return rows.select("pos", "line", F.transform(members, lambda w: F.lower(F.replace(w, F.lit("_"), F.lit(" ")))).alias("words"))
 
 
 def synonyms(synsets: DataFrame) -> DataFrame:
@@ -61,8 +63,9 @@ def synonyms(synsets: DataFrame) -> DataFrame:
     single = synsets.select("pos", "line", F.filter("words", lambda w: ~w.contains(" ")).alias("words"))
     rank = F.element_at(F.create_map(*[x for i, p in enumerate(PARTS_OF_SPEECH) for x in (F.lit(p), F.lit(i))]), F.col("pos"))
     own = single.select(rank.alias("rank"), "line", F.explode(F.array_distinct("words")).alias("word"), "words")
-    own = own.withColumn("others", F.filter("words", lambda w: w != F.col("word")))
-    merged = own.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "line", "others"))).alias("lists"))
+    own = own.withColumn("others", F.array_remove("words", F.col("word")))
+    # Most words are rare in a task, so lists are made behind the shuffle and not before it too.
+    merged = own.repartition("word").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "others"))).alias("lists"))
     return merged.select("word", F.array_distinct(F.flatten("lists.others")).alias("synonyms"))
 
 

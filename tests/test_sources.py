@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexengine.functions import wikitext
 from lexengine.operators import combine
 from lexengine.sources import cmudict, records, wiktionary, wordnet
@@ -77,6 +79,40 @@ def test_xml(spark, tmp_path):
     assert sorted(map(tuple, wiktionary.read_pages(spark, str(path)).collect())) == [("A&B", "x <y>"), ("C", "z")]
 
 
+def test_one_file_of_pages_is_read_and_parsed_by_many_tasks(spark, tmp_path):
+    page = "<page>\n<title>{0}</title>\n<revision><text bytes='9'>==English==\n===Noun===\n# A thing &amp;lt; {0}.</text></revision>\n</page>\n"
+    names = sorted(f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")
+    (tmp_path / "dump.xml").write_text("<pages>\n<siteinfo>x</siteinfo>\n" + "".join(page.format(n) for n in names) + "</pages>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        pages = wiktionary.read_pages(spark, str(tmp_path))
+        assert pages.rdd.getNumPartitions() > 3
+        assert sorted(r.title for r in pages.collect()) == names
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = wiktionary.parse(pages.coalesce(1)).select("word", F.col("definitions")[0]["definition_en"].alias("said")).collect()
+    assert sorted((r.word, r.said) for r in found) == [(n, f"A thing < {n}.") for n in names]
+    assert "Exchange hashpartitioning(title" in wiktionary.parse(pages.coalesce(1))._jdf.queryExecution().toString()
+
+
+def test_places_in_files_leave_out_the_folder(spark, tmp_path):
+    for name, lines in (("part-10", ["a", "b"]), ("part-9", ["c"])):
+        (tmp_path / "with blank").mkdir(exist_ok=True)
+        (tmp_path / "with blank" / name).write_text("\n".join(lines))
+    rows = cmudict.read_lines(spark, str(tmp_path / "with blank")).orderBy("line").collect()
+    assert [r.value for r in rows] == ["a", "b", "c"]
+    assert [r.line[0] for r in rows] == ["part-10", "part-10", "part-9"]
+
+
+def test_synset_lines_are_split_once(spark):
+    lines = spark.createDataFrame([("noun", 1, "00000001 02 n 03 A_b 0 C 0 d 0 000 | x"), ("noun", 2, "00000002 02 n 04 e 0 f"), ("noun", 3, "00000003 02 n zz e 0"), ("noun", 4, "00000004 02 n 00 e 0"), ("noun", 5, "00000005")], "pos string, line int, value string").repartition(1)
+    words = wordnet.synset_words(lines)
+    assert sorted((r.line, r.words) for r in words.collect()) == [(1, ["a b", "c", "d"]), (2, ["e", "f"])]
+    assert words._jdf.queryExecution().optimizedPlan().toString().count("|, -1)") == 1
+    assert {r.word: r.synonyms for r in wordnet.synonyms(words).collect()} == {"c": ["d"], "d": ["c"], "e": ["f"], "f": ["e"]}
+
+
 def test_combine_and_normalize(spark, tmp_path):
     wiki = spark.createDataFrame(
         [("cat", [("UK", "/x/")], [("noun", "A cat.", [("He has a cat.",)])]), ("empty", [], [])],
