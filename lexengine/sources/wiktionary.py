@@ -21,9 +21,16 @@ OTHER_HEADERS = frozenset(
 MIN_DEFINITION, MIN_EXAMPLE, MAX_EXAMPLES = 3, 6, 3
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text) of an XML dump, compressed or not; pages are split by tag, so large files are read in parallel."""
-    pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA).load(path)
-    return pages.select("title", F.col("revision.text._VALUE").alias("text"))
+    """(title, text) of an XML dump, compressed or not.
+
+    A record ends with the tag that closes a page, which a text file can be split by, so large files are read in parallel; Spark's reader of XML takes each file whole.
+    """
+    records = spark.read.option("lineSep", "</page>").text(path)
+    opened = F.regexp_extract("value", r"(?s)<page[\s>].*", 0)
+    # Exploded, so that a page is not parsed once for its title and once for its text.
+    pages = records.select(F.explode(F.array(opened)).alias("page")).filter("page <> ''")
+    pages = pages.select(F.explode(F.array(F.from_xml(F.concat("page", F.lit("</page>")), PAGE_SCHEMA))).alias("p"))
+    return pages.select("p.title", F.col("p.revision.text._VALUE").alias("text"))
 
 
 def english(text: str) -> list[str]:
@@ -125,7 +132,8 @@ def parse(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(own, schema=_FOUND)
 
     types = "title string, senses array<struct<pos:string,text:string,examples:array<string>>>, sounds array<struct<said:string,ipa:string>>"
-    rows = rows.select("title", "text").mapInArrow(found, types)
+    # Pages cost far more than their bytes tell, so a table of one small file is dealt out to all tasks.
+    rows = rows.select("title", "text").repartition("title").mapInArrow(found, types)
     clean = lambda c: strip_markup(decode_entities(c))
     examples = lambda s: F.slice(F.filter(F.transform(s.examples, clean), lambda e: (F.length(e) >= MIN_EXAMPLE) & ~e.contains("{{")), 1, MAX_EXAMPLES)
     definitions = F.filter(
@@ -134,5 +142,5 @@ def parse(pages: DataFrame) -> DataFrame:
     )
     ipa = F.transform("sounds", lambda p: F.struct(ipa_accent(p.said).alias("accent"), p.ipa.alias("ipa")))
     rows = rows.select(F.lower("title").alias("word"), "title", definitions.alias("definitions"), ipa.alias("pronunciations")).filter("size(definitions) > 0")
-    merged = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("title", "definitions", "pronunciations"))).alias("pages"))
+    merged = rows.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("title", "definitions", "pronunciations"))).alias("pages"))
     return merged.select("word", F.array_distinct(F.flatten("pages.pronunciations")).alias("pronunciations"), F.flatten("pages.definitions").alias("definitions"))
