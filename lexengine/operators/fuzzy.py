@@ -206,10 +206,13 @@ def sound_alikes(queries: DataFrame, sounds: DataFrame, cost: int = 2) -> DataFr
 
     Words meet by the classes of their phones, as for typing errors, since phones of one class cost nothing there and all other edits two;
     then codes are compared exactly. Different pronunciations of a word count with the least cost. Words without known phones match nothing. Words of the
-    same sound are compared once, and only the pairs that are found are spelt out.
+    same sound are compared once, and only the pairs that are found are spelt out. Codes are written, else a filter on them would be moved below
+    whatever makes the rows different, and phones coded as often as words occur. Words that are too long or too short for all queries are not indexed.
     """
-    asked = queries.select("query", _coded(F.col("phones")).alias("a")).filter("a <> ''").distinct()
-    known = sounds.select("word", _coded(F.col("phones")).alias("b")).filter("b <> ''").distinct()
+    asked = _stored(queries.select("query", _coded(F.col("phones")).alias("a"))).filter("a <> ''").distinct()
+    known = _stored(sounds.select("word", _coded(F.col("phones")).alias("b"))).filter("b <> ''")
+    lengths = asked.select(F.explode(F.sequence(F.length("a") - cost, F.length("a") + cost)).alias("length")).distinct()
+    known = known.join(lengths, F.length("b") == F.col("length"), "left_semi").distinct()
     classes = lambda c: F.regexp_replace(c, "[^A-Z]", "")
     left, right = asked.select("a", classes(F.col("a")).alias("query")).distinct(), known.select("b", classes(F.col("b")).alias("key")).distinct()
     near = typo_matches(left, typo_index(right, "key", cost // 2), distance=cost // 2)

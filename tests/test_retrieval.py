@@ -154,6 +154,22 @@ def corpus(seed, size, words):
     return [(i, " ".join(draw.choice(words) if draw.random() < 0.8 else f"rare{chr(97 + draw.randrange(26))}" for _ in range(draw.randrange(0, 60)))) for i in range(size)]
 
 
+def test_phones_are_coded_once_for_each_word(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("elt(id % 3 + 1, 'cat', 'kat', 'dogs') AS word").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words")).distinct()
+    coded, asked = spark.sparkContext.accumulator(0), spark.createDataFrame([("cat", "K AE T")], "query string, phones string")
+    phones = {"cat": "K AE T", "kat": "K AE D", "dogs": "D AO G Z"}
+
+    @F.udf("string")
+    def said(word):
+        coded.add(1)
+        return phones[word]
+
+    found = fuzzy.sound_alikes(asked, words.withColumn("phones", said("word")))
+    assert sorted(map(tuple, found.collect())) == [("cat", "cat", 0), ("cat", "kat", 1)]
+    assert coded.value == 3
+
+
 def test_best_texts_against_scoring_all(spark):
     texts = [*corpus(2, 300, ["a", "b", "c", "dé", "E", "f"]), (900, None), (901, "")]
     queries = [(0, "a b rareq"), (1, "raree"), (2, "none"), (3, None), (4, "A a DÉ f c b e rarez rarea"), (5, "a")]
