@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lexengine.session import scratch_dir
 
@@ -15,6 +20,12 @@ K1, B = 1.2, 0.75
 LEVELS, FIRST = 32, 4
 #: Digits to which a word's part of a score is rounded, so that sums are exact.
 DIGITS = 6
+#: Texts whose words are put in order together.
+TEXTS = 1000
+#: Words of queries that are sent to all tasks; more meet the postings in a shuffle.
+SENT = 1_000_000
+#: Scores that one task sums up at about, and the most tasks for that.
+SCORES, SHARES = 1 << 20, 4096
 
 
 def tokens(text: Column) -> Column:
@@ -28,44 +39,82 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _grouped(t: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of some texts in order of word and text: each word of each text, the number of the text, where its places begin (and an end), and all places."""
+    sizes = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = t.flatten().dictionary_encode()
+    names = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(names), np.int64)
+    rank[names.to_numpy()] = np.arange(len(names))
+    key = rank[coded.indices.to_numpy()] * len(t) + np.repeat(np.arange(len(t)), sizes)
+    order = np.argsort(key, kind="stable")
+    places = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order].astype(np.int32)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    terms = coded.dictionary.take(names).take(pa.array(key[first] // len(t)))
+    return terms.cast(pa.string()), key[first] % len(t), np.append(first, len(key)), places
+
+
+def _sharded(words: DataFrame, columns: list[StructField], rows: Callable) -> DataFrame:
+    """A written table of rows(doc, t) of words (doc, t): each task turns the texts it has around, so that no posting moves."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                yield rows(part.column(0), part.column(1))
+
+    return _stored(words.mapInArrow(found, StructType([StructField("term", StringType()), StructField("doc", words.schema["doc"].dataType), *columns])))
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """postings (term, level, doc, impact); levels (term, level, docs, most); terms (term, idf, most)."""
+    """postings (term, level, doc, impact) of a number of texts."""
 
     postings: DataFrame
-    levels: DataFrame
-    terms: DataFrame
+    texts: int
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, idf, most): rarity and greatest impact of each word."""
+        df = F.count(F.lit(1))
+        return self.postings.groupBy("term").agg(F.log(1 + (F.lit(self.texts) - df + 0.5) / (df + 0.5)).alias("idf"), F.max("impact").alias("most"))
 
 
 def text_index(texts: DataFrame) -> TextIndex:
-    """The index of texts (doc, text), written as tables.
+    """The index of texts (doc, text), written as a table.
 
-    A word's impact in a text is its part of BM25 without the word's rarity; postings are kept by words and levels of impact, which
-    are equal steps up to the greatest impact there is, so no window sorts the postings of a common word. Texts that share a doc are
-    one text after the other. Null texts are empty and are in no posting, but count among all texts. Null docs are left out.
+    A word's impact in a text is its part of BM25 without the word's rarity; levels are equal steps up to the greatest impact there is. The index is parted
+    by texts: each task writes the postings of its own, in order of words. Texts that share a doc are one text after the other, and are the only thing that is
+    shuffled. Null texts are empty and are in no posting, but count among all texts. Null docs are left out.
     """
-    words = texts.filter("doc IS NOT NULL").select("doc", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    counted = words.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = _stored(words.groupBy("doc").agg(F.sum(F.size("t")).alias("size")))
-    # One row; its three numbers are plain values from here on.
-    n, mean = sizes.agg(F.count(F.lit(1)), F.coalesce(F.avg("size"), F.lit(0.0))).first()
+    whole = texts.filter("doc IS NOT NULL").groupBy("doc").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+
+    def rows(docs: pa.Array, t: pa.ListArray) -> pa.RecordBatch:
+        terms, text, begins, _ = _grouped(t)
+        sizes = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int32)
+        # A row without a word tells of each text that it is there.
+        text, tf = np.append(text, np.arange(len(t))), np.append(np.diff(begins), np.zeros(len(t))).astype(np.int32)
+        terms = pa.concat_arrays([terms, pa.nulls(len(t), pa.string())])
+        return pa.RecordBatch.from_arrays([terms, docs.take(pa.array(text)), pa.array(tf), pa.array(sizes[text])], ["term", "doc", "tf", "size"])
+
+    counted = _sharded(whole.select("doc", tokens(F.col("text")).alias("t")), [StructField("tf", IntegerType()), StructField("size", IntegerType())], rows)
+    # One row; its two numbers are plain values from here on.
+    n, mean = counted.filter("term IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.avg("size"), F.lit(0.0))).first()
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("size") / F.lit(mean or 1.0))
     impact = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
-    postings = counted.join(sizes, "doc").select("term", F.least(F.floor(impact / F.lit(K1 + 1) * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level"), "doc", impact.alias("impact"))
-    path = scratch_dir(texts.sparkSession)
-    postings.repartitionByRange("term", "level", "doc").sortWithinPartitions("term", "level").write.parquet(path)
-    postings = texts.sparkSession.read.parquet(path)
-    levels = _stored(postings.groupBy("term", "level").agg(F.count(F.lit(1)).alias("docs"), F.max("impact").alias("most")))
-    df = F.sum("docs")
-    terms = levels.groupBy("term").agg(F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"), F.max("most").alias("most"))
-    return TextIndex(postings, levels, _stored(terms))
+    level = F.least(F.floor(impact / F.lit(K1 + 1) * LEVELS), F.lit(LEVELS - 1)).cast("int")
+    return TextIndex(counted.filter("term IS NOT NULL").select("term", level.alias("level"), "doc", impact.alias("impact")), n)
+
 
+def _sent(words: DataFrame, asked: int) -> DataFrame:
+    """Words of queries, to be sent to all tasks unless all queries have too many."""
+    return F.broadcast(words) if asked <= SENT else words
 
-def _scored(index: TextIndex, candidates: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, doc, score) of candidates (query, doc), by all words of the query."""
-    part = F.round(F.col("idf") * F.col("impact"), DIGITS).cast(f"decimal(18,{DIGITS})")
-    wanted = candidates.join(asked.select("query", "term", "idf"), "query")
-    return wanted.join(index.postings.select("term", "doc", "impact"), ["term", "doc"]).groupBy("query", "doc").agg(F.sum(part).cast("double").alias("score"))
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(query, doc, score) from parts of scores, which are whole numbers of the last digit."""
+    return parts.groupBy("query", "doc").agg((F.sum("part") / F.lit(10.0**DIGITS)).alias("score"))
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:
@@ -76,34 +125,38 @@ def _best(scored: DataFrame, top: int) -> DataFrame:
 def best_texts(index: TextIndex, queries: DataFrame, top: int = 10) -> DataFrame:
     """(query, place, doc, score): the `top` texts of each query (query, text) by BM25, equal scores by doc; without a common word a text is not found.
 
-    Not every text that has a word of the query is scored. First those of the highest levels of its rarest words are, until there are FIRST times `top`;
-    their place number `top` is a bound. Words that could not lift a text to it, even all together, need not be looked up: a text that counts
-    has another word, and is in a level that can reach the bound if all other words do their best. Those texts are scored whole. Repeated words of a query
-    count once, null and empty queries find nothing.
+    Only postings of the queries' words are kept, and dealt out by their texts; so all parts of a text's scores meet in one task, and no pair of a query and a
+    text leaves it that is below the query's bound. Repeated words of a query count once, null and empty queries find nothing.
     """
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
-    asked = _stored(asked.join(index.terms, "term").withColumn("bound", F.col("idf") * F.col("most")))
-    candidates = _candidates(index, asked, top)
-    return _best(_scored(index, candidates, asked), top).select("query", "place", "doc", "score")
+    asked = _stored(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct())
+    kept = _stored(index.postings.join(_sent(asked.select("term").distinct(), asked.count()), "term", "left_semi"))
+    own = TextIndex(kept, index.texts)
+    asked = _stored(asked.join(own.terms, "term"))
+    return _best(_candidates(own, asked, top), top).select("query", "place", "doc", "score")
 
 
 def _candidates(index: TextIndex, asked: DataFrame, top: int) -> DataFrame:
-    """(query, doc): all texts that may be among the first `top` of a query, few others."""
-    own = asked.select("query", "term", "idf", "bound").join(index.levels.withColumnRenamed("most", "level_most"), "term")
-    down = Window.partitionBy("query").orderBy(F.desc(F.col("idf") * F.col("level_most")), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
+    """(query, doc, score): all texts that are among the first `top` of a query, few others.
+
+    Texts of the highest levels of a query's rarest words are scored first, until there are FIRST times `top`; their place number `top` is the bound.
+    """
+    words = asked.count()
+    levels = index.postings.groupBy("term", "level").agg(F.count(F.lit(1)).alias("docs"), F.max("impact").alias("most"))
+    own = asked.select("query", "term", "idf").join(levels, "term")
+    down = Window.partitionBy("query").orderBy(F.desc(F.col("idf") * F.col("most")), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
     # A query has as many rows here as its words have levels.
     first = own.withColumn("before", F.coalesce(F.sum("docs").over(down), F.lit(0))).filter(F.col("before") < FIRST * top).select("query", "term", "level")
-    postings = index.postings.select("term", "level", "doc")
-    start = postings.join(first, ["term", "level"]).select("query", "doc").distinct()
-    some = _best(_scored(index, start, asked), top)
-    reached = some.filter(F.col("place") == top).select("query", (F.col("score") - 10.0 ** (2 - DIGITS)).alias("least"))
-    known = asked.join(reached, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    up = Window.partitionBy("query").orderBy("bound", "term")
-    everything = Window.partitionBy("query")
-    known = known.withColumn("upto", F.sum("bound").over(up)).withColumn("all", F.sum("bound").over(everything)).filter(F.col("upto") >= F.col("least"))
-    fits = F.col("idf") * F.col("level_most") + F.col("all") - F.col("bound") >= F.col("least")
-    kept = known.join(index.levels.withColumnRenamed("most", "level_most"), "term").filter(fits).select("query", "term", "level")
-    return postings.join(kept, ["term", "level"]).select("query", "doc").distinct()
+    start = index.postings.join(_sent(first, words), ["term", "level"]).select("query", "doc").distinct()
+    part = F.round(F.round(F.col("idf") * F.col("impact"), DIGITS) * 10**DIGITS).cast("long")
+    parts = index.postings.join(_sent(asked.select("term", "idf").distinct(), words), "term").select("term", "doc", part.alias("part"))
+    near = start.join(asked.select("query", "term"), "query").join(parts, ["term", "doc"])
+    reached = _best(_summed(near), top).filter(F.col("place") == top).select("query", F.col("score").alias("least"))
+    # A text's parts meet by its doc, so sums need no second shuffle.
+    queries = asked.select("query").distinct()
+    shares = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(SHARES, index.texts * queries.count() // SCORES))
+    scored = _summed(parts.repartition(shares, "doc").join(_sent(asked.select("query", "term"), words), "term"))
+    bounds = queries.join(reached, "query", "left").select("query", F.coalesce("least", F.lit(0.0)).alias("least"))
+    return scored.join(_sent(_stored(bounds), words), "query").filter(F.col("score") >= F.col("least")).select("query", "doc", "score")
 
 
 # --- phrases ------------------------------------------------------------------------------------

@@ -195,6 +195,18 @@ def test_few_texts_are_scored(spark):
     assert {r.doc for r in fulltext.best_texts(index, asked, 3).collect()} <= {10_000 + i for i in range(5)}
 
 
+def test_scores_are_summed_where_a_text_lies(spark):
+    """Pairs of a query and a text are as many as both multiplied; none is shuffled before it is known to be among the best of its task."""
+    texts = [*corpus(5, 200, ["a", "b", "c"]), (7, "a rareb"), (None, "a")]
+    asked = [(q, f"a b c rare{chr(97 + q)}") for q in range(9)]
+    index = fulltext.text_index(spark.createDataFrame(texts, "doc long, text string"))
+    found = fulltext.best_texts(index, spark.createDataFrame(asked, "query long, text string"), 4)
+    assert not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan_of(found))
+    # Texts that share a doc are one text.
+    whole = [(d, f"{t} a rareb" if d == 7 else t) for d, t in texts[:200]]
+    assert sorted((q, p, d, round(s, 6)) for q, p, d, s in found.collect()) == bm25(whole, asked, 4)
+
+
 def test_phrases_against_slices(spark):
     texts = [*corpus(4, 150, ["a", "b", "c"]), (900, None), (901, "a"), (902, "a a a a a")]
     phrases = [(0, "a b"), (1, "a a a"), (2, "rareb"), (3, "c, RAREA b"), (4, ""), (5, None), (6, "a b zzz"), (7, "b c a b"), (8, "a")]
