@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexengine.session import scratch_dir
 
@@ -163,30 +163,39 @@ def _candidates(index: TextIndex, asked: DataFrame, top: int) -> DataFrame:
 
 
 def positions(texts: DataFrame) -> DataFrame:
-    """(term, doc, at): where each word stands in each text (doc, text), as a written table; null texts and docs are left out."""
-    words = texts.filter("doc IS NOT NULL").select("doc", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
-    found = words.groupBy("term", "doc").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    path = scratch_dir(texts.sparkSession)
-    found.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(path)
-    return texts.sparkSession.read.parquet(path)
+    """(term, doc, at): where each word stands in each text (doc, text), as a written table; null texts and docs are left out.
+
+    Docs are different. The index is parted by texts: each task writes the places of its own, in order of words, so nothing is shuffled.
+    """
+
+    def rows(docs: pa.Array, t: pa.ListArray) -> pa.RecordBatch:
+        terms, text, begins, places = _grouped(t)
+        at = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(places))
+        return pa.RecordBatch.from_arrays([terms, docs.take(pa.array(text)), at], ["term", "doc", "at"])
+
+    words = texts.filter("doc IS NOT NULL AND text IS NOT NULL").select("doc", tokens(F.col("text")).alias("t"))
+    return _sharded(words, [StructField("at", ArrayType(IntegerType()))], rows)
 
 
 def phrase_places(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, doc, start): every place (number of its first word) where the words of a phrase (phrase, text) follow each other.
 
     The places of a phrase's rarest word are shifted to where the phrase would begin; the positions of the next rarer word, shifted too, are
-    intersected with them, and at last those of all others. A word that no text has ends the search. Phrases without
-    words are found nowhere.
+    intersected with them, and at last those of all others. Of the index only the words of that step move. A word that no text has ends the search.
+    Phrases without words are found nowhere.
     """
-    words = phrases.select("phrase", F.posexplode(tokens(F.col("text"))).alias("nth", "term")).distinct()
-    holders = index.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("at")).alias("holders"))
+    words = _stored(phrases.select("phrase", F.posexplode(tokens(F.col("text"))).alias("nth", "term")).distinct())
+    asked = words.count()
+    of = lambda some: index.join(_sent(some.select("term").distinct(), asked), "term", "left_semi")
+    holders = of(words).groupBy("term").agg(F.sum(F.size("at")).alias("holders"))
     ranked = words.join(holders, "term", "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
     order = Window.partitionBy("phrase").orderBy("holders", "nth")
     everything = Window.partitionBy("phrase")
     ranked = _stored(ranked.withColumn("turn", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(everything)).withColumn("least", F.min("holders").over(everything)).filter("least > 0").drop("least", "holders"))
-    shifted = index.join(ranked.filter("turn = 1"), "term").select("phrase", "size", "doc", F.explode(F.transform("at", lambda x: x - F.col("nth"))).alias("start")).filter("start >= 0")
+    shifted = index.join(_sent(ranked.filter("turn = 1"), asked), "term").select("phrase", "size", "doc", F.explode(F.transform("at", lambda x: x - F.col("nth"))).alias("start")).filter("start >= 0")
     for turns in ("turn = 2", "turn > 2"):
-        more = shifted.join(ranked.filter(turns).select("phrase", "nth", "term"), "phrase").join(index, ["term", "doc"])
+        wanted = ranked.filter(turns).select("phrase", "nth", "term")
+        more = shifted.join(_sent(wanted, asked), "phrase").join(of(wanted), ["term", "doc"])
         hits = more.filter(F.array_contains("at", F.col("start") + F.col("nth"))).groupBy("phrase", "doc", "start").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("hits"))
         met = hits.filter("hits = 1" if turns == "turn = 2" else "hits = size - 2")
         short = shifted.filter("size < 2" if turns == "turn = 2" else "size < 3")

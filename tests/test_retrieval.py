@@ -207,6 +207,17 @@ def test_scores_are_summed_where_a_text_lies(spark):
     assert sorted((q, p, d, round(s, 6)) for q, p, d, s in found.collect()) == bm25(whole, asked, 4)
 
 
+def test_words_of_no_phrase_stay(spark):
+    """The index of places is not shuffled as a whole, only the words that a step looks for; texts in several batches."""
+    texts = [(i, "a b " * (i % 3) + f"c d{chr(97 + i % 26)}") for i in range(2500)]
+    index = fulltext.positions(spark.createDataFrame(texts, "doc long, text string"))
+    found = fulltext.phrase_places(index, spark.createDataFrame([(0, "a b c dc"), (1, "b a")], "phrase long, text string"))
+    assert "LeftSemi" in plan_of(found)
+    want = {(0, i, 2 * (i % 3) - 2) for i in range(2500) if i % 3 and i % 26 == 2} | {(1, i, 1) for i in range(2500) if i % 3 == 2}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_phrases_against_slices(spark):
     texts = [*corpus(4, 150, ["a", "b", "c"]), (900, None), (901, "a"), (902, "a a a a a")]
     phrases = [(0, "a b"), (1, "a a a"), (2, "rareb"), (3, "c, RAREA b"), (4, ""), (5, None), (6, "a b zzz"), (7, "b c a b"), (8, "a")]
