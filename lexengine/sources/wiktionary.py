@@ -97,8 +97,12 @@ def _names(text: str) -> Iterator[str]:
 
 def sounds(lines: list[str]) -> list[dict]:
     """Accent and transcription, between slashes, of each English pronunciation template."""
-    found = []
-    for name, *rest in read("\n".join(lines)).templates:
+    found: list[dict] = []
+    text = "\n".join(lines)
+    # What a template leaves has no slash that the page has not.
+    if text.count("/") < 2:
+        return found
+    for name, *rest in read(text).templates:
         if name.strip() == "IPA" and rest and rest[0].strip() == "en":
             said = "|".join(rest[1:])
             parts = said.split("/")
@@ -132,8 +136,9 @@ def parse(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(own, schema=_FOUND)
 
     types = "title string, senses array<struct<pos:string,text:string,examples:array<string>>>, sounds array<struct<said:string,ipa:string>>"
-    # Pages cost far more than their bytes tell, so a table of one small file is dealt out to all tasks.
-    rows = rows.select("title", "text").repartition("title").mapInArrow(found, types)
+    # Pages cost far more than their bytes tell, so a table of one small file is dealt out to all tasks; given a number, Spark does not put small parts together again.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("title", "text").repartition(parts, "title").mapInArrow(found, types)
     clean = lambda c: strip_markup(decode_entities(c))
     examples = lambda s: F.slice(F.filter(F.transform(s.examples, clean), lambda e: (F.length(e) >= MIN_EXAMPLE) & ~e.contains("{{")), 1, MAX_EXAMPLES)
     definitions = F.filter(
@@ -141,6 +146,8 @@ def parse(pages: DataFrame) -> DataFrame:
         lambda d: F.length(d.definition_en) >= MIN_DEFINITION,
     )
     ipa = F.transform("sounds", lambda p: F.struct(ipa_accent(p.said).alias("accent"), p.ipa.alias("ipa")))
-    rows = rows.select(F.lower("title").alias("word"), "title", definitions.alias("definitions"), ipa.alias("pronunciations")).filter("size(definitions) > 0")
+    # Exploded, so that pages are not cleaned once for the filter and once for their definitions.
+    rows = rows.select("title", F.explode(F.array(F.struct(definitions.alias("definitions"), ipa.alias("pronunciations")))).alias("p"))
+    rows = rows.select(F.lower("title").alias("word"), "title", "p.definitions", "p.pronunciations").filter("size(definitions) > 0")
     merged = rows.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("title", "definitions", "pronunciations"))).alias("pages"))
     return merged.select("word", F.array_distinct(F.flatten("pages.pronunciations")).alias("pronunciations"), F.flatten("pages.definitions").alias("definitions"))

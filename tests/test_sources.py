@@ -94,6 +94,9 @@ def test_one_file_of_pages_is_read_and_parsed_by_many_tasks(spark, tmp_path):
     found = wiktionary.parse(pages.coalesce(1)).select("word", F.col("definitions")[0]["definition_en"].alias("said")).collect()
     assert sorted((r.word, r.said) for r in found) == [(n, f"A thing < {n}.") for n in names]
     assert "Exchange hashpartitioning(title" in wiktionary.parse(pages.coalesce(1))._jdf.queryExecution().toString()
+    # By number, so that parts of few bytes are not put together again.
+    assert "REPARTITION_BY_NUM" in wiktionary.parse(pages)._jdf.queryExecution().toString()
+    assert wiktionary.sounds(["{{I{{w|P}}A|en|/a/, /b/|UK}}", "{{IPA|en|a}}"]) == [{"said": "/a/, /b/|UK", "ipa": "/a/"}] and wiktionary.sounds(["{{IPA|en|a/b}}"]) == []
 
 
 def test_places_in_files_leave_out_the_folder(spark, tmp_path):
