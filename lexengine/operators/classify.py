@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 OTHERS = "others"
 #: Rules per number in a set of hits.
-BITS = 62
+BITS = 64
 
 
 @dataclass(frozen=True)
@@ -115,16 +116,16 @@ def rule_hits(text: Column, rules: tuple[Rule, ...]) -> Column:
 
     @F.arrow_udf(ArrayType(LongType()))
     def hits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine, mask = rule_automaton(rules), (1 << BITS) - 1
+        machine = rule_automaton(rules)
         for part in texts:
             out = []
-            for t in part:
+            for t in part.to_pylist():
                 found = 0
-                if machine is not None and t.is_valid:
-                    for _, hit in machine.iter(t.as_py()):
+                if machine is not None and t is not None:
+                    for _, hit in machine.iter(t):
                         found |= hit
-                out.append([found >> BITS * i & mask for i in range(numbers)])
-            yield pa.array(out, pa.list_(pa.int64()))
+                out.append(found.to_bytes(BITS // 8 * numbers, "little"))
+            yield pa.ListArray.from_arrays(np.arange(0, numbers * len(part) + 1, numbers, dtype=np.int32), np.frombuffer(b"".join(out), "<i8"))
 
     return hits(F.lower(text))
 
@@ -190,20 +191,32 @@ def classify(definitions: DataFrame, rules: tuple[Rule, ...] = RULES, subrules:
 
 def _placed(found: DataFrame, flat: tuple[Rule, ...], before: int, subrules: dict[str, tuple[Rule, ...]]) -> DataFrame:
     """The sub-categories of words (word, parents, hits); the rules in flat begin at the place `before` among the hits."""
-    at, places = before, []
-    padded = (Rule("", "", ()),) * before + flat
-    for parent, rules in subrules.items():
-        names = _names(F.col("hits"), padded, range(at, at + len(rules)))
-        some = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(f"{parent}-general")))
-        places.append(F.when(F.array_contains("parents", parent), _under(parent, some)))
-        at += len(rules)
-    if not places:
+    if not subrules:
         return found.select(F.lit("").alias("parent"), F.lit("").alias("subcategory"), "word").limit(0)
-    return found.select("word", F.inline(F.flatten(F.array_compact(F.array(*places))))).select("parent", "subcategory", "word")
+    found = found.select("word", F.explode(_under("parents", "hits", flat, before, tuple(subrules))).alias("s"))
+    return found.select("s.parent", "s.subcategory", "word")
 
 
-def _under(parent: str, names: Column) -> Column:
-    return F.transform(names, lambda name: F.struct(F.lit(parent).alias("parent"), name.alias("subcategory")))
+def _under(parents: str, hits: str, flat: tuple[Rule, ...], before: int, known: tuple[str, ...]) -> Column:
+    """(parent, subcategory) for each parent of a word: of the rules that it hits, or else <parent>-general. Only rules that are hit are looked at, however many there are."""
+    own = frozenset(known)
+
+    @F.arrow_udf("array<struct<parent:string,subcategory:string>>")
+    def places(words: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, sets in words:
+            out = []
+            for there, numbers in zip(names.to_pylist(), sets.to_pylist(), strict=True):
+                below: dict[str, list[str]] = {p: [] for p in there or () if p in own}
+                left = int.from_bytes(np.array(numbers or [], "<i8").tobytes(), "little") >> before if below else 0
+                while left:
+                    rule = flat[(left & -left).bit_length() - 1]
+                    left &= left - 1
+                    if rule.topic in below:
+                        below[rule.topic].append(rule.name)
+                out.append([{"parent": p, "subcategory": s} for p, subs in below.items() for s in subs or [f"{p}-general"]])
+            yield pa.array(out, pa.list_(pa.struct([("parent", pa.string()), ("subcategory", pa.string())])))
+
+    return places(F.col(parents), F.col(hits))
 
 
 def rule_orders(parent: str, rules: tuple[Rule, ...], kept: set[str]) -> dict[str, int]:

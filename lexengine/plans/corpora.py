@@ -134,9 +134,9 @@ SELECT * FROM found UNION ALL SELECT category, category || '-general', word FROM
 def subcategorize_passages(spark: SparkSession, d: str) -> DataFrame:
     """C2 with sub-rules of their own: below each passage one for each first letter of its words."""
     rows = _passage_words(spark, d)
-    members = classify.categorize(None, adapters.definitions(spark, d), classify.rules_from(rows))
+    rules = classify.rules_from(rows)
     subrules = classify.subrules_from(rows.select(F.col("name").alias("parent"), "topic", F.substring("keyword", 1, 1).alias("name"), "keyword"))
-    return classify.subcategorize(members, adapters.definitions(spark, d), subrules)
+    return classify.classify(adapters.definitions(spark, d), rules, subrules)
 
 
 # --- collation (X22) ----------------------------------------------------------------------------

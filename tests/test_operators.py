@@ -144,6 +144,24 @@ def test_one_scan_classifies(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
+def test_passages_are_classified_in_one_scan(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["subcategorize_passages"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("documents.parquet") == 1
+
+
+def test_many_sub_rules(spark):
+    """Rules at both ends of each number of a set of hits, and words that none of them matches."""
+    rules = (classify.Rule("p", "t", ("pp",)), classify.Rule("q", "t", ("qq", "key0063x")), classify.Rule("bare", "t", ("zz",)))
+    subrules = {"p": tuple(classify.Rule(f"{i}", "t", (f"key{i:04}x",)) for i in range(129)), "q": (classify.Rule("only", "t", ("key0060x",)),)}
+    rows = [("a", "pp KEY0060x"), ("a", "key0061x key0128x"), ("b", "qq pp"), ("c", "key0063x key0000x"), ("d", None), ("e", "zz")]
+    definitions = spark.createDataFrame(rows, "word string, definition_en string")
+    want = [("p", "p-128", "a"), ("p", "p-60", "a"), ("p", "p-61", "a"), ("p", "p-general", "b"), ("q", "q-general", "b"), ("q", "q-general", "c")]
+    assert sorted(map(tuple, classify.classify(definitions, rules, subrules).collect())) == want
+    assert sorted(map(tuple, classify.subcategorize(classify.categorize(None, definitions, rules), definitions, subrules).collect())) == want
+
+
 def test_first_match_keeps_the_row(spark):
     rows = spark.createDataFrame([(1, 3, "b"), (1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "k int, seq int, kind string")
     assert sorted(map(tuple, lookup.first_match(rows, "k", F.col("kind") == "b", ["seq"]).collect())) == [(1, 2, "b"), (2, 1, "a")]
