@@ -202,6 +202,8 @@ def test_scores_are_summed_where_a_text_lies(spark):
     index = fulltext.text_index(spark.createDataFrame(texts, "doc long, text string"))
     found = fulltext.best_texts(index, spark.createDataFrame(asked, "query long, text string"), 4)
     assert not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan_of(found))
+    # Parts of scores are dealt out by text, and pairs are made behind that.
+    assert "REPARTITION_BY_NUM" in plan_of(found)
     # Texts that share a doc are one text.
     whole = [(d, f"{t} a rareb" if d == 7 else t) for d, t in texts[:200]]
     assert sorted((q, p, d, round(s, 6)) for q, p, d, s in found.collect()) == bm25(whole, asked, 4)
