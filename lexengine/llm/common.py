@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +40,54 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def in_arrow(df: DataFrame, rows: Callable, schema) -> DataFrame:
-    """mapInArrow over small batches."""
-    return small_batches(df).mapInArrow(rows, schema)
+#: What a Python worker keeps from task to task.
+_kept: dict[str, object] = {}
+
+#: Seconds between two times that a task gives back memory.
+FREE_SECONDS = 1
+
+
+def kept(name: str, make: Callable):
+    """make(), once in a Python worker for as long as its tasks are of stages that keep something of this name."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget_others(name: str | None) -> None:
+    """Drops what stages of other names have kept in this worker."""
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free already goes back to the system; else a worker would hold the most that any of its batches took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
+def _giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = time.monotonic()
+    for batch in batches:
+        yield batch
+        del batch
+        if time.monotonic() - last > FREE_SECONDS:
+            give_back()
+            last = time.monotonic()
+
+
+def in_arrow(df: DataFrame, rows: Callable, schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow over small batches, in workers that hold nothing kept() but what has the name keeps."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
+        yield from rows(_giving_back(batches))
+        give_back()
+
+    return small_batches(df).mapInArrow(lean, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import blocks, in_arrow, stored, table
+from lexengine.llm.common import blocks, in_arrow, kept, stored, table
 
 LENGTH, END_ID = 1024, 2
 #: Pieces in a block, on average; bins that a local search looks at together.
@@ -107,16 +107,11 @@ class ChunkEncoder:
         return np.concatenate([self.ids, *front])[own], np.r_[0, ends][begin[1:]]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker, so that chunks stay known from task to task."""
-    if path not in _encoders:
-        # Spark runs a worker per core, so the library's own threads would only get in their way.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    """One encoder per Python worker, so that chunks stay known from task to task; tasks of other stages drop it."""
+    # Spark runs a worker per core, so the library's own threads would only get in their way.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(path, lambda: ChunkEncoder(path))
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -149,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
                 begin = end
             yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
 
-    found = in_arrow(docs.select("doc_id", "text"), rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    found = in_arrow(docs.select("doc_id", "text"), rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary", keeps=tokenizer)
     return found if with_ids else found.drop("ids")
 
 

@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexengine.llm import packing
-from lexengine.llm.common import table
+from lexengine.llm.common import in_arrow, table
 
 DATA = "/root/testdata/sf0.001"
 PIECES = st.lists(st.sampled_from([" ", "  ", "a", "The", "é", ".", ",\n", "\n\n", "'s", "12", "-", "ж", "\t", "\x00", "<|endoftext|>", "\xa0"]), max_size=12).map("".join)
@@ -137,3 +138,15 @@ def test_underfull_sequences_of_all_blocks_are_packed_anew(spark):
     assert found.sequence_id.nunique() <= -(-sum(r[3] for r in rows) // 1024) + 1
     ordered = found.sort_values(["sequence_id", "offset"])
     assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
+
+
+def test_workers_of_other_stages_hold_no_encoder(spark):
+    docs = spark.range(0, 64, 1, 8).selectExpr("id AS doc_id", "repeat('so many words ', 20) AS text")
+    assert packing.pieces(docs, packing.default_tokenizer()).count() == 64
+
+    def held(batches):
+        for batch in batches:
+            alive = sum(isinstance(x, packing.ChunkEncoder) for x in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"n": [alive] * batch.num_rows})
+
+    assert {r.n for r in in_arrow(docs.select("doc_id"), held, "n long").collect()} == {0}
