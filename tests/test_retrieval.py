@@ -307,6 +307,23 @@ def test_chains_against_walking(spark):
     assert closure.chains(spark.createDataFrame([], "id long, parent_id long")).count() == 0
 
 
+def test_paths_of_chains_take_few_joins(spark, monkeypatch):
+    rows = [(f"{c}-{i:02}", f"{c}-{i - 1:02}" if i else "nowhere" if c % 2 else None) for c in range(40) for i in range(c)] + [("a", "b"), ("b", "a")]
+    want = {(f"{c}-{i:02}", tuple(f"{c}-{k:02}" for k in range(i + 1))) for c in range(40) for i in range(c)} | {("a", None), ("b", None)}
+    tables = []
+    stored = closure._stored
+    monkeypatch.setattr(closure, "_stored", lambda df: tables.append(stored(df)) or tables[-1])
+    nodes = spark.createDataFrame(rows, "id string, parent_id string")
+    small = closure.chains(nodes)
+    # The longest chain has 39 nodes: six rounds and one in which none ends, the nodes and the large trees.
+    assert len(tables) <= 9
+    monkeypatch.setattr(closure, "TREE", 20)
+    monkeypatch.setattr(closure, "ENTRIES", 7)
+    for found in (small, closure.chains(nodes)):
+        got = [(r.node, r.path and tuple(r.path)) for r in found.select("node", "path").collect()]
+        assert len(got) == len(rows) and set(got) == want
+
+
 # --- order statistics ---------------------------------------------------------------------------
 
 
