@@ -28,7 +28,9 @@ LENGTH, END_ID = 1024, 2
 #: Pieces in a block, on average; bins that a local search looks at together.
 BLOCK_PIECES, NEIGHBOURS = 16_384, 256
 #: Chunks of at most so many characters are remembered; all are forgotten when there are more, or more ids of chunks, than so many.
-CACHED_CHARS, CACHED, CACHED_IDS = 24, 600_000, 8_000_000
+CACHED_CHARS, CACHED, CACHED_IDS = 24, 300_000, 8_000_000
+#: Bytes of texts that are encoded at once, on average; a longer text is encoded whole.
+ENCODED_BYTES = 1 << 20
 
 #: A blank before white space (Unicode's, as the pre-tokenizer has it) or the end; elsewhere each blank begins a token of its own.
 _ODD_BLANK = " ([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|$)"
@@ -123,14 +125,19 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, batch.num_rows * ENCODED_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids, of each piece of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             ids, ends = enc.encode(batch.column(1))
             ids = np.insert(ids, ends, END_ID).astype("<u4")
             ends = ends + np.arange(1, len(ends) + 1)

@@ -150,3 +150,11 @@ def test_workers_of_other_stages_hold_no_encoder(spark):
             yield pa.RecordBatch.from_pydict({"n": [alive] * batch.num_rows})
 
     assert {r.n for r in in_arrow(docs.select("doc_id"), held, "n long").collect()} == {0}
+
+
+def test_large_batches_are_encoded_in_slices():
+    texts = ["word " * 1000] * 1000 + ["", None, "x" * 3_000_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1003)), "text": pa.array(texts, pa.string())})
+    parts = list(packing._slices(iter([batch.slice(0, 0), batch])))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == texts
+    assert max(p.nbytes for p in parts[:2]) <= 2 * packing.ENCODED_BYTES and len(parts) > 4
